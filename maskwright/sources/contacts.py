@@ -1,0 +1,128 @@
+"""Made-up contacts for load tests: any number of rows, no driver loop.
+
+All draws of a row come from one digest of the seed and the row's id, so rows do
+not depend on how the ids are partitioned or on retries.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# The word lists of the contacts table.
+FIRST_NAMES = (
+    "Alice", "Bob", "Carol", "David", "Eve", "Frank", "Grace", "Heidi",
+    "Ivan", "Judy", "Karl", "Laura", "Mallory", "Niaj", "Olivia", "Peggy",
+    "Quinn", "Romeo", "Sybil", "Trent", "Uma", "Victor", "Wendy", "Xavier",
+    "Yvonne", "Zach",
+)
+LAST_NAMES = (
+    "Smith", "Johnson", "Williams", "Brown", "Jones", "Garcia", "Miller",
+    "Davis", "Rodriguez", "Martinez", "Hernandez", "Lopez", "Gonzalez",
+    "Wilson", "Anderson", "Thomas", "Taylor", "Moore", "Jackson", "Martin",
+)
+EMAIL_DOMAINS = (
+    "gmail.com", "yahoo.com", "outlook.com", "hotmail.com",
+    "company.io", "example.org", "test.net", "acme.co",
+)
+AREA_CODES = (
+    "212", "310", "415", "312", "713", "206", "617", "305",
+    "404", "602", "503", "702", "503", "816", "901",
+)
+CITIES = (
+    "New York", "Los Angeles", "Chicago", "Houston", "Phoenix",
+    "Philadelphia", "San Antonio", "San Diego", "Dallas", "San Jose",
+)
+PHONE_LAYOUTS = ("({a}) {e}-{n}", "{a}-{e}-{n}", "{a}.{e}.{n}")
+NOTES = (
+    "Customer contacted on {date} regarding order #{order}.",
+    "Follow up needed for account #{order}.",
+    "Billing issue resolved — ref #{order}.",
+    "Left voicemail at {phone}.",
+    "Email sent to {email}.",
+    "No issues reported.",
+    "Escalated to tier 2 support.",
+    "Closed without action.",
+)
+
+COLUMNS = ("id", "first_name", "last_name", "email", "phone", "city", "account_balance", "notes")
+
+# Hex digits of the digest each draw takes, in order. Together at most 64.
+DRAWS = {
+    "first": 4, "last": 4, "user_first": 4, "user_last": 4, "suffix_length": 2, "suffix": 4,
+    "domain": 2, "area": 4, "exchange": 4, "number": 5, "layout": 3, "city": 3,
+    "balance": 7, "note": 2, "month": 3, "day": 3,
+}
+
+
+def contacts_for(ids: DataFrame, id_column: str = "id", seed: int = 42) -> DataFrame:
+    """One contact per row of ``ids``."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_column)), 256)
+    base = ids.select(F.col(id_column).cast("bigint").alias("id"), digest.alias("digest"))
+
+    starts, start = {}, 1
+    for name, width in DRAWS.items():
+        starts[name], start = start, start + width
+
+    def draw(name: str) -> Column:
+        piece = F.substring("digest", starts[name], DRAWS[name])
+        return F.conv(piece, 16, 10).cast("bigint")
+
+    def below(name: str, limit: int) -> Column:
+        return (draw(name) % limit).cast("int")
+
+    def pick(name: str, words: tuple[str, ...]) -> Column:
+        return F.element_at(F.array(*(F.lit(w) for w in words)), below(name, len(words)) + 1)
+
+    def filled(template: Column, **values: Column) -> Column:
+        for name, value in values.items():
+            template = F.replace(template, F.lit("{" + name + "}"), value.cast("string"))
+        return template
+
+    email = F.concat(
+        F.lower(pick("user_first", FIRST_NAMES)),
+        F.lit("."),
+        F.lower(pick("user_last", LAST_NAMES)),
+        F.left(F.lpad((draw("suffix") % 1000).cast("string"), 3, "0"), below("suffix_length", 4)),
+        F.lit("@"),
+        pick("domain", EMAIL_DOMAINS),
+    )
+    phone = filled(
+        pick("layout", PHONE_LAYOUTS),
+        a=pick("area", AREA_CODES),
+        e=below("exchange", 800) + 200,
+        n=below("number", 9000) + 1000,
+    )
+    date = F.concat(
+        F.lit("2024-"),
+        F.lpad((below("month", 12) + 1).cast("string"), 2, "0"),
+        F.lit("-"),
+        F.lpad((below("day", 28) + 1).cast("string"), 2, "0"),
+    )
+    # Mail and phone are used twice, hence projections of their own.
+    return (
+        base.withColumns({"email": email, "phone": phone})
+        .withColumn(
+            "notes",
+            filled(
+                pick("note", NOTES), date=date, order=F.col("id"), phone=F.col("phone"), email=F.col("email")
+            ),
+        )
+        .select(
+            "id",
+            pick("first", FIRST_NAMES).alias("first_name"),
+            pick("last", LAST_NAMES).alias("last_name"),
+            "email",
+            "phone",
+            pick("city", CITIES).alias("city"),
+            (below("balance", 10_000_001) / 100.0).alias("account_balance"),
+            "notes",
+        )
+    )
+
+
+def generate_contacts(
+    spark: SparkSession, rows: int = 1_000_000, seed: int = 42, partitions: int | None = None
+) -> DataFrame:
+    """Contacts with ids from 1; write them with any sink."""
+    return contacts_for(spark.range(1, rows + 1, 1, partitions), "id", seed)
