@@ -173,7 +173,12 @@ def stored_page(
         rows = spark.read.parquet(path)
         return rows.limit(0).select(F.lit(0).cast("bigint").alias("row_id"), "*")
     # The metadata column spells paths as URIs.
-    rows = spark.read.option("basePath", path).parquet(*(unquote(f.file_path) for f in holding))
+    files = [unquote(f.file_path) for f in holding]
+    reader = spark.read
+    if not files[0].endswith(path.rstrip("/").rsplit("/", 1)[-1]):
+        # The dataset is a folder; its own sub-folders may hold column values.
+        reader = reader.option("basePath", path)
+    rows = reader.parquet(*files)
     starts = F.create_map(*(F.lit(x) for f in holding for x in (f.file_path, f.first_row)))
     row_id = starts[F.col("_metadata.file_path")] + F.col("_metadata.row_index")
     return (

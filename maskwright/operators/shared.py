@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="maskwright-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local one only in local mode."""
+    """``spark.checkpoint.dir`` of the session; where unset, a local one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.conf.get("spark.master", "local").startswith("local"):
-        folder = tempfile.mkdtemp(prefix="maskwright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+    if spark.conf.get("spark.master", "").startswith("local"):
+        return _local_folder()
     raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
 
 
