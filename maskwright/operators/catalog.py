@@ -1,10 +1,10 @@
 """Operators on tables of prompts and patterns.
 
-The catalogue is a table ``(key, kind, value, created_at)``. Lookups are plain
-equi-joins without hints: Catalyst broadcasts a catalogue below its own size
-threshold, and above it the adaptive skew join splits a prompt key that holds a
-large share of the rows. Keeping the newest entry per key is an aggregate with
-map-side combine, so a hot key never gathers its rows in one task.
+The catalogue is a table ``(key, kind, value, created_at)``. Lookups are equi-joins
+without hints: Catalyst broadcasts a catalogue below its own size threshold, and
+above it the adaptive skew join splits a prompt key that holds a large share of
+the rows. Keeping the newest entry per key is an aggregate with map-side combine,
+so a hot key never gathers its rows in one task.
 """
 
 from __future__ import annotations
@@ -107,6 +107,18 @@ def live_entries(catalog: DataFrame, now: datetime | Column, ttl: int = TTL_SECO
     return live.where(F.col("value") != "").select("key", "value", "created_at")
 
 
+def _joined(prompts: DataFrame, known: DataFrame, key: str, how: str) -> DataFrame:
+    """Join on the key, in a way the adaptive skew join can split.
+
+    It splits only sides that come straight from a shuffle made for the join. The
+    known entries are already spread by key for their aggregate, and Spark would
+    join on that; a second condition, implied by the first, makes it shuffle the
+    aggregated rows once more, which are few beside the prompts.
+    """
+    same = quoted(key) == F.col("__key")
+    return prompts.join(known, same & (F.xxhash64(quoted(key)) == F.xxhash64("__key")), how)
+
+
 def look_up(
     prompts: DataFrame,
     catalog: DataFrame,
@@ -118,7 +130,7 @@ def look_up(
     known = live_entries(catalog, now, ttl).select(
         F.col("key").alias("__key"), F.col("value").alias("cached")
     )
-    return prompts.join(known, quoted(key) == F.col("__key"), "left").drop("__key")
+    return _joined(prompts, known, key, "left").drop("__key")
 
 
 def misses(
@@ -130,7 +142,7 @@ def misses(
 ) -> DataFrame:
     """The prompts without a live entry."""
     known = live_entries(catalog, now, ttl).select(F.col("key").alias("__key"))
-    return prompts.join(known, quoted(key) == F.col("__key"), "left_anti")
+    return _joined(prompts, known, key, "left_anti")
 
 
 def changed_entries(looked_up: DataFrame, value: str = "pattern", cached: str = "cached") -> DataFrame:

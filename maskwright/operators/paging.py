@@ -156,13 +156,17 @@ def stored_page(
     page: int = 1,
     page_size: int = DEFAULT_PAGE_SIZE,
     total_rows: int | None = None,
+    offsets: DataFrame | None = None,
 ) -> DataFrame:
     """One page of a stored dataset in its own order, with ``row_id``.
 
     Only the files that hold rows of the page are opened: at most as many as the
-    page has rows. A page that spans files is full all the same.
+    page has rows. A page that spans files is full all the same. For many pages of
+    a dataset of very many files, store its ``file_offsets`` once and pass them in:
+    then neither the folder is listed nor the footers are read again.
     """
-    offsets = file_offsets(spark, path)
+    if offsets is None:
+        offsets = file_offsets(spark, path)
     if total_rows is None:
         total_rows = offsets.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     first, end = _bounds(page, page_size, total_rows)
@@ -191,16 +195,19 @@ def stored_page(
 def page_columns(rows: DataFrame, order_by: str = "row_id") -> DataFrame:
     """A page as one row of arrays, one per column, in row order.
 
-    For pages only: they are at most ``MAX_PAGE_SIZE`` rows. NULLs keep their place.
+    NULLs keep their place. More rows than the largest page has are an error, found
+    before they are gathered.
     """
     columns = [name for name in rows.columns if name != order_by]
     entry = F.struct(
         quoted(order_by).alias("at"), *(quoted(c).alias(f"c{i}") for i, c in enumerate(columns))
     )
     # Ordered by the first field; the others need not be comparable that way.
-    ordered = rows.agg(
+    gathered = rows.limit(MAX_PAGE_SIZE + 1).agg(F.collect_list(entry).alias("entries"))
+    too_many = F.raise_error(F.lit(f"A page has at most {MAX_PAGE_SIZE} rows."))
+    ordered = gathered.select(
         F.array_sort(
-            F.collect_list(entry),
+            F.when(F.size("entries") > MAX_PAGE_SIZE, too_many).otherwise(F.col("entries")),
             lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0),
         ).alias("entries")
     )

@@ -34,11 +34,15 @@ def column_samples(
     """``(column, samples)`` from the first rows of a table.
 
     Per column: NULLs are skipped, eight values taken, and only then stripped and
-    blank ones dropped. Columns without a sample are left out. Only the sampled
-    rows are brought together; with ``order_by`` each task keeps its own first rows.
+    blank ones dropped. Columns without a sample are left out.
+
+    Without ``order_by`` the rows are taken from the first partitions only, however
+    large the table; with it every task keeps its own first rows.
     """
-    head = df.orderBy(*order_by) if order_by else df
-    head = head.limit(max_rows)
+    if order_by:
+        head = df.orderBy(*order_by).limit(max_rows)
+    else:
+        head = df.sparkSession.createDataFrame(df.take(max_rows), df.schema)
     cells = [quoted(name).cast("string").alias(f"c{i}") for i, name in enumerate(df.columns)]
     rows = head.select(F.monotonically_increasing_id().alias("row"), *cells).agg(
         F.sort_array(F.collect_list(F.struct("row", *(f"c{i}" for i in range(len(cells)))))).alias("rows")

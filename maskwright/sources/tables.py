@@ -111,14 +111,16 @@ def input_files(spark: SparkSession, path: str) -> DataFrame:
 def spread_unsplittable(
     df: DataFrame, path: str, target: int = TARGET_PARTITION_BYTES, most: int | None = None
 ) -> DataFrame:
-    """Spread rows that came from files too large for one task.
+    """Spread rows that came from a few large files that cannot be split.
 
-    For sources that are read one file per task. If no file exceeds the target the
-    tasks are even enough, and the shuffle is not worth it.
+    Such a file is parsed by one task, and what follows here is cheap beside that.
+    The shuffle pays only where most of the cluster would have no file at all; many
+    files, whatever their size, stay one narrow stage.
     """
     sizes = input_files(df.sparkSession, path).agg(
-        F.sum("length").alias("total"), F.max("length").alias("largest")
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("total"), F.max("length").alias("largest")
     ).first()
-    if sizes.largest is None or sizes.largest <= target:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if sizes.files == 0 or sizes.largest <= target or sizes.files * 4 > cores:
         return df
     return df.repartition(partitions_for(sizes.total, target, most))

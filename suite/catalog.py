@@ -204,9 +204,8 @@ _LIVE = "TIMESTAMP '2024-01-11 00:00:00'"
 
 
 def event_catalog(spark, folder):
-    """Purchases and clicks as catalogue entries, one user many times over."""
-    events = table(spark, folder, "events").where(F.col("event_type").isin("purchase", "click"))
-    return events.select(
+    """Events as catalogue entries, each user many times over."""
+    return table(spark, folder, "events").select(
         P.prompt_key(F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("key"),
         F.lit("regex").alias("kind"),
         F.when(F.col("event_id") % 7 > 0, F.col("props")).otherwise("").alias("value"),
@@ -225,7 +224,7 @@ def event_prompts(spark, folder):
 _KEY = "'regex_cache:' || sha256('user ' || ({})::VARCHAR)"
 _CATALOG_SQL = f"""
 SELECT {_KEY.format("user_id")} AS key, 'regex' AS kind, CASE WHEN event_id % 7 > 0 THEN props ELSE '' END AS value,
-  ts AS created_at FROM events WHERE event_type IN ('purchase', 'click')
+  ts AS created_at FROM events
 """
 _LIVE_SQL = f"""
 SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_at DESC, value DESC) AS place

@@ -110,6 +110,29 @@ def test_counts(spark, tmp_path):
     assert "ReadSchema: struct<>" in plan_of(per_file)
 
 
+def test_columnar_page_is_bounded(spark):
+    df = spark.range(1001).select(F.col("id").alias("row_id"), "id")
+    assert len(G.page_columns(df.limit(1000)).first().id) == 1000
+    with pytest.raises(Exception, match="at most 1000 rows"):
+        G.page_columns(df).collect()
+
+
+def test_page_with_stored_offsets(spark, tmp_path):
+    path = stored(spark, tmp_path, [150, 150])
+    kept = str(tmp_path / "offsets")
+    G.file_offsets(spark, path).write.parquet(kept)
+    offsets = spark.read.parquet(kept)
+    assert values(G.stored_page(spark, path, 2, 100, 300, offsets)) == list(range(100, 200))
+
+
+def test_pages_of_a_partitioned_dataset(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    spark.range(0, 40, 1, 4).select("id", (F.col("id") % 2).alias("odd")).write.partitionBy("odd").parquet(path)
+    rows = [r for n in (1, 2, 3, 4) for r in G.stored_page(spark, path, n, 10).collect()]
+    assert [r.row_id for r in rows] == list(range(40))
+    assert sorted((r.id, r.odd) for r in rows) == [(i, i % 2) for i in range(40)]
+
+
 def test_columnar_page_keeps_order_and_nulls(spark):
     rows = [(i, None if i % 2 else f"v{i}", {"m": i}) for i in range(6)]
     df = spark.createDataFrame(rows, "row_id bigint, `a.b` string, c map<string,int>").repartition(3)

@@ -207,6 +207,39 @@ def test_large_catalogue_is_not_broadcast(spark):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("operator", [C.look_up, C.misses])
+def test_hot_key_is_split_in_a_shuffle_join(spark, operator):
+    """A third of the prompts share one key: the join splits them, and loses none."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        prompts = spark.range(0, 60000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"),
+            F.sha2(F.col("id").cast("string"), 256).alias("text"),
+        )
+        known = spark.range(0, 60000, 5, 4).select(
+            F.col("id").cast("string").alias("key"), F.lit("regex").alias("kind"),
+            F.lit("v").alias("value"), F.lit(NOW).alias("created_at"),
+        )
+        out = operator(prompts, known, NOW)
+        rows = out.collect()
+        known_ids = sum(1 for i in range(60000) if i % 3 and i % 5 == 0)
+        assert len(rows) == (60000 if operator is C.look_up else 60000 - known_ids)
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_write_back(spark):
     rows = [("same", "p", "p"), ("repaired", "q", "p"), ("new", "r", None), ("none", None, None)]
     df = spark.createDataFrame(rows, "key string, pattern string, cached string")

@@ -86,6 +86,9 @@ def test_partition_numbers(spark, tmp_path):
     assert S.spread_unsplittable(df, path) is df
     spread = S.spread_unsplittable(df, path, target=1000)
     assert "RoundRobinPartitioning(10)" in plan_of(spread) and spread.count() == 5000
+    write(tmp_path, "more.csv", "a\n" + "1\n" * 5000)
+    both = S.read_csv(spark, str(tmp_path / "*.csv"))
+    assert S.spread_unsplittable(both, str(tmp_path / "*.csv"), target=1000) is both
     assert re.search(r"ReadSchema: struct<.*length:bigint>", plan_of(S.input_files(spark, path)))
     assert "content" not in plan_of(S.input_files(spark, path))
 
