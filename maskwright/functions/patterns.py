@@ -83,33 +83,37 @@ MAX_PATTERN_LENGTH = 512
 NESTED_QUANTIFIER = r"(?U)(?<!\\)\([^)]*[+*?{][^)]*(?<!\\)\)\s*[+*?{]"
 
 
-def _compile_each():
-    """The batch's patterns, each compiled once; NULL and broken ones are None.
+def _compiler():
+    """Makes a function that compiles a pattern, each one once; None if it cannot.
 
     Made inside a function, like the UDFs below, so that Spark ships them by value
     and workers need not have this package installed.
     """
 
-    def compile_each(patterns):
+    def new_compiler():
         compiled = {None: None}
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            for pattern in set(patterns) - {None}:
-                try:
-                    compiled[pattern] = re.compile(pattern)
-                except (re.error, OverflowError, RecursionError):
-                    compiled[pattern] = None
-        return compiled
 
-    return compile_each
+        def compiled_once(pattern):
+            if pattern not in compiled:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    try:
+                        compiled[pattern] = re.compile(pattern)
+                    except (re.error, OverflowError, RecursionError):
+                        compiled[pattern] = None
+            return compiled[pattern]
+
+        return compiled_once
+
+    return new_compiler
 
 
 def _compiles(pattern: Column) -> Column:
-    compile_each = _compile_each()
+    new_compiler = _compiler()
 
     def check(patterns: pd.Series) -> pd.Series:
-        compiled = compile_each(patterns)
-        return patterns.map(lambda p: compiled[p] is not None)
+        compiled = new_compiler()
+        return patterns.map(lambda p: compiled(p) is not None)
 
     return F.pandas_udf(check, BooleanType())(pattern)
 
@@ -183,20 +187,21 @@ def domain_of(prompt: Column) -> Column:
     def found(regex: str) -> Column:
         return F.nullif(F.regexp_extract(prompt, regex, 1), F.lit(""))
 
-    return F.lower(F.coalesce(found(_DOMAIN_NAMED), found(_DOMAIN_AFTER_AT)))
+    after_at = F.when(F.contains(prompt, F.lit("@")), found(_DOMAIN_AFTER_AT))
+    return F.lower(F.coalesce(found(_DOMAIN_NAMED), after_at))
 
 
 def first_found(text: Column, *patterns: Column) -> Column:
     """1 for the first pattern if it is found in the text, 2 for the second, ...; else 0."""
-    compile_each = _compile_each()
+    new_compiler = _compiler()
 
     def choose(texts: pd.Series, *candidates: pd.Series) -> pd.Series:
-        compiled = compile_each(p for series in candidates for p in series)
+        compiled = new_compiler()
 
         def first(probe, *row) -> int:
             if probe is not None:
                 for position, pattern in enumerate(row, 1):
-                    regex = compiled[pattern]
+                    regex = compiled(pattern)
                     if regex is not None and regex.search(probe):
                         return position
             return 0

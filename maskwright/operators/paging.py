@@ -65,14 +65,23 @@ def file_offsets(spark: SparkSession, path: str) -> DataFrame:
 # --- numbering -------------------------------------------------------------
 
 
-def with_row_ids(spark: SparkSession, path: str) -> DataFrame:
-    """A stored dataset with ``row_id``, from 0 without gaps, in its own order.
+ROW_ID = "row_id"
+
+
+def _require_free(df: DataFrame, row_id: str) -> None:
+    if row_id.lower() in (name.lower() for name in df.columns):
+        raise ValueError(f"The table has a column '{row_id}' already; name the numbers otherwise.")
+
+
+def with_row_ids(spark: SparkSession, path: str, row_id: str = ROW_ID) -> DataFrame:
+    """A stored dataset with a row number, from 0 without gaps, in its own order.
 
     The number is the file's first row plus the reader's row index: a map-side
     join to one row per file.
     """
     offsets = file_offsets(spark, path).select(F.col("file_path").alias("__file"), "first_row")
     rows = spark.read.parquet(path)
+    _require_free(rows, row_id)
     if len(rows.inputFiles()) <= MAX_BROADCAST_FILES:
         offsets = F.broadcast(offsets)
     columns = [quoted(name) for name in rows.columns]
@@ -83,22 +92,28 @@ def with_row_ids(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.row_index").alias("__index"),
         )
         .join(offsets, F.col("__file_path") == F.col("__file"))
-        .select((F.col("first_row") + F.col("__index")).alias("row_id"), *columns)
+        .select((F.col("first_row") + F.col("__index")).alias(row_id), *columns)
     )
 
 
-def number_rows(df: DataFrame, order_by: Sequence[str | Column], path: str | None = None) -> DataFrame:
-    """Any DataFrame with ``row_id`` in the order of its keys.
+def number_rows(
+    df: DataFrame,
+    order_by: Sequence[str | Column],
+    path: str | None = None,
+    row_id: str = ROW_ID,
+) -> DataFrame:
+    """Any DataFrame with a row number in the order of its keys.
 
     Sorts once, by ranges: into a table at ``path``, or in the shared folder. The
     written table also keeps the numbers stable when an executor is lost later.
     The keys should end in a unique one; then equal leading keys, however many,
     are split over the ranges and the order is the same every time.
     """
+    _require_free(df, row_id)
     if path is None:
         path = new_table_path(df.sparkSession, "sorted")
     df.orderBy(*order_by).write.parquet(path)
-    return with_row_ids(df.sparkSession, path)
+    return with_row_ids(df.sparkSession, path, row_id)
 
 
 # --- pages -----------------------------------------------------------------
@@ -138,16 +153,18 @@ def page(
     page: int = 1,
     page_size: int = DEFAULT_PAGE_SIZE,
     total_rows: int | None = None,
+    row_id: str = ROW_ID,
 ) -> DataFrame:
-    """One page of a table that has a ``row_id``.
+    """One page of a table that has row numbers.
 
-    A range of numbers: on a table stored with its ``row_id`` the scan skips the row
-    groups outside. The row count may come from the run record.
+    A range of numbers: on a table stored with them the scan skips the row groups
+    outside. The row count may come from the run record.
     """
     if total_rows is None:
         total_rows = numbered.count()
     first, end = _bounds(page, page_size, total_rows)
-    return numbered.where((F.col("row_id") >= first) & (F.col("row_id") < end)).orderBy("row_id")
+    number = quoted(row_id)
+    return numbered.where((number >= first) & (number < end)).orderBy(number)
 
 
 def stored_page(
@@ -157,8 +174,9 @@ def stored_page(
     page_size: int = DEFAULT_PAGE_SIZE,
     total_rows: int | None = None,
     offsets: DataFrame | None = None,
+    row_id: str = ROW_ID,
 ) -> DataFrame:
-    """One page of a stored dataset in its own order, with ``row_id``.
+    """One page of a stored dataset in its own order, with row numbers.
 
     Only the files that hold rows of the page are opened: at most as many as the
     page has rows. A page that spans files is full all the same. For many pages of
@@ -175,7 +193,7 @@ def stored_page(
     ).collect()
     if not holding:
         rows = spark.read.parquet(path)
-        return rows.limit(0).select(F.lit(0).cast("bigint").alias("row_id"), "*")
+        return rows.limit(0).select(F.lit(0).cast("bigint").alias(row_id), "*")
     # The metadata column spells paths as URIs.
     files = [unquote(f.file_path) for f in holding]
     reader = spark.read
@@ -183,16 +201,17 @@ def stored_page(
         # The dataset is a folder; its own sub-folders may hold column values.
         reader = reader.option("basePath", path)
     rows = reader.parquet(*files)
+    _require_free(rows, row_id)
     starts = F.create_map(*(F.lit(x) for f in holding for x in (f.file_path, f.first_row)))
-    row_id = starts[F.col("_metadata.file_path")] + F.col("_metadata.row_index")
+    number = starts[F.col("_metadata.file_path")] + F.col("_metadata.row_index")
     return (
-        rows.select(row_id.alias("row_id"), *(quoted(name) for name in rows.columns))
-        .where((F.col("row_id") >= first) & (F.col("row_id") < end))
-        .orderBy("row_id")
+        rows.select(number.alias(row_id), *(quoted(name) for name in rows.columns))
+        .where((quoted(row_id) >= first) & (quoted(row_id) < end))
+        .orderBy(quoted(row_id))
     )
 
 
-def page_columns(rows: DataFrame, order_by: str = "row_id") -> DataFrame:
+def page_columns(rows: DataFrame, order_by: str = ROW_ID) -> DataFrame:
     """A page as one row of arrays, one per column, in row order.
 
     NULLs keep their place. More rows than the largest page has are an error, found

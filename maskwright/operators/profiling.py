@@ -166,7 +166,10 @@ def parse_suggestions(
         F.concat(F.lit('{"value":'), strip_fence(quoted(response)), F.lit(',"end":0}'))
     )
     items = F.filter(
-        F.try_variant_get(F.col("__json"), "$.value", "array<variant>"),
+        F.when(
+            F.try_variant_get(F.col("__json"), "$.end", "int") == 0,
+            F.try_variant_get(F.col("__json"), "$.value", "array<variant>"),
+        ),
         lambda item: F.startswith(F.schema_of_variant(item), F.lit("OBJECT<")),
     )
 
@@ -184,12 +187,15 @@ def parse_suggestions(
         )
 
     kind = F.lower(text("pii_type"))
+    sound = F.when(
+        ~F.exists("__items", lambda item: number(item).isNull()), F.col("__items")
+    )
+    # Conditions instead of filters up to the explode: Spark would push a filter down
+    # and so parse the response once more for it.
     return (
         responses.select(*others, wrapped.alias("__json"))
-        .where(F.try_variant_get(F.col("__json"), "$.end", "int") == 0)
         .select(*others, items.alias("__items"))
-        .where(~F.exists("__items", lambda item: number(item).isNull()))
-        .select(*others, F.explode("__items").alias("item"))
+        .select(*others, F.explode(sound).alias("item"))
         .withColumn("confidence", number(F.col("item")))
         .where(F.col("confidence") >= min_confidence)
         .select(

@@ -75,6 +75,17 @@ def test_page_prunes_by_row_id(spark, tmp_path):
     assert "GreaterThanOrEqual(row_id,200)" in pushed and "LessThan(row_id,300)" in pushed
 
 
+def test_a_taken_name_is_refused(spark, tmp_path):
+    path = str(tmp_path / "numbered")
+    G.number_rows(spark.range(10), ["id"]).write.parquet(path)
+    for call in (G.with_row_ids, G.stored_page):
+        with pytest.raises(ValueError, match="already"):
+            call(spark, path)
+    page = G.stored_page(spark, path, 1, 5, row_id="at")
+    assert page.columns == ["at", "row_id", "id"] and page.count() == 5
+    assert G.page(page, 1, 3, row_id="at").count() == 3
+
+
 def test_limits(spark, tmp_path):
     df = spark.range(2500).withColumnRenamed("id", "row_id")
     assert G.page(df, 1, 5000).count() == 1000

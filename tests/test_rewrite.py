@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
+from maskwright.functions.redaction import matches, redact, required_text
 from maskwright.functions.standardise import MONTHS, e164, iso8601
 from maskwright.operators.rewrite import known_mode, rewrite_column, rows_matching
 
@@ -39,6 +40,62 @@ def test_zero_width_matches_insert_everywhere(spark):
     assert rewritten(column(spark, ["a1b22"]), "x*", "-") == ["-a-1-b-2-2-"]
 
 
+def test_required_text():
+    cases = {
+        EMAIL: "@",
+        r"Customer#(\d+)": "Customer#",
+        r"\(?[0-9]{3}\)?-[0-9]+": "-",
+        "abc?d": "ab",
+        "ab*cd+ef": "cd",
+        "x{0,2}yz{2}": "y",
+        "a+?bb": "bb",
+        r"\$5\.00": "$5.00",
+        r"\bword\b": "word",
+        "(?:a)b": "b",
+        "(?=a)b": "b",
+        "<[^>]*>": "<",
+        "[0-9]+": None,
+        "(abc)": None,
+        "abc|abd": None,
+        "(a|b)c": "c",
+        "(?i)abc": None,
+        "(?i:abc)d": None,
+        r"\Qa|b\E": None,
+        r"\x41bc": None,
+        r"(a)\1bc": None,
+        r"\p{Lu}bc": None,
+        r"[a-z&&[^b]]c": None,
+        "[]a]b": None,
+        "[^]a]b": None,
+        "": None,
+        "a{": None,
+        "a\\": None,
+        r"\\(?i)a": None,
+        r"[\]x]y": "y",
+    }
+    assert {regex: required_text(regex) for regex in cases} == cases
+
+
+def test_needed_text_never_changes_a_result(spark):
+    rng = random.Random(3)
+    atoms = ["a", "b", "@", "-", r"\.", r"\d", "[ab]", "[^a]", "(ab)", "(?:a|b)", r"\b", ".", "(a)", "x"]
+    ends = ["", "", "", "?", "*", "+", "+?", "{0,2}", "{2}", "*?"]
+    regexes = {
+        "".join(rng.choice(atoms) + rng.choice(ends) for _ in range(rng.randint(1, 4))) for _ in range(150)
+    }
+    texts = ["".join(rng.choice("abx@-. 1") for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None]
+    df = column(spark, texts)
+    cell, helped = F.col("cell"), 0
+    for regex in sorted(regexes):
+        helped += required_text(regex) is not None
+        ours = [redact(cell, regex, "#"), matches(cell, regex)]
+        plain = [F.regexp_replace(cell, regex, "#"), cell.rlike(regex)]
+        for got, want in zip(ours, plain):
+            wrong = df.where(~got.eqNullSafe(want)).count()
+            assert wrong == 0, regex
+    assert helped > 50
+
+
 def test_target_becomes_string_in_place(spark):
     df = spark.createDataFrame([(1, 10203, 2.5)], "a int, b bigint, c double")
     out = rewrite_column(df, "b", "0", "o")
