@@ -13,6 +13,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright.functions.text import quoted
 from maskwright.operators.shared import new_table_path
@@ -20,8 +21,9 @@ from maskwright.operators.shared import new_table_path
 DEFAULT_PAGE_SIZE = 100
 MAX_PAGE_SIZE = 1000
 
-# Up to here the per-file offsets are broadcast: about 100 bytes a file, 10 MB.
-MAX_BROADCAST_FILES = 100_000
+# Up to here the per-file offsets are broadcast: a path and a number per file, some
+# 250 MB for a million files, which at 128 MiB each hold more than 100 TB.
+MAX_BROADCAST_FILES = 1_000_000
 
 
 # --- counts ----------------------------------------------------------------
@@ -96,23 +98,45 @@ def with_row_ids(spark: SparkSession, path: str, row_id: str = ROW_ID) -> DataFr
     )
 
 
+def in_order(df: DataFrame, order_by: Sequence[str | Column], unique: bool = False) -> DataFrame:
+    """Sorted by the keys over all partitions, without a hot range.
+
+    A range sort sends all rows with the same keys to one task. Unless the keys are
+    said to be unique, the rows' content and the partition they come from break
+    ties, so that neither a frequent key nor a row with many copies ends up whole in
+    one range. Both are the same when a lost task is run again.
+    """
+    if unique:
+        return df.orderBy(*order_by)
+    content = [quoted(field.name) for field in df.schema if _can_be_hashed(field.dataType)]
+    return (
+        df.withColumns({"__content": F.xxhash64(*content), "__from": F.spark_partition_id()})
+        .orderBy(*order_by, "__content", "__from")
+        .drop("__content", "__from")
+    )
+
+
+def _can_be_hashed(kind: T.DataType) -> bool:
+    name = kind.simpleString()
+    return not any(word in name for word in ("map<", "variant"))
+
+
 def number_rows(
     df: DataFrame,
     order_by: Sequence[str | Column],
     path: str | None = None,
     row_id: str = ROW_ID,
+    unique: bool = False,
 ) -> DataFrame:
     """Any DataFrame with a row number in the order of its keys.
 
-    Sorts once, by ranges: into a table at ``path``, or in the shared folder. The
-    written table also keeps the numbers stable when an executor is lost later.
-    The keys should end in a unique one; then equal leading keys, however many,
-    are split over the ranges and the order is the same every time.
+    Sorts once, into a table at ``path``, or in the shared folder. The written table
+    also keeps the numbers stable when an executor is lost later.
     """
     _require_free(df, row_id)
     if path is None:
         path = new_table_path(df.sparkSession, "sorted")
-    df.orderBy(*order_by).write.parquet(path)
+    in_order(df, order_by, unique).write.parquet(path)
     return with_row_ids(df.sparkSession, path, row_id)
 
 

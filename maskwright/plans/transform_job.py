@@ -15,6 +15,7 @@ from maskwright.functions.patterns import parse_pattern, parse_spec
 from maskwright.functions.redaction import literal_replacement
 from maskwright.operators.catalog import audit_patterns, repair_patterns
 from maskwright.operators.ledger import record_runs
+from maskwright.operators.paging import in_order
 from maskwright.operators.rewrite import known_mode, require_column, require_mode, rewrite_column
 from maskwright.sinks.files import write_result
 from maskwright.sources.tables import read_table, spread_unsplittable, suffix_of
@@ -55,7 +56,7 @@ def transform(
     """
     out = rewrite_column(df, column, regex, replacement, mode, literal=literal)
     if order_by:
-        out = out.orderBy(*order_by)
+        out = in_order(out, order_by)
     return write_result(out, out_dir)
 
 

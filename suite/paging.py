@@ -29,7 +29,7 @@ def stored_row_ids(spark, folder):
 
 def page_rows(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
-    return G.page(G.number_rows(orders, [F.desc("o_totalprice"), "o_orderkey"]), 3, 100)
+    return G.page(G.number_rows(orders, [F.desc("o_totalprice"), "o_orderkey"], unique=True), 3, 100)
 
 
 def stored_page(spark, folder):

@@ -66,6 +66,26 @@ def test_number_rows_by_key_with_a_hot_leading_key(spark):
     assert [(r.k, r.id) for r in rows] == sorted((r.k, r.id) for r in rows)
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_hot_key_and_copies_are_split_over_ranges(spark, copies):
+    """A third of all rows share their key, or are copies of one row."""
+    hot = F.col("id") % 3 == 0
+    df = spark.range(0, 30000, 1, 12).select(
+        F.when(hot, 7).otherwise(F.col("id")).alias("k"),
+        (F.when(hot, 0) if copies else F.when(hot, F.col("id"))).alias("v"),
+        F.create_map(F.lit("m"), F.lit(1)).alias("m"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        sizes = G.in_order(df, ["k"]).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 12000
+    numbered = G.number_rows(df, ["k"]).select("row_id", "k").orderBy("row_id").collect()
+    assert [r.row_id for r in numbered] == list(range(30000))
+    assert [r.k for r in numbered] == sorted(r.k for r in numbered)
+
+
 def test_page_prunes_by_row_id(spark, tmp_path):
     path = str(tmp_path / "numbered")
     G.number_rows(spark.range(1000), ["id"]).write.parquet(path)
