@@ -16,8 +16,6 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import strip
-
 
 class Standardiser(NamedTuple):
     stage: Callable[[Column], Column]
@@ -54,79 +52,94 @@ MONTHS = (
     "July", "August", "September", "October", "November", "December",
 )
 
-_M = "(1[0-2]|0[1-9]|[1-9])"
-# A one-digit day may be padded with a blank.
-_D = "(?: (?=[1-9](?![0-9])))?(3[01]|[12][0-9]|0[1-9]|[1-9])"
-_Y = "((?!0000)[0-9]{4})"
-_YY = "([0-9]{2})"
-_GAP = r"[\s\x1c-\x1f]+"
-_NAME = "(" + "|".join(sorted(MONTHS, key=len, reverse=True)) + "|" + "|".join(m[:3] for m in MONTHS) + ")"
-
-# The accepted shapes exclude each other but for month-first against day-first,
-# where month-first is tried first. A month-first text whose day does not exist
-# (30 February) has a day above 12, so it never is a day-first date as well.
-MONTH_DAY_YEAR = rf"^{_M}(?:/{_D}/|-{_D}-){_Y}\z"
-DAY_MONTH_YEAR = rf"^{_D}(?:/{_M}/|-{_M}-){_Y}\z"
-YEAR_MONTH_DAY = rf"^{_Y}(?:/{_M}/|-{_M}-){_D}\z"
-NAME_DAY_YEAR = rf"(?iU)^{_NAME}{_GAP}{_D},?{_GAP}{_Y}\z"
-MONTH_DAY_YY = rf"^{_M}/{_D}/{_YY}\z"
-DAY_MONTH_YY = rf"^{_D}/{_M}/{_YY}\z"
-COMPACT = rf"^{_Y}{_M}{_D}\z"
+# Parts of a date. A one-digit day may be padded with a blank.
+_PARTS = {
+    "M": "(1[0-2]|0[1-9]|[1-9])",
+    "D": "(?: (?=[1-9](?![0-9])))?(3[01]|[12][0-9]|0[1-9]|[1-9])",
+    "Y": "((?!0000)[0-9]{4})",
+    "y": "((?!0000)[0-9]{4}|[0-9]{2})",
+    "N": "((?iU:" + "|".join([*sorted(MONTHS, key=len, reverse=True), *(m[:3] for m in MONTHS)]) + "))",
+    ",": ",?",
+    "_": r"(?U:[\s\x1c-\x1f]++)",
+}
+
+
+def _date_rule(*shapes: str) -> tuple[str, str]:
+    """One pattern for some shapes, and the replacement that puts year, month, day in order.
+
+    The shapes are tried in turn. The groups of those that did not match are empty in
+    the replacement. Any other text matches as well, with all groups empty, and is
+    left with two dashes.
+    """
+    groups: dict[str, list[int]] = {"Y": [], "M": [], "D": []}
+    count = 0
+    for part in "".join(shapes):
+        role = {"y": "Y", "N": "M"}.get(part, part)
+        if role in groups:
+            count += 1
+            groups[role].append(count)
+    patterns = ("".join(_PARTS.get(part, part) for part in shape) for shape in shapes)
+    blank = r"(?U:[\s\x1c-\x1f]*+)"
+    pattern = rf"^(?:{blank}(?:{'|'.join(patterns)}){blank}|(?s:.*+))\z"
+    order = "-".join("".join(f"${group}" for group in groups[role]) for role in "YMD")
+    return pattern, order
+
+
+# All accepted shapes, by their separator. Month-first goes before day-first; all
+# others exclude each other. A month-first text whose day does not exist (30
+# February) has a day above 12, so it never is a day-first date as well. Years of
+# two digits go with slashes only.
+SLASHED = _date_rule("M/D/y", "D/M/y", "Y/M/D")
+DASHED = _date_rule("M-D-Y", "D-M-Y", "Y-M-D")
+OTHER = _date_rule("N_D,_Y", "YMD")
 
 # Two-digit years from here on belong to the 1900s.
 PIVOT_YEAR = "69"
 
 
+def date_parts(cell: Column) -> Column:
+    """``year-month-day`` as written, the month maybe a name; ``--`` if it is no date."""
+
+    def ordered(rule: tuple[str, str]) -> Column:
+        return F.regexp_replace(cell, F.lit(rule[0]), F.lit(rule[1]))
+
+    return (
+        F.when(F.contains(cell, F.lit("/")), ordered(SLASHED))
+        .when(F.contains(cell, F.lit("-")), ordered(DASHED))
+        .otherwise(ordered(OTHER))
+    )
+
+
 def _month_number(name: Column) -> Column:
     """Two digits for a known month name, looked up by its first three letters."""
     table = F.lit("".join(f"{month[:3].lower()}{i:02d}" for i, month in enumerate(MONTHS, 1)))
-    found = F.instr(table, F.lower(F.left(name, F.lit(3))))
-    return F.substr(table, found + 3, F.lit(2))
-
-
-def year_month_day(text: Column) -> Column:
-    """A stripped date text as ``year-month-day``; NULL if it has no known shape."""
+    return F.substr(table, F.instr(table, F.lower(name)) + 3, F.lit(2))
 
-    def shaped(regex: str, order: str) -> tuple[Column, Column]:
-        return text.rlike(regex), F.regexp_replace(text, F.lit(regex), F.lit(order))
 
-    yy = F.right(text, F.lit(2))
-    full_year = F.concat(F.when(yy >= PIVOT_YEAR, "19").otherwise("20"), yy, F.lit("-"))
-    named = F.concat_ws(
-        "-",
-        F.regexp_extract(text, NAME_DAY_YEAR, 3),
-        _month_number(text),
-        F.regexp_extract(text, NAME_DAY_YEAR, 2),
+def iso8601_from_parts(parts: Column, cell: Column) -> Column:
+    """The date as ``yyyy-MM-dd``; the cell itself if there is no such day."""
+    named = F.concat(
+        F.left(parts, F.lit(5)),
+        _month_number(F.substring(parts, 6, 3)),
+        F.lit("-"),
+        F.substring_index(parts, "-", -1),
     )
-    iso, iso_order = shaped(YEAR_MONTH_DAY, "$1-$2$3-$4")
-    mdy, mdy_order = shaped(MONTH_DAY_YEAR, "$4-$1-$2$3")
-    dmy, dmy_order = shaped(DAY_MONTH_YEAR, "$4-$2$3-$1")
-    mdyy, mdyy_order = shaped(MONTH_DAY_YY, "$1-$2")
-    dmyy, dmyy_order = shaped(DAY_MONTH_YY, "$2-$1")
-    compact, compact_order = shaped(COMPACT, "$1-$2-$3")
-    return (
-        F.when(mdy, mdy_order)
-        .when(dmy, dmy_order)
-        .when(iso, iso_order)
-        .when(text.rlike(NAME_DAY_YEAR), named)
-        .when(mdyy, F.concat(full_year, mdyy_order))
-        .when(dmyy, F.concat(full_year, dmyy_order))
-        .when(compact, compact_order)
+    century = F.when(parts >= PIVOT_YEAR, "19").otherwise("20")
+    day = (
+        F.when(F.substring(parts, 6, 1) >= "A", named)
+        .when(F.substring(parts, 3, 1) == "-", F.concat(century, parts))
+        .otherwise(parts)
     )
-
-
-def iso8601_from_text(text: Column, cell: Column) -> Column:
-    """The date as ``yyyy-MM-dd``; the cell itself if it is no date or no such day exists."""
-    return F.coalesce(year_month_day(text).try_cast("date").cast("string"), cell)
+    return F.coalesce(day.try_cast("date").cast("string"), cell)
 
 
 def iso8601(cell: Column) -> Column:
-    return iso8601_from_text(strip(cell), cell)
+    return iso8601_from_parts(date_parts(cell), cell)
 
 
 STANDARDISERS: dict[str, Standardiser] = {
     "e164": Standardiser(digits_of, e164_from_digits),
-    "iso8601": Standardiser(strip, iso8601_from_text),
+    "iso8601": Standardiser(date_parts, iso8601_from_parts),
 }
 
 MODES = ("none", *STANDARDISERS)

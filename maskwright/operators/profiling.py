@@ -14,6 +14,7 @@ from maskwright.functions.pii import (
     MIN_CONFIDENCE,
     MODE_OF_TYPE,
     PII_TYPES,
+    is_of_type,
 )
 from maskwright.functions.text import is_blank, quoted, round_2, strip, strip_fence
 
@@ -107,7 +108,7 @@ def match_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         .groupBy("position")
         .agg(
             F.count("cell").alias("cells"),
-            *(F.count_if(F.col("cell").rlike(t.regex)).alias(t.name) for t in LIBRARY),
+            *(F.count_if(is_of_type(F.col("cell"), t)).alias(t.name) for t in LIBRARY),
         )
     )
     name_of = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (str(i), n[:MAX_NAME])))
