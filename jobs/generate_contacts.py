@@ -1,0 +1,26 @@
+"""Write made-up contacts as CSV: spark-submit jobs/generate_contacts.py --rows ... --out ..."""
+
+from __future__ import annotations
+
+import argparse
+
+from pyspark.sql import SparkSession
+
+from maskwright.sinks.files import write_csv
+from maskwright.sources.contacts import generate_contacts
+
+
+def main() -> None:
+    parser = argparse.ArgumentParser(description=__doc__)
+    parser.add_argument("--rows", type=int, default=1_000_000)
+    parser.add_argument("--out", default="sample.csv", help="folder of CSV files")
+    parser.add_argument("--seed", type=int, default=42)
+    parser.add_argument("--partitions", type=int, help="files to write")
+    args = parser.parse_args()
+
+    spark = SparkSession.builder.appName("generate-contacts").getOrCreate()
+    write_csv(generate_contacts(spark, args.rows, args.seed, args.partitions), args.out)
+
+
+if __name__ == "__main__":
+    main()

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright.functions.patterns import sample_key
 from maskwright.functions.pii import (
@@ -38,10 +39,11 @@ def column_samples(
     blank ones dropped. Columns without a sample are left out.
 
     Without ``order_by`` the rows are taken from the first partitions only, however
-    large the table; with it every task keeps its own first rows.
+    large the table. With it the first rows' keys are found in a scan of the keys
+    alone, and the wide rows are then read up to the last of them only.
     """
     if order_by:
-        head = df.orderBy(*order_by).limit(max_rows)
+        head = _up_to_last(df, order_by, max_rows).orderBy(*order_by).limit(max_rows)
     else:
         head = df.sparkSession.createDataFrame(df.take(max_rows), df.schema)
     cells = [quoted(name).cast("string").alias(f"c{i}") for i, name in enumerate(df.columns)]
@@ -63,6 +65,19 @@ def column_samples(
     return rows.select(F.inline(found)).where(F.size("samples") > 0)
 
 
+def _up_to_last(df: DataFrame, order_by: Sequence[str], rows: int) -> DataFrame:
+    """The rows that may be among the first ones, by a range of the leading key."""
+    leading = order_by[0]
+    if not isinstance(df.schema[leading].dataType, (T.IntegralType, T.StringType, T.DateType)):
+        return df
+    keys = [quoted(name) for name in order_by]
+    first = df.select(*keys).orderBy(*keys).limit(rows).collect()
+    if not first:
+        return df
+    key, last = quoted(leading), first[-1][0]
+    return df.where(key.isNull() if last is None else key.isNull() | (key <= F.lit(last)))
+
+
 def clean_samples(samples: DataFrame, max_samples: int = 10) -> DataFrame:
     """Samples sent in by a caller: drop NULL and blank ones first, then take ten."""
     kept = F.filter("samples", lambda v: v.isNotNull() & ~is_blank(v))

@@ -113,6 +113,19 @@ def test_script(people, tmp_path):
     assert "'row_count': 3" in done.stdout, done.stderr[-2000:]
 
 
+def test_contacts_script(tmp_path):
+    out = str(tmp_path / "contacts.csv")
+    done = subprocess.run(
+        [sys.executable, os.path.join(ROOT, "jobs", "generate_contacts.py"), "--rows", "500", "--out", out,
+         "--partitions", "2"],
+        env={**os.environ, "PYTHONPATH": ROOT}, capture_output=True, text=True, timeout=300,
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    files = [f for f in os.listdir(out) if f.endswith(".csv")]
+    assert len(files) == 2
+    assert sum(len(open(os.path.join(out, f)).readlines()) - 1 for f in files) == 500
+
+
 @pytest.mark.parametrize("mode", ["none", "iso8601"])
 def test_stream_equals_batch(spark, tmp_path, mode):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")

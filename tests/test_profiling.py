@@ -30,6 +30,22 @@ def test_samples_only_from_first_rows(spark):
     assert "TakeOrderedAndProject" in plan_of(R.column_samples(df, ["id"]))
 
 
+def test_samples_read_wide_rows_up_to_the_last_key_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).select(
+        F.when(F.col("id") % 100 > 0, F.col("id")).alias("k"), F.col("id").cast("string").alias("v")
+    ).write.parquet(path)
+    df = spark.read.parquet(path)
+    samples = R.column_samples(df, ["k", "v"])
+    # Ten NULL keys come first.
+    got = {r.column: r.samples for r in samples.collect()}
+    assert got["k"] == [str(i) for i in range(1, 9)]
+    assert got["v"] == sorted(str(i) for i in range(0, 1000, 100))[:8]
+    assert "LessThanOrEqual(k,20)" in plan_of(samples)
+    only_null = R.column_samples(df.where("k is null"), ["k", "v"], max_rows=5)
+    assert [(r.column, len(r.samples)) for r in only_null.collect()] == [("v", 5)]
+
+
 def test_long_names_are_cut(spark):
     df = spark.createDataFrame([("x",)], "`" + "n" * 300 + "` string")
     assert R.column_samples(df).first().column == "n" * 256
