@@ -78,8 +78,8 @@ def parse_spec(response: Column) -> Column:
 
 MAX_PATTERN_LENGTH = 512
 
-# A group that holds a quantifier and is itself quantified. Groups that merely
-# start with (?: are caught as well; refusing those is the safe side.
+# Fixed value: a group that holds a quantifier and is itself quantified. Groups that
+# merely start with (?: are caught as well; refusing those is the safe side.
 NESTED_QUANTIFIER = r"(?U)(?<!\\)\([^)]*[+*?{][^)]*(?<!\\)\)\s*[+*?{]"
 
 
@@ -138,8 +138,9 @@ def unsafe_reason(pattern: Column) -> Column:
 # Digit counts of whole phone numbers and the like.
 USUAL_DIGIT_COUNTS = (9, 10)
 
+# A counted run of digits; one that is followed by a digit D and at most
+# one anchor at the end of the pattern.
 _DIGIT_RUN = r"\\d\{([0-9]+)\}"
-# ... \d{N}D and then at most one anchor, at the end of the pattern.
 _ENDS_IN_RUN_AND_DIGIT = r"(?d)^(.*?)\\d\{([0-9]+)\}([0-9])(\\b|\\Z|\$|)\n?\z"
 
 
@@ -174,7 +175,8 @@ def repair_trailing_digit(pattern: Column) -> Column:
     ).otherwise(pattern)
 
 
-# Possessive, so that a text of thousands of labels does not deepen the stack.
+# How a prompt names a mail domain. Possessive, so that a text of
+# thousands of labels does not deepen the stack.
 _LABEL = "[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?"
 _DOMAIN = rf"({_LABEL}(?:\.{_LABEL})++)"
 _DOMAIN_NAMED = rf"(?iU)(?:domain\s+is\s+|ending\s+(?:with|in)\s+@?|emails?\s+at\s+){_DOMAIN}"

@@ -26,6 +26,10 @@ MAX_PAGE_SIZE = 1000
 MAX_BROADCAST_FILES = 1_000_000
 
 
+# Pages that end within so many rows are found without sorting the table.
+MAX_ROWS_PER_TASK = 100_000
+
+
 # --- counts ----------------------------------------------------------------
 
 
@@ -108,17 +112,20 @@ def in_order(df: DataFrame, order_by: Sequence[str | Column], unique: bool = Fal
     """
     if unique:
         return df.orderBy(*order_by)
-    content = [quoted(field.name) for field in df.schema if _can_be_hashed(field.dataType)]
     return (
-        df.withColumns({"__content": F.xxhash64(*content), "__from": F.spark_partition_id()})
+        df.withColumns({"__content": _content(df), "__from": F.spark_partition_id()})
         .orderBy(*order_by, "__content", "__from")
         .drop("__content", "__from")
     )
 
 
-def _can_be_hashed(kind: T.DataType) -> bool:
-    name = kind.simpleString()
-    return not any(word in name for word in ("map<", "variant"))
+def _content(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+
+    def can_be_hashed(kind: T.DataType) -> bool:
+        return not any(word in kind.simpleString() for word in ("map<", "variant"))
+
+    return F.xxhash64(*(quoted(f.name) for f in df.schema if can_be_hashed(f.dataType)))
 
 
 def number_rows(
@@ -191,6 +198,35 @@ def page(
     return numbered.where((number >= first) & (number < end)).orderBy(number)
 
 
+def sorted_page(
+    df: DataFrame,
+    order_by: Sequence[str | Column],
+    page_number: int = 1,
+    page_size: int = DEFAULT_PAGE_SIZE,
+    total_rows: int | None = None,
+    row_id: str = ROW_ID,
+) -> DataFrame:
+    """One page of a table that is not stored in order, with row numbers.
+
+    Near the start every task keeps its first rows only and nothing is sorted whole.
+    Deeper, where each task would have to keep as many rows as come before the page,
+    the table is numbered; for more than one such page number it once instead.
+    """
+    _require_free(df, row_id)
+    if total_rows is None:
+        total_rows = df.count()
+    first, end = _bounds(page_number, page_size, total_rows)
+    if end > MAX_ROWS_PER_TASK:
+        numbered = number_rows(df, order_by, row_id=row_id)
+        return page(numbered, page_number, page_size, total_rows, row_id)
+    keys = [*order_by, "__content"]
+    rows = df.withColumn("__content", _content(df)).orderBy(*keys).offset(first).limit(end - first)
+    # A window over the rows of the page alone.
+    number = F.row_number().over(Window.orderBy(*keys)) + F.lit(first - 1).cast("bigint")
+    columns = [quoted(name) for name in df.columns]
+    return rows.select(number.alias(row_id), *columns).orderBy(quoted(row_id))
+
+
 def stored_page(
     spark: SparkSession,
     path: str,

@@ -244,5 +244,9 @@ def read_workbooks(
 
 def _content(spark: SparkSession, path: str) -> DataFrame:
     return (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content")
+        spark.read.format("binaryFile")
+        # Excel leaves lock files, ~$name.xlsx, beside open workbooks.
+        .option("pathGlobFilter", "[!~]*.[xX][lL][sS][xX]")
+        .load(path)
+        .select("content")
     )

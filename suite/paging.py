@@ -29,7 +29,17 @@ def stored_row_ids(spark, folder):
 
 def page_rows(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
-    return G.page(G.number_rows(orders, [F.desc("o_totalprice"), "o_orderkey"], unique=True), 3, 100)
+    return G.sorted_page(orders, [F.desc("o_totalprice"), "o_orderkey"], 3, 100)
+
+
+def page_deep(spark, folder):
+    """The last page but one of all shipments, by the numbers of a sorted table."""
+    keys = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = table(spark, folder, "lineitem").select(*keys)
+    total = rows.count()
+    numbered = G.number_rows(rows, keys)
+    last = G.page(numbered, G.pages_in(total, 500) - 1, 500, total)
+    return last.select("row_id", "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 def stored_page(spark, folder):
@@ -68,6 +78,12 @@ QUERIES = {
         "SELECT * FROM (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS row_id,"
         " o_orderkey, o_totalprice, o_orderpriority FROM orders) WHERE row_id BETWEEN 200 AND 299",
     ),
+    "page_deep": Query(
+        page_deep,
+        "SELECT row_id, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate,"
+        " l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS row_id, count(*) OVER () AS n FROM lineitem)"
+        " WHERE row_id // 500 = greatest(0, (n + 499) // 500 - 2)",
+    ),
     "stored_page": Query(
         stored_page,
         "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, event_id, event_type, props"

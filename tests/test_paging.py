@@ -86,6 +86,21 @@ def test_hot_key_and_copies_are_split_over_ranges(spark, copies):
     assert [r.k for r in numbered] == sorted(r.k for r in numbered)
 
 
+def test_sorted_pages(spark, monkeypatch):
+    df = spark.range(0, 5000, 1, 8).select((F.col("id") % 10).alias("k"), F.col("id").alias("v"))
+    shallow = [G.sorted_page(df, [F.desc("k")], n, 1000) for n in range(1, 6)]
+    plan = plan_of(shallow[1])
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+    near = [tuple(r) for p in shallow for r in p.collect()]
+    assert [r[0] for r in near] == list(range(5000))
+    assert [r[1] for r in near] == sorted((r[1] for r in near), reverse=True)
+    assert sorted(r[2] for r in near) == list(range(5000))
+    # The numbered way gives the same pages.
+    monkeypatch.setattr(G, "MAX_ROWS_PER_TASK", 0)
+    deep = [tuple(r) for n in (1, 4) for r in G.sorted_page(df, [F.desc("k")], n, 1000).collect()]
+    assert deep == near[:1000] + near[3000:4000]
+
+
 def test_page_prunes_by_row_id(spark, tmp_path):
     path = str(tmp_path / "numbered")
     G.number_rows(spark.range(1000), ["id"]).write.parquet(path)

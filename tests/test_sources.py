@@ -190,6 +190,7 @@ def books(tmp_path):
     )
     workbook(folder / "b.xlsx", [[text("na&amp;me"), text("id"), text("when")], [text("Bob"), n(7), n(1, ' s="1"')]], date1904=True)
     (folder / "notes.txt").write_text("not a workbook")
+    (folder / "~$a.xlsx").write_text("a lock file")
     return str(folder)
 
 
