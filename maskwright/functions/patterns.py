@@ -118,18 +118,18 @@ def _compiles(pattern: Column) -> Column:
     return F.pandas_udf(check, BooleanType())(pattern)
 
 
-def unsafe_reason(pattern: Column) -> Column:
+def unsafe_reason(pattern: Column, compiled: Column | None = None) -> Column:
     """Why a pattern must not run, or NULL.
 
-    Over-long patterns are never sent to Python nor to the quantifier test.
+    Over-long patterns are not sent to Python, nor those already ``compiled``.
     """
     too_long = F.length(pattern) > MAX_PATTERN_LENGTH
-    sent = F.when(~too_long, pattern)
+    asked = ~too_long if compiled is None else ~too_long & ~compiled
     return (
         F.when(pattern.isNull(), "missing")
         .when(too_long, "too long")
-        .when(~_compiles(sent), "does not compile")
-        .when(sent.rlike(NESTED_QUANTIFIER), "nested quantifier")
+        .when(asked & ~_compiles(F.when(asked, pattern)), "does not compile")
+        .when(pattern.rlike(NESTED_QUANTIFIER), "nested quantifier")
     )
 
 

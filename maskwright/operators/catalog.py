@@ -28,9 +28,11 @@ TTL_SECONDS = 3600
 
 def audit_patterns(df: DataFrame, pattern: str = "pattern") -> DataFrame:
     """Add ``is_safe`` and, where it is false, the ``reason``."""
-    return df.withColumn("reason", P.unsafe_reason(quoted(pattern))).withColumn(
-        "is_safe", F.col("reason").isNull()
-    )
+    return _audited(df, P.unsafe_reason(quoted(pattern)))
+
+
+def _audited(df: DataFrame, reason: Column) -> DataFrame:
+    return df.withColumn("reason", reason).withColumn("is_safe", F.col("reason").isNull())
 
 
 def repair_trailing_digits(df: DataFrame, pattern: str = "pattern") -> DataFrame:
@@ -49,6 +51,14 @@ def repair_mail_domains(
     match; in the JVM it would end the job. Each step is its own projection, so
     the domain, the candidates and the Python call are computed once per row.
     """
+    return _with_domain_repaired(df, pattern, prompt).drop("__compiled")
+
+
+def _with_domain_repaired(df: DataFrame, pattern: str, prompt: str) -> DataFrame:
+    """The repair, and ``__compiled``: whether the outcome is known to compile.
+
+    It is if it was found in the address, or if it differs from the given pattern.
+    """
     own = quoted(pattern)
     domain, shorter, shortest, choice = (
         F.col(f"__{name}") for name in ("domain", "shorter", "shortest", "choice")
@@ -65,7 +75,7 @@ def repair_mail_domains(
         )
         .withColumn("__choice", P.first_found(F.col("__address"), F.col("__asked"), shorter, shortest))
         .withColumn(
-            pattern,
+            "__repaired",
             F.when(domain.isNull() | (choice == 1), own)
             .when(choice == 2, shorter)
             .when(choice == 3, shortest)
@@ -75,7 +85,9 @@ def repair_mail_domains(
             )
             .otherwise(own),
         )
-        .drop("__domain", "__shorter", "__shortest", "__address", "__asked", "__choice")
+        .withColumn("__compiled", F.coalesce((choice > 0) | (F.col("__repaired") != own), F.lit(False)))
+        .withColumn(pattern, F.col("__repaired"))
+        .drop("__domain", "__shorter", "__shortest", "__address", "__asked", "__choice", "__repaired")
     )
 
 
@@ -83,8 +95,8 @@ def repair_patterns(
     df: DataFrame, pattern: str = "pattern", prompt: str = "prompt"
 ) -> DataFrame:
     """Digit repair, then domain repair, then the audit of the outcome."""
-    repaired = repair_trailing_digits(df, pattern)
-    return audit_patterns(repair_mail_domains(repaired, pattern, prompt), pattern)
+    repaired = _with_domain_repaired(repair_trailing_digits(df, pattern), pattern, prompt)
+    return _audited(repaired, P.unsafe_reason(quoted(pattern), F.col("__compiled"))).drop("__compiled")
 
 
 # --- lookups ---------------------------------------------------------------
