@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import mixing, sharding
+from maskwright.llm import decontamination, mixing, ngram_join, sharding
 
 
 class LlmQuery(NamedTuple):
@@ -24,12 +24,58 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(mixing.plan_mix(_table(spark, folder, "documents")))
 
 
+def op3_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of each document under links of a word-shingle Jaccard of 0.75 or more."""
+    return ngram_join.jaccard_components(_table(spark, folder, "documents"))
+
+
 def op4_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     """The shard and slot of each document, and its shard once there is one more."""
     return sharding.law_by_key(_table(spark, folder, "documents"))
 
 
+def op6_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each document lies inside ten-word windows of benchmark items."""
+    return decontamination.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH item AS (
+    SELECT item_id, list_filter(
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+    FROM benchmark
+), win AS (
+    SELECT DISTINCT item_id, array_to_string(words[at : at + 9], ' ') AS span, least(len(words), 10) AS n
+    FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS at FROM item WHERE len(words) > 0)
+), sizes AS (
+    SELECT DISTINCT n FROM win
+), doc AS (
+    SELECT row_number() OVER () AS r, doc_id, list_filter(
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+    FROM documents
+), grams AS (
+    SELECT r, n, at, array_to_string(words[at : at + n - 1], ' ') AS span
+    FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS at FROM doc, sizes WHERE len(words) >= n)
+), hit AS (
+    SELECT r, at, g.n, item_id FROM grams g JOIN win USING (span) WHERE g.n = win.n
+), covered AS (
+    SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(at, at + n)) AS p FROM hit) GROUP BY r
+), owner AS (
+    SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (r) LEFT JOIN owner USING (r)
+"""
+
+
 QUERIES = {
     "op1_mix_sources": LlmQuery(op1_mix_sources),
+    "op3_jaccard_components": LlmQuery(op3_jaccard_components),
     "op4_rendezvous_shards": LlmQuery(op4_rendezvous_shards),
+    "op6_benchmark_windows": LlmQuery(op6_benchmark_windows, OP6_SQL),
 }
