@@ -83,10 +83,11 @@ def window_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     rows = rows.select("key", "text_hash", "text", "words", F.posexplode("words").alias("at", "word"))
     begin = F.col("at") - F.col("offset")
     fits = (begin >= 0) & (begin + F.col("length") <= F.size("words"))
-    near = F.slice("words", F.when(fits, begin + 1).otherwise(1), F.col("length")) == F.transform("window", F.lower)
+    start = F.when(fits, begin + 1).otherwise(1)  # conditions run in any order: never out of range
+    near = F.slice("words", start, F.col("length")) == F.transform("window", F.lower)
     met = rows.join(hint(prefix), (rows["word"] == prefix["word"]) & fits & near)
     # The exact words, of the few texts that are left.
-    met = met.where(F.slice(exact_words(F.col("text")), begin + 1, F.col("length")) == F.col("window"))
+    met = met.where(F.slice(exact_words(F.col("text")), start, F.col("length")) == F.col("window"))
     hits = met.select("key", "text_hash", begin.alias("begin"), "length", "window_id")
     return Hits(hits, owned.select("window_id", "item"))
 

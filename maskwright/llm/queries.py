@@ -46,8 +46,8 @@ WITH item AS (
             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
     FROM benchmark
 ), win AS (
-    SELECT DISTINCT item_id, array_to_string(words[at : at + 9], ' ') AS span, least(len(words), 10) AS n
-    FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS at FROM item WHERE len(words) > 0)
+    SELECT DISTINCT item_id, array_to_string(words[i:i + 9], ' ') AS span, least(len(words), 10) AS n
+    FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM item WHERE len(words) > 0)
 ), sizes AS (
     SELECT DISTINCT n FROM win
 ), doc AS (
@@ -56,12 +56,12 @@ WITH item AS (
             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
     FROM documents
 ), grams AS (
-    SELECT r, n, at, array_to_string(words[at : at + n - 1], ' ') AS span
-    FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS at FROM doc, sizes WHERE len(words) >= n)
+    SELECT r, n, i, array_to_string(words[i:i + n - 1], ' ') AS span
+    FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM doc, sizes WHERE len(words) >= n)
 ), hit AS (
-    SELECT r, at, g.n, item_id FROM grams g JOIN win USING (span) WHERE g.n = win.n
+    SELECT r, i, g.n, item_id FROM grams g JOIN win USING (span) WHERE g.n = win.n
 ), covered AS (
-    SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(at, at + n)) AS p FROM hit) GROUP BY r
+    SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r
 ), owner AS (
     SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
     FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r
