@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import decontamination, mixing, ngram_join, sharding
+from maskwright.llm import decontamination, mixing, ngram_join, sharding, toxicity
 
 
 class LlmQuery(NamedTuple):
@@ -73,9 +73,15 @@ FROM doc LEFT JOIN covered USING (r) LEFT JOIN owner USING (r)
 """
 
 
+def op8_toxicity_machine(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity score of each document."""
+    return toxicity.toxic_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_mix_sources": LlmQuery(op1_mix_sources),
     "op3_jaccard_components": LlmQuery(op3_jaccard_components),
     "op4_rendezvous_shards": LlmQuery(op4_rendezvous_shards),
     "op6_benchmark_windows": LlmQuery(op6_benchmark_windows, OP6_SQL),
+    "op8_toxicity_machine": LlmQuery(op8_toxicity_machine),
 }

@@ -6,6 +6,8 @@ words, and a long text is no special case.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 
@@ -59,17 +61,23 @@ def utf8_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, A-Z taken as a-z, and the number of the text each stands in."""
-    hashes, texts = [], []
-    n, lo = len(data), 0
-    while lo < n:
+    pieces = list(word_pieces(data, offsets, is_word))
+    if not pieces:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([h for h, _ in pieces]), np.concatenate([t for _, t in pieces])
+
+
+def word_pieces(
+    data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, stems: Sequence[int] = ()
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same, piece by piece. ``stems``: after the words of a piece, the first so many bytes of
+    each word that has more, as terms of their own."""
+    lo = 0
+    while lo < len(data):
         hi = _cut(data, offsets, lo, is_word)
-        h, at = _piece(data[lo:hi], offsets, lo, is_word)
-        hashes.append(h)
-        texts.append(np.searchsorted(offsets, at, "right") - 1)
+        for hashes, at in _piece(data[lo:hi], offsets, lo, is_word, stems):
+            yield hashes, np.searchsorted(offsets, at, "right") - 1
         lo = hi
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(texts)
 
 
 def _cut(data: np.ndarray, offsets: np.ndarray, lo: int, is_word: np.ndarray) -> int:
@@ -87,7 +95,9 @@ def _cut(data: np.ndarray, offsets: np.ndarray, lo: int, is_word: np.ndarray) ->
     return len(data)
 
 
-def _piece(data: np.ndarray, offsets: np.ndarray, lo: int, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _piece(
+    data: np.ndarray, offsets: np.ndarray, lo: int, is_word: np.ndarray, stems: Sequence[int]
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     inside = is_word[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -96,13 +106,18 @@ def _piece(data: np.ndarray, offsets: np.ndarray, lo: int, is_word: np.ndarray)
     where = np.flatnonzero(inside)
     starts = np.flatnonzero(first[where])
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return
     lengths = np.diff(np.append(starts, len(where)))
     place = np.arange(len(where)) - np.repeat(starts, lengths)
     weights = drawn(int(lengths.max()), 2) | np.uint64(1)
     values = _BYTE[data[where]] * weights[place]
     sums = np.add.reduceat(values, starts)
-    return mixed(sums + lengths.astype(np.uint64) * _STEP), where[starts] + lo
+    at = where[starts] + lo
+    yield mixed(sums + lengths.astype(np.uint64) * _STEP), at
+    for size in stems:
+        long = lengths > size
+        begun = np.add.reduceat(np.where(place < size, values, np.uint64(0)), starts)[long]
+        yield mixed(begun ^ drawn(1, 100 + size)[0]), at[long]
 
 
 def shingles(words: np.ndarray, texts: np.ndarray, n_texts: int, size: int) -> tuple[np.ndarray, np.ndarray]:
