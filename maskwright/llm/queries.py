@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import decontamination, mixing, ngram_join, sharding, toxicity
+from maskwright.llm import chunk_fingerprint, decontamination, mixing, ngram_join, secret_scan, sharding, toxicity
 
 
 class LlmQuery(NamedTuple):
@@ -24,6 +24,11 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(mixing.plan_mix(_table(spark, folder, "documents")))
 
 
+def op2_secret_owners(spark: SparkSession, folder: str) -> DataFrame:
+    """The secrets of each document, told apart by how many owners have them."""
+    return secret_scan.scan_secrets(_table(spark, folder, "documents"))
+
+
 def op3_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     """The component of each document under links of a word-shingle Jaccard of 0.75 or more."""
     return ngram_join.jaccard_components(_table(spark, folder, "documents"))
@@ -78,10 +83,17 @@ def op8_toxicity_machine(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxic_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op10_chunk_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprint of each document and of its edited text, and how like they are."""
+    return chunk_fingerprint.edited_likeness(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": LlmQuery(op1_mix_sources),
+    "op2_secret_owners": LlmQuery(op2_secret_owners),
     "op3_jaccard_components": LlmQuery(op3_jaccard_components),
     "op4_rendezvous_shards": LlmQuery(op4_rendezvous_shards),
     "op6_benchmark_windows": LlmQuery(op6_benchmark_windows, OP6_SQL),
     "op8_toxicity_machine": LlmQuery(op8_toxicity_machine),
+    "op10_chunk_fingerprints": LlmQuery(op10_chunk_fingerprints),
 }
