@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from maskwright.llm import chunk_fingerprint, decontamination, mixing, ngram_join, secret_scan, sharding, toxicity
+from maskwright.llm import chunk_fingerprint, decontamination, mixing, ngram_join, secret_scan, sharding, token_packing, toxicity, url_filter
 
 
 class LlmQuery(NamedTuple):
@@ -88,12 +89,99 @@ def op10_chunk_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_fingerprint.edited_likeness(_table(spark, folder, "documents"))
 
 
+def op5_token_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as packed matrices of token ids."""
+    return token_packing.pack_tokens(_table(spark, folder, "documents"))
+
+
+def _day(*parts: Column | str) -> Column:
+    """A day of 2024 drawn from a text's digest."""
+    drawn = F.conv(F.substring(F.md5(F.concat(*parts)), 1, 6), 16, 10).cast("int") % 360
+    return F.date_add(F.lit("2024-01-01").cast("date"), drawn)
+
+
+def _list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries of every host among the pages: blocked for two months, and again later;
+    its pages in English allowed for three; the parent of a host that starts with ``m.`` blocked."""
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    block, allow = F.lit("block"), F.lit("allow")
+    domain = F.concat(F.lit("domain:"), F.regexp_replace("host", r"^m\.", ""))
+    path = F.concat(F.lit("path:"), F.col("host"), F.lit("/en"))
+    first, other = _day(F.lit("b"), F.col("host")), _day(F.lit("a"), F.col("host"))
+    entries = [
+        (block, domain, "add", first),
+        (block, domain, "drop", F.date_add(first, 60)),
+        (block, domain, "add", F.date_add(first, 200)),
+        (allow, path, "add", other),
+        (allow, path, "drop", F.date_add(other, 90)),
+    ]
+    rows = F.explode(F.array(*(F.struct(name.alias("list"), key.alias("key"), F.lit(what).alias("action"), at.alias("at")) for name, key, what, at in entries)))
+    return hosts.select(rows.alias("e")).select("e.*")
+
+
+def op9_listed_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Each page, fetched on a day drawn from its URL, judged by the lists of that day."""
+    pages = _table(spark, folder, "pages")
+    captures = pages.select("page_id", "url", _day(F.lit("f"), F.col("url")).alias("fetched_at"))
+    return url_filter.judge(captures, _list_entries(pages))
+
+
+OP9_SQL = r"""
+WITH page AS (
+    SELECT page_id, url, DATE '2024-01-01' + CAST(CAST('0x' || substr(md5('f' || url), 1, 6) AS INT) % 360 AS INT) AS fetched_at,
+        rtrim(lower(regexp_extract(trim(url), '(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', 1)), '.') AS host,
+        regexp_extract(trim(url), '(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', 2) AS path
+    FROM pages
+), host AS (
+    SELECT host, regexp_replace(host, '^m\.', '') AS domain,
+        DATE '2024-01-01' + CAST(CAST('0x' || substr(md5('b' || host), 1, 6) AS INT) % 360 AS INT) AS first,
+        DATE '2024-01-01' + CAST(CAST('0x' || substr(md5('a' || host), 1, 6) AS INT) % 360 AS INT) AS other
+    FROM (SELECT DISTINCT host FROM page WHERE host <> '')
+), entry AS (
+    SELECT 'block' AS list, 'domain:' || domain AS key, true AS added, first AS day FROM host
+    UNION ALL SELECT 'block', 'domain:' || domain, false, first + 60 FROM host
+    UNION ALL SELECT 'block', 'domain:' || domain, true, first + 200 FROM host
+    UNION ALL SELECT 'allow', 'path:' || host || '/en', true, other FROM host
+    UNION ALL SELECT 'allow', 'path:' || host || '/en', false, other + 90 FROM host
+), turn AS (
+    SELECT *, coalesce(lag(added) OVER (PARTITION BY list, key ORDER BY day), false) AS was
+    FROM (SELECT list, key, day, bool_and(added) AS added FROM entry GROUP BY list, key, day)
+), span AS (
+    SELECT list, key, added, day AS since, lead(day) OVER (PARTITION BY list, key ORDER BY day) AS until
+    FROM turn WHERE added <> was
+), label AS (
+    SELECT page_id, fetched_at, host, string_split(host, '.') AS labels,
+        list_filter(string_split(path, '/'), lambda s: s <> '') AS steps
+    FROM page WHERE host <> ''
+), asked AS (
+    SELECT page_id, fetched_at, 'host:' || host AS key FROM label
+    UNION SELECT page_id, fetched_at, 'domain:' || array_to_string(labels[i:], '.')
+        FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS i FROM label)
+    UNION SELECT page_id, fetched_at, 'path:' || host || '/' || array_to_string(steps[:i], '/')
+        FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS i FROM label)
+), met AS (
+    SELECT page_id, list, key, length(key) - strpos(key, ':') AS size
+    FROM asked JOIN span USING (key)
+    WHERE added AND fetched_at >= since AND (until IS NULL OR fetched_at < until)
+), judged AS (
+    SELECT page_id, count(*) AS n_active, string_agg(list || '=' || key, ',' ORDER BY list || '=' || key) AS reasons,
+        coalesce(max(size) FILTER (list = 'block'), -1) > coalesce(max(size) FILTER (list = 'allow'), -1) AS blocked
+    FROM met GROUP BY page_id
+)
+SELECT page_id, url, fetched_at, CAST(coalesce(n_active, 0) AS BIGINT) AS n_active, coalesce(reasons, '') AS reasons,
+    coalesce(blocked, false) AS blocked
+FROM page LEFT JOIN judged USING (page_id)
+"""
+
+
 QUERIES = {
     "op1_mix_sources": LlmQuery(op1_mix_sources),
     "op2_secret_owners": LlmQuery(op2_secret_owners),
     "op3_jaccard_components": LlmQuery(op3_jaccard_components),
     "op4_rendezvous_shards": LlmQuery(op4_rendezvous_shards),
+    "op5_token_matrices": LlmQuery(op5_token_matrices),
     "op6_benchmark_windows": LlmQuery(op6_benchmark_windows, OP6_SQL),
     "op8_toxicity_machine": LlmQuery(op8_toxicity_machine),
+    "op9_listed_captures": LlmQuery(op9_listed_captures, OP9_SQL),
     "op10_chunk_fingerprints": LlmQuery(op10_chunk_fingerprints),
 }
