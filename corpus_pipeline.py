@@ -1,4 +1,78 @@
-STAGES = []
+"""The corpus pipeline: toxic texts, near copies and benchmark passages go, the sources are mixed to
+their weights, and the mix is dealt into shards.
+
+Each stage takes ``(spark, docs, sf_dir)``; ``run`` writes what a stage returns to the folder of
+``spark.checkpoint.dir`` and reads it again for the next. All but the last return the columns of
+``documents``; the mixing stage's rows are pieces of documents, as often as the mix takes them.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwright.llm import decontamination, mixing, ngram_join, sharding, toxicity
+from maskwright.llm.common import row_hash
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose score is below the threshold of rejection."""
+    machine = toxicity.train(toxicity.labelled_texts(docs, _table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, machine).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by a Jaccard of 0.75 or more, the one with the least doc_id
+    stays. Documents without words are no copies of each other; a repeated row of the one that stays
+    goes."""
+    return ngram_join.without_near_copies(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no ten-word window of a benchmark item occurs."""
+    return decontamination.without_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of documents that a mix with weights 5, 2, 1 takes, as often as it takes them."""
+    mix = mixing.plan_mix(docs)
+    return mixing.mixed_texts(docs, mix).drop("shard", "slot")
+
+
+def shard_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces with their shard of 8 and their slot in it. A piece's key is its content, so that
+    the pieces of one document spread."""
+    even = {s: 1.0 for s in range(8)}
+    keyed = docs.withColumn("piece_key", row_hash(docs))
+    return sharding.shard_rows(keyed, ["piece_key"], even).drop("piece_key", "grown_shard")
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard_mix),
+]
+
+#: SQL can't fit the machine of the first stage; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = _table(spark, sf_dir, "documents")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
+    for name, stage in STAGES:
+        path = f"{folder.rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import quoted
+from maskwright.llm.common import BLANKS, quoted, row_hash
 from maskwright.llm.wordhash import NOT_BLANK, drawn, hashed_words, mixed, shingles, utf8_of
 
 #: Cells of the hash space whose counts the suffix filter compares; one byte each.
@@ -334,18 +334,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     is linked with over any number of links, its own included. Repeated rows stay rows of their own.
     Without shingles, a document's component is its own key. NULL keys never are the smallest.
     """
-    spark = docs.sparkSession
-    found = link_classes(docs, text, like)
-    known = components(spark, found.links)
-    # Equal texts share a row of classes; a class named twice is the same class.
-    by_text = found.rows.dropDuplicates(["row"])
-    whole = docs.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("row"))
-    return _smallest(whole, by_text, known, key)
-
-
-def _smallest(whole: DataFrame, by_text: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    by_text = by_text.join(known, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    named = whole.join(by_text, "row").select("key", "n", "component").checkpoint()
+    rows = docs.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("row"))
+    named = _named(rows, docs, text, like).select("key", "n", "component").checkpoint()
     least = named.groupBy("component").agg(F.min("key").alias("least"))
     named = named.join(least, "component")
     return named.select(
@@ -353,3 +343,28 @@ def _smallest(whole: DataFrame, by_text: DataFrame, known: DataFrame, key: str)
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("least", "key")).otherwise(F.col("key")).alias("component_id"),
     )
+
+
+def _named(rows: DataFrame, docs: DataFrame, text: str, like: Likeness) -> DataFrame:
+    """``rows``, which have the text's hash as ``row``, with n and component (the least class)."""
+    found = link_classes(docs, text, like)
+    known = components(docs.sparkSession, found.links)
+    # A text that stands in many documents is one row here.
+    by_text = found.rows.dropDuplicates(["row"]).join(known, "cid", "left")
+    by_text = by_text.select("row", "n", F.coalesce("component", "cid").alias("component")).checkpoint()
+    return rows.join(by_text, "row")
+
+
+def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
+    """The documents with their columns as they are, one of each component: that with the least key,
+    and of rows with that key the one with the least hash; once, if the very row is repeated. All
+    rows without words stay. NULL keys come after all others.
+    """
+    marked = docs.withColumn("__row", row_hash(docs))
+    worded = F.coalesce(quoted(text).rlike(f"[^{BLANKS}]"), F.lit(False))
+    rows = marked.where(worded).select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("row"), "__row")
+    named = _named(rows, docs, text, like)
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "__row"))
+    kept = named.groupBy("component").agg(first.alias("first")).select("first.__row")
+    whole = marked.where(worded).dropDuplicates(["__row"]).join(kept, "__row", "left_semi")
+    return docs.where(~worded).unionByName(whole.drop("__row"))
