@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import decontamination, mixing, ngram_join, sharding, toxicity
-from maskwright.llm.common import row_hash
+from maskwright.llm.common import row_hash, shared_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -68,11 +68,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = _table(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
+    folder = shared_folder(spark)
     for name, stage in STAGES:
-        path = f"{folder.rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = f"{folder}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

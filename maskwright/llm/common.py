@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What parts words, as the contracts state it.
 BLANKS = r"\x20\x09-\x0D"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session. Where it is unset, as in tests, a folder of this
+    machine is set, but only if this machine is all there is."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Written once to the shared folder and read from there: lost executors cost no upstream work,
+    and what follows sees the same rows however often it runs."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import quoted
+from maskwright.llm.common import quoted, saved
 
 #: What parts words, as the contract states it.
 BETWEEN_WORDS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
@@ -61,7 +61,7 @@ def window_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     """
     owned = item_windows(items, size=size)
     ids = F.xxhash64("window")
-    owned = owned.withColumn("window_id", ids).checkpoint()
+    owned = owned.withColumn("window_id", ids).transform(saved)
     windows = owned.select("window_id", "window").dropDuplicates(["window_id"])
     small = windows.count() <= BROADCAST_WINDOWS
     hint = F.broadcast if small else (lambda df: df)
@@ -76,7 +76,7 @@ def window_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     rarest = Window.partitionBy("window_id").orderBy(F.coalesce("count", F.lit(0)), "word", "offset")
     prefix = ranked.withColumn("place", F.row_number().over(rarest)).where("place = 1 AND count IS NOT NULL")
     prefix = prefix.select("word", "window_id", "window", F.col("offset").alias("offset"), F.size("window").alias("length"))
-    prefix = prefix.checkpoint()
+    prefix = prefix.transform(saved)
 
     rows = docs.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("text_hash"), quoted(text).alias("text"))
     rows = rows.withColumn("words", words_of(F.col("text")))
@@ -100,7 +100,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     items count each. Without items nothing is hit. Item ids are sorted as strings.
     """
     found = window_hits(docs, items, key, text, size)
-    hits = found.hits.checkpoint()
+    hits = found.hits.transform(saved)
     doc = ["key", "text_hash"]
     spans = hits.groupBy(*doc).agg(F.collect_set(F.struct("begin", "length")).alias("spans"))
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["begin"], s["begin"] + s["length"] - 1)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import BLANKS, quoted, row_hash
+from maskwright.llm.common import BLANKS, quoted, row_hash, saved
 from maskwright.llm.wordhash import NOT_BLANK, drawn, hashed_words, mixed, shingles, utf8_of
 
 #: Cells of the hash space whose counts the suffix filter compares; one byte each.
@@ -238,13 +238,13 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
     component``. Labels go along links and through other labels until none changes. They are written
     each time to the folder of ``spark.checkpoint.dir``."""
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = both.union(both.select("y", "x")).checkpoint()
-    labels = both.groupBy(F.col("x").alias("cid")).agg(F.least(F.min("y"), F.first("x")).alias("component")).checkpoint()
+    both = both.union(both.select("y", "x")).transform(saved)
+    labels = both.groupBy(F.col("x").alias("cid")).agg(F.least(F.min("y"), F.first("x")).alias("component")).transform(saved)
     while True:
         near = both.join(labels, F.col("y") == F.col("cid")).groupBy("x").agg(F.min("component").alias("near"))
         new = labels.join(near, F.col("cid") == F.col("x")).select("cid", F.least("component", "near").alias("next"), "component")
         far = new.select(F.col("cid").alias("x"), F.col("next").alias("beyond"))
-        new = new.join(far, F.col("next") == F.col("x")).select("cid", "component", F.col("beyond").alias("next")).checkpoint()
+        new = new.join(far, F.col("next") == F.col("x")).select("cid", "component", F.col("beyond").alias("next")).transform(saved)
         changed = new.where("next <> component").limit(1).count()
         labels = new.select("cid", F.col("next").alias("component"))
         if not changed:
@@ -269,7 +269,7 @@ def link_classes(docs: DataFrame, text: str = "text", like: Likeness = Likeness(
     """
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64(quoted(text)).alias("row"), quoted(text).alias("text"))
-    seen = texts.mapInArrow(partial(_describe, size=like.words), _ddl(_SEEN)).checkpoint()
+    seen = texts.mapInArrow(partial(_describe, size=like.words), _ddl(_SEEN)).transform(saved)
     often = seen.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("n").alias("count"))
     often = often.orderBy(F.desc("count"), "hash").limit(NAMED).collect()  # bounded by NAMED
     hashes = np.array([r["hash"] for r in often], np.int64).view(np.uint64)
@@ -279,17 +279,17 @@ def link_classes(docs: DataFrame, text: str = "text", like: Likeness = Likeness(
 
     rows = seen.where("hash IS NULL").select("row", F.col("set_a").alias("cid"), "n", "cells")
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("cells").alias("cells"))
-    classes = classes.checkpoint()
+    classes = classes.transform(saved)
     sent = texts.mapInArrow(partial(_postings, like=like, named=named), _ddl(_POSTING))
     order = ["key", "n", "cid"]
-    shared = sent.repartition("key").sortWithinPartitions(*order).mapInArrow(_shared, _ddl(_SHARED)).checkpoint()
+    shared = sent.repartition("key").sortWithinPartitions(*order).mapInArrow(_shared, _ddl(_SHARED)).transform(saved)
 
     rest = F.least(F.col("first_n") - F.col("first_pos"), F.col("n") - F.col("pos"))
     total = (F.col("first_n") + F.col("n")) * like.num
     stars = shared.where((F.col("cid") != F.col("first")) & (F.col("n") * like.num <= F.col("first_n") * like.den))
     stars = stars.where(rest * (like.num + like.den) >= total)
-    stars = stars.select(F.least("first", "cid").alias("a"), F.greatest("first", "cid").alias("b")).distinct().checkpoint()
-    links = _verified(stars, classes, texts, like).checkpoint()
+    stars = stars.select(F.least("first", "cid").alias("a"), F.greatest("first", "cid").alias("b")).distinct().transform(saved)
+    links = _verified(stars, classes, texts, like).transform(saved)
     known = components(spark, links)
 
     open_lists = shared.join(known, "cid", "left")
@@ -299,7 +299,7 @@ def link_classes(docs: DataFrame, text: str = "text", like: Likeness = Likeness(
     open_lists = open_lists.join(mixed_keys, "key").select("key", "cid", "n", "pos", "component")
     pairs = open_lists.repartition("key").sortWithinPartitions(*order)
     pairs = pairs.mapInArrow(partial(_across, like=like), _ddl(_PAIR)).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(pairs.checkpoint(), classes, texts, like)
+    more = _verified(pairs.transform(saved), classes, texts, like)
     return Classes(rows.select("row", "cid", "n"), links.union(more))
 
 
@@ -307,11 +307,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, like: Like
     sides = [classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}")) for s in "ab"]
     sized = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b")
     kinds = "a long, b long, n_a long, n_b long, cells_a binary, cells_b binary"
-    sized = sized.mapInArrow(partial(_near_in_cells, like=like), kinds).select("a", "b").checkpoint()
+    sized = sized.mapInArrow(partial(_near_in_cells, like=like), kinds).select("a", "b").transform(saved)
     wanted = sized.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid")
     bits = texts.sparkSession.sparkContext.broadcast(_filter_of(wanted.select("row")))
     sets = texts.mapInArrow(partial(_wanted_sets, size=like.words, bits=bits), _ddl(_SET))
-    sets = sets.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]).checkpoint()
+    sets = sets.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]).transform(saved)
     sides = [sets.select(F.col("cid").alias(s), F.col("grams").alias(f"grams_{s}")) for s in "ab"]
     whole = sized.join(sides[0], "a").join(sides[1], "b")
     common = F.size(F.array_intersect("grams_a", "grams_b"))
@@ -335,7 +335,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Without shingles, a document's component is its own key. NULL keys never are the smallest.
     """
     rows = docs.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("row"))
-    named = _named(rows, docs, text, like).select("key", "n", "component").checkpoint()
+    named = _named(rows, docs, text, like).select("key", "n", "component").transform(saved)
     least = named.groupBy("component").agg(F.min("key").alias("least"))
     named = named.join(least, "component")
     return named.select(
@@ -351,7 +351,7 @@ def _named(rows: DataFrame, docs: DataFrame, text: str, like: Likeness) -> DataF
     known = components(docs.sparkSession, found.links)
     # A text that stands in many documents is one row here.
     by_text = found.rows.dropDuplicates(["row"]).join(known, "cid", "left")
-    by_text = by_text.select("row", "n", F.coalesce("component", "cid").alias("component")).checkpoint()
+    by_text = by_text.select("row", "n", F.coalesce("component", "cid").alias("component")).transform(saved)
     return rows.join(by_text, "row")
 
 

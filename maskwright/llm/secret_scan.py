@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import quoted
+from maskwright.llm.common import quoted, saved
 
 #: The base patterns, as the contract states them. Their kinds stand in this order.
 ASSIGN = re.compile(
@@ -93,7 +93,7 @@ def candidates(docs: DataFrame, keep: Sequence[str], text: str, repository: str,
     )
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     found = rows.mapInArrow(_scan, ", ".join(x for x in (kinds, _FOUND) if x))
-    return found.withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    return found.withColumn("row", F.monotonically_increasing_id()).transform(saved)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def scan_secrets(
     either sort. NULL texts are empty, repeated rows are rows of their own (of one repository).
     """
     found = candidates(docs, [key], text, repository, owner)
-    known = ownership(found).select("value", "owners").checkpoint()  # a plain table: hot secrets can be split in the join
+    known = ownership(found).select("value", "owners").transform(saved)  # a plain table: hot secrets can be split in the join
     each = found.select("row", F.explode("spans").alias("s")).withColumn("value", F.col("s.value"))
     each = each.join(known, "value").select("row", "s", (F.col("owners") <= most_owners).alias("live"))
     judged = each.groupBy("row").agg(F.collect_list(F.struct("s.start", "s.kind", "s.end", "live")).alias("judged"))

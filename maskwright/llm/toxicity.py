@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import quoted, without
+from maskwright.llm.common import quoted, saved, without
 from maskwright.llm.wordhash import byte_table, utf8_of, word_pieces
 
 #: The training sample: at most so many labelled texts, those whose keys have the least hashes. The
@@ -94,7 +94,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     spark = labelled.sparkSession
     rows = labelled.where(quoted(label).isin(0, 1))
     rows = rows.select(F.xxhash64(quoted(key)).alias("at"), quoted(text).alias("text"), quoted(label).cast("int").alias("label"))
-    sample = rows.orderBy("at", "label").limit(sample_rows).select("text", "label").repartition(16).checkpoint()
+    sample = rows.orderBy("at", "label").limit(sample_rows).select("text", "label").repartition(16).transform(saved)
     n, ones = sample.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
     share = (ones + 0.5) / (n + 1)
     counts = sample.mapInArrow(_count, "term long, texts long, labelled long").groupBy("term").agg(F.sum("texts").alias("c"), F.sum("labelled").alias("c1"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import quoted, without
+from maskwright.llm.common import quoted, saved, without
 
 #: Intervals, some 100 bytes each, are broadcast up to this many; beyond it both sides are shuffled.
 BROADCAST_INTERVALS = 200_000
@@ -73,7 +73,7 @@ def judge(captures: DataFrame, entries: DataFrame, blocking: str = "block", allo
     replaced. A NULL URL or time meets no entry and is not blocked.
     """
     captures = without(captures, ["n_active", "reasons", "blocked", "since", "until"])
-    spans = intervals(entries).checkpoint()
+    spans = intervals(entries).transform(saved)
     # A capture is its URL and time: each pair is judged once, however often it was fetched.
     asked = captures.select(quoted(url).alias("__url"), quoted(at).alias("__at")).distinct()
     met = active_entries(asked, spans, "__url", "__at")
@@ -88,7 +88,7 @@ def judge(captures: DataFrame, entries: DataFrame, blocking: str = "block", allo
         (longest(blocking) > longest(allowing)).alias("blocked"),
     )
     # A plain table, so that the join can split a URL that a large part of the captures has.
-    marks = marks.withColumnsRenamed({"__url": "__u", "__at": "__t"}).checkpoint()
+    marks = marks.withColumnsRenamed({"__url": "__u", "__at": "__t"}).transform(saved)
     both = captures.join(marks, (quoted(url) == F.col("__u")) & (quoted(at) == F.col("__t")), "left")
     return both.select(
         *(quoted(c) for c in captures.columns),
