@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import chunk_fingerprint, decontamination, mixing, ngram_join, secret_scan, sharding, token_packing, toxicity, url_filter
+from maskwright.llm import chunk_fingerprint, decontamination, mixing, ngram_join, secret_scan, sharding, suffix_dedup, token_packing, toxicity, url_filter
 
 
 class LlmQuery(NamedTuple):
@@ -79,6 +79,11 @@ FROM doc LEFT JOIN covered USING (r) LEFT JOIN owner USING (r)
 """
 
 
+def op7_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What of each document stays once every 400-byte string that repeats is removed."""
+    return suffix_dedup.without_repeats(_table(spark, folder, "documents"))
+
+
 def op8_toxicity_machine(spark: SparkSession, folder: str) -> DataFrame:
     """The toxicity score of each document."""
     return toxicity.toxic_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -181,6 +186,7 @@ QUERIES = {
     "op4_rendezvous_shards": LlmQuery(op4_rendezvous_shards),
     "op5_token_matrices": LlmQuery(op5_token_matrices),
     "op6_benchmark_windows": LlmQuery(op6_benchmark_windows, OP6_SQL),
+    "op7_suffix_repeats": LlmQuery(op7_suffix_repeats),
     "op8_toxicity_machine": LlmQuery(op8_toxicity_machine),
     "op9_listed_captures": LlmQuery(op9_listed_captures, OP9_SQL),
     "op10_chunk_fingerprints": LlmQuery(op10_chunk_fingerprints),
