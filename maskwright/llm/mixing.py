@@ -15,12 +15,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import BLANKS, quoted, row_hash, with_starts, without, word_count
+from maskwright.llm.common import BLANKS, quoted, row_hash, saved, with_starts, without, word_count
 
 #: Sources, one row each, are broadcast up to this many; beyond it they are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 #: Slots made by one row before its expansion, so that a large source is dealt out.
-SLOTS_AT_ONCE = 16_384
+SLOTS_AT_ONCE = 4_096
 
 
 class Mix(NamedTuple):
@@ -88,8 +88,8 @@ def plan_mix(
     are documents of their own. An empty table gives an empty mix. The sizes are written once to the
     folder of ``spark.checkpoint.dir``, so that texts are read once.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(docs).alias("row_hash")).checkpoint()
-    sources = source_targets(sized, weights, share, cap).checkpoint()
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(docs).alias("row_hash")).transform(saved)
+    sources = source_targets(sized, weights, share, cap).transform(saved)
     blocks = F.ceil(F.col("source_size") / block_words)
     words = F.round("target").cast("long")
     size = F.col("source_size")
@@ -100,7 +100,7 @@ def plan_mix(
     before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     sources = sources.withColumn("first_slot", F.coalesce(F.sum("n_slots").over(before), F.lit(0)).cast("long"))
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sources = sources.withColumn("all_slots", F.sum("n_slots").over(everything).cast("long")).checkpoint()
+    sources = sources.withColumn("all_slots", F.sum("n_slots").over(everything).cast("long")).transform(saved)
     small = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
     named = small.select("sid", F.col("source").alias("__source"))
     rows = sized.join(named, sized.source.eqNullSafe(F.col("__source"))).drop("__source")
@@ -113,8 +113,11 @@ def _slots(sources: DataFrame, block_words: int, shard_slots: int, seed: int) ->
     step = F.lit(SLOTS_AT_ONCE).cast("long")
     taking = sources.where("n_slots > 0")
     runs = taking.withColumn("__from", F.explode(F.sequence(zero, F.col("n_slots") - 1, step)))
-    # Dealt by a hash of the run, as the runs of a large source would else stay in one task.
-    runs = runs.repartition(F.col("sid"), F.col("__from"))
+    # Dealt by a hash of the run, as the runs of a large source would else stay in one task; by a
+    # number, as the rows are small before they are expanded and would be put together again.
+    total = sources.agg(F.coalesce(F.max("all_slots"), F.lit(0))).first()[0]
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (16 * SLOTS_AT_ONCE))
+    runs = runs.repartition(tasks, "sid", "__from")
     stop = F.least(F.col("__from") + step, F.col("n_slots")) - 1
     slots = runs.withColumn("index", F.explode(F.sequence(F.col("__from"), stop)))
     index, blocks, size = F.col("index"), F.col("n_blocks"), F.col("source_size")
@@ -147,7 +150,8 @@ def taken_pieces(mix: Mix) -> DataFrame:
     start, end = F.col("start"), F.col("start") + F.col("size")
     rows = mix.rows.where("size > 0")
     held = rows.withColumn("block", F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width))))
-    pieces = held.join(mix.slots, ["sid", "block"])
+    # Spark takes the slots for as few as the sources they are expanded from, and would broadcast them.
+    pieces = held.join(mix.slots.hint("merge"), ["sid", "block"])
     at = F.col("block") * width
     begin, stop = F.greatest(start, at), F.least(end, at + F.col("words"))
     return pieces.where(begin < stop).withColumns({"from": begin - start, "until": stop - start})
@@ -157,9 +161,11 @@ def taken_words(mix: Mix) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     key = ["doc_id", "row_hash", "sid", "start"]
     none = F.lit(0).cast("long")
-    unread = mix.rows.select(*key, "size", none.alias("taken"))
+    # A document with words is known by its place; one without has none, and is never taken.
+    unread = mix.rows.where("size > 0").select(*key, "size", none.alias("taken"))
     read = taken_pieces(mix).select(*key, "size", (F.col("until") - F.col("from")).alias("taken"))
     sums = unread.unionByName(read).groupBy(*key, "size").agg(F.sum("taken").alias("taken"))
+    sums = sums.unionByName(mix.rows.where("size = 0").select(*key, "size", none.alias("taken")))
     targets = mix.sources.select("sid", "source_size", "target")
     targets = F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
     return sums.join(targets, "sid").select("doc_id", "size", "source_size", "target", "taken")
