@@ -1,0 +1 @@
+"""Fixtures are those of the folder above."""
