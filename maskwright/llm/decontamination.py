@@ -1,9 +1,9 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame functions only.
 
-A window of an item is a set of words whose containment has to be whole, so one word is the necessary
-prefix: the one that the corpus has least often. A document meets a window only where it has that
-word; the word's place in the window fixes where the window would begin, the lengths tell whether it
-fits, and the words themselves are compared last.
+A window of an item is a set of shingles, its pairs of words, whose containment has to be whole: so one
+of them is the necessary prefix, the one that the corpus has least often. A document meets a window
+only where it has that pair; the pair's place in the window fixes where the window would begin, the
+lengths tell whether it fits, and last the words themselves are compared, over the window's size.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A benchmark of up to so many windows is broadcast (some 200 bytes each); a larger one is joined by
 #: a shuffle of the documents' words.
 BROADCAST_WINDOWS = 200_000
+#: Places to look at, some 40 bytes each, are broadcast up to this many; beyond it the texts are shuffled.
+BROADCAST_MEETINGS = 200_000
 
 
 def words_of(text: Column) -> Column:
-    """The words, A-Z as a-z; none for NULL."""
-    # Lower case is only needed of A-Z, but translate() takes a step per character. lower() is fast,
-    # and equal words stay equal and in place under it: what it finds too much is sorted out by
-    # comparing the exact words, which ``exact`` gives.
+    """The words in lower case; none for NULL. Only A-Z should count as a-z, but that takes a step per
+    character, while lower() is fast; equal words stay equal and in place under it. What it finds too
+    much is sorted out by ``exact_words``."""
     return F.array_remove(F.split(F.coalesce(F.lower(text), F.lit("")), f"[{BETWEEN_WORDS}]+"), "")
 
 
@@ -54,42 +55,59 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", siz
     return words.select("item", F.slice("words", F.col("at"), size).alias("window")).distinct()
 
 
+def _pairs(words: Column) -> Column:
+    """Each word with the next; the last one has none."""
+    return F.arrays_zip(words.alias("word"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("next"))
+
+
 def window_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", size: int = 10) -> Hits:
     """Where windows of the items occur in the documents.
 
     Rows are told apart by key and text; repeated rows have the same hits once. A NULL key is a key.
     """
-    owned = item_windows(items, size=size)
-    ids = F.xxhash64("window")
-    owned = owned.withColumn("window_id", ids).transform(saved)
-    windows = owned.select("window_id", "window").dropDuplicates(["window_id"])
-    small = windows.count() <= BROADCAST_WINDOWS
-    hint = F.broadcast if small else (lambda df: df)
-
-    parts = windows.select("window_id", "window", F.posexplode("window").alias("offset", "exact"))
-    parts = parts.withColumn("word", F.lower("exact")).drop("exact")
-    vocabulary = hint(parts.select("word").distinct())
-    said = docs.select(F.explode(words_of(quoted(text))).alias("word"))
-    counts = said.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("count"))
-    # A word that no document has makes the window impossible: such windows go here.
-    ranked = parts.join(counts, "word", "left")
-    rarest = Window.partitionBy("window_id").orderBy(F.coalesce("count", F.lit(0)), "word", "offset")
+    owned = item_windows(items, size=size).withColumn("window_id", F.xxhash64("window")).transform(saved)
+    windows = owned.select("window_id", "window").dropDuplicates(["window_id"]).transform(saved)
+    hint = F.broadcast if windows.count() <= BROADCAST_WINDOWS else (lambda df: df)
+    rows = docs.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("text_hash"), words_of(quoted(text)).alias("words"))
+    rows = rows.select("key", "text_hash", F.size("words").alias("n"), F.posexplode(_pairs(F.col("words"))).alias("at", "pair"))
+    said = rows.select("key", "text_hash", "n", "at", "pair.word", "pair.next")
+
+    # Shingles of a window are its pairs of words; a window of one word is its own only shingle.
+    lowered = windows.select("window_id", F.transform("window", F.lower).alias("window"))
+    length = F.size("window")
+    parts = lowered.select("window_id", length.alias("length"), F.posexplode(_pairs(F.col("window"))).alias("offset", "pair"))
+    parts = parts.select("window_id", "length", "offset", "pair.word", "pair.next")
+    single = parts.where("length = 1").drop("next")
+    parts = parts.where("next IS NOT NULL").transform(saved)
+    vocabulary = hint(parts.select("word", "next").distinct())
+    counts = said.join(vocabulary, ["word", "next"], "left_semi").groupBy("word", "next").agg(F.count(F.lit(1)).alias("count"))
+    # A pair that no document has makes its window impossible.
+    ranked = parts.join(counts, ["word", "next"], "left")
+    rarest = Window.partitionBy("window_id").orderBy(F.coalesce("count", F.lit(0)), "word", "next", "offset")
     prefix = ranked.withColumn("place", F.row_number().over(rarest)).where("place = 1 AND count IS NOT NULL")
-    prefix = prefix.select("word", "window_id", "window", F.col("offset").alias("offset"), F.size("window").alias("length"))
-    prefix = prefix.transform(saved)
+    prefix = prefix.select("word", "next", "window_id", "offset", "length").transform(saved)
 
-    rows = docs.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("text_hash"), quoted(text).alias("text"))
-    rows = rows.withColumn("words", words_of(F.col("text")))
-    rows = rows.select("key", "text_hash", "text", "words", F.posexplode("words").alias("at", "word"))
     begin = F.col("at") - F.col("offset")
-    fits = (begin >= 0) & (begin + F.col("length") <= F.size("words"))
-    start = F.when(fits, begin + 1).otherwise(1)  # conditions run in any order: never out of range
-    near = F.slice("words", start, F.col("length")) == F.transform("window", F.lower)
-    met = rows.join(hint(prefix), (rows["word"] == prefix["word"]) & fits & near)
-    # The exact words, of the few texts that are left.
-    met = met.where(F.slice(exact_words(F.col("text")), start, F.col("length")) == F.col("window"))
-    hits = met.select("key", "text_hash", begin.alias("begin"), "length", "window_id")
-    return Hits(hits, owned.select("window_id", "item"))
+    fits = (begin >= 0) & (begin + F.col("length") <= F.col("n"))
+    met = said.join(hint(prefix), ["word", "next"]).where(fits).select("key", "text_hash", begin.alias("begin"), "length", "window_id")
+    if not single.isEmpty():
+        alone = said.join(hint(single), "word").select("key", "text_hash", F.col("at").alias("begin"), "length", "window_id")
+        met = met.unionByName(alone)
+    return Hits(_verified(met.transform(saved), docs, windows, key, text), owned.select("window_id", "item"))
+
+
+def _verified(met: DataFrame, docs: DataFrame, windows: DataFrame, key: str, text: str) -> DataFrame:
+    """Of the meetings those whose words are the window's, to the letter. Only texts with meetings are
+    read for it, and each is cut into words once."""
+    doc = met.groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("begin", "length", "window_id")).alias("met"))
+    doc = doc.transform(saved)  # a list grows with its document only
+    few = met.count() <= BROADCAST_MEETINGS
+    same = quoted(key).eqNullSafe(F.col("k")) & (F.xxhash64(quoted(text)) == F.col("h"))
+    texts = docs.select(quoted(key), quoted(text)).join(F.broadcast(doc) if few else doc, same)
+    texts = texts.select("k", "h", "met", exact_words(quoted(text)).alias("words"))
+    cut = F.transform("met", lambda m: F.struct(m.alias("m"), F.xxhash64(F.slice("words", m["begin"] + 1, m["length"])).alias("found")))
+    cut = texts.select("k", "h", F.explode(cut).alias("c")).where("c.found = c.m.window_id")
+    return cut.select(F.col("k").alias("key"), F.col("h").alias("text_hash"), "c.m.begin", "c.m.length", "c.m.window_id").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", size: int = 10) -> DataFrame:
@@ -100,7 +118,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     items count each. Without items nothing is hit. Item ids are sorted as strings.
     """
     found = window_hits(docs, items, key, text, size)
-    hits = found.hits.transform(saved)
+    hits = found.hits.transform(saved)  # several sums are taken from it
     doc = ["key", "text_hash"]
     spans = hits.groupBy(*doc).agg(F.collect_set(F.struct("begin", "length")).alias("spans"))
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["begin"], s["begin"] + s["length"] - 1)))
