@@ -9,6 +9,8 @@ the rows, no sort of stored data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,18 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.functions.text import quoted
-from maskwright.operators.shared import new_table_path
 
 DEFAULT_PAGE_SIZE = 100
 MAX_PAGE_SIZE = 1000
 
-# Up to here the per-file offsets are broadcast: a path and a number per file, some
-# 250 MB for a million files, which at 128 MiB each hold more than 100 TB.
-MAX_BROADCAST_FILES = 1_000_000
+# Files whose offsets are broadcast at once: a path and a number each, some 25 MB.
+FILES_AT_ONCE = 100_000
 
-
-# Pages that end within so many rows are found without sorting the table.
-MAX_ROWS_PER_TASK = 100_000
+# A range of rows that holds a page is sorted once it has no more rows than these.
+ROWS_TO_SORT = 100_000
+# Rows that cut a range into parts, whose rows are counted.
+CUTS = 32
 
 
 # --- counts ----------------------------------------------------------------
@@ -52,7 +53,7 @@ def file_offsets(spark: SparkSession, path: str) -> DataFrame:
     their names no longer sort that way.
     """
     files = (
-        spark.read.parquet(path)
+        spark.read.parquet(_no_glob(path))
         .groupBy(F.col("_metadata.file_path").alias("file_path"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
@@ -82,27 +83,50 @@ def _require_free(df: DataFrame, row_id: str) -> None:
 def with_row_ids(spark: SparkSession, path: str, row_id: str = ROW_ID) -> DataFrame:
     """A stored dataset with a row number, from 0 without gaps, in its own order.
 
-    The number is the file's first row plus the reader's row index: a map-side
-    join to one row per file.
+    The number is the file's first row plus the reader's row index: a map-side join
+    to one row per file. Of very many files, so many at once that their offsets stay
+    small: each such run of files is scanned by itself, and no row is ever shuffled.
     """
     offsets = file_offsets(spark, path).select(F.col("file_path").alias("__file"), "first_row")
-    rows = spark.read.parquet(path)
+    rows = dataset(spark, path)
     _require_free(rows, row_id)
-    if len(rows.inputFiles()) <= MAX_BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
     columns = [quoted(name) for name in rows.columns]
-    return (
-        rows.select(
-            "*",
-            F.col("_metadata.file_path").alias("__file_path"),
-            F.col("_metadata.row_index").alias("__index"),
-        )
-        .join(offsets, F.col("__file_path") == F.col("__file"))
-        .select((F.col("first_row") + F.col("__index")).alias(row_id), *columns)
+    rows = rows.select(
+        "*", F.col("_metadata.file_path").alias("__file_path"), F.col("_metadata.row_index").alias("__index")
     )
+    place = F.row_number().over(Window.orderBy("__file"))
+    ends = offsets.withColumn("__place", place).where(F.col("__place") % FILES_AT_ONCE == 0)
+    ends = [None, *sorted(r[0] for r in ends.select("__file").collect()), None]
+    parts = []
+    for after, last in zip(ends, ends[1:], strict=False):
+
+        def within(name: str, after: str | None = after, last: str | None = last) -> Column:
+            path_of = F.col(name)
+            lower = F.lit(True) if after is None else path_of > after
+            return lower if last is None else lower & (path_of <= last)
+
+        some = F.broadcast(offsets.where(within("__file")))
+        numbered = rows.where(within("__file_path")).join(some, F.col("__file_path") == F.col("__file"))
+        parts.append(numbered.select((F.col("first_row") + F.col("__index")).alias(row_id), *columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+class SortKey(NamedTuple):
+    """A column to sort by: NULLs come first, or last if it descends."""
+
+    name: str
+    descending: bool = False
+
+    @property
+    def order(self) -> Column:
+        return F.desc(quoted(self.name)) if self.descending else F.asc(quoted(self.name))
+
+
+def sort_keys(order_by: Sequence[str | SortKey]) -> list[SortKey]:
+    return [SortKey(*key) if isinstance(key, tuple) else SortKey(key) for key in order_by]
 
 
-def in_order(df: DataFrame, order_by: Sequence[str | Column], unique: bool = False) -> DataFrame:
+def in_order(df: DataFrame, order_by: Sequence[str | SortKey], unique: bool = False) -> DataFrame:
     """Sorted by the keys over all partitions, without a hot range.
 
     A range sort sends all rows with the same keys to one task. Unless the keys are
@@ -110,39 +134,40 @@ def in_order(df: DataFrame, order_by: Sequence[str | Column], unique: bool = Fal
     ties, so that neither a frequent key nor a row with many copies ends up whole in
     one range. Both are the same when a lost task is run again.
     """
+    keys = [key.order for key in sort_keys(order_by)]
     if unique:
-        return df.orderBy(*order_by)
+        return df.orderBy(*keys)
     return (
         df.withColumns({"__content": _content(df), "__from": F.spark_partition_id()})
-        .orderBy(*order_by, "__content", "__from")
+        .orderBy(*keys, "__content", "__from")
         .drop("__content", "__from")
     )
 
 
 def _content(df: DataFrame) -> Column:
-    """A hash of all columns that can be hashed."""
+    """A hash of all columns; those that cannot be hashed count by their JSON."""
 
-    def can_be_hashed(kind: T.DataType) -> bool:
-        return not any(word in kind.simpleString() for word in ("map<", "variant"))
+    def hashable(field: T.StructField) -> Column:
+        kind = field.dataType.simpleString()
+        cell = quoted(field.name)
+        return F.to_json(F.struct(cell)) if "map<" in kind or "variant" in kind else cell
 
-    return F.xxhash64(*(quoted(f.name) for f in df.schema if can_be_hashed(f.dataType)))
+    return F.xxhash64(*(c for f in df.schema for c in (quoted(f.name).isNull(), hashable(f))))
 
 
 def number_rows(
     df: DataFrame,
-    order_by: Sequence[str | Column],
-    path: str | None = None,
+    order_by: Sequence[str | SortKey],
+    path: str,
     row_id: str = ROW_ID,
     unique: bool = False,
 ) -> DataFrame:
     """Any DataFrame with a row number in the order of its keys.
 
-    Sorts once, into a table at ``path``, or in the shared folder. The written table
-    also keeps the numbers stable when an executor is lost later.
+    Sorts once, into a table at ``path``, which is the caller's to keep and to drop.
+    The written table also keeps the numbers stable when an executor is lost later.
     """
     _require_free(df, row_id)
-    if path is None:
-        path = new_table_path(df.sparkSession, "sorted")
     in_order(df, order_by, unique).write.parquet(path)
     return with_row_ids(df.sparkSession, path, row_id)
 
@@ -175,7 +200,7 @@ def _bounds(page: int, page_size: int, total_rows: int) -> tuple[int, int]:
     size = page_size_of(page_size)
     pages = pages_in(total_rows, size)
     if not 1 <= page <= pages:
-        raise ValueError(f"Page {page} out of range (1–{pages}).")
+        raise ValueError(f"There is no page {page}; the table has pages 1 to {pages}.")
     return (page - 1) * size, min(page * size, total_rows)
 
 
@@ -200,33 +225,116 @@ def page(
 
 def sorted_page(
     df: DataFrame,
-    order_by: Sequence[str | Column],
+    order_by: Sequence[str | SortKey],
     page_number: int = 1,
     page_size: int = DEFAULT_PAGE_SIZE,
     total_rows: int | None = None,
     row_id: str = ROW_ID,
+    unique: bool = False,
 ) -> DataFrame:
     """One page of a table that is not stored in order, with row numbers.
 
-    Near the start every task keeps its first rows only and nothing is sorted whole.
-    Deeper, where each task would have to keep as many rows as come before the page,
-    the table is numbered; for more than one such page number it once instead.
+    The table is neither sorted nor written. A few of its rows, taken at random, cut
+    its order into ranges; the rows of each are counted in one scan of the keys; and
+    the range that holds the page is cut again until it is small enough to be sorted.
+    That costs a scan for each factor of ``CUTS`` above ``ROWS_TO_SORT`` rows, for
+    any page. Which rows make the cuts doesn't change the outcome. For many pages of a
+    table, store its numbers once instead.
+
+    Ties are broken by a hash of the row's content, unless the keys are ``unique``;
+    rows that are equal in all columns may stand for each other.
     """
     _require_free(df, row_id)
     if total_rows is None:
         total_rows = df.count()
     first, end = _bounds(page_number, page_size, total_rows)
-    if end > MAX_ROWS_PER_TASK:
-        numbered = number_rows(df, order_by, row_id=row_id)
-        return page(numbered, page_number, page_size, total_rows, row_id)
-    keys = [*order_by, "__content"]
-    rows = df.withColumn("__content", _content(df)).orderBy(*keys).offset(first).limit(end - first)
-    # A window over the rows of the page alone.
-    number = F.row_number().over(Window.orderBy(*keys)) + F.lit(first - 1).cast("bigint")
     columns = [quoted(name) for name in df.columns]
+    keys = sort_keys(order_by)
+    if not unique:
+        df = df.withColumn("__content", _content(df))
+        keys.append(SortKey("__content"))
+    rows = _rows_between(df, keys, total_rows, first, end)
+    # A window over the rows of the page alone.
+    number = F.row_number().over(Window.orderBy(*(k.order for k in keys))) + F.lit(first - 1).cast("bigint")
     return rows.select(number.alias(row_id), *columns).orderBy(quoted(row_id))
 
 
+def _rows_between(df: DataFrame, keys: list[SortKey], total: int, first: int, end: int) -> DataFrame:
+    """The rows ``first`` to before ``end``, of ``total``, in the order of the keys."""
+    if first >= end:
+        return df.limit(0)
+    order = [key.order for key in keys]
+    if total <= ROWS_TO_SORT:
+        return df.orderBy(*order).offset(first).limit(end - first)
+    names = [quoted(key.name) for key in keys]
+    drawn = df.select(*names).sample(min(1.0, 8.0 * CUTS / total)).limit(16 * CUTS)
+    cuts = [tuple(r) for r in drawn.distinct().orderBy(*order).collect()]
+    cuts = cuts[:: -(-len(cuts) // CUTS)] if cuts else []
+    if not cuts:
+        return _rows_between(df, keys, total, first, end)  # an unlucky draw
+    counts = df.agg(
+        *(F.count_if(_before(keys, df, cut)).alias(f"before{i}") for i, cut in enumerate(cuts)),
+        *(F.count_if(_equal(keys, df, cut)).alias(f"equal{i}") for i, cut in enumerate(cuts)),
+    ).first()
+    before = [counts[f"before{i}"] for i in range(len(cuts))]
+    after = [b + counts[f"equal{i}"] for i, b in enumerate(before)]
+    parts = []
+    # Ranges between the cuts, and the rows equal to a cut, which need no order.
+    for i in range(len(cuts) + 1):
+        low, high = after[i - 1] if i else 0, before[i] if i < len(cuts) else total
+        begin, stop = max(first, low), min(end, high)
+        if begin < stop:
+            rows = df
+            if i < len(cuts):
+                rows = rows.where(_before(keys, df, cuts[i]))
+            if i:
+                rows = rows.where(~_before(keys, df, cuts[i - 1]) & ~_equal(keys, df, cuts[i - 1]))
+            parts.append(_rows_between(rows, keys, high - low, begin - low, stop - low))
+        if i < len(cuts):
+            same = min(end, after[i]) - max(first, before[i])
+            if same > 0:
+                parts.append(df.where(_equal(keys, df, cuts[i])).limit(same))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _equal(keys: list[SortKey], df: DataFrame, row: tuple) -> Column:
+    same = (quoted(k.name).eqNullSafe(F.lit(v).cast(df.schema[k.name].dataType)) for k, v in zip(keys, row, strict=True))
+    return reduce(Column.__and__, same)
+
+
+def _before(keys: list[SortKey], df: DataFrame, row: tuple) -> Column:
+    """Whether a row comes before the given one."""
+    found = F.lit(False)
+    for key, value in reversed(list(zip(keys, row, strict=True))):
+        cell, given = quoted(key.name), F.lit(value).cast(df.schema[key.name].dataType)
+        if value is None:
+            less = cell.isNotNull() if key.descending else F.lit(False)
+        elif key.descending:
+            less = F.coalesce(cell > given, F.lit(False))
+        else:
+            less = F.coalesce(cell < given, F.lit(True))
+        found = less | (cell.eqNullSafe(given) & found)
+    return found
+
+
+# --- stored datasets -----------------------------------------------------------
+
+
+def dataset(spark: SparkSession, path: str) -> DataFrame:
+    """A stored dataset with the columns of all its files, those added later too."""
+    return spark.read.option("mergeSchema", True).parquet(_no_glob(path))
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+
+
+def _no_glob(path: str) -> str:
+    """A path spelled so that the reader takes it as it stands."""
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
+
+
 def stored_page(
     spark: SparkSession,
     path: str,
@@ -235,32 +343,34 @@ def stored_page(
     total_rows: int | None = None,
     offsets: DataFrame | None = None,
     row_id: str = ROW_ID,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """One page of a stored dataset in its own order, with row numbers.
 
     Only the files that hold rows of the page are opened: at most as many as the
-    page has rows. A page that spans files is full all the same. For many pages of
-    a dataset of very many files, store its ``file_offsets`` once and pass them in:
-    then neither the folder is listed nor the footers are read again.
+    page has rows. A page that spans files is full all the same. Every page has the
+    columns and types of the whole dataset, partition columns too. For many pages of
+    a dataset of very many files, store its ``file_offsets`` once and pass them in with
+    its ``schema``: then neither the folder is listed nor the footers are read again.
     """
     if offsets is None:
         offsets = file_offsets(spark, path)
     if total_rows is None:
         total_rows = offsets.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     first, end = _bounds(page, page_size, total_rows)
+    if schema is None:
+        schema = dataset(spark, path).schema
     holding = offsets.where(
         (F.col("rows") > 0) & (F.col("first_row") < end) & (F.col("first_row") + F.col("rows") > first)
     ).collect()
     if not holding:
-        rows = spark.read.parquet(path)
-        return rows.limit(0).select(F.lit(0).cast("bigint").alias(row_id), "*")
-    # The metadata column spells paths as URIs.
-    files = [unquote(f.file_path) for f in holding]
-    reader = spark.read
-    if not files[0].endswith(path.rstrip("/").rsplit("/", 1)[-1]):
+        return spark.createDataFrame([], schema).select(F.lit(0).cast("bigint").alias(row_id), "*")
+    reader = spark.read.schema(schema)
+    if not _is_file(spark, path):
         # The dataset is a folder; its own sub-folders may hold column values.
         reader = reader.option("basePath", path)
-    rows = reader.parquet(*files)
+    # The metadata column spells paths as URIs.
+    rows = reader.parquet(*(_no_glob(unquote(f.file_path)) for f in holding))
     _require_free(rows, row_id)
     starts = F.create_map(*(F.lit(x) for f in holding for x in (f.file_path, f.first_row)))
     number = starts[F.col("_metadata.file_path")] + F.col("_metadata.row_index")

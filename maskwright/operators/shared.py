@@ -1,27 +1,18 @@
-"""The folder all executors can reach, for tables that cut a lineage."""
+"""The folder all executors can reach, for tables that a caller asks for."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="maskwright-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where unset, a local one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return _local_folder()
-    raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
+    """``spark.checkpoint.dir`` of the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
+    return folder.rstrip("/")
 
 
 def new_table_path(spark: SparkSession, stem: str) -> str:

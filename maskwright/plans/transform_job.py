@@ -15,7 +15,7 @@ from maskwright.functions.patterns import parse_pattern, parse_spec
 from maskwright.functions.redaction import literal_replacement
 from maskwright.operators.catalog import audit_patterns, repair_patterns
 from maskwright.operators.ledger import record_runs
-from maskwright.operators.paging import in_order
+from maskwright.operators.paging import in_order, sort_keys
 from maskwright.operators.rewrite import known_mode, require_column, require_mode, rewrite_column
 from maskwright.sinks.files import write_result
 from maskwright.sources.tables import read_table, spread_unsplittable, suffix_of
@@ -52,12 +52,15 @@ def transform(
     """Rewrite a column and write the result; ``{result_path, row_count}``.
 
     Without ``order_by`` the whole job is one narrow stage. With it the rows are
-    range-sorted first, and the stored order, hence the page order, follows.
+    range-sorted, and the stored order, hence the page order, follows. The source is
+    sorted and then rewritten, so that the sort's sample costs no rewriting; only if
+    the rewritten column is a key itself does the rewriting come first.
     """
-    out = rewrite_column(df, column, regex, replacement, mode, literal=literal)
-    if order_by:
-        out = in_order(out, order_by)
-    return write_result(out, out_dir)
+    keys = sort_keys(order_by or [])
+    last = bool(keys) and column not in (key.name for key in keys)
+    out = in_order(df, keys) if last else df
+    out = rewrite_column(out, column, regex, replacement, mode, literal=literal)
+    return write_result(in_order(out, keys) if keys and not last else out, out_dir)
 
 
 def run_transform(

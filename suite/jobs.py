@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from maskwright.operators import ledger as L
 from maskwright.operators.paging import stored_page
-from maskwright.operators.shared import new_table_path
 from maskwright.plans.transform_job import run_transform
 from maskwright.sinks.files import write_csv
 from maskwright.sources.tables import read_table
 from maskwright.streaming.rewrite_stream import start_rewrite
-from suite.base import Query, lit, table
+from suite.base import Query, lit, table, work_path
 from suite.profiling import CONTACTS_SQL, contacts
 from suite.rewriting import EMAIL, US_PHONE
 
@@ -20,20 +19,20 @@ from suite.rewriting import EMAIL, US_PHONE
 
 def csv_roundtrip(spark, folder):
     """Written and read back with inferred types."""
-    path = new_table_path(spark, "customer") + ".csv"
+    path = work_path(spark, "customer") + ".csv"
     write_csv(table(spark, folder, "customer"), path)
     return read_table(spark, path)
 
 
 def csv_texts(spark, folder):
     """Texts with line ends, quotes and outer blanks come back as they were."""
-    path = new_table_path(spark, "documents") + ".csv"
+    path = work_path(spark, "documents") + ".csv"
     write_csv(table(spark, folder, "documents").select("doc_id", "text", "lang"), path)
     return read_table(spark, path, schema="doc_id bigint, text string, lang string")
 
 
 def transform_job(spark, folder):
-    out = new_table_path(spark, "job")
+    out = work_path(spark, "job")
     result = run_transform(spark, f"{folder}/orders.parquet", "o_orderpriority", "[0-9]-", "P-", out)
     rows = spark.read.parquet(result["result_path"])
     return rows.select("o_orderkey", "o_orderpriority", F.lit(result["row_count"]).alias("row_count"))
@@ -41,10 +40,10 @@ def transform_job(spark, folder):
 
 def standardise_job(spark, folder):
     """Contacts as CSV, phones to E.164, sorted by id."""
-    source = new_table_path(spark, "contacts") + ".csv"
+    source = work_path(spark, "contacts") + ".csv"
     write_csv(contacts(spark, folder), source)
     result = run_transform(
-        spark, source, "phone", US_PHONE, "", new_table_path(spark, "job"), "e164", order_by=["id"]
+        spark, source, "phone", US_PHONE, "", work_path(spark, "job"), "e164", order_by=["id"]
     )
     return spark.read.parquet(result["result_path"]).select(F.col("id").cast("bigint"), "phone", "notes")
 
@@ -53,18 +52,18 @@ def job_page(spark, folder):
     """A page of a job's result, in the order the job was told to store."""
     orders = f"{folder}/orders.parquet"
     result = run_transform(
-        spark, orders, "o_orderstatus", "[FO]", "*", new_table_path(spark, "job"), order_by=["o_totalprice", "o_orderkey"]
+        spark, orders, "o_orderstatus", "[FO]", "*", work_path(spark, "job"), order_by=["o_totalprice", "o_orderkey"]
     )
     page = stored_page(spark, result["result_path"], 4, 200, result["row_count"])
     return page.select("row_id", "o_orderkey", "o_orderstatus")
 
 
 def stream_redaction(spark, folder):
-    out = new_table_path(spark, "stream")
+    out = work_path(spark, "stream")
     schema = table(spark, folder, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
     query = start_rewrite(
-        stream.select("doc_id", "text"), "text", EMAIL, "[REDACTED]", out, new_table_path(spark, "progress")
+        stream.select("doc_id", "text"), "text", EMAIL, "[REDACTED]", out, work_path(spark, "progress")
     )
     query.awaitTermination()
     return spark.read.schema("doc_id bigint, text string").parquet(out)
@@ -131,7 +130,7 @@ def terminal_runs(spark, folder):
 
 def ledger_roundtrip(spark, folder):
     """Appended twice: the runs that ended, then the others."""
-    path = new_table_path(spark, "ledger")
+    path = work_path(spark, "ledger")
     all_runs = runs(spark, folder)
     ended = L.is_terminal(F.col("status"))
     L.append_runs(all_runs.where(ended), path)

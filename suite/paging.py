@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.operators import paging as G
-from suite.base import Query, table
+from suite.base import Query, table, work_path
+
+
+def _day(name):
+    """A time as text, so that both sides print it alike."""
+    return F.date_format(name, "yyyy-MM-dd")
 
 
 def row_count(spark, folder):
@@ -16,35 +21,57 @@ def rows_per_file(spark, folder):
     return G.rows_per_file(table(spark, folder, "lineitem"))
 
 
+SHIPMENT_KEYS = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
 def numbered_rows(spark, folder):
     """All shipments numbered by a key many rows share, then by the unique ones."""
-    keys = ["l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    rows = table(spark, folder, "lineitem").select(*keys)
-    return G.number_rows(rows, keys).select("row_id", "l_returnflag", "l_orderkey", "l_linenumber")
+    keys = ["l_returnflag", *SHIPMENT_KEYS]
+    rows = table(spark, folder, "lineitem")
+    return G.number_rows(rows, keys, work_path(spark, "numbered")).withColumn("l_shipdate", _day("l_shipdate"))
 
 
 def stored_row_ids(spark, folder):
-    return G.with_row_ids(spark, f"{folder}/events.parquet").select("row_id", "event_id", "user_id")
+    rows = G.with_row_ids(spark, f"{folder}/events.parquet")
+    return rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 def page_rows(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
-    return G.sorted_page(orders, [F.desc("o_totalprice"), "o_orderkey"], 3, 100)
+    keys = [G.SortKey("o_totalprice", descending=True), "o_orderkey"]
+    page = G.sorted_page(table(spark, folder, "orders"), keys, 3, 100)
+    return page.withColumn("o_orderdate", _day("o_orderdate"))
 
 
 def page_deep(spark, folder):
-    """The last page but one of all shipments, by the numbers of a sorted table."""
-    keys = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    rows = table(spark, folder, "lineitem").select(*keys)
+    """The last page but one of all shipments, which are neither sorted nor stored for it."""
+    rows = table(spark, folder, "lineitem")
     total = rows.count()
-    numbered = G.number_rows(rows, keys)
-    last = G.page(numbered, G.pages_in(total, 500) - 1, 500, total)
-    return last.select("row_id", "l_orderkey", "l_linenumber", "l_extendedprice")
+    page = G.sorted_page(rows, SHIPMENT_KEYS, max(1, G.pages_in(total, 500) - 1), 500, total)
+    return page.withColumn("l_shipdate", _day("l_shipdate"))
 
 
 def stored_page(spark, folder):
     page = G.stored_page(spark, f"{folder}/events.parquet", 2, 300)
-    return page.select("row_id", "event_id", "event_type", "props")
+    return page.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+def stored_page_of_parts(spark, folder):
+    """Orders in folders by status, of which one got a column later; a page across the border."""
+    path = work_path(spark, "parts")
+    orders = table(spark, folder, "orders").withColumn("o_orderdate", _day("o_orderdate"))
+    in_order = orders.repartition(1).sortWithinPartitions("o_orderkey")
+    early, late = F.col("o_orderstatus") == "F", F.col("o_orderstatus") != "F"
+    in_order.where(early).write.partitionBy("o_orderstatus").parquet(path)
+    added = in_order.where(late).withColumn("added", F.col("o_custkey") * 2)
+    added.write.mode("append").partitionBy("o_orderstatus").parquet(path)
+    rows = G.file_offsets(spark, path)
+    border = rows.where("first_row > 0").agg(F.min("first_row")).first()[0] or 0
+    page = G.stored_page(spark, path, border // 200 + 1, 200)
+    # Which part comes first is a matter of file names: rows are known by what they hold.
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "added"]
+    whole = G.with_row_ids(spark, path).select("row_id", *names).join(page.select("row_id", F.lit(True).alias("on_page")), "row_id", "left")
+    paged = page.select("row_id", *names).withColumn("on_page", F.lit(True))
+    return whole.where("on_page IS NULL").unionByName(paged).drop("row_id", "on_page")
 
 
 def page_counters(spark, folder):
@@ -65,29 +92,34 @@ QUERIES = {
     ),
     "numbered_rows": Query(
         numbered_rows,
-        "SELECT row_number() OVER (ORDER BY l_returnflag, l_shipdate, l_orderkey, l_linenumber,"
-        " l_partkey, l_suppkey, l_extendedprice) - 1 AS row_id, l_returnflag, l_orderkey, l_linenumber"
-        " FROM lineitem",
+        f"SELECT row_number() OVER (ORDER BY l_returnflag, {', '.join(SHIPMENT_KEYS)}) - 1 AS row_id,"
+        " * REPLACE (strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate) FROM lineitem",
     ),
     "stored_row_ids": Query(
         stored_row_ids,
-        "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, event_id, user_id FROM events",
+        "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id,"
+        " * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM events",
     ),
     "page_rows": Query(
         page_rows,
         "SELECT * FROM (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS row_id,"
-        " o_orderkey, o_totalprice, o_orderpriority FROM orders) WHERE row_id BETWEEN 200 AND 299",
+        " * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders) WHERE row_id BETWEEN 200 AND 299",
     ),
     "page_deep": Query(
         page_deep,
-        "SELECT row_id, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate,"
-        " l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS row_id, count(*) OVER () AS n FROM lineitem)"
+        "SELECT * EXCLUDE (n) REPLACE (strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate) FROM"
+        f" (SELECT row_number() OVER (ORDER BY {', '.join(SHIPMENT_KEYS)}) - 1 AS row_id, *, count(*) OVER () AS n FROM lineitem)"
         " WHERE row_id // 500 = greatest(0, (n + 499) // 500 - 2)",
     ),
     "stored_page": Query(
         stored_page,
-        "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, event_id, event_type, props"
-        " FROM events ORDER BY event_id LIMIT 300 OFFSET 300",
+        "SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM"
+        " (SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, * FROM events) WHERE row_id BETWEEN 300 AND 599",
+    ),
+    "stored_page_of_parts": Query(
+        stored_page_of_parts,
+        "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate),"
+        " CASE WHEN o_orderstatus <> 'F' THEN o_custkey * 2 END AS added FROM orders",
     ),
     "page_counters": Query(
         page_counters,

@@ -47,6 +47,23 @@ def test_standardising_job_on_contacts(spark, tmp_path):
     assert [r.id for r in stored_page(spark, result["result_path"], 3, 300).collect()] == list(range(601, 901))
 
 
+def test_a_sorted_job_rewrites_each_cell_once(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df, column, *args, **kwargs):
+        def count(rows):
+            for row in rows:
+                seen.add(1)
+                yield row
+
+        return spark.createDataFrame(df.rdd.mapPartitions(count), df.schema)
+
+    monkeypatch.setattr(J, "rewrite_column", counted)
+    df = spark.range(0, 2000, 1, 4).select("id", F.col("id").cast("string").alias("cell"))
+    J.transform(df, "cell", "1", "", str(tmp_path / "o"), order_by=["id"])
+    assert seen.value == 2000
+
+
 def test_job_errors(spark, people, tmp_path):
     out = str(tmp_path / "out")
     with pytest.raises(ValueError, match="Unknown mode"):

@@ -57,17 +57,17 @@ def test_row_ids_without_gaps(spark, tmp_path):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
-def test_number_rows_by_key_with_a_hot_leading_key(spark):
+def test_number_rows_by_key_with_a_hot_leading_key(spark, tmp_path):
     df = spark.range(4000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id"
     ).repartition(7)
-    rows = G.number_rows(df, ["k", "id"]).orderBy("row_id").collect()
+    rows = G.number_rows(df, ["k", "id"], str(tmp_path / "t")).orderBy("row_id").collect()
     assert [r.row_id for r in rows] == list(range(4000))
     assert [(r.k, r.id) for r in rows] == sorted((r.k, r.id) for r in rows)
 
 
 @pytest.mark.parametrize("copies", [False, True])
-def test_hot_key_and_copies_are_split_over_ranges(spark, copies):
+def test_hot_key_and_copies_are_split_over_ranges(spark, tmp_path, copies):
     """A third of all rows share their key, or are copies of one row."""
     hot = F.col("id") % 3 == 0
     df = spark.range(0, 30000, 1, 12).select(
@@ -81,29 +81,69 @@ def test_hot_key_and_copies_are_split_over_ranges(spark, copies):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < 12000
-    numbered = G.number_rows(df, ["k"]).select("row_id", "k").orderBy("row_id").collect()
+    numbered = G.number_rows(df, ["k"], str(tmp_path / "t")).select("row_id", "k").orderBy("row_id").collect()
     assert [r.row_id for r in numbered] == list(range(30000))
     assert [r.k for r in numbered] == sorted(r.k for r in numbered)
 
 
 def test_sorted_pages(spark, monkeypatch):
     df = spark.range(0, 5000, 1, 8).select((F.col("id") % 10).alias("k"), F.col("id").alias("v"))
-    shallow = [G.sorted_page(df, [F.desc("k")], n, 1000) for n in range(1, 6)]
-    plan = plan_of(shallow[1])
-    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
-    near = [tuple(r) for p in shallow for r in p.collect()]
-    assert [r[0] for r in near] == list(range(5000))
-    assert [r[1] for r in near] == sorted((r[1] for r in near), reverse=True)
-    assert sorted(r[2] for r in near) == list(range(5000))
-    # The numbered way gives the same pages.
-    monkeypatch.setattr(G, "MAX_ROWS_PER_TASK", 0)
-    deep = [tuple(r) for n in (1, 4) for r in G.sorted_page(df, [F.desc("k")], n, 1000).collect()]
-    assert deep == near[:1000] + near[3000:4000]
+    keys = [G.SortKey("k", descending=True)]
+    whole = [tuple(r) for n in range(1, 6) for r in G.sorted_page(df, keys, n, 1000).collect()]
+    assert [r[0] for r in whole] == list(range(5000))
+    assert [r[1] for r in whole] == sorted((r[1] for r in whole), reverse=True)
+    assert sorted(r[2] for r in whole) == list(range(5000))
+    # Cut into ranges, the same pages come out, by plans that sort a small range only.
+    monkeypatch.setattr(G, "ROWS_TO_SORT", 300)
+    pages = [G.sorted_page(df, keys, n, 1000) for n in range(1, 6)]
+    assert [tuple(r) for p in pages for r in p.collect()] == whole
+    assert all("rangepartitioning" not in plan_of(p).split("Window")[-1] for p in pages)
+
+
+def test_sorted_pages_of_odd_rows(spark, monkeypatch):
+    """NULLs, NaN, maps, a hot key and many copies of one row; page borders lose and repeat none."""
+    monkeypatch.setattr(G, "ROWS_TO_SORT", 50)
+    kinds = "d double, s string, m map<string,int>"
+    rows = [(float("nan") if i % 7 == 0 else None if i % 5 == 0 else i % 11 / 2, f"s{i % 3}", {"a": i % 4}) for i in range(400)]
+    rows += [(1.0, "copy", {"a": 1})] * 300
+    df = spark.createDataFrame(rows, kinds).repartition(5)
+    for keys in (["d"], [G.SortKey("d", True), "s"], ["s", G.SortKey("d")]):
+        pages = [r for n in range(1, 8) for r in G.sorted_page(df, keys, n, 100).collect()]
+        assert [r.row_id for r in pages] == list(range(700))
+        order = [k.order for k in G.sort_keys(keys)]
+        want = df.orderBy(*order).collect()
+        names = [k.name for k in G.sort_keys(keys)]
+        assert [[str(r[n]) for n in names] for r in pages] == [[str(r[n]) for n in names] for r in want]
+        assert sorted(str(tuple(r)[1:]) for r in pages) == sorted(str(tuple(r)) for r in want)
+
+
+def test_row_ids_of_very_many_files(spark, tmp_path, monkeypatch):
+    path = stored(spark, tmp_path, [5, 7, 0, 3, 4])
+    monkeypatch.setattr(G, "FILES_AT_ONCE", 2)
+    rows = G.with_row_ids(spark, path)
+    assert sorted((r.row_id, r.v) for r in rows.collect()) == [(i, i) for i in range(19)]
+    assert "hashpartitioning(__file_path" not in plan_of(rows)
+
+
+def test_pages_of_a_dataset_that_grew(spark, tmp_path):
+    """A folder named like a file, partitions of mixed type, a later column, globs in a name."""
+    path = str(tmp_path / "odd {x}" / "part-00000.snappy.parquet")
+    spark.range(0, 20, 1, 2).withColumn("k", F.lit("1")).write.partitionBy("k").parquet(path)
+    later = spark.range(20, 40, 1, 2).withColumn("k", F.lit("x")).withColumn("more", F.lit(2.5))
+    later.write.mode("append").partitionBy("k").parquet(path)
+    pages = [G.stored_page(spark, path, n, 15) for n in (1, 2, 3)]
+    assert {str(p.dtypes) for p in pages} == {str([("row_id", "bigint"), ("id", "bigint"), ("more", "double"), ("k", "string")])}
+    rows = [r for p in pages for r in p.collect()]
+    assert [r.row_id for r in rows] == list(range(40))
+    assert sorted((r.id, r.k, r.more) for r in rows) == [(i, "1" if i < 20 else "x", None if i < 20 else 2.5) for i in range(40)]
+    file = str(next((tmp_path / "odd {x}").rglob("part-*-*.parquet")))
+    alone = G.stored_page(spark, file, 1, 5)
+    assert alone.columns[:2] == ["row_id", "id"] and alone.count() == 5
 
 
 def test_page_prunes_by_row_id(spark, tmp_path):
     path = str(tmp_path / "numbered")
-    G.number_rows(spark.range(1000), ["id"]).write.parquet(path)
+    G.number_rows(spark.range(1000), ["id"], path + "-sorted").write.parquet(path)
     page = G.page(spark.read.parquet(path), 3, 100, total_rows=1000)
     assert [r.id for r in page.collect()] == list(range(200, 300))
     pushed = re.search(r"PushedFilters: \[.*?\]", plan_of(page)).group()
@@ -112,7 +152,7 @@ def test_page_prunes_by_row_id(spark, tmp_path):
 
 def test_a_taken_name_is_refused(spark, tmp_path):
     path = str(tmp_path / "numbered")
-    G.number_rows(spark.range(10), ["id"]).write.parquet(path)
+    G.number_rows(spark.range(10), ["id"], path + "-sorted").write.parquet(path)
     for call in (G.with_row_ids, G.stored_page):
         with pytest.raises(ValueError, match="already"):
             call(spark, path)
@@ -126,16 +166,16 @@ def test_limits(spark, tmp_path):
     assert G.page(df, 1, 5000).count() == 1000
     assert G.page(df, 3, 1000).count() == 500
     for number in (0, 4):
-        with pytest.raises(ValueError, match=f"Page {number} out of range"):
+        with pytest.raises(ValueError, match=f"no page {number}"):
             G.page(df, number, 1000)
     with pytest.raises(ValueError, match="at least 1"):
         G.page(df, 1, 0)
     empty = str(tmp_path / "empty")
     spark.range(0).write.parquet(empty)
     assert G.stored_page(spark, empty).collect() == []
-    with pytest.raises(ValueError, match="out of range"):
+    with pytest.raises(ValueError, match="no page 2"):
         G.stored_page(spark, empty, 2)
-    assert G.number_rows(spark.range(0), ["id"]).count() == 0
+    assert G.number_rows(spark.range(0), ["id"], str(tmp_path / "none")).count() == 0
 
 
 def test_counters(spark):
