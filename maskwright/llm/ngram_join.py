@@ -2,9 +2,9 @@
 
 Texts are sets of hashed word shingles. Equal sets are one class from the start, so that copies cost
 nothing later. Each class sends the shingles of its prefix, rarest first, to the tasks that hold
-those shingles. Pairs come from there in two rounds, as a large group of near copies would else make
-all its pairs: first each class with the smallest class of its shingle's list; then, with what that
-linked known, pairs from different components only. A pair is verified once, on whole sets.
+those shingles, and meets there the list of classes that have it too. Pairs come from the lists in two
+rounds, as a large group of near copies would else make all its pairs: first each class with its list's
+hub; then, with what that linked known, pairs from different components only. A pair is verified once, on whole sets.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import BLANKS, quoted, row_hash, saved
 from maskwright.llm.wordhash import NOT_BLANK, drawn, hashed_words, mixed, shingles, utf8_of
 
-#: Cells of the hash space whose counts the suffix filter compares; one byte each.
-CELLS = 64
+#: The suffix filter compares counts in cells of the hash space, one byte each: for each set the least
+#: power of two that is a quarter of its size or more, and LEAST_CELLS at least.
+LEAST_CELLS = 64
+#: Bytes of a shingle's hash that sets are verified by.
+WIDTH = 6
 #: Shingles that a task has seen in so many sets are counted over the corpus.
 OFTEN = 4
 #: The order by frequency names so many shingles; all others count as rare and stand by hash. This
@@ -71,6 +74,13 @@ def _digest(grams: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def _cells(grams: np.ndarray) -> bytes:
+    bits = max(LEAST_CELLS, (len(grams) - 1) // 4 + 1).bit_length() - 1
+    bits += (1 << bits) < max(LEAST_CELLS, -(-len(grams) // 4))
+    counts = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 _OTHER = drawn(1, 9)[0]
 _SEEN = pa.schema([("hash", pa.int64()), ("row", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())])
 
@@ -81,8 +91,7 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         rows, grams = [], []
         keys = batch.column("row").to_pylist()
         for i, own in _sets(batch.column("text"), size):
-            cells = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=CELLS)
-            rows.append((None, keys[i], *_digest(own), len(own), np.minimum(cells, 255).astype(np.uint8).tobytes()))
+            rows.append((None, keys[i], *_digest(own), len(own), _cells(own)))
             grams.append(own)
         if not rows:
             continue
@@ -124,44 +133,68 @@ def _postings(batches: Iterator[pa.RecordBatch], like: Likeness, named) -> Itera
             )
 
 
-_SHARED = pa.schema([*_POSTING, ("first", pa.int64()), ("first_n", pa.int32()), ("first_pos", pa.int32())])
+#: A list of so many classes goes out as it comes, without a look for lists of the same classes.
+LONG = 1 << 16
+_MEMBER = pa.schema([("list", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("keys", pa.int64())])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings, sorted by key, n and cid, whose key has two classes or more; each with the first of
-    its key. Only the last rows of a batch are kept for the next: lists may be of any length."""
-    held = None  # the first and the last row of the open list, and whether they went out
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of the lists of two classes or more, from postings sorted by key, n and cid. Near copies
+    share many shingles: lists of the same classes are one list, known by a hash of its classes, in
+    which a class has its foremost place. At most LONG rows and a batch are kept."""
+    rest, open_key = None, None
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        out = np.zeros(len(cols[0]), bool)
-        if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held[0], cols, strict=True)]
-            out = np.concatenate([[held[1]] * 2, out])
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        fresh = np.ones(len(cols[0]), bool)
+        fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        cols = [c[fresh] for c in cols]
+        if open_key is not None:
+            on = int(np.searchsorted(cols[0], open_key, "right"))
+            yield _members([c[:on] for c in cols], cols[0][:on])
+            cols = [c[on:] for c in cols]
         if not len(cols[0]):
+            rest = None
             continue
-        key, cid = cols[0], cols[1]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])
-        cols, out = [c[fresh] for c in cols], out[fresh]
-        key = cols[0]
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        lengths = np.diff(np.append(starts, len(key)))
-        first = np.repeat(starts, lengths)
-        many = np.repeat(lengths, lengths) > 1
-        went = out | many
-        keep = many & ~out
-        held = ([c[[starts[-1], len(key) - 1]] for c in cols], bool(went[-1]))
-        if keep.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[keep]) for c in cols] + [pa.array(c[first[keep]]) for c in cols[1:]], schema=_SHARED
-            )
+        open_key = None
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        yield _named_lists([c[:last] for c in cols])
+        rest = [c[last:] for c in cols]
+        if len(rest[0]) > LONG:
+            yield _members(rest, rest[0])
+            rest, open_key = None, rest[0][0]
+    if rest is not None:
+        yield _named_lists(rest)
+
+
+def _named_lists(cols: list[np.ndarray]) -> pa.RecordBatch:
+    key = cols[0]
+    if not len(key):
+        return _members(cols, key)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    lengths = np.diff(np.append(starts, len(key)))
+    names = np.add.reduceat(mixed(cols[1].view(np.uint64)), starts) + lengths.astype(np.uint64)
+    many = np.repeat(lengths > 1, lengths)
+    return _members([c[many] for c in cols], np.repeat(mixed(names).view(np.int64), lengths)[many])
+
+
+def _members(cols: list[np.ndarray], names: np.ndarray) -> pa.RecordBatch:
+    _, cid, n, pos = cols
+    order = np.lexsort((pos, cid, names))
+    names, cid, n, pos = names[order], cid[order], n[order], pos[order]
+    fresh = np.ones(len(names), bool)
+    fresh[1:] = (names[1:] != names[:-1]) | (cid[1:] != cid[:-1])
+    keys = np.diff(np.append(np.flatnonzero(fresh), len(names))).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x[fresh]) for x in (names, cid, n, pos)] + [pa.array(keys)], schema=_MEMBER)
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _across(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """Pairs of one key's list, sorted by key, n and cid, from different components."""
+    """Pairs of a list, sorted by list, n and cid, from different components. Of a list longer than
+    LONG only the classes are kept that are large enough to be like the ones to come."""
     rest = None
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
@@ -172,6 +205,10 @@ def _across(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Re
         last = int(np.searchsorted(cols[0], cols[0][-1]))
         rest = [c[last:] for c in cols]
         yield from _list_pairs([c[:last] for c in cols], like)
+        if len(rest[0]) > LONG:
+            yield from _list_pairs(rest, like)
+            large = rest[2].astype(np.int64) * like.den >= int(rest[2][-1]) * like.num
+            rest = [c[large] for c in rest]
     if rest is not None:
         yield from _list_pairs(rest, like)
 
@@ -203,33 +240,54 @@ def _list_pairs(cols: list[np.ndarray], like: Likeness) -> Iterator[pa.RecordBat
 def _near_in_cells(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """The suffix filter: two sets differ in at least as many shingles as their cells' counts do."""
     for batch in batches:
-        if not len(batch):
-            continue
-        cells = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for c in ("cells_a", "cells_b")]
+        differ = np.zeros(len(batch), np.int64)
+        for i, cells in enumerate(zip(batch.column("cells_a").to_pylist(), batch.column("cells_b").to_pylist(), strict=True)):
+            a, b = (np.frombuffer(c, np.uint8).astype(np.int64) for c in cells)
+            size = min(len(a), len(b))
+            differ[i] = np.abs(a.reshape(size, -1).sum(axis=1) - b.reshape(size, -1).sum(axis=1)).sum()
         n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-        most = (n + m - np.abs(cells[0] - cells[1]).sum(axis=1)) // 2
-        yield batch.filter(pa.array(most >= like.least_overlap(n, m)))
+        keep = (n + m - differ) // 2 >= like.least_overlap(n, m)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-_SET = pa.schema([("cid", pa.int64()), ("grams", pa.list_(pa.int64()))])
+_SET = pa.schema([("row", pa.int64()), ("grams", pa.binary())])
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch], size: int, bits) -> Iterator[pa.RecordBatch]:
-    """The sets of texts whose hash the filter holds; the rest isn't looked at."""
+    """The sets of texts whose hash the filter holds; the rest isn't looked at. A text seen before in
+    this task isn't sent again."""
+    seen: set[int] = set()
     for batch in batches:
-        at = (batch.column("row").to_numpy() % FILTER_BITS).astype(np.int64)
-        there = (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        chosen = batch.filter(pa.array(there.astype(bool)))
+        rows = batch.column("row").to_numpy()
+        at = (rows % FILTER_BITS).astype(np.int64)
+        there = ((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+        fresh = np.array([t and r not in seen for r, t in zip(rows.tolist(), there.tolist(), strict=True)], bool)
+        chosen = batch.filter(pa.array(fresh))
         if not len(chosen):
             continue
-        sets = {_digest(own)[0]: own for _, own in _sets(chosen.column("text"), size)}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sets), pa.int64()), pa.array([x.view(np.int64) for x in sets.values()], pa.list_(pa.int64()))], schema=_SET
-        )
+        sets = {}
+        for (_, own), row in zip(_sets(chosen.column("text"), size), chosen.column("row").to_pylist(), strict=True):
+            sets[row] = own.view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes()
+        seen.update(sets)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], schema=_SET)
+
+
+def _alike(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """The pairs whose whole sets overlap enough."""
+    for batch in batches:
+        keep = []
+        for raws in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist(), strict=True):
+            a, b = (np.frombuffer(raw, np.uint8).reshape(-1, WIDTH) for raw in raws)
+            both = np.zeros((len(a) + len(b), 8), np.uint8)
+            both[:, 8 - WIDTH :] = np.concatenate([a, b])
+            both = np.sort(both.view(np.uint64).ravel())
+            common = int((both[1:] == both[:-1]).sum())
+            keep.append(common * like.den >= (len(both) - common) * like.num)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {"int64": "long", "int32": "int", "binary": "binary", "list<element: int64>": "array<long>", "list<item: int64>": "array<long>"}
+    kinds = {"int64": "long", "int32": "int", "binary": "binary"}
     return ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in schema)
 
 
@@ -281,23 +339,28 @@ def link_classes(docs: DataFrame, text: str = "text", like: Likeness = Likeness(
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("cells").alias("cells"))
     classes = classes.transform(saved)
     sent = texts.mapInArrow(partial(_postings, like=like, named=named), _ddl(_POSTING))
-    order = ["key", "n", "cid"]
-    shared = sent.repartition("key").sortWithinPartitions(*order).mapInArrow(_shared, _ddl(_SHARED)).transform(saved)
-
-    rest = F.least(F.col("first_n") - F.col("first_pos"), F.col("n") - F.col("pos"))
-    total = (F.col("first_n") + F.col("n")) * like.num
-    stars = shared.where((F.col("cid") != F.col("first")) & (F.col("n") * like.num <= F.col("first_n") * like.den))
-    stars = stars.where(rest * (like.num + like.den) >= total)
-    stars = stars.select(F.least("first", "cid").alias("a"), F.greatest("first", "cid").alias("b")).distinct().transform(saved)
+    sent = sent.repartition("key").sortWithinPartitions("key", "n", "cid").mapInArrow(_lists, _ddl(_MEMBER))
+    lists = sent.groupBy("list", "cid").agg(F.max("n").alias("n"), F.min("pos").alias("pos"), F.sum("keys").alias("keys"))
+    lists = lists.transform(saved)
+
+    # A list's hub is the class that shares the most shingles: of near copies the one they come from.
+    weights = lists.groupBy("cid").agg(F.sum("keys").alias("weight"))
+    hubs = lists.join(weights, "cid").groupBy("list").agg(F.max(F.struct("weight", "cid", "n", "pos")).alias("hub"))
+    stars = lists.join(hubs.select("list", "hub.*").toDF("list", "weight", "hub", "hub_n", "hub_pos").transform(saved), "list")
+    stars = stars.where(F.col("cid") != F.col("hub"))
+    in_size = (F.least("n", "hub_n") * like.den) >= (F.greatest("n", "hub_n") * like.num)
+    rest = F.least(F.col("hub_n") - F.col("hub_pos"), F.col("n") - F.col("pos"))
+    in_place = rest * (like.num + like.den) >= (F.col("hub_n") + F.col("n")) * like.num
+    stars = stars.where(in_size & in_place)
+    stars = stars.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct().transform(saved)
     links = _verified(stars, classes, texts, like).transform(saved)
     known = components(spark, links)
 
-    open_lists = shared.join(known, "cid", "left")
-    open_lists = open_lists.select(*order, "pos", F.coalesce("component", "cid").alias("component"))
-    mixed_keys = open_lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed_keys = mixed_keys.where("lo <> hi").select("key")
-    open_lists = open_lists.join(mixed_keys, "key").select("key", "cid", "n", "pos", "component")
-    pairs = open_lists.repartition("key").sortWithinPartitions(*order)
+    parted = lists.join(known, "cid", "left").select("list", "cid", "n", "pos", F.coalesce("component", "cid").alias("component"))
+    parted = parted.transform(saved)
+    open_lists = parted.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    pairs = parted.join(open_lists.where("lo <> hi").select("list"), "list")
+    pairs = pairs.repartition("list").sortWithinPartitions("list", "n", "cid")
     pairs = pairs.mapInArrow(partial(_across, like=like), _ddl(_PAIR)).distinct().join(stars, ["a", "b"], "left_anti")
     more = _verified(pairs.transform(saved), classes, texts, like)
     return Classes(rows.select("row", "cid", "n"), links.union(more))
@@ -306,17 +369,16 @@ def link_classes(docs: DataFrame, text: str = "text", like: Likeness = Likeness(
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     sides = [classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}")) for s in "ab"]
     sized = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b")
-    kinds = "a long, b long, n_a long, n_b long, cells_a binary, cells_b binary"
-    sized = sized.mapInArrow(partial(_near_in_cells, like=like), kinds).select("a", "b").transform(saved)
-    wanted = sized.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid")
-    bits = texts.sparkSession.sparkContext.broadcast(_filter_of(wanted.select("row")))
-    sets = texts.mapInArrow(partial(_wanted_sets, size=like.words, bits=bits), _ddl(_SET))
-    sets = sets.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]).transform(saved)
-    sides = [sets.select(F.col("cid").alias(s), F.col("grams").alias(f"grams_{s}")) for s in "ab"]
-    whole = sized.join(sides[0], "a").join(sides[1], "b")
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    union = F.size("grams_a") + F.size("grams_b") - common
-    return whole.where(common * like.den >= union * like.num).select("a", "b")
+    sized = sized.mapInArrow(partial(_near_in_cells, like=like), _ddl(_PAIR)).transform(saved)
+    rows = [classes.select(F.col("cid").alias(s), F.col("row").alias(f"row_{s}")) for s in "ab"]
+    wanted = sized.join(rows[0], "a").join(rows[1], "b").transform(saved)
+    bits = _filter_of(wanted.select(F.explode(F.array("row_a", "row_b")).alias("row")))
+    bits = texts.sparkSession.sparkContext.broadcast(bits)
+    # Dealt by the text's hash once, for the removal of copies; both joins find them there.
+    sets = texts.mapInArrow(partial(_wanted_sets, size=like.words, bits=bits), _ddl(_SET)).dropDuplicates(["row"])
+    sides = [sets.select(F.col("row").alias(f"row_{s}"), F.col("grams").alias(f"grams_{s}")) for s in "ab"]
+    whole = wanted.join(sides[0], "row_a").join(sides[1], "row_b").select("a", "b", "grams_a", "grams_b")
+    return whole.mapInArrow(partial(_alike, like=like), _ddl(_PAIR))
 
 
 def _filter_of(rows: DataFrame) -> np.ndarray:
