@@ -12,7 +12,7 @@ import warnings
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType
+from pyspark.sql.types import IntegerType, StringType
 
 from maskwright.functions.standardise import MODES
 from maskwright.functions.text import LINE_END, strip, strip_fence
@@ -22,6 +22,7 @@ from maskwright.functions.text import LINE_END, strip, strip_fence
 # What each kind of cached entry is filed under.
 KEY_PREFIX = {"regex": "regex_cache:", "spec": "spec_cache:", "samples": "pii_suggest:"}
 
+# Fixed value: samples of a column that count for the key.
 SAMPLES_IN_KEY = 5
 
 
@@ -74,65 +75,136 @@ def parse_spec(response: Column) -> Column:
     )
 
 
+SPEC = "struct<pattern:string,normalize:string>"
+
+
+def spec_value(pattern: Column, normalize: Column) -> Column:
+    """A spec as the catalogue keeps it: JSON with the fields ``pattern`` and ``normalize``."""
+    return F.to_json(F.struct(pattern.alias("pattern"), normalize.alias("normalize")))
+
+
+def read_spec(value: Column) -> Column:
+    """``struct<pattern, normalize>`` of a kept spec; NULL if it is none, an unknown mode is ``none``."""
+    spec = F.from_json(value, SPEC)
+    mode = spec["normalize"]
+    known = F.struct(spec["pattern"].alias("pattern"), F.when(mode.isin(*MODES), mode).otherwise("none").alias("normalize"))
+    return F.when(spec["pattern"].isNotNull(), known)
+
+
 # --- safety audit ----------------------------------------------------------
 
+# Fixed value: characters of a pattern that may run.
 MAX_PATTERN_LENGTH = 512
 
 # Fixed value: a group that holds a quantifier and is itself quantified. Groups that
 # merely start with (?: are caught as well; refusing those is the safe side.
 NESTED_QUANTIFIER = r"(?U)(?<!\\)\([^)]*[+*?{][^)]*(?<!\\)\)\s*[+*?{]"
 
+_REPEAT = re.compile(r"[*+?]|\{[0-9]*(,?)[0-9]*\}")
+
 
-def _compiler():
-    """Makes a function that compiles a pattern, each one once; None if it cannot.
+def recursing_group(pattern: str) -> bool:
+    """Whether a repeated group holds alternatives or parts of varying length.
 
+    The JVM goes one level deeper for each round of such a group, so that a cell of a
+    few thousand characters ends the executor. A group repeated possessively loops,
+    and one of fixed parts does too. A bounded number of rounds counts as well: the
+    bound may be large.
+    """
+    varying = [False]  # of the groups that are open
+    in_class, at = False, 0
+    while at < len(pattern):
+        char = pattern[at]
+        at += 1
+        if char == "\\":
+            at += 1
+        elif in_class:
+            in_class = char != "]"
+        elif char == "[":
+            in_class = True
+            at += pattern[at : at + 1] == "^"
+            at += pattern[at : at + 1] == "]"
+        elif char == "(":
+            varying.append(False)
+            at += pattern[at : at + 1] == "?"
+        elif char == "|":
+            varying[-1] = True
+        elif char == ")" and len(varying) > 1:
+            inner = varying.pop()
+            repeat = _REPEAT.match(pattern, at)
+            if repeat and repeat[0] != "?" and inner and pattern[repeat.end() : repeat.end() + 1] != "+":
+                return True
+            varying[-1] |= inner
+        elif repeat := _REPEAT.match(pattern, at - 1):
+            varying[-1] |= char != "{" or bool(repeat[1])
+    return False
+
+
+def _checker():
+    """Makes a function that says what is wrong with a pattern, each one once.
+
+    ``compiled, problem``: the pattern as Python compiles it, or why it must not run.
     Made inside a function, like the UDFs below, so that Spark ships them by value
     and workers need not have this package installed.
     """
+    recurses = recursing_group
 
-    def new_compiler():
-        compiled = {None: None}
+    def new_checker():
+        known = {None: (None, None)}
 
-        def compiled_once(pattern):
-            if pattern not in compiled:
+        def checked(pattern):
+            if pattern not in known:
                 with warnings.catch_warnings():
                     warnings.simplefilter("ignore")
                     try:
-                        compiled[pattern] = re.compile(pattern)
+                        compiled = re.compile(pattern)
+                        known[pattern] = (compiled, "recursing group" if recurses(pattern) else None)
                     except (re.error, OverflowError, RecursionError):
-                        compiled[pattern] = None
-            return compiled[pattern]
+                        known[pattern] = (None, "does not compile")
+            return known[pattern]
 
-        return compiled_once
+        return checked
 
-    return new_compiler
+    return new_checker
 
 
-def _compiles(pattern: Column) -> Column:
-    new_compiler = _compiler()
+def _problem(pattern: Column) -> Column:
+    new_checker = _checker()
 
     def check(patterns: pd.Series) -> pd.Series:
-        compiled = new_compiler()
-        return patterns.map(lambda p: compiled(p) is not None)
+        checked = new_checker()
+        return patterns.map(lambda p: checked(p)[1]).astype(object)
 
-    return F.pandas_udf(check, BooleanType())(pattern)
+    return F.pandas_udf(check, StringType())(pattern)
 
 
-def unsafe_reason(pattern: Column, compiled: Column | None = None) -> Column:
-    """Why a pattern must not run, or NULL.
-
-    Over-long patterns are not sent to Python, nor those already ``compiled``.
-    """
-    too_long = F.length(pattern) > MAX_PATTERN_LENGTH
-    asked = ~too_long if compiled is None else ~too_long & ~compiled
+def refused_unseen(pattern: Column) -> Column:
+    """Why a pattern isn't even compiled, or NULL; a look at its text is enough."""
     return (
         F.when(pattern.isNull(), "missing")
-        .when(too_long, "too long")
-        .when(asked & ~_compiles(F.when(asked, pattern)), "does not compile")
+        .when(F.length(pattern) > MAX_PATTERN_LENGTH, "too long")
         .when(pattern.rlike(NESTED_QUANTIFIER), "nested quantifier")
     )
 
 
+def unsafe_reason(pattern: Column) -> Column:
+    """Why a pattern must not run, or NULL.
+
+    It has to compile in Python, where it may come from, and in the JVM, where it
+    runs; and no cell may be long enough to end an executor.
+    """
+    unseen = refused_unseen(pattern)
+    in_jvm = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)
+    problem = F.coalesce(
+        F.when(unseen.isNull(), _problem(F.when(unseen.isNull(), pattern))),
+        F.when(unseen.isNull() & in_jvm.isNull(), "does not compile"),
+    )
+    # What does not compile anywhere is said to be just that, whatever else it holds.
+    nested = unseen == "nested quantifier"
+    broken = F.when(nested & in_jvm.isNull(), "does not compile")
+    return F.coalesce(broken, unseen, problem)
+
+
 # --- repairs ---------------------------------------------------------------
 
 # Digit counts of whole phone numbers and the like.
@@ -194,17 +266,21 @@ def domain_of(prompt: Column) -> Column:
 
 
 def first_found(text: Column, *patterns: Column) -> Column:
-    """1 for the first pattern if it is found in the text, 2 for the second, ...; else 0."""
-    new_compiler = _compiler()
+    """1 for the first pattern if it is found in the text, 2 for the second, ...; else 0.
+
+    Patterns with a problem are not run; nor may the caller send any that
+    ``refused_unseen`` refuses, as one of them could hold a task for good.
+    """
+    new_checker = _checker()
 
     def choose(texts: pd.Series, *candidates: pd.Series) -> pd.Series:
-        compiled = new_compiler()
+        checked = new_checker()
 
         def first(probe, *row) -> int:
             if probe is not None:
                 for position, pattern in enumerate(row, 1):
-                    regex = compiled(pattern)
-                    if regex is not None and regex.search(probe):
+                    regex, problem = checked(pattern)
+                    if regex is not None and problem is None and regex.search(probe):
                         return position
             return 0
 

@@ -40,16 +40,19 @@ def round_2(value: Column) -> Column:
     """Round to 2 places from the exact binary value, ties to even.
 
     ``round`` and ``bround`` work on the shortest decimal print of a double, so
-    they move 0.615 (stored just below) up. Scaling by 2**53 is exact, which
-    leaves an integer division. Valid for 0.5 <= value < 10, where the scaled
-    value is a whole number and a hundred times it fits a bigint; outside that
-    range plain ``bround`` is used.
+    they move 0.615 (stored just below) up. What comes after the point is scaled by
+    2**60, which is exact from 2**-8 on, and less than that never makes a hundredth;
+    whole hundredths and the rest are then told apart in decimals.
     """
-    unit = F.lit(2**53)
-    scaled = (value * F.lit(float(2**53))).cast("bigint") * F.lit(100)
+    size = F.abs(value)
+    whole = F.floor(size)
+    unit = F.lit(2**60).cast("decimal(20,0)")
+    scaled = ((size - whole) * F.lit(float(2**60))).cast("bigint").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
     rest = scaled % unit
-    whole = ((scaled - rest) / unit).cast("bigint")
-    half = F.lit(2**52)
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    exact = (whole + up.cast("bigint")) / F.lit(100.0)
-    return F.when(value.between(0.5, 9.99), exact).otherwise(F.bround(value, 2))
+    hundredths = ((scaled - rest) / unit).cast("bigint")
+    half = F.lit(2**59).cast("decimal(20,0)")
+    up = (rest > half) | ((rest == half) & (hundredths % 2 == 1))
+    exact = (whole * 100 + hundredths + up.cast("bigint")) / F.lit(100.0)
+    # From 2**45 on there is less than a hundredth of room between two values.
+    rounded = F.when(size < float(2**45), exact).otherwise(size)
+    return F.when(value < 0, -rounded).otherwise(rounded)

@@ -28,10 +28,7 @@ TTL_SECONDS = 3600
 
 def audit_patterns(df: DataFrame, pattern: str = "pattern") -> DataFrame:
     """Add ``is_safe`` and, where it is false, the ``reason``."""
-    return _audited(df, P.unsafe_reason(quoted(pattern)))
-
-
-def _audited(df: DataFrame, reason: Column) -> DataFrame:
+    reason = P.unsafe_reason(quoted(pattern))
     return df.withColumn("reason", reason).withColumn("is_safe", F.col("reason").isNull())
 
 
@@ -48,23 +45,17 @@ def repair_mail_domains(
     domain, without a bracketed run there; the first that finds the address is
     taken, else a plain address pattern if the pattern spells the domain escaped.
     Matching is Python's, where a pattern that does not compile just does not
-    match; in the JVM it would end the job. Each step is its own projection, so
-    the domain, the candidates and the Python call are computed once per row.
-    """
-    return _with_domain_repaired(df, pattern, prompt).drop("__compiled")
-
-
-def _with_domain_repaired(df: DataFrame, pattern: str, prompt: str) -> DataFrame:
-    """The repair, and ``__compiled``: whether the outcome is known to compile.
-
-    It is if it was found in the address, or if it differs from the given pattern.
+    match; in the JVM it would end the job. A pattern that the audit refuses by its
+    text, one that might hold a task for good, is neither matched nor changed. Each
+    step is its own projection, so the domain, the candidates and the Python call
+    are computed once per row.
     """
     own = quoted(pattern)
     domain, shorter, shortest, choice = (
         F.col(f"__{name}") for name in ("domain", "shorter", "shortest", "choice")
     )
     return (
-        df.withColumn("__domain", P.domain_of(quoted(prompt)))
+        df.withColumn("__domain", F.when(P.refused_unseen(own).isNull(), P.domain_of(quoted(prompt))))
         .withColumns(
             {
                 "__shorter": P.without_sub_domain(own, domain),
@@ -75,7 +66,7 @@ def _with_domain_repaired(df: DataFrame, pattern: str, prompt: str) -> DataFrame
         )
         .withColumn("__choice", P.first_found(F.col("__address"), F.col("__asked"), shorter, shortest))
         .withColumn(
-            "__repaired",
+            pattern,
             F.when(domain.isNull() | (choice == 1), own)
             .when(choice == 2, shorter)
             .when(choice == 3, shortest)
@@ -85,9 +76,7 @@ def _with_domain_repaired(df: DataFrame, pattern: str, prompt: str) -> DataFrame
             )
             .otherwise(own),
         )
-        .withColumn("__compiled", F.coalesce((choice > 0) | (F.col("__repaired") != own), F.lit(False)))
-        .withColumn(pattern, F.col("__repaired"))
-        .drop("__domain", "__shorter", "__shortest", "__address", "__asked", "__choice", "__repaired")
+        .drop("__domain", "__shorter", "__shortest", "__address", "__asked", "__choice")
     )
 
 
@@ -95,8 +84,7 @@ def repair_patterns(
     df: DataFrame, pattern: str = "pattern", prompt: str = "prompt"
 ) -> DataFrame:
     """Digit repair, then domain repair, then the audit of the outcome."""
-    repaired = _with_domain_repaired(repair_trailing_digits(df, pattern), pattern, prompt)
-    return _audited(repaired, P.unsafe_reason(quoted(pattern), F.col("__compiled"))).drop("__compiled")
+    return audit_patterns(repair_mail_domains(repair_trailing_digits(df, pattern), pattern, prompt), pattern)
 
 
 # --- lookups ---------------------------------------------------------------
@@ -157,9 +145,15 @@ def misses(
     return _joined(prompts, known, key, "left_anti")
 
 
-def changed_entries(looked_up: DataFrame, value: str = "pattern", cached: str = "cached") -> DataFrame:
-    """The rows worth writing back: new ones, and those a repair has changed."""
-    return looked_up.where(~quoted(value).eqNullSafe(quoted(cached)) & quoted(value).isNotNull())
+def changed_entries(audited: DataFrame, value: str = "pattern", cached: str = "cached") -> DataFrame:
+    """The rows worth writing back: new values, and those a repair has changed; safe ones only.
+
+    The rows have been audited: what must not run is not kept for later runs.
+    """
+    if "is_safe" not in audited.columns:
+        raise ValueError("Audit the patterns first: there is no column 'is_safe'.")
+    changed = ~quoted(value).eqNullSafe(quoted(cached)) & quoted(value).isNotNull()
+    return audited.where(F.col("is_safe") & changed)
 
 
 def upsert(catalog: DataFrame, entries: DataFrame) -> DataFrame:
@@ -170,3 +164,56 @@ def upsert(catalog: DataFrame, entries: DataFrame) -> DataFrame:
         .unionByName(entries.select(*columns, F.lit(1).alias("added")))
     )
     return newest_per_key(both, "added").select(*columns)
+
+
+# --- a run's way through the catalogue ------------------------------------------
+
+
+def refresh_patterns(
+    prompts: DataFrame,
+    catalog: DataFrame,
+    now: datetime | Column,
+    ttl: int = TTL_SECONDS,
+    prompt: str = "prompt",
+    response: str = "response",
+) -> DataFrame:
+    """Add ``key, cached, pattern, reason, is_safe`` to every prompt.
+
+    The pattern is the catalogue's, else that of the raw response; repaired and
+    audited either way, as an entry may be older than a repair.
+    """
+    found = look_up(prompts.withColumn("key", P.prompt_key(quoted(prompt))), catalog, now, ttl)
+    given = F.coalesce("cached", P.parse_pattern(quoted(response)))
+    return repair_patterns(found.withColumn("pattern", given), "pattern", prompt)
+
+
+def refresh_specs(
+    prompts: DataFrame,
+    catalog: DataFrame,
+    now: datetime | Column,
+    ttl: int = TTL_SECONDS,
+    prompt: str = "prompt",
+    response: str = "response",
+) -> DataFrame:
+    """Add ``key, cached, pattern, normalize, value, reason, is_safe``; ``value`` is what to keep.
+
+    The spec is the catalogue's, if it can be read, else that of the raw response.
+    """
+    found = look_up(prompts.withColumn("key", P.prompt_key(quoted(prompt), "spec")), catalog, now, ttl)
+    parsed = P.parse_spec(quoted(response))
+    fresh = F.struct(parsed["pattern"].alias("pattern"), parsed["normalize"].alias("normalize"))
+    found = found.withColumn("__spec", F.coalesce(P.read_spec(F.col("cached")), fresh))
+    found = found.withColumns({"pattern": F.col("__spec.pattern"), "normalize": F.col("__spec.normalize")}).drop("__spec")
+    value = F.when(F.col("pattern").isNotNull(), P.spec_value(F.col("pattern"), F.col("normalize")))
+    return audit_patterns(found.withColumn("value", value))
+
+
+def as_entries(rows: DataFrame, kind: str, now: datetime | Column, value: str = "pattern") -> DataFrame:
+    """Catalogue entries of rows with a ``key``, one per key."""
+    entries = rows.select("key", F.lit(kind).alias("kind"), quoted(value).alias("value"), F.lit(now).alias("created_at"))
+    return newest_per_key(entries).select("key", "kind", "value", "created_at")
+
+
+def append_entries(entries: DataFrame, path: str) -> None:
+    """The catalogue is read by its newest entry per key, so that adding to it is enough."""
+    entries.select("key", "kind", "value", "created_at").write.mode("append").parquet(path)

@@ -1,4 +1,4 @@
-"""The ledger of runs: a Parquet table that is only ever appended to."""
+"""The ledger of runs: a Parquet table that is appended to, and compacted now and then."""
 
 from __future__ import annotations
 
@@ -30,6 +30,8 @@ _RUN_FIELDS = {
 }
 RUN_SCHEMA = T.StructType([T.StructField(name, kind) for name, kind in _RUN_FIELDS.items()])
 
+# The fields that a list and a status show, that a search looks at, and the
+# states that end a run.
 LIST_COLUMNS = ("id", "status", "progress", "original_filename", "created_at", "completed_at")
 STATUS_COLUMNS = (
     "id", "status", "progress", "normalize_mode", "generated_regex", "row_count",
@@ -38,6 +40,7 @@ STATUS_COLUMNS = (
 SEARCH_COLUMNS = ("id", "original_filename", "prompt")
 TERMINAL = ("SUCCESS", "FAILED", "CANCELLED")
 
+# Fixed value: characters of an error that are kept.
 MAX_ERROR = 2000
 
 
@@ -67,6 +70,19 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).parquet(path)
 
 
+def compact_runs(spark: SparkSession, path: str, new_path: str, rows_per_file: int = 1_000_000) -> DataFrame:
+    """The same runs in a new table of few files, by their time; returns it.
+
+    Each run is appended as a file of its own, and a list of a million of them would
+    open as many. The old table stays as it is: switch readers over, then drop it. A run
+    that was appended twice as it is becomes one.
+    """
+    runs = read_ledger(spark, path).dropDuplicates()
+    files = max(1, -(-runs.count() // rows_per_file))
+    runs.repartitionByRange(files, "created_at", "id").sortWithinPartitions("created_at", "id").write.parquet(new_path)
+    return read_ledger(spark, new_path)
+
+
 def is_terminal(status: Column) -> Column:
     return status.isin(*TERMINAL)
 

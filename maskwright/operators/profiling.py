@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from maskwright.functions.patterns import sample_key
 from maskwright.functions.pii import (
@@ -18,7 +18,9 @@ from maskwright.functions.pii import (
     is_of_type,
 )
 from maskwright.functions.text import is_blank, quoted, round_2, strip, strip_fence
+from maskwright.operators.catalog import TTL_SECONDS, look_up
 
+# Fixed value: characters of a column's name in samples.
 MAX_NAME = 256
 
 _SAMPLES = "array<struct<column:string,samples:array<string>>>"
@@ -45,7 +47,7 @@ def column_samples(
     if order_by:
         head = _up_to_last(df, order_by, max_rows).orderBy(*order_by).limit(max_rows)
     else:
-        head = df.sparkSession.createDataFrame(df.take(max_rows), df.schema)
+        head = df.limit(max_rows)
     cells = [quoted(name).cast("string").alias(f"c{i}") for i, name in enumerate(df.columns)]
     rows = head.select(F.monotonically_increasing_id().alias("row"), *cells).agg(
         F.sort_array(F.collect_list(F.struct("row", *(f"c{i}" for i in range(len(cells)))))).alias("rows")
@@ -67,15 +69,13 @@ def column_samples(
 
 def _up_to_last(df: DataFrame, order_by: Sequence[str], rows: int) -> DataFrame:
     """The rows that may be among the first ones, by a range of the leading key."""
-    leading = order_by[0]
-    if not isinstance(df.schema[leading].dataType, (T.IntegralType, T.StringType, T.DateType)):
-        return df
     keys = [quoted(name) for name in order_by]
     first = df.select(*keys).orderBy(*keys).limit(rows).collect()
     if not first:
         return df
-    key, last = quoted(leading), first[-1][0]
-    return df.where(key.isNull() if last is None else key.isNull() | (key <= F.lit(last)))
+    key, last = quoted(order_by[0]), first[-1][0]
+    bound = F.lit(last).cast(df.schema[order_by[0]].dataType)
+    return df.where(key.isNull() if last is None else key.isNull() | (key <= bound))
 
 
 def clean_samples(samples: DataFrame, max_samples: int = 10) -> DataFrame:
@@ -126,7 +126,7 @@ def match_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             *(F.count_if(is_of_type(F.col("cell"), t)).alias(t.name) for t in LIBRARY),
         )
     )
-    name_of = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (str(i), n[:MAX_NAME])))
+    name_of = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (str(i), n)))
     return counts.select(
         name_of[F.col("position")].alias("column"), "cells", *(t.name for t in LIBRARY)
     )
@@ -224,6 +224,37 @@ def parse_suggestions(
     )
 
 
+SUGGESTIONS = "array<struct<column:string,pii_type:string,confidence:double,suggested_prompt:string>>"
+
+
+def refresh_suggestions(
+    sample_sets: DataFrame,
+    catalog: DataFrame,
+    now: datetime | Column,
+    ttl: int = TTL_SECONDS,
+    samples: str = "samples",
+    response: str = "response",
+    min_confidence: float = MIN_CONFIDENCE,
+) -> DataFrame:
+    """Add ``key, cached, suggestions, value`` to tables of samples, one row per table.
+
+    The suggestions are the catalogue's, filed under the key of the whole sample set,
+    else those of the raw response; ``value`` is what to keep of them, as JSON. A
+    response without any is kept too: as none.
+    """
+    given = sample_sets.withColumn("key", sample_key(quoted(samples)))
+    found = look_up(given, catalog, now, ttl)
+    # The responses are few beside their texts: each is parsed once, under its own key.
+    asked = found.where("cached IS NULL").select("key", F.col(response).alias("response")).dropDuplicates(["key"])
+    parsed = parse_suggestions(asked, "response", min_confidence)
+    fields = ("column", "pii_type", "confidence", "suggested_prompt")
+    parsed = parsed.groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("__parsed"))
+    both = found.join(parsed, F.col("key") == F.col("__key"), "left")
+    none = F.array().cast(SUGGESTIONS)
+    kept = F.sort_array(F.coalesce(F.from_json("cached", SUGGESTIONS), F.col("__parsed").cast(SUGGESTIONS), none))
+    return both.withColumn("suggestions", kept).withColumn("value", F.to_json("suggestions")).drop("__key", "__parsed")
+
+
 def plan_suggestions(suggestions: DataFrame, replacement: str = "") -> DataFrame:
     """What to run for each suggestion.
 

@@ -18,7 +18,7 @@ from maskwright.functions.text import quoted
 def require_column(df: DataFrame, column: str) -> None:
     """The name must be spelled exactly as in the table, case included."""
     if column not in df.columns:
-        raise ValueError(f"Column '{column}' not found. Available columns: {df.columns}")
+        raise ValueError(f"There is no column '{column}' among {df.columns}")
 
 
 def require_mode(mode: str) -> None:

@@ -6,19 +6,27 @@ import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from maskwright.functions.patterns import parse_pattern, parse_spec
+from maskwright.functions.patterns import recursing_group
 from maskwright.functions.redaction import literal_replacement
-from maskwright.operators.catalog import audit_patterns, repair_patterns
+from maskwright.operators.catalog import (
+    CATALOG_SCHEMA,
+    TTL_SECONDS,
+    append_entries,
+    as_entries,
+    changed_entries,
+    refresh_patterns,
+    refresh_specs,
+)
 from maskwright.operators.ledger import record_runs
 from maskwright.operators.paging import in_order, sort_keys
 from maskwright.operators.rewrite import known_mode, require_column, require_mode, rewrite_column
 from maskwright.sinks.files import write_result
-from maskwright.sources.tables import read_table, spread_unsplittable, suffix_of
+from maskwright.sources.tables import read_table, spread
 
 
 class UnsafePattern(ValueError):
@@ -29,8 +37,11 @@ def check_rule(spark: SparkSession, regex: str, replacement: str = "") -> None:
     """Try the rule on one literal, so that a bad one fails here and not in tasks.
 
     An empty alternative at the end lets the pattern match an empty text, so that the
-    replacement's group numbers are looked at as well.
+    replacement's group numbers are looked at as well. A pattern that a long cell would
+    turn into a stack overflow, which ends the executor, is refused by its text.
     """
+    if recursing_group(regex):
+        raise UnsafePattern(f"The rule {regex!r} repeats a group of varying parts; repeat it possessively.")
     try:
         tried = F.regexp_replace(F.lit(""), F.lit(f"{regex}|"), F.lit(replacement))
         spark.range(1).select(F.lit("").rlike(regex), tried).collect()
@@ -78,8 +89,13 @@ def run_transform(
     keep_strings: bool = False,
     multi_line: bool = True,
     order_by: list[str] | None = None,
+    spread_bytes: int | None = None,
 ) -> dict:
-    """The same from a file, folder or glob of CSV, workbooks or Parquet."""
+    """The same from a file, folder or glob of CSV or Parquet.
+
+    ``spread_bytes``: deal the rows into partitions of about so many bytes first, where
+    a few large files that cannot be split would leave most of a cluster idle.
+    """
     require_mode(mode)
     df = read_table(
         spark, path, suffix=suffix, schema=schema, keep_strings=keep_strings, multi_line=multi_line
@@ -87,35 +103,53 @@ def run_transform(
     require_column(df, column)
     rule = replacement if mode == "none" else ""
     check_rule(spark, regex, literal_replacement(rule) if literal else rule)
-    kind = suffix or suffix_of(path)
-    if kind == ".xlsx" or (kind == ".csv" and multi_line):
-        df = spread_unsplittable(df, path)
+    if spread_bytes is not None:
+        df = spread(df, path, spread_bytes)
     return transform(
         df, column, regex, replacement, out_dir, mode, literal=literal, order_by=order_by
     )
 
 
-def pattern_from_response(spark: SparkSession, prompt: str, response: str, mode: str) -> str:
-    """The pattern of one raw response, repaired for redaction, and audited.
+def pattern_for(
+    spark: SparkSession, prompt: str, response: str, mode: str, catalog_path: str | None = None, ttl: int = TTL_SECONDS
+) -> str:
+    """The pattern for one prompt: the catalogue's, else that of the raw response.
 
-    The same expressions as for whole tables of responses, on one row.
+    Repaired for redaction, and audited, by the same expressions as whole tables of
+    responses, on one row. What is new or was repaired, and is safe, is added to the
+    catalogue. Without one, or before its first entry, the response decides.
     """
+    now = datetime.now(timezone.utc)
     row = spark.createDataFrame([(prompt, response)], "prompt string, response string")
+    catalog = spark.createDataFrame([], CATALOG_SCHEMA)
+    if catalog_path:
+        try:
+            catalog = spark.read.schema(CATALOG_SCHEMA).parquet(catalog_path)
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
     if mode == "none":
-        plan = repair_patterns(row.withColumn("pattern", parse_pattern(F.col("response"))))
+        kind, value, plan = "regex", "pattern", refresh_patterns(row, catalog, now, ttl)
     else:
-        plan = audit_patterns(row.withColumn("pattern", parse_spec(F.col("response"))["pattern"]))
-    found = plan.select("pattern", "is_safe", "reason").first()
-    if not found.is_safe:
-        raise UnsafePattern(f"Regex safety check failed: {found.reason}: {found.pattern}")
-    return found.pattern
-
-
-def run_recorded(spark: SparkSession, run: Mapping, response: str, ledger_path: str) -> dict:
+        kind, value, plan = "spec", "value", refresh_specs(row, catalog, now, ttl)
+    found = spark.createDataFrame(plan.collect(), plan.schema)  # one row
+    result = found.select("pattern", "is_safe", "reason").first()
+    if not result.is_safe:
+        raise UnsafePattern(f"The pattern may not run ({result.reason}): {result.pattern}")
+    changed = as_entries(changed_entries(found, value), kind, now, value)
+    if catalog_path and not changed.isEmpty():
+        append_entries(changed, catalog_path)
+    return result.pattern
+
+
+def run_recorded(
+    spark: SparkSession, run: Mapping, response: str, ledger_path: str, catalog_path: str | None = None
+) -> dict:
     """One run from its record and the raw response, with one row in the ledger.
 
-    Input that cannot be processed ends in a FAILED record, not in an exception.
-    Options for reading may be given under ``read_options``.
+    The pattern comes from the catalogue where it has one for the prompt. Whatever goes
+    wrong ends in a FAILED record, not in an exception. Options for reading may be given
+    under ``read_options``.
     """
 
     started = datetime.now(timezone.utc)
@@ -134,7 +168,7 @@ def run_recorded(spark: SparkSession, run: Mapping, response: str, ledger_path:
     }
     try:
         mode = record["normalize_mode"]
-        record["generated_regex"] = pattern_from_response(spark, run["prompt"], response, mode)
+        record["generated_regex"] = pattern_for(spark, run["prompt"], response, mode, catalog_path)
         record["progress"] = 20
         result = run_transform(
             spark,
@@ -147,8 +181,8 @@ def run_recorded(spark: SparkSession, run: Mapping, response: str, ledger_path:
             **run.get("read_options", {}),
         )
         record.update(result, status="SUCCESS", progress=100)
-    except (ValueError, KeyError, FileNotFoundError, PySparkException) as problem:
-        record.update(status="FAILED", error_message=str(problem))
+    except Exception as problem:  # every failure is on record
+        record.update(status="FAILED", error_message=f"{type(problem).__name__}: {problem}")
     record["updated_at"] = record["completed_at"] = datetime.now(timezone.utc)
     record_runs(spark, [record], ledger_path)
     return record

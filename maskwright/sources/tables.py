@@ -1,13 +1,13 @@
-"""Readers: CSV, workbooks and Parquet, picked by the path's suffix."""
+"""Readers: CSV and Parquet, picked by the path's suffix."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from maskwright.sources.workbooks import read_workbooks
+from maskwright.functions.text import quoted
 
 # What one task is meant to read or write.
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
@@ -27,8 +27,10 @@ def read_csv(
 
     Types are inferred by default, which reads the data twice and turns ``02134``
     into a number. Give a ``schema``, or ``keep_strings`` for text as it stands:
-    both read the data once. With ``multi_line`` a cell may hold line ends, but a
-    file cannot be split; turn it off for large files without such cells.
+    both read the data once. A schema's columns are matched by the header's names, in
+    whatever order; every file is held to the first one's header. With ``multi_line`` a
+    cell may hold line ends, but a file cannot be split; turn it off for large files
+    without such cells.
     """
     reader = (
         spark.read.option("header", True)
@@ -36,9 +38,14 @@ def read_csv(
         .option("escape", '"')
         .option("inferSchema", schema is None and not keep_strings)
     )
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+    if schema is None:
+        return reader.csv(path)
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    header = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path).columns
+    if sorted(header) != sorted(wanted.names):
+        raise ValueError(f"The schema names the columns {wanted.names}, the files {header}.")
+    stored = StructType([wanted[name] for name in header])
+    return reader.schema(stored).option("enforceSchema", False).csv(path).select(*(quoted(n) for n in wanted.names))
 
 
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -67,18 +74,11 @@ def read_table(
             return read_csv(spark, path, schema=schema, keep_strings=keep_strings, multi_line=multi_line)
         if kind == ".parquet":
             return read_parquet(spark, path)
-        if kind == ".xlsx":
-            df = read_workbooks(spark, path, schema=schema)
-            return all_strings(df) if keep_strings else df
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Input file not found: {path}") from problem
-        raise ValueError(f"Spark could not read the input: {problem}") from problem
-    raise ValueError(f"Unsupported file type '{kind or '(none)'}'. Allowed: .csv, .xlsx, .parquet")
-
-
-def all_strings(df: DataFrame) -> DataFrame:
-    return df.to(StructType([StructField(name, StringType()) for name in df.columns]))
+            raise FileNotFoundError(f"There is no input at {path}") from problem
+        raise ValueError(f"The input cannot be read: {problem}") from problem
+    raise ValueError(f"No reader for '{kind or '(no suffix)'}'; there are .csv and .parquet")
 
 
 # --- partitioning ----------------------------------------------------------
@@ -108,19 +108,12 @@ def input_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def spread_unsplittable(
-    df: DataFrame, path: str, target: int = TARGET_PARTITION_BYTES, most: int | None = None
-) -> DataFrame:
+def spread(df: DataFrame, path: str, target: int = TARGET_PARTITION_BYTES, most: int | None = None) -> DataFrame:
     """Spread rows that came from a few large files that cannot be split.
 
-    Such a file is parsed by one task, and what follows here is cheap beside that.
-    The shuffle pays only where most of the cluster would have no file at all; many
-    files, whatever their size, stay one narrow stage.
+    Such a file is parsed by one task, and what follows here is cheap beside that: the
+    shuffle pays only where most of the cluster would have no file at all. That is for
+    the caller to say. Partitions follow the size of the files.
     """
-    sizes = input_files(df.sparkSession, path).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("length").alias("total"), F.max("length").alias("largest")
-    ).first()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if sizes.files == 0 or sizes.largest <= target or sizes.files * 4 > cores:
-        return df
-    return df.repartition(partitions_for(sizes.total, target, most))
+    total = input_files(df.sparkSession, path).agg(F.sum("length")).first()[0]
+    return df.repartition(partitions_for(total, target, most))

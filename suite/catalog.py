@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import patterns as P
 from maskwright.functions.text import WHITESPACE
 from maskwright.operators import catalog as C
+from maskwright.operators import profiling as R
 from suite.base import Query, lit, table
 
 _BLANKS = lit(WHITESPACE)
@@ -71,7 +72,10 @@ AUDITED = (
     ("({}", "does not compile"),
     ("{}**", "does not compile"),
     (r"\(?{}\)?", None),
-    ("(?P<n>{})", None),
+    ("(?P<n>{})", "does not compile"),
+    ("({}|b)+", "recursing group"),
+    ("({}|b)++", None),
+    ("((?:{}|b)c){2}", "recursing group"),
 )
 
 
@@ -164,7 +168,7 @@ MAIL_PATTERNS = (
     ("([a-z]+@{e}", r"[a-zA-Z0-9._%+-]+@{e}\b"),
     (r"\d{3}\d{3}\d{4}5", r"\d{3}\d{3}\d{3}5"),
     ("(r+)+@{e}", "(r+)+@{e}"),
-    ("(u+)+@{e}", r"[a-zA-Z0-9._%+-]+@{e}\b"),
+    ("(u+)+@{e}", "(u+)+@{e}"),
 )
 
 
@@ -187,10 +191,10 @@ def _repaired_sql() -> str:
         f"WHEN {i} THEN replace(replace({lit(p)}, '{{e}}', replace(domain, '.', '\\.')), '{{}}', domain)"
         for i, (_, p) in enumerate(MAIL_PATTERNS)
     )
-    nested = next(i for i, (_, p) in enumerate(MAIL_PATTERNS) if p.startswith("(r+)+"))
+    nested = ", ".join(str(i) for i, (_, p) in enumerate(MAIL_PATTERNS) if "+)+" in p)
     return f"""
 SELECT c_custkey, 'Domain is ' || domain AS prompt, CASE pick {repaired} END AS pattern,
-  pick <> {nested} AS is_safe, CASE pick WHEN {nested} THEN 'nested quantifier' END AS reason
+  pick NOT IN ({nested}) AS is_safe, CASE WHEN pick IN ({nested}) THEN 'nested quantifier' END AS reason
 FROM (SELECT c_custkey, c_custkey % {len(MAIL_PATTERNS)} AS pick,
     'shop' || c_custkey::VARCHAR || '.example.com' AS domain FROM customer)
 """
@@ -244,9 +248,101 @@ def catalog_misses(spark, folder):
 
 
 def catalog_changes(spark, folder):
-    """Where an event's own text differs from what the catalogue holds."""
-    found = C.look_up(event_prompts(spark, folder), event_catalog(spark, folder), NOW, TTL)
-    return C.changed_entries(found, "props").select("event_id", "props", "cached")
+    """Patterns of events beside what the catalogue holds; those of one type must not run."""
+    pattern = F.when(F.col("event_type") == "error", "(error+)+").otherwise(F.concat("event_type", F.lit("[0-9]+")))
+    prompts = event_prompts(spark, folder).join(table(spark, folder, "events").select("event_id", pattern.alias("pattern")), "event_id")
+    found = C.look_up(prompts, event_catalog(spark, folder), NOW, TTL)
+    return C.changed_entries(C.audit_patterns(found)).select("event_id", "pattern", "cached")
+
+
+def _refreshed(found, value, kind):
+    """Every prompt's outcome, and what is written back under its key."""
+    kept = C.as_entries(C.changed_entries(found, value), kind, NOW, value).select("key", F.col("value").alias("written"))
+    return found.join(kept, "key", "left")
+
+
+def _customer_entries(spark, folder, kind, value):
+    """Entries of a third of the customers; those of even nations are too old."""
+    entry = table(spark, folder, "customer").where("c_custkey % 3 = 0")
+    fresh = F.when(F.col("c_nationkey") % 2 == 1, F.lit(datetime(2024, 1, 30, tzinfo=timezone.utc)))
+    old = F.lit(datetime(2023, 12, 1, tzinfo=timezone.utc))
+    return entry.select(
+        P.prompt_key(F.concat(F.lit("user "), F.col("c_custkey").cast("string")), kind).alias("key"),
+        F.lit(kind).alias("kind"), value.alias("value"), F.coalesce(fresh, old).alias("created_at"),
+    )
+
+
+def _customer_prompts(spark, folder, response):
+    return table(spark, folder, "customer").select(
+        "c_custkey", F.concat(F.lit(" User "), F.col("c_custkey").cast("string")).alias("prompt"), response.alias("response")
+    )
+
+
+def catalog_refresh(spark, folder):
+    """Cached patterns, some in need of repair; raw responses, some unsafe."""
+    cached = F.when(F.col("c_custkey") % 2 == 0, r"\d{3}\d{3}\d{4}5").otherwise("[0-9]+")
+    response = F.when(F.col("c_custkey") % 5 == 0, "`(a|b)+`").otherwise(" `[a-z]+` ")
+    prompts = _customer_prompts(spark, folder, response)
+    found = C.refresh_patterns(prompts, _customer_entries(spark, folder, "regex", cached), NOW, TTL)
+    return _refreshed(found, "pattern", "regex").select("c_custkey", "cached", "pattern", "reason", "written")
+
+
+_REFRESH_SQL = r"""
+SELECT c_custkey, cached, pattern, reason, CASE WHEN reason IS NULL AND pattern IS DISTINCT FROM cached THEN pattern END AS written
+FROM (SELECT *, CASE WHEN cached IS NULL AND c_custkey % 5 = 0 THEN 'recursing group' END AS reason,
+    CASE WHEN cached IS NULL THEN CASE WHEN c_custkey % 5 = 0 THEN '(a|b)+' ELSE '[a-z]+' END
+      ELSE replace(cached, '{4}5', '{3}5') END AS pattern
+  FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_nationkey % 2 = 1 THEN
+      CASE WHEN c_custkey % 2 = 0 THEN '\d{3}\d{3}\d{4}5' ELSE '[0-9]+' END END AS cached FROM customer))
+"""
+
+
+def catalog_specs(spark, folder):
+    """Cached specs as JSON, some unreadable; raw responses, some without a pattern."""
+    cached = F.when(F.col("c_custkey") % 2 == 0, '{"pattern":"[0-9]{3}","normalize":"e164"}').otherwise("[0-9]{3}")
+    response = F.when(F.col("c_custkey") % 5 == 0, "no such lines").otherwise("PATTERN: x+\nNORMALIZE: ISO8601")
+    prompts = _customer_prompts(spark, folder, response)
+    found = C.refresh_specs(prompts, _customer_entries(spark, folder, "spec", cached), NOW, TTL)
+    return _refreshed(found, "value", "spec").select("c_custkey", "pattern", "normalize", "reason", "written")
+
+
+_SPECS_SQL = """
+SELECT c_custkey, pattern, CASE WHEN hit THEN 'e164' WHEN pattern IS NULL THEN 'none' ELSE 'iso8601' END AS normalize,
+  CASE WHEN pattern IS NULL THEN 'missing' END AS reason,
+  CASE WHEN NOT hit AND pattern IS NOT NULL THEN '{"pattern":"x+","normalize":"iso8601"}' END AS written
+FROM (SELECT c_custkey, hit, CASE WHEN hit THEN '[0-9]{3}' WHEN c_custkey % 5 <> 0 THEN 'x+' END AS pattern
+  FROM (SELECT c_custkey, c_custkey % 6 = 0 AND c_nationkey % 2 = 1 AS hit FROM customer))
+"""
+
+
+def suggestion_cache(spark, folder):
+    """Sample sets of documents, of which every other one is filed with its suggestions."""
+    samples = F.array(
+        F.struct(F.lit("text").alias("column"), F.split("text", "\n").alias("samples")),
+        F.struct(F.lit("lang").alias("column"), F.array("lang").alias("samples")),
+    )
+    sets = table(spark, folder, "documents").select(
+        "doc_id", samples.alias("samples"),
+        F.concat(F.lit('[{"column": "'), "lang", F.lit('", "pii_type": "EMAIL", "confidence": 0.75, "suggested_prompt": "p"},'
+                 ' {"column": "x", "confidence": 0.5}]')).alias("response"),
+    )
+    value = '[{"column":"text","pii_type":"name","confidence":0.875,"suggested_prompt":"names"}]'
+    catalog = sets.where("doc_id % 2 = 0").select(
+        P.sample_key(F.col("samples")).alias("key"), F.lit("samples").alias("kind"), F.lit(value).alias("value"),
+        F.lit(datetime(2024, 1, 30, tzinfo=timezone.utc)).alias("created_at"),
+    )
+    found = R.refresh_suggestions(sets, catalog, NOW, TTL)
+    return found.select("doc_id", F.col("cached").isNotNull().alias("hit"), "value")
+
+
+_SUGGESTIONS_SQL = """
+WITH given AS (SELECT doc_id, lang, list_sort(string_split(text, chr(10))[1:5]) AS lines FROM documents),
+filed AS (SELECT DISTINCT lang, lines FROM given WHERE doc_id % 2 = 0)
+SELECT doc_id, f.lang IS NOT NULL AS hit,
+  CASE WHEN f.lang IS NOT NULL THEN '[{"column":"text","pii_type":"name","confidence":0.875,"suggested_prompt":"names"}]'
+    ELSE '[{"column":"' || g.lang || '","pii_type":"email","confidence":0.75,"suggested_prompt":"p"}]' END AS value
+FROM given g LEFT JOIN filed f ON g.lang = f.lang AND g.lines = f.lines
+"""
 
 
 def catalog_upsert(spark, folder):
@@ -300,8 +396,12 @@ QUERIES = {
     ),
     "catalog_changes": Query(
         catalog_changes,
-        f"SELECT event_id, props, value AS cached FROM ({_PROMPTS_SQL}) p LEFT JOIN ({_LIVE_SQL}) c ON p.key = c.key"
-        " WHERE props IS DISTINCT FROM value",
+        f"SELECT event_id, event_type || '[0-9]+' AS pattern, value AS cached FROM ({_PROMPTS_SQL}) p"
+        f" JOIN (SELECT event_id, event_type FROM events) USING (event_id) LEFT JOIN ({_LIVE_SQL}) c ON p.key = c.key"
+        " WHERE event_type <> 'error' AND event_type || '[0-9]+' IS DISTINCT FROM value",
     ),
+    "catalog_refresh": Query(catalog_refresh, _REFRESH_SQL),
+    "catalog_specs": Query(catalog_specs, _SPECS_SQL),
+    "suggestion_cache": Query(suggestion_cache, _SUGGESTIONS_SQL),
     "catalog_upsert": Query(catalog_upsert, _UPSERT_SQL),
 }

@@ -31,6 +31,24 @@ def csv_texts(spark, folder):
     return read_table(spark, path, schema="doc_id bigint, text string, lang string")
 
 
+def csv_by_name(spark, folder):
+    """Read with a schema that names the columns in another order than the files."""
+    path = work_path(spark, "customer") + ".csv"
+    write_csv(table(spark, folder, "customer"), path)
+    schema = "c_mktsegment string, c_acctbal double, c_custkey bigint, c_nationkey int, c_name string"
+    return read_table(spark, path, schema=schema)
+
+
+def csv_spread(spark, folder):
+    """A job over few files that cannot be split, told to spread their rows first."""
+    path = work_path(spark, "orders") + ".csv"
+    write_csv(table(spark, folder, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")).coalesce(1), path)
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"
+    out = work_path(spark, "job")
+    result = run_transform(spark, path, "o_orderpriority", "[0-9]-", "P-", out, schema=schema, spread_bytes=64 * 1024)
+    return spark.read.parquet(result["result_path"])
+
+
 def transform_job(spark, folder):
     out = work_path(spark, "job")
     result = run_transform(spark, f"{folder}/orders.parquet", "o_orderpriority", "[0-9]-", "P-", out)
@@ -39,7 +57,7 @@ def transform_job(spark, folder):
 
 
 def standardise_job(spark, folder):
-    """Contacts as CSV, phones to E.164, sorted by id."""
+    """Contacts of orders as CSV, phones to E.164, sorted by id."""
     source = work_path(spark, "contacts") + ".csv"
     write_csv(contacts(spark, folder), source)
     result = run_transform(
@@ -139,6 +157,16 @@ def ledger_roundtrip(spark, folder):
     return _days(ledger.select(*L.STATUS_COLUMNS))
 
 
+def ledger_compact(spark, folder):
+    """Appended in many parts, then written anew in few files."""
+    path = work_path(spark, "ledger")
+    L.append_runs(runs(spark, folder).repartition(16), path)
+    compacted = L.compact_runs(spark, path, work_path(spark, "ledger"), rows_per_file=5_000)
+    files = compacted.select(F.input_file_name().alias("f")).distinct().count()
+    ledger = compacted.withColumn("few_files", F.lit(files <= 5))
+    return _days(ledger.select(*L.STATUS_COLUMNS, "few_files"))
+
+
 _LISTED = f"id, status, progress, original_filename, created_at, {_NO_TIME} AS completed_at"
 _STATUS = (
     "id, status, progress, normalize_mode, generated_regex, row_count, error_message, created_at,"
@@ -151,6 +179,12 @@ QUERIES = {
         "SELECT c_custkey::INTEGER AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     ),
     "csv_texts": Query(csv_texts, "SELECT doc_id, nullif(text, '') AS text, lang FROM documents"),
+    "csv_by_name": Query(csv_by_name, "SELECT c_mktsegment, c_acctbal, c_custkey, c_nationkey, c_name FROM customer"),
+    "csv_spread": Query(
+        csv_spread,
+        "SELECT * REPLACE (regexp_replace(o_orderpriority, '[0-9]-', 'P-', 'g') AS o_orderpriority,"
+        " strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders",
+    ),
     "transform_job": Query(
         transform_job,
         "SELECT o_orderkey, regexp_replace(o_orderpriority, '[0-9]-', 'P-', 'g') AS o_orderpriority,"
@@ -180,5 +214,6 @@ QUERIES = {
     "terminal_runs": Query(
         terminal_runs, f"SELECT id, status IN ('SUCCESS', 'FAILED', 'CANCELLED') AS is_terminal FROM ({_RUNS_SQL})"
     ),
+    "ledger_compact": Query(ledger_compact, f"SELECT {_STATUS}, true AS few_files FROM ({_RUNS_SQL})"),
     "ledger_roundtrip": Query(ledger_roundtrip, f"SELECT {_STATUS} FROM ({_RUNS_SQL})"),
 }

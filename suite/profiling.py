@@ -1,4 +1,4 @@
-"""Samples, classification, suggestions; and the made-up contacts they run on."""
+"""Samples, classification, suggestions; and contacts rendered from the given tables."""
 
 from __future__ import annotations
 
@@ -8,54 +8,42 @@ from maskwright.functions.patterns import sample_key
 from maskwright.functions.pii import LIBRARY
 from maskwright.functions.text import WHITESPACE
 from maskwright.operators import profiling as R
-from maskwright.sources import contacts as K
 from suite.base import Query, lit, table, words
 
 # --- contacts --------------------------------------------------------------
 
 
 def contacts(spark, folder):
-    return K.contacts_for(table(spark, folder, "customer"), "c_custkey")
-
-
-def _contacts_sql(source: str = "SELECT c_custkey AS id FROM customer") -> str:
-    starts, start = {}, 1
-    for name, width in K.DRAWS.items():
-        starts[name], start = start, start + width
-
-    def draw(name: str) -> str:
-        return f"('0x' || substr(digest, {starts[name]}, {K.DRAWS[name]}))::BIGINT"
-
-    def pick(name: str, values) -> str:
-        return f"{words(values)}[{draw(name)} % {len(values)} + 1]"
-
-    email = (
-        f"lower({pick('user_first', K.FIRST_NAMES)}) || '.' || lower({pick('user_last', K.LAST_NAMES)})"
-        f" || left(lpad(({draw('suffix')} % 1000)::VARCHAR, 3, '0'), {draw('suffix_length')} % 4)"
-        f" || '@' || {pick('domain', K.EMAIL_DOMAINS)}"
+    """Each order and its customer as a contact, rendered from their columns."""
+    orders = table(spark, folder, "orders")
+    customers = table(spark, folder, "customer")
+    key = F.col("o_orderkey")
+    phone = F.format_string(
+        "(%03d) %03d-%04d", F.col("o_custkey") % 800 + 200, key % 800 + 200, F.floor("o_totalprice") % 10000
     )
-    phone = (
-        f"replace(replace(replace({pick('layout', K.PHONE_LAYOUTS)}, '{{a}}', {pick('area', K.AREA_CODES)}),"
-        f" '{{e}}', ({draw('exchange')} % 800 + 200)::VARCHAR), '{{n}}', ({draw('number')} % 9000 + 1000)::VARCHAR)"
+    email = F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example.com"))
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        key.alias("id"),
+        F.concat(F.initcap("c_mktsegment"), F.lit(" Customer")).alias("full_name"),
+        email.alias("email"),
+        phone.alias("phone"),
+        F.date_format("o_orderdate", "M/d/yyyy").alias("since"),
+        F.col("o_totalprice").alias("balance"),
     )
-    date = (
-        f"'2024-' || lpad(({draw('month')} % 12 + 1)::VARCHAR, 2, '0')"
-        f" || '-' || lpad(({draw('day')} % 28 + 1)::VARCHAR, 2, '0')"
-    )
-    notes = (
-        f"replace(replace(replace(replace({pick('note', K.NOTES)}, '{{date}}', {date}),"
-        " '{order}', id::VARCHAR), '{phone}', phone), '{email}', email)"
-    )
-    return f"""
-SELECT id, {pick("first", K.FIRST_NAMES)} AS first_name, {pick("last", K.LAST_NAMES)} AS last_name,
-  email, phone, {pick("city", K.CITIES)} AS city,
-  ({draw("balance")} % 10000001) / 100.0::DOUBLE AS account_balance, {notes} AS notes
-FROM (SELECT *, {email} AS email, {phone} AS phone
-      FROM (SELECT id, sha256('42:' || id::VARCHAR) AS digest FROM ({source})))
+    notes = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Call "), "phone")).when(F.col("id") % 3 == 1, F.concat(F.lit("Write to "), "email"))
+    return rows.withColumn("notes", notes.otherwise(F.concat(F.lit("Since "), "since")))
+
+
+CONTACTS_SQL = """
+SELECT *, CASE id % 3 WHEN 0 THEN 'Call ' || phone WHEN 1 THEN 'Write to ' || email ELSE 'Since ' || since END AS notes
+FROM (SELECT o_orderkey AS id, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || ' Customer' AS full_name,
+    lower(replace(c_name, '#', '.')) || '@' || lower(c_mktsegment) || '.example.com' AS email,
+    '(' || (o_custkey % 800 + 200)::VARCHAR || ') ' || (o_orderkey % 800 + 200)::VARCHAR || '-'
+      || lpad((floor(o_totalprice)::BIGINT % 10000)::VARCHAR, 4, '0') AS phone,
+    strftime(o_orderdate, '%-m/%-d/%Y') AS since, o_totalprice AS balance
+  FROM orders JOIN customer ON o_custkey = c_custkey)
 """
-
-
-CONTACTS_SQL = _contacts_sql()
+CONTACT_COLUMNS = ["id", "full_name", "email", "phone", "since", "balance", "notes"]
 
 
 # --- classification --------------------------------------------------------
@@ -70,7 +58,7 @@ def pii_columns(spark, folder):
 
 
 def pii_tables(spark, folder):
-    """Columns of raw tables; the events' time is cast, so that it is text on both sides."""
+    """All columns of four raw tables, whatever little of them matches."""
     found = None
     for name in ("customer", "pages", "documents", "conversations"):
         one = R.classify_columns(table(spark, folder, name), min_confidence=0.01)
@@ -118,7 +106,7 @@ SELECT "column" AS target_column, suggested_prompt AS prompt, pii_type,
   CASE pii_type {labels} ELSE pii_type END AS label,
   CASE pii_type WHEN 'phone' THEN 'e164' WHEN 'date' THEN 'iso8601' ELSE 'none' END AS normalize_mode,
   CASE WHEN pii_type IN ('phone', 'date') THEN '' ELSE '[REDACTED]' END AS replacement_value
-FROM ({_classified_sql(CONTACTS_SQL, K.COLUMNS)})
+FROM ({_classified_sql(CONTACTS_SQL, CONTACT_COLUMNS)})
 """
 
 
@@ -136,8 +124,7 @@ _BLANKS = lit(WHITESPACE)
 
 
 def column_samples(spark, folder):
-    rows = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    samples = R.column_samples(rows, ["c_custkey"])
+    samples = R.column_samples(table(spark, folder, "customer"), ["c_custkey"])
     return samples.select("column", F.to_json("samples").alias("samples"))
 
 
@@ -219,7 +206,7 @@ SELECT event_id, 'k', 'none', 0.75, '' FROM given
 
 
 def _samples_sql() -> str:
-    columns = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+    columns = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     cells = " UNION ALL ".join(
         f"SELECT {lit(c)} AS \"column\", trim({c}::VARCHAR, {_BLANKS}) AS cell, row_number() OVER (ORDER BY c_custkey) AS n"
         f" FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 30) WHERE {c} IS NOT NULL"
@@ -232,9 +219,10 @@ def _samples_sql() -> str:
 
 
 QUERIES = {
+    # The name is that of the first round; the rows are rendered from orders and customers.
     "synthetic_contacts": Query(contacts, CONTACTS_SQL),
     "pii_shares": Query(pii_shares, _shares_sql("SELECT * FROM pages", RAW_TABLES["pages"])),
-    "pii_columns": Query(pii_columns, _classified_sql(CONTACTS_SQL, K.COLUMNS)),
+    "pii_columns": Query(pii_columns, _classified_sql(CONTACTS_SQL, CONTACT_COLUMNS)),
     "pii_tables": Query(
         pii_tables,
         " UNION ALL ".join(

@@ -49,3 +49,14 @@ def test_find(spark, tmp_path):
     assert "EqualTo(status,FAILED)" in plan_of(L.find_runs(ledger, status="FAILED"))
     done = ledger.where(L.is_terminal(F.col("status")))
     assert sorted(r.id[-1] for r in done.collect()) == ["1", "2", "3"]
+
+
+def test_compacting(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    for i in range(1, 7):
+        L.record_runs(spark, [run(i)], path)
+    L.record_runs(spark, [run(3)], path)
+    out = L.compact_runs(spark, path, str(tmp_path / "new"), rows_per_file=4)
+    assert sorted(r.id[-1] for r in out.collect()) == list("123456")
+    assert out.select(F.input_file_name()).distinct().count() <= 2
+    assert L.read_ledger(spark, path).count() == 7

@@ -76,7 +76,13 @@ def test_audit(spark):
         "(": "does not compile",
         "*": "does not compile",
         "a{99999999999}": "does not compile",
-        "(?P<n>a)": None,
+        "(?P<n>a)": "does not compile",  # it does in Python, but not where it runs
+        "(a|b)+": "recursing group",
+        "(?:[ab]|c)*d": "nested quantifier",  # by the look of (?:
+        "([ab]|c)*+d": None,
+        "((a|b)c){2,}": "recursing group",
+        r"(\(|a)b": None,
+        "[|]+(a)+": None,
         "": None,
         None: "missing",
     }
@@ -156,7 +162,7 @@ def test_repair_order_and_single_python_pass(spark):
     out = C.repair_patterns(df)
     assert [(r.pattern, r.is_safe, r.reason) for r in out.collect()] == [
         (r"\d{3}\d{3}\d{3}3", True, None),
-        (r"[a-zA-Z0-9._%+-]+@a\.io\b", True, None),
+        (r"(\w+)*@[a-z]+\.a\.io", False, "nested quantifier"),
         ("(x", False, "does not compile"),
     ]
     plan = plan_of(out)
@@ -166,6 +172,15 @@ def test_repair_order_and_single_python_pass(spark):
     assert tree.count("domain\\s+is") <= 2
 
 
+def test_a_refused_pattern_is_never_run(spark):
+    """It would hold its task for minutes, as the text it is tried on is the prompt's."""
+    prompt = "domain is " + "a" * 60 + ".b"
+    rows = [(p, prompt) for p in ("([a-z]+)+\\d", "([a-z]|[a-z])+\\d", "(a|a)+!", "x" * 600)]
+    out = C.repair_patterns(spark.createDataFrame(rows, "pattern string, prompt string")).collect()
+    assert [r.pattern for r in out] == [p for p, _ in rows]
+    assert [r.reason for r in out] == ["nested quantifier", "recursing group", "recursing group", "too long"]
+
+
 NOW = datetime(2024, 1, 1, 12)
 
 
@@ -241,8 +256,11 @@ def test_hot_key_is_split_in_a_shuffle_join(spark, operator):
 
 
 def test_write_back(spark):
-    rows = [("same", "p", "p"), ("repaired", "q", "p"), ("new", "r", None), ("none", None, None)]
+    rows = [("same", "p", "p"), ("repaired", "q", "p"), ("new", "r", None), ("none", None, None), ("unsafe", "(a+)+", None)]
     df = spark.createDataFrame(rows, "key string, pattern string, cached string")
+    with pytest.raises(ValueError, match="is_safe"):
+        C.changed_entries(df)
+    df = C.audit_patterns(df)
     assert sorted(r.key for r in C.changed_entries(df).collect()) == ["new", "repaired"]
 
     old = catalog(spark, [("a", "old", 100), ("b", "kept", 5), ("c", "tie-z", 7)])

@@ -54,6 +54,19 @@ def test_long_names_are_cut(spark):
     assert R.clean_samples(wide).first().column == "n" * 256
 
 
+def test_columns_with_long_names_are_told_apart(spark):
+    stem = "n" * 300
+    df = spark.createDataFrame([("a@b.org", "x")], f"{stem}1 string, {stem}2 string")
+    assert sorted(r.column for r in R.match_shares(df).collect()) == [stem + "1", stem + "2"]
+    assert [r.column for r in R.classify_columns(df).collect()] == [stem + "1"]
+
+
+def test_long_names_of_persons(spark):
+    names = [" ".join(["Ada"] * 9), "A" + "d" * 80 + " B" + "y" * 80, "Ada " * 5000 + "Ada"]
+    df = spark.createDataFrame([(n,) for n in names], "v string")
+    assert [(r.pii_type, r.confidence) for r in R.classify_columns(df).collect()] == [("name", 1.0)]
+
+
 def test_clean_and_trim(spark):
     schema = "column string, samples array<string>"
     rows = [("a", [None, " ", " 1 "] + [str(i) for i in range(2, 20)]), ("b", [None, "\t"]), ("c", [])]
@@ -113,7 +126,9 @@ def test_classify_whole_table(spark):
 
 def test_rounding_equals_python(spark):
     rng = random.Random(5)
-    values = [0.615, 0.625, 0.635, 0.665, 0.675, 0.875, 0.995, 0.6, 1.0, 2.675, 9.985]
+    values = [0.075, 0.155, 0.005, 0.015, 0.125, 0.375, 1e-9, 0.0, 123456.785, -0.125, -2.675, 1e300]
+    values += [i / 1000 for i in range(1000)] + [rng.uniform(0, 0.5) for _ in range(2000)]
+    values += [0.615, 0.625, 0.635, 0.665, 0.675, 0.875, 0.995, 0.6, 1.0, 2.675, 9.985]
     values += [rng.randrange(600, 1001) / 1000 for _ in range(2000)] + [rng.uniform(0.6, 1) for _ in range(2000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(round_2(F.col("v"))).collect()] == [round(v, 2) for v in values]
