@@ -45,6 +45,63 @@ def op6_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, list_filter(
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM documents
+), gram AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS g
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM doc WHERE len(words) > 0)
+), size AS (
+    SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id
+), pair AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM gram a JOIN gram b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+    SELECT x, y FROM pair JOIN size s ON x = s.doc_id JOIN size t ON y = t.doc_id WHERE 100 * c >= 75 * (s.n + t.n - c)
+), edge AS (
+    SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reached AS (
+    SELECT x AS node, x AS root FROM edge
+    UNION
+    SELECT e.y, r.root FROM reached r JOIN edge e ON e.x = r.node
+), least AS (
+    SELECT node, min(root) AS root FROM reached GROUP BY node
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(root, d.doc_id) AS component_id
+FROM doc d LEFT JOIN size s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.node = d.doc_id
+"""
+
+
+OP7_SQL = r"""
+WITH raw AS (
+    SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+    SELECT r, i, hash(substr(h, 2 * i - 1, 800)) AS s
+    FROM (SELECT r, h, unnest(range(1, length(h) // 2 - 398)) AS i FROM raw WHERE length(h) >= 800)
+), twice AS (
+    SELECT r, i FROM starts SEMI JOIN (SELECT s FROM starts GROUP BY s HAVING count(*) > 1) USING (s)
+), runs AS (
+    SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run
+    FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM twice)
+), span AS (
+    SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM runs GROUP BY r, run
+), piece AS (
+    SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 1) AS lo, lo AS hi FROM span
+    UNION ALL SELECT r, max(hi), NULL FROM span GROUP BY r
+), kept AS (
+    SELECT r, string_agg(substr(h, 2 * lo - 1, 2 * (coalesce(hi, length(h) // 2 + 1) - lo)), '' ORDER BY lo) AS h
+    FROM piece JOIN raw USING (r) GROUP BY r
+), gone AS (
+    SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM span GROUP BY r
+)
+SELECT doc_id, CAST(length(raw.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+    CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, raw.h))) AS kept_sha256
+FROM raw LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 OP6_SQL = r"""
 WITH item AS (
     SELECT item_id, list_filter(
@@ -182,11 +239,11 @@ FROM page LEFT JOIN judged USING (page_id)
 QUERIES = {
     "op1_mix_sources": LlmQuery(op1_mix_sources),
     "op2_secret_owners": LlmQuery(op2_secret_owners),
-    "op3_jaccard_components": LlmQuery(op3_jaccard_components),
+    "op3_jaccard_components": LlmQuery(op3_jaccard_components, OP3_SQL),
     "op4_rendezvous_shards": LlmQuery(op4_rendezvous_shards),
     "op5_token_matrices": LlmQuery(op5_token_matrices),
     "op6_benchmark_windows": LlmQuery(op6_benchmark_windows, OP6_SQL),
-    "op7_suffix_repeats": LlmQuery(op7_suffix_repeats),
+    "op7_suffix_repeats": LlmQuery(op7_suffix_repeats, OP7_SQL),
     "op8_toxicity_machine": LlmQuery(op8_toxicity_machine),
     "op9_listed_captures": LlmQuery(op9_listed_captures, OP9_SQL),
     "op10_chunk_fingerprints": LlmQuery(op10_chunk_fingerprints),
