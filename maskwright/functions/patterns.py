@@ -289,6 +289,14 @@ def first_found(text: Column, *patterns: Column) -> Column:
     return F.pandas_udf(choose, IntegerType())(text, *patterns)
 
 
+# What may stand too much between the @ and the domain, with a dot and
+# without; what may end the domain; and the pattern of a plain address.
+_SUB_DOMAIN = r"@\[[^\]]+\]\+\\\."
+_RUN = r"@\[[^\]]+\]\+"
+_DOMAIN_END = r"(?:\\b|\\Z|\$)"
+_PLAIN_ADDRESS = ("[a-zA-Z0-9._%+-]+@", r"\b")
+
+
 def escaped_domain(domain: Column) -> Column:
     return F.replace(domain, F.lit("."), F.lit(r"\."))
 
@@ -299,19 +307,20 @@ def without_sub_domain(pattern: Column, domain: Column) -> Column:
     Found only where the pattern spells the domain with bare dots and ends it with
     a word boundary or an end anchor.
     """
-    return _less(pattern, domain, r"@\[[^\]]+\]\+\\\.")
+    return _less(pattern, domain, _SUB_DOMAIN)
 
 
 def without_run(pattern: Column, domain: Column) -> Column:
     """The same for a bracketed run without a dot."""
-    return _less(pattern, domain, r"@\[[^\]]+\]\+")
+    return _less(pattern, domain, _RUN)
 
 
 def _less(pattern: Column, domain: Column, extra: str) -> Column:
     # The domain holds letters, digits, dots and hyphens only: always a sound regex.
-    regex = F.concat(F.lit(extra + "(?="), escaped_domain(domain), F.lit(r"(?:\\b|\\Z|\$))"))
+    regex = F.concat(F.lit(extra + "(?="), escaped_domain(domain), F.lit(_DOMAIN_END + ")"))
     return F.nullif(F.regexp_replace(pattern, regex, F.lit("@")), pattern)
 
 
 def plain_address(domain: Column) -> Column:
-    return F.concat(F.lit("[a-zA-Z0-9._%+-]+@"), escaped_domain(domain), F.lit(r"\b"))
+    before, after = _PLAIN_ADDRESS
+    return F.concat(F.lit(before), escaped_domain(domain), F.lit(after))

@@ -31,6 +31,7 @@ _MONTH = (
 # keep to what Java and RE2 read alike. Plain digit strings are left to the card
 # prefixes, so number and key columns are not taken for phones or the like.
 # ``name`` is weak: two capitalised words or more.
+# The types' names and labels, and the prompts that go with them.
 LIBRARY = (
     PiiType(
         "ssn", "Social Security Number",

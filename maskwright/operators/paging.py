@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from maskwright.functions.text import quoted
 
+# Rows of a page.
 DEFAULT_PAGE_SIZE = 100
 MAX_PAGE_SIZE = 1000
 

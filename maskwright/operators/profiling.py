@@ -203,16 +203,16 @@ def parse_suggestions(
         )
 
     kind = F.lower(text("pii_type"))
-    sound = F.when(
-        ~F.exists("__items", lambda item: number(item).isNull()), F.col("__items")
-    )
+    sound = F.when(~F.exists("__items", lambda i: i["confidence"].isNull()), F.col("__items"))
+    # The number is read once per item, for the check of the whole and for the row.
+    read = F.transform(items, lambda item: F.struct(item.alias("item"), number(item).alias("confidence")))
     # Conditions instead of filters up to the explode: Spark would push a filter down
     # and so parse the response once more for it.
     return (
         responses.select(*others, wrapped.alias("__json"))
-        .select(*others, items.alias("__items"))
-        .select(*others, F.explode(sound).alias("item"))
-        .withColumn("confidence", number(F.col("item")))
+        .select(*others, read.alias("__items"))
+        .select(*others, F.explode(sound).alias("__one"))
+        .select(*others, F.col("__one.item").alias("item"), F.col("__one.confidence").alias("confidence"))
         .where(F.col("confidence") >= min_confidence)
         .select(
             *others,
