@@ -17,19 +17,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from maskwright.llm.common import quoted, saved, without
 from maskwright.llm.wordhash import byte_table, utf8_of, word_pieces
 
 #: The training sample: at most so many labelled texts, those whose keys have the least hashes. The
 #: driver gets their kept terms, some 100 bytes a text.
-SAMPLE_ROWS = 50_000
+SAMPLE_ROWS = 20_000
 #: Terms fall into 2 ** BITS places; at most KEPT of them have weights.
 BITS, KEPT = 22, 4096
 #: A kept term stands in at least so many texts, and its share of labelled ones is so many standard
 #: deviations off the mean.
 LEAST_TEXTS, LEAST_Z = 4, 5.0
-FACTORS, ROUNDS, RATE, DECAY = 8, 150, 0.05, 2e-3
+FACTORS, ROUNDS, RATE, DECAY = 4, 120, 0.05, 2e-3
 THRESHOLD = 0.3
 _STEMS = (4, 5, 6, 7)
 #: Letters, digits and all bytes of other scripts make words.
@@ -94,7 +95,9 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     spark = labelled.sparkSession
     rows = labelled.where(quoted(label).isin(0, 1))
     rows = rows.select(F.xxhash64(quoted(key)).alias("at"), quoted(text).alias("text"), quoted(label).cast("int").alias("label"))
-    sample = rows.orderBy("at", "label").limit(sample_rows).select("text", "label").repartition(16).transform(saved)
+    # The bound is found on hashes alone; texts are never sorted.
+    last = rows.select("at").orderBy("at").limit(sample_rows).agg(F.max("at")).first()[0]
+    sample = rows.where(F.col("at") <= F.lit(last).cast("long")).select("text", "label").repartition(16).transform(saved)
     n, ones = sample.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
     share = (ones + 0.5) / (n + 1)
     counts = sample.mapInArrow(_count, "term long, texts long, labelled long").groupBy("term").agg(F.sum("texts").alias("c"), F.sum("labelled").alias("c1"))
@@ -149,7 +152,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     NULL texts get the score of a text without kept terms."""
     docs = without(docs, ["score"])
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    kind = docs.schema.add("score", "double")
+    kind = StructType([*docs.schema, StructField("score", DoubleType())])
     return docs.withColumn("__text", quoted(text)).mapInArrow(partial(_scores, machine=shared), kind)
 
 
