@@ -149,6 +149,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", size: int = 10) -> DataFrame:
     """The documents in which no window occurs, with their columns as they are. A document with a
     NULL key is judged by its text as any other."""
-    marks = window_hits(docs, items, key, text, size).hits.select("key", "text_hash").distinct()
-    same = quoted(key).eqNullSafe(marks["key"]) & (F.xxhash64(quoted(text)) == marks["text_hash"])
+    hits = window_hits(docs, items, key, text, size).hits
+    marks = hits.select(F.col("key").alias("__k"), F.col("text_hash").alias("__h")).distinct()
+    same = quoted(key).eqNullSafe(F.col("__k")) & (F.xxhash64(quoted(text)) == F.col("__h"))
     return docs.join(marks, same, "left_anti")

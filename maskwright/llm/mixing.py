@@ -175,12 +175,12 @@ def mixed_texts(docs: DataFrame, mix: Mix, text: str = "text") -> DataFrame:
     """The mix itself: one row per piece, with the document's other columns, ``text`` cut to the
     piece's words with the blanks after them, ``shard`` and ``slot``. Columns with these names are
     replaced, and ``n_chars``, where there is one, is that of the piece."""
-    docs = docs.withColumn("row_hash", row_hash(docs))
+    docs = docs.withColumn("__row_hash", row_hash(docs))
     docs = without(docs, ["shard", "slot"])
     cuts = taken_pieces(mix).groupBy(F.col("row_hash").alias("__row"))
     cuts = cuts.agg(F.collect_list(F.struct("shard", "slot", "start", "from", "until")).alias("__cuts"))
     # A document's pieces are as many as its own blocks: the list grows with its length only.
-    whole = docs.dropDuplicates(["row_hash"]).join(cuts, F.col("row_hash") == F.col("__row"))
+    whole = docs.dropDuplicates(["__row_hash"]).join(cuts, F.col("__row_hash") == F.col("__row"))
     parts = F.split(F.regexp_replace(quoted(text), f"^[{BLANKS}]+", ""), f"(?<=[{BLANKS}])(?=[^{BLANKS}])")
     whole = whole.withColumn("__parts", parts)
     whole = whole.withColumn(
@@ -194,5 +194,5 @@ def mixed_texts(docs: DataFrame, mix: Mix, text: str = "text") -> DataFrame:
     for name in docs.columns:
         if name.lower() == "n_chars":
             whole = whole.withColumn(name, F.char_length(quoted(text)).cast(docs.schema[name].dataType))
-    kept = [quoted(c) for c in docs.columns if c != "row_hash"]
+    kept = [quoted(c) for c in docs.columns if c != "__row_hash"]
     return whole.select(*kept, F.col("__cut.shard").alias("shard"), F.col("__cut.slot").alias("slot"))

@@ -77,9 +77,13 @@ FROM doc d LEFT JOIN size s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.node =
 OP7_SQL = r"""
 WITH raw AS (
     SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
-), starts AS (
-    SELECT r, i, hash(substr(h, 2 * i - 1, 800)) AS s
+), begins AS (
+    SELECT r, i, hash(substr(h, 2 * i - 1, 64)) AS s
     FROM (SELECT r, h, unnest(range(1, length(h) // 2 - 398)) AS i FROM raw WHERE length(h) >= 800)
+), likely AS (
+    SELECT r, i FROM begins SEMI JOIN (SELECT s FROM begins GROUP BY s HAVING count(*) > 1) USING (s)
+), starts AS (
+    SELECT r, i, hash(substr(h, 2 * i - 1, 800)) AS s FROM likely JOIN raw USING (r)
 ), twice AS (
     SELECT r, i FROM starts SEMI JOIN (SELECT s FROM starts GROUP BY s HAVING count(*) > 1) USING (s)
 ), runs AS (

@@ -58,9 +58,9 @@ def active_entries(captures: DataFrame, spans: DataFrame, url: str = "url", at:
     time of the fetch: from ``since`` on and before ``until``. A capture without a time meets none."""
     captures = without(captures, ["list", "key"])
     few = spans.count() <= BROADCAST_INTERVALS
-    right = spans.select(F.col("list").alias("__list"), F.col("key").alias("__key"), "since", "until")
+    right = spans.select("list", "key", "since", "until").toDF("__list", "__key", "__since", "__until")
     asked = captures.withColumn("__asked", F.explode(F.array_distinct(lookup_keys(quoted(url)))))
-    open_then = (quoted(at) >= F.col("since")) & (F.col("until").isNull() | (quoted(at) < F.col("until")))
+    open_then = (quoted(at) >= F.col("__since")) & (F.col("__until").isNull() | (quoted(at) < F.col("__until")))
     met = asked.join(F.broadcast(right) if few else right, (F.col("__asked") == F.col("__key")) & open_then)
     return met.select(*(quoted(c) for c in captures.columns), F.col("__list").alias("list"), F.col("__key").alias("key"))
 
@@ -72,7 +72,7 @@ def judge(captures: DataFrame, entries: DataFrame, blocking: str = "block", allo
     list is, nor one as long. Repeated captures are rows of their own; columns of these names are
     replaced. A NULL URL or time meets no entry and is not blocked.
     """
-    captures = without(captures, ["n_active", "reasons", "blocked", "since", "until"])
+    captures = without(captures, ["n_active", "reasons", "blocked"])
     spans = intervals(entries).transform(saved)
     # A capture is its URL and time: each pair is judged once, however often it was fetched.
     asked = captures.select(quoted(url).alias("__url"), quoted(at).alias("__at")).distinct()
