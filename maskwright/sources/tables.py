@@ -9,9 +9,9 @@ from pyspark.sql.types import StructType
 
 from maskwright.functions.text import quoted
 
-# What one task is meant to read or write.
+# Fixed value: what one task is meant to read or write.
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-# Partitions where the size of the input is not known.
+# Fixed value: partitions where the size of the input is not known.
 UNKNOWN_SIZE_PARTITIONS = 4
 
 
