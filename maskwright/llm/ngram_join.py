@@ -10,15 +10,16 @@ hub; then, with what that linked known, pairs from different components only. A
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import BLANKS, quoted, row_hash, saved
+from maskwright.llm.hashfilter import filter_of, may_hold
 from maskwright.llm.wordhash import NOT_BLANK, drawn, hashed_words, mixed, shingles, utf8_of
 
 #: The suffix filter compares counts in cells of the hash space, one byte each: for each set the least
@@ -31,9 +32,6 @@ OFTEN = 4
 #: The order by frequency names so many shingles; all others count as rare and stand by hash. This
 #: sets the order only, which may be any: results don't depend on it. 2 MB in each task.
 NAMED = 1 << 17
-#: Bits of the filter that tells which texts to hash again, 16 MB at any size of the corpus. Beyond
-#: its capacity it lets more through, and loses nothing.
-FILTER_BITS = 1 << 27
 
 
 class Likeness(NamedTuple):
@@ -259,8 +257,7 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch], size: int, bits) -> Iterator
     seen: set[int] = set()
     for batch in batches:
         rows = batch.column("row").to_numpy()
-        at = (rows % FILTER_BITS).astype(np.int64)
-        there = ((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+        there = may_hold(bits.value, rows)
         fresh = np.array([t and r not in seen for r, t in zip(rows.tolist(), there.tolist(), strict=True)], bool)
         chosen = batch.filter(pa.array(fresh))
         if not len(chosen):
@@ -372,7 +369,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, like: Like
     sized = sized.mapInArrow(partial(_near_in_cells, like=like), _ddl(_PAIR)).transform(saved)
     rows = [classes.select(F.col("cid").alias(s), F.col("row").alias(f"row_{s}")) for s in "ab"]
     wanted = sized.join(rows[0], "a").join(rows[1], "b").transform(saved)
-    bits = _filter_of(wanted.select(F.explode(F.array("row_a", "row_b")).alias("row")))
+    bits = filter_of(wanted.select(F.explode(F.array("row_a", "row_b")).alias("row")))
     bits = texts.sparkSession.sparkContext.broadcast(bits)
     # Dealt by the text's hash once, for the removal of copies; both joins find them there.
     sets = texts.mapInArrow(partial(_wanted_sets, size=like.words, bits=bits), _ddl(_SET)).dropDuplicates(["row"])
@@ -381,16 +378,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, like: Like
     return whole.mapInArrow(partial(_alike, like=like), _ddl(_PAIR))
 
 
-def _filter_of(rows: DataFrame) -> np.ndarray:
-    """One bit for each hash, FILTER_BITS in all; at most 4,096 rows of 4 KB come to the driver."""
-    at = F.pmod("row", F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1
-    parts = rows.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
-    for r in parts.collect():
-        bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return bits
-
-
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
     """One row per document: its key, ``n_shingles`` and ``component_id``, the smallest key that it
     is linked with over any number of links, its own included. Repeated rows stay rows of their own.
@@ -398,7 +385,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     rows = docs.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("row"))
     named = _named(rows, docs, text, like).select("key", "n", "component").transform(saved)
-    least = named.groupBy("component").agg(F.min("key").alias("least"))
+    # A plain table, so that the join can split a component that a large part of the rows is in.
+    least = named.groupBy("component").agg(F.min("key").alias("least")).transform(saved)
     named = named.join(least, "component")
     return named.select(
         F.col("key").alias(key),

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import quoted, saved, shared_folder
+from maskwright.llm.hashfilter import filter_of, may_hold
 from maskwright.llm.wordhash import drawn, utf8_of
 
 #: Leading bytes of a suffix that anchors are chosen by, and that neighbours have to share.
@@ -33,9 +34,6 @@ LEAD = 64
 AT_ONCE = 1 << 18
 #: Neighbours on each side that a suffix is compared with; what they leave open is counted.
 NEAR = 12
-#: Bits of the filters that tell which suffixes and texts to look at again, 16 MB at any size of the
-#: corpus. Beyond their capacity they let more through, and lose nothing.
-FILTER_BITS = 1 << 27
 
 _BYTE, _BASE = drawn(256, 21), drawn(1, 22)[0] | np.uint64(1)
 _PLACE_BITS = np.uint64(20)
@@ -115,11 +113,6 @@ def _keys(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
 
-def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes.view(np.int64) % FILTER_BITS).astype(np.int64)
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-
-
 _SUFFIX = pa.schema([
     ("key", pa.int64()), ("ctx", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int64()),
     ("low", pa.int32()), ("high", pa.int32()), ("back", pa.binary()), ("ahead", pa.binary()),
@@ -134,7 +127,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int, bits) -> Iterator[
     for batch in batches:
         data, offsets = utf8_of(batch.column("text"))
         found = find_anchors(data, offsets, length)
-        keep = _has(bits.value, found.key)
+        keep = may_hold(bits.value, found.key)
         if not keep.any():
             continue
         at, text, key, low, high = (x[keep] for x in found)
@@ -357,16 +350,6 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(ctxs, pa.int64()), pa.array(begins, pa.int32()), pa.array(hashes, pa.int64())], names=["ctx", "o", "h"])
 
 
-def _filter_of(hashes: DataFrame) -> np.ndarray:
-    """One bit for each hash, FILTER_BITS in all; at most 4,096 rows of 4 KB come to the driver."""
-    at = F.pmod(F.col(hashes.columns[0]), F.lit(FILTER_BITS)) + 1  # Spark's bitmaps count from 1
-    parts = hashes.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts.collect():
-        bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return bits
-
-
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, near: int = NEAR) -> DataFrame:
     """``text_hash, spans``: for each distinct text with any, the byte ranges (from, until) covered by
     strings of ``length`` bytes that start anywhere else too. Ranges may overlap.
@@ -380,7 +363,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, near:
     texts = docs.select(F.xxhash64(quoted(text)).alias("text_hash"), quoted(text).alias("text"))
     keys = texts.mapInArrow(partial(_keys, length=length), "key long, n long")
     keys = keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    bits = spark.sparkContext.broadcast(_filter_of(keys))
+    bits = spark.sparkContext.broadcast(filter_of(keys))
     found = _table(texts.mapInArrow(partial(_suffixes, length=length, bits=bits), _SUFFIX_KIND))
 
     # Copies of a text are one row from here on, with their number.
@@ -394,11 +377,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, near:
     known = contexts.select("ctx", "key", "low", "high").join(counts, "ctx").join(met, "ctx", "left")
     decided = _table(known.mapInArrow(partial(_decide, length=length), _DECIDED))
 
+    # Joins with plain tables can split leading bytes, or a string, that very many suffixes have.
     # Strings in doubt: all of the suffixes with the same leading bytes that begin between the bounds.
     doubts = decided.where("open_lo IS NOT NULL").groupBy("key").agg(F.min("open_lo").alias("open_lo"), F.max("open_hi").alias("open_hi"))
-    strings = _table(contexts.join(doubts, "key").mapInArrow(partial(_strings, length=length), "ctx long, o int, h long"))
+    strings = _table(contexts.join(_table(doubts), "key").mapInArrow(partial(_strings, length=length), "ctx long, o int, h long"))
     twice = strings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    more = strings.join(twice, "h").select("ctx", F.col("o").alias("lo"), F.col("o").alias("hi"))
+    more = strings.join(_table(twice), "h").select("ctx", F.col("o").alias("lo"), F.col("o").alias("hi"))
     spans = decided.select("ctx", F.explode("spans").alias("s")).select("ctx", "s.lo", "s.hi").unionByName(more)
     spans = _table(spans.groupBy("ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
 
@@ -413,7 +397,7 @@ def _carry(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
     """Texts without repeats end here; the others go on with their bytes."""
     for batch in batches:
         hashes = batch.column("text_hash").to_numpy()
-        maybe = _has(bits.value, hashes) if len(hashes) else np.zeros(0, bool)
+        maybe = may_hold(bits.value, hashes) if len(hashes) else np.zeros(0, bool)
         sizes, digests, raws = [], [], []
         for cell, more in zip(batch.column("text"), maybe.tolist(), strict=True):
             raw = (cell.as_py() or "").encode()
@@ -452,7 +436,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     repeats are shuffled.
     """
     spans = saved(repeated_spans(docs, text, length, near))
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(spans.select("text_hash")))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(spans.select("text_hash")))
     rows = docs.select(quoted(key).cast("long").alias("doc_id"), F.xxhash64(quoted(text)).alias("text_hash"), quoted(text).alias("text"))
     rows = rows.mapInArrow(partial(_carry, bits=bits), "doc_id long, text_hash long, n_bytes long, digest string, raw binary")
     whole = rows.join(spans, "text_hash", "left")

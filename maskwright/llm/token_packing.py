@@ -171,6 +171,13 @@ def pack_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", shape:
     return rows.mapInArrow(partial(_pack, shape=shape, vocabulary=vocabulary), _KIND)
 
 
+def write_matrices(matrices: DataFrame, path: str) -> DataFrame:
+    """The matrices as a table of binary cells, which hardly compress; returns what was written. A
+    reader takes ``ids`` as ``numpy.frombuffer(ids, f"<u{id_bytes}").reshape(n_rows, width)``."""
+    matrices.write.option("compression", "none").parquet(path)
+    return matrices.sparkSession.read.parquet(path)
+
+
 def _decode(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     encoding = tokenizer(vocabulary)
     for batch in batches:

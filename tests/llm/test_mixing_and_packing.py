@@ -141,9 +141,9 @@ def test_best_fit():
 
 
 @pytest.mark.parametrize("shape", [token_packing.Shape(width=16, rows=3, pool=100), token_packing.Shape()])
-def test_tokens_give_the_texts_back(spark, docs, shape):
+def test_tokens_give_the_texts_back(spark, tmp_path, docs, shape):
     rows = docs.where("doc_id IS NOT NULL AND doc_id <> 3").dropDuplicates(["doc_id"])
-    packed = token_packing.pack_tokens(rows, shape=shape).cache()
+    packed = token_packing.write_matrices(token_packing.pack_tokens(rows, shape=shape), str(tmp_path / "ids"))
     texts = {r.key: bytes(r.raw).decode() for r in token_packing.unpack_texts(packed).collect()}
     assert texts == {r.doc_id: r.text for r in rows.collect() if r.text}
     for r in packed.collect():
