@@ -17,6 +17,8 @@ from maskwright.llm.common import quoted, saved
 
 #: What parts words, as the contract states it.
 BETWEEN_WORDS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+#: The same before A-Z are lowered, which then are letters of words.
+BETWEEN_WRITTEN_WORDS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A benchmark of up to so many windows is broadcast (some 200 bytes each); a larger one is joined by
 #: a shuffle of the documents' words.
@@ -26,20 +28,20 @@ BROADCAST_MEETINGS = 200_000
 
 
 def words_of(text: Column) -> Column:
-    """The words in lower case; none for NULL. Only A-Z should count as a-z, but that takes a step per
-    character, while lower() is fast; equal words stay equal and in place under it. What it finds too
-    much is sorted out by ``exact_words``."""
-    return F.array_remove(F.split(F.coalesce(F.lower(text), F.lit("")), f"[{BETWEEN_WORDS}]+"), "")
+    """The words as they are written; none for NULL."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BETWEEN_WRITTEN_WORDS}]+"), "")
 
 
 def exact_words(text: Column) -> Column:
+    """The words with A-Z as a-z. That takes a step per character, so it is for few texts; the many are
+    looked through in lower case, word by word, which finds all that is equal here and a little more."""
     plain = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
     return F.array_remove(F.split(plain, f"[{BETWEEN_WORDS}]+"), "")
 
 
 class Hits(NamedTuple):
-    """``hits``: key, text hash, begin (word number from 0), length, window. ``windows``: window (id)
-    and the items that have it."""
+    """``hits``: key, text_hash, begin (word number from 0), length, window_id; each once. ``items``:
+    window_id and the items that have the window."""
 
     hits: DataFrame
     items: DataFrame
@@ -70,13 +72,13 @@ def window_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     hint = F.broadcast if windows.count() <= BROADCAST_WINDOWS else (lambda df: df)
     rows = docs.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("text_hash"), words_of(quoted(text)).alias("words"))
     rows = rows.select("key", "text_hash", F.size("words").alias("n"), F.posexplode(_pairs(F.col("words"))).alias("at", "pair"))
-    said = rows.select("key", "text_hash", "n", "at", "pair.word", "pair.next")
+    low = (F.lower("pair.word").alias("word"), F.lower("pair.next").alias("next"))
+    said = rows.select("key", "text_hash", "n", "at", *low)
 
     # Shingles of a window are its pairs of words; a window of one word is its own only shingle.
-    lowered = windows.select("window_id", F.transform("window", F.lower).alias("window"))
     length = F.size("window")
-    parts = lowered.select("window_id", length.alias("length"), F.posexplode(_pairs(F.col("window"))).alias("offset", "pair"))
-    parts = parts.select("window_id", "length", "offset", "pair.word", "pair.next")
+    parts = windows.select("window_id", length.alias("length"), F.posexplode(_pairs(F.col("window"))).alias("offset", "pair"))
+    parts = parts.select("window_id", "length", "offset", *low)
     single = parts.where("length = 1").drop("next")
     parts = parts.where("next IS NOT NULL").transform(saved)
     vocabulary = hint(parts.select("word", "next").distinct())
@@ -110,19 +112,31 @@ def _verified(met: DataFrame, docs: DataFrame, windows: DataFrame, key: str, tex
     return cut.select(F.col("k").alias("key"), F.col("h").alias("text_hash"), "c.m.begin", "c.m.length", "c.m.window_id").distinct()
 
 
+def _covered(spans: Column) -> Column:
+    """How many words lie in any of the spans, which come by begin."""
+
+    def further(so_far: Column, span: Column) -> Column:
+        end = span["begin"] + span["length"]
+        fresh = F.greatest(end - F.greatest(span["begin"], so_far["end"]), F.lit(0))
+        return F.struct(F.greatest(end, so_far["end"]).alias("end"), (so_far["words"] + fresh).alias("words"))
+
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("words"))
+    return F.aggregate(spans, start, further, lambda so_far: so_far["words"])
+
+
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", size: int = 10) -> DataFrame:
     """One row per document: key, n_words, n_hit, n_items, items_sha256, contaminated.
 
     ``n_hit`` counts the words inside any occurrence of a window, ``n_items`` the items with
     occurring windows. NULL and wordless texts have no words; wordless items have no windows; equal
-    items count each. Without items nothing is hit. Item ids are sorted as strings.
+    items count each; an item without an id hits but has no name to count. Without items nothing is
+    hit. Item ids are sorted as strings.
     """
     found = window_hits(docs, items, key, text, size)
     hits = found.hits.transform(saved)  # several sums are taken from it
     doc = ["key", "text_hash"]
     spans = hits.groupBy(*doc).agg(F.collect_set(F.struct("begin", "length")).alias("spans"))
-    covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["begin"], s["begin"] + s["length"] - 1)))
-    spans = spans.select(*doc, F.size(F.array_distinct(covered)).alias("n_hit"))
+    spans = spans.select(*doc, _covered(F.sort_array("spans")).alias("n_hit"))
     owners = hits.select(*doc, "window_id").distinct().join(found.items, "window_id")
     owners = owners.select(*doc, F.col("item").cast("string").alias("item")).distinct()
     owners = owners.groupBy(*doc).agg(F.sort_array(F.collect_list("item")).alias("items"))

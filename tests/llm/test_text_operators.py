@@ -167,9 +167,9 @@ ITEMS = [
 def test_decontamination(spark):
     rows = [
         (1, "so ALPHA beta-gamma delta epsilon zeta eta theta iota kappa it is"), (2, "a short item and a short   item"), (3, None), (4, ""),
-        (5, "één twee drie"), (6, "Één twee drie"), (7, "y " + "x y " * 8), (8, "nothing of note"), (8, "short item"), (None, "short item"), (1, "short item"), (2, "a short item and a short   item"),
+        (10, "see ΟΔΟΣ.Α and more"), (11, "ΟΔΟΣ ΕΝΑΣ"), (12, "οδος ΕΝΑΣ"), (5, "één twee drie"), (6, "Één twee drie"), (7, "y " + "x y " * 8), (8, "nothing of note"), (8, "short item"), (None, "short item"), (1, "short item"), (2, "a short item and a short   item"),
     ]
-    items = [(i if i is not None else 9, t) for i, t in ITEMS]
+    items = [(i if i is not None else 9, t) for i, t in ITEMS] + [(20, "ΟΔΟΣ"), (21, "ΟΔΟΣ'ΕΝΑΣ")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, window string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontamination.contamination(docs, bench)
