@@ -25,6 +25,8 @@ from maskwright.llm.wordhash import NOT_BLANK, drawn, hashed_words, mixed, shing
 #: The suffix filter compares counts in cells of the hash space, one byte each: for each set the least
 #: power of two that is a quarter of its size or more, and LEAST_CELLS at least.
 LEAST_CELLS = 64
+#: Texts of an Arrow batch that are hashed at once.
+TEXTS_AT_ONCE = 1024
 #: Bytes of a shingle's hash that sets are verified by.
 WIDTH = 6
 #: Shingles that a task has seen in so many sets are counted over the corpus.
@@ -57,11 +59,12 @@ class Likeness(NamedTuple):
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    data, offsets = utf8_of(column)
-    words, texts = hashed_words(data, offsets, NOT_BLANK)
-    grams, begins = shingles(words, texts, len(offsets) - 1, size)
-    for i in range(len(begins) - 1):
-        yield i, np.unique(grams[begins[i] : begins[i + 1]])
+    for lo in range(0, len(column), TEXTS_AT_ONCE):
+        data, offsets = utf8_of(column.slice(lo, TEXTS_AT_ONCE))
+        words, texts = hashed_words(data, offsets, NOT_BLANK)
+        grams, begins = shingles(words, texts, len(offsets) - 1, size)
+        for i in range(len(begins) - 1):
+            yield lo + i, np.unique(grams[begins[i] : begins[i + 1]])
 
 
 def _digest(grams: np.ndarray) -> tuple[int, int]:

@@ -140,11 +140,10 @@ def _fit(places: np.ndarray, labels: np.ndarray, lists: list[np.ndarray], n_term
     return Machine(places, float(base[0]), weights, vectors)
 
 
-def _scores(batches: Iterator[pa.RecordBatch], machine) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], text: str, machine) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, terms, n = _terms(batch.column("__text"), machine.value.places)
-        rest = batch.drop_columns(["__text"])
-        yield rest.append_column("score", pa.array(machine.value.score(texts, terms, n)))
+        texts, terms, n = _terms(batch.column(text), machine.value.places)
+        yield batch.append_column("score", pa.array(machine.value.score(texts, terms, n)))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
@@ -153,7 +152,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
     docs = without(docs, ["score"])
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     kind = StructType([*docs.schema, StructField("score", DoubleType())])
-    return docs.withColumn("__text", quoted(text)).mapInArrow(partial(_scores, machine=shared), kind)
+    return docs.mapInArrow(partial(_scores, text=text, machine=shared), kind)
 
 
 def held_out(key: Column) -> Column:
