@@ -5,6 +5,9 @@ nothing later. Each class sends the shingles of its prefix, rarest first, to the
 those shingles, and meets there the list of classes that have it too. Pairs come from the lists in two
 rounds, as a large group of near copies would else make all its pairs: first each class with its list's
 hub; then, with what that linked known, pairs from different components only. A pair is verified once, on whole sets.
+
+That gives components. For all links, ``all_links`` and ``links_per_class`` then compare the sets of each
+component, in which all its links lie, blocks of classes by blocks: a task holds two blocks at a time.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import BLANKS, quoted, row_hash, saved
@@ -286,6 +289,77 @@ def _alike(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Rec
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+#: A block of a component has about so many classes, and shingles, at most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Shingles that a pair of blocks is compared in at once, as columns of 0 and 1.
+COLUMNS = 4096
+_COUNTED = pa.schema([("cid", pa.int64()), ("links", pa.int64())])
+
+
+def _banded(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """Adds the band of ``n``. Bands start at 1, and each at the least size that no set of the start
+    of the one before is like: sets that are like lie in the same band or in neighbours."""
+    starts = [1]
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        while starts[-1] <= n.max(initial=0):
+            starts.append(starts[-1] * like.den // like.num + 1)
+        yield batch.append_column("band", pa.array(np.searchsorted(starts, n, "right"), pa.int32()))
+
+
+def _blocks_met(batches: Iterator[pa.RecordBatch], like: Likeness, counted: bool) -> Iterator[pa.RecordBatch]:
+    """The links of each unit: of a block's classes with each other, or with those of one other block.
+    Rows come sorted by unit."""
+    names = ["component", "lo", "i", "hi", "j"]
+    rest, unit = [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
+        cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else []
+        for lo, hi in zip(cuts, np.append(cuts, len(keys))[1:], strict=True):
+            if unit is not None and tuple(keys[lo]) != unit:
+                yield from _unit_links(rest, like, counted)
+                rest = []
+            unit = tuple(keys[lo])
+            rest.append(batch.slice(int(lo), int(hi - lo)))
+    if rest:
+        yield from _unit_links(rest, like, counted)
+
+
+def _unit_links(parts: list[pa.RecordBatch], like: Likeness, counted: bool) -> Iterator[pa.RecordBatch]:
+    cid, copies, second = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("cid", "copies", "second"))
+    raws = [raw for p in parts for raw in p.column("grams").to_pylist()]
+    n = np.array([len(raw) // WIDTH for raw in raws], np.int64)
+    grams = np.zeros((int(n.sum()), 8), np.uint8)
+    grams[:, 8 - WIDTH :] = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, WIDTH)
+    _, grams, seen = np.unique(grams.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
+    column = np.cumsum(seen > 1) - 1  # what one set only has is in no overlap
+    shared = seen[grams] > 1
+    owner, grams = np.repeat(np.arange(len(n)), n)[shared], column[grams[shared]]
+    order = np.argsort(grams, kind="stable")
+    owner, grams = owner[order], grams[order]
+    one = not second.any()
+    left, right = (np.arange(len(n)),) * 2 if one else (np.flatnonzero(~second), np.flatnonzero(second))
+    common = np.zeros((len(left), len(right)), np.float64)
+    for lo in range(0, int(column[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(grams, [lo, lo + COLUMNS])
+        has = np.zeros((len(n), min(COLUMNS, int(column[-1]) + 1 - lo)), np.float32)
+        has[owner[a:b], grams[a:b] - lo] = 1
+        common += has[left] @ has[right].T
+    alike = common * like.den >= (n[left][:, None] + n[right] - common) * like.num
+    if one:
+        np.fill_diagonal(alike, False)
+    if counted:
+        sums = np.zeros(len(n), np.int64)
+        sums[left] = (alike @ copies[right].astype(np.float64)).astype(np.int64)
+        if not one:
+            sums[right] = (copies[left].astype(np.float64) @ alike).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(sums)], schema=_COUNTED)
+    else:
+        x, y = np.nonzero(np.triu(alike) if one else alike)
+        pairs = np.sort(np.stack([cid[left][x], cid[right][y]]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=_PAIR)
+
+
 def _ddl(schema: pa.Schema) -> str:
     kinds = {"int64": "long", "int32": "int", "binary": "binary"}
     return ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in schema)
@@ -381,13 +455,75 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, like: Like
     return whole.mapInArrow(partial(_alike, like=like), _ddl(_PAIR))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
+def _met(docs: DataFrame, text: str, like: Likeness, found: Classes, known: DataFrame, counted: bool) -> DataFrame:
+    """All links inside the components ``known``: pairs of classes, or their copies added up per class.
+
+    A class goes to one unit for each block of its own band and of the bands beside it. A component of
+    one block is one unit. Each pair of classes that can be alike meets in exactly one unit.
+    """
+    texts = docs.select(F.xxhash64(quoted(text)).alias("row"), quoted(text).alias("text"))
+    classes = found.rows.where("n > 0").groupBy("cid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    members = classes.join(known, "cid").select("cid", "row", "n", "copies", "component")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", band int"
+    members = members.mapInArrow(partial(_banded, like=like), kind).transform(saved)
+    bands = members.groupBy("component", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+
+    def blocks(c: str, s: str) -> Column:
+        return F.ceil(F.greatest(F.col(c) / BLOCK, F.col(s) / BLOCK_SHINGLES)).cast("int")
+
+    # A component has few bands: they grow with the logarithm of the sizes.
+    bands = bands.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", blocks("c", "s")))).alias("blocks"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    # A plain table, so that the join can split a large component.
+    bands = bands.select("component", "blocks", (blocks("c", "s") <= 1).alias("whole")).transform(saved)
+    dealt = members.join(bands, "component")
+
+    def count(step: int) -> Column:
+        return F.coalesce(F.element_at("blocks", F.col("band") + step), F.lit(0))
+
+    def units(step: int, make) -> Column:
+        every = F.sequence(F.lit(0), F.greatest(count(step), F.lit(1)) - 1)
+        return F.transform(F.filter(every, lambda j: j < count(step)), make)
+
+    def unit(lo, i, hi, j, second) -> Column:
+        return F.struct(lo.alias("lo"), i.alias("i"), hi.alias("hi"), j.alias("j"), second.alias("second"))
+
+    zero, band, own = F.lit(0), F.col("band"), F.col("own")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), count(0)).cast("int"))
+    every = F.concat(
+        units(0, lambda j: unit(band, F.least(own, j), band, F.greatest(own, j), own > j)),
+        units(1, lambda j: unit(band, own, band + 1, j, F.lit(False))),
+        units(-1, lambda j: unit(band - 1, j, band, own, F.lit(True))),
+    )
+    every = F.when(F.col("whole"), F.array(unit(zero, zero, zero, zero, F.lit(False)))).otherwise(every)
+    dealt = dealt.select("row", "cid", "copies", "component", every.alias("units")).transform(saved)
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(dealt.select("row")))
+    sets = texts.mapInArrow(partial(_wanted_sets, size=like.words, bits=bits), _ddl(_SET)).dropDuplicates(["row"])
+    dealt = dealt.join(sets, "row").select("cid", "copies", "component", "grams", F.explode("units").alias("unit"))
+    names = ["component", "lo", "i", "hi", "j"]
+    dealt = dealt.select("component", "unit.*", "cid", "copies", "grams").repartition(*names).sortWithinPartitions(*names, "cid")
+    return dealt.mapInArrow(partial(_blocks_met, like=like, counted=counted), _ddl(_COUNTED if counted else _PAIR))
+
+
+def all_links(docs: DataFrame, text: str = "text", like: Likeness = Likeness()) -> Classes:
+    """As ``link_classes``, but with every pair of classes at or above the bound, each once. A group of
+    near copies has as many rows as pairs; for the numbers alone, see ``jaccard_components``."""
+    found = link_classes(docs, text, like)
+    found = found._replace(links=found.links.transform(saved))
+    known = components(docs.sparkSession, found.links)
+    return Classes(found.rows, _met(docs, text, like, found, known, False))
+
+
+def jaccard_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness(), count_links: bool = False
+) -> DataFrame:
     """One row per document: its key, ``n_shingles`` and ``component_id``, the smallest key that it
     is linked with over any number of links, its own included. Repeated rows stay rows of their own.
     Without shingles, a document's component is its own key. NULL keys never are the smallest.
+    ``count_links`` adds ``n_links``: how many other documents (rows) it is linked with directly, copies
+    among them; each pair of a component that can be alike is compared for it.
     """
     rows = docs.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("row"))
-    named = _named(rows, docs, text, like).select("key", "n", "component").transform(saved)
+    named = _named(rows, docs, text, like, count_links).select("key", "n", "component", *["n_links"] * count_links).transform(saved)
     # A plain table, so that the join can split a component that a large part of the rows is in.
     least = named.groupBy("component").agg(F.min("key").alias("least")).transform(saved)
     named = named.join(least, "component")
@@ -395,17 +531,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("least", "key")).otherwise(F.col("key")).alias("component_id"),
+        *["n_links"] * count_links,
     )
 
 
-def _named(rows: DataFrame, docs: DataFrame, text: str, like: Likeness) -> DataFrame:
-    """``rows``, which have the text's hash as ``row``, with n and component (the least class)."""
+def _named(rows: DataFrame, docs: DataFrame, text: str, like: Likeness, count_links: bool = False) -> DataFrame:
+    """``rows``, which have the text's hash as ``row``, with n and component (the least class), and
+    n_links if asked for."""
     found = link_classes(docs, text, like)
+    if count_links:
+        found = found._replace(links=found.links.transform(saved))
     known = components(docs.sparkSession, found.links)
     # A text that stands in many documents is one row here.
     by_text = found.rows.dropDuplicates(["row"]).join(known, "cid", "left")
-    by_text = by_text.select("row", "n", F.coalesce("component", "cid").alias("component")).transform(saved)
-    return rows.join(by_text, "row")
+    by_text = by_text.select("cid", "row", "n", F.coalesce("component", "cid").alias("component"))
+    if count_links:
+        linked = _met(docs, text, like, found, known, True).groupBy("cid").agg(F.sum("links").alias("links"))
+        copies = found.rows.where("n > 0").groupBy("cid").agg(F.count(F.lit(1)).alias("copies"))
+        numbers = copies.join(linked, "cid", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        by_text = by_text.join(numbers, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    return rows.join(by_text.drop("cid").transform(saved), "row")
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:

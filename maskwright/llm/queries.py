@@ -35,6 +35,11 @@ def op3_jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, folder, "documents"))
 
 
+def op3_jaccard_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, and how many other documents each is linked with."""
+    return ngram_join.jaccard_components(_table(spark, folder, "documents"), count_links=True)
+
+
 def op4_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     """The shard and slot of each document, and its shard once there is one more."""
     return sharding.law_by_key(_table(spark, folder, "documents"))
@@ -74,6 +79,12 @@ FROM doc d LEFT JOIN size s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.node =
 """
 
 
+#: That of the components, with the links of each document counted.
+OP3_LINKS_SQL = OP3_SQL.replace("), least AS (", "), linked AS (\n    SELECT x AS doc_id, count(*) AS n_links FROM edge GROUP BY x\n), least AS (")
+OP3_LINKS_SQL = OP3_LINKS_SQL.replace(" AS component_id\n", " AS component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links\n")
+OP3_LINKS_SQL += "LEFT JOIN linked k ON k.doc_id = d.doc_id\n"
+
+
 OP7_SQL = r"""
 WITH raw AS (
     SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
@@ -244,6 +255,7 @@ QUERIES = {
     "op1_mix_sources": LlmQuery(op1_mix_sources),
     "op2_secret_owners": LlmQuery(op2_secret_owners),
     "op3_jaccard_components": LlmQuery(op3_jaccard_components, OP3_SQL),
+    "op3_jaccard_links": LlmQuery(op3_jaccard_links, OP3_LINKS_SQL),
     "op4_rendezvous_shards": LlmQuery(op4_rendezvous_shards),
     "op5_token_matrices": LlmQuery(op5_token_matrices),
     "op6_benchmark_windows": LlmQuery(op6_benchmark_windows, OP6_SQL),

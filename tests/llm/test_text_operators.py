@@ -64,6 +64,44 @@ def test_jaccard_of_a_large_group(spark):
     assert got == Counter(brute.jaccard_components(rows))
 
 
+def links_of(rows):
+    """How many other rows each is like, the plain way."""
+    sets = [brute.shingles(t) for _, t in rows]
+    return Counter(
+        (rows[i][0], len(a), sum(i != j and bool(a and b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets))) for i, a in enumerate(sets)
+    )
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_all_links_are_counted(spark, docs, monkeypatch, block):
+    """Each link between different texts, also of texts that others have joined already."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(8)
+    base = odd.prose(rng, 160).split()
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    for i in range(90):
+        own = base[: rng.randint(100, 160)]
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = f"edit{rng.randint(0, 9)}"
+        rows.append((1000 + i, " ".join(own)))
+    rows += rows[-5:] + [(2000 + i, odd.prose(rng, 25)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.jaccard_components(df, count_links=True)
+    assert as_counter(got, "doc_id", "n_shingles", "n_links") == links_of(rows)
+    assert as_counter(got, "doc_id", "n_shingles", "component_id") == Counter(brute.jaccard_components(rows))
+    found = ngram_join.all_links(df)
+    sets = {frozenset(s) for s in (brute.shingles(t) for _, t in rows) if s}
+    want = sum(a is not b and 100 * len(a & b) >= 75 * len(a | b) for a in sets for b in sets) // 2
+    pairs = [(r.a, r.b) for r in found.links.collect()]
+    assert len(pairs) == len(set(pairs)) == want and all(a != b for a, b in pairs)
+
+
+def test_bands_hold_all_that_is_alike():
+    n = np.arange(1, 3000)
+    band = next(ngram_join._banded(iter([pa.RecordBatch.from_arrays([pa.array(n)], names=["n"])]), ngram_join.Likeness())).column("band").to_numpy()
+    assert (np.diff(band) >= 0).all() and (band[n * 4 // 3 <= 2999] + 1 >= band[(n * 4 // 3)[n * 4 // 3 <= 2999] - 1]).all()
+
+
 def test_lists_over_batches(monkeypatch):
     """Long lists and those that run over batches lose no class."""
     monkeypatch.setattr(ngram_join, "LONG", 3)
