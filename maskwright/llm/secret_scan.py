@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find candidates in every whole text. Their hashes are then counted over the corpus by
-distinct repositories and owners: what many owners have is an example that was copied around, what
-one owner has looks live. Besides what the fixed patterns find, long tokens of high entropy are
+distinct repositories and owners: what many owners or many repositories have is an example that was
+copied around, what few repositories of one owner have looks live. Besides what the fixed patterns find, long tokens of high entropy are
 candidates too; those become spans only if they are owner-specific.
 """
 
@@ -39,6 +39,9 @@ OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_BITS = 3.5
 #: Up to so many owners have a live secret (a team, its mirrors); more, and it is a copied example.
 MOST_OWNERS = 2
+#: And up to so many repositories, whoever owns them: one owner's services share a secret in a few; what
+#: stands in more was pasted.
+MOST_REPOSITORIES = 8
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.binary())])
 _FOUND = "owner string, repository string, spans array<struct<kind: int, start: int, end: int, value: binary>>"
@@ -110,28 +113,45 @@ def ownership(found: DataFrame) -> DataFrame:
     return repositories.join(owners, "value")
 
 
-def _joined(spans: Column) -> Column:
+def _joined(spans: Column, counts: Sequence[str] = ()) -> Column:
     kind = F.array(*(F.lit(k) for k in KINDS))
-    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
+
+    def written(s: Column) -> Column:
+        place = F.concat_ws(":", F.get(kind, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))
+        return F.concat_ws("=", place, F.concat_ws("/", *(s[c].cast("string") for c in counts))) if counts else place
+
+    return F.concat_ws(",", F.transform(spans, written))
 
 
 def scan_secrets(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source", most_owners: int = MOST_OWNERS
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    repository: str = "doc_id",
+    owner: str = "source",
+    most_owners: int = MOST_OWNERS,
+    most_repositories: int = MOST_REPOSITORIES,
 ) -> DataFrame:
-    """One row per document: key, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+    """One row per document: key, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied,
+    n_many_owners, n_many_repositories, spread.
 
     The base spans stay whatever their frequency; an opaque token is a span only if live, that is
-    with at most ``most_owners`` owners. ``n_live`` and ``n_copied`` count the document's candidates of
-    either sort. NULL texts are empty, repeated rows are rows of their own (of one repository).
+    with at most ``most_owners`` owners and ``most_repositories`` repositories. ``n_live`` and
+    ``n_copied`` count the document's candidates of either sort, ``n_many_owners`` and
+    ``n_many_repositories`` those beyond the one and the other bound. ``spread`` has
+    ``kind:start:end=owners/repositories/uses`` of every candidate, by start. NULL texts are empty,
+    repeated rows are rows of their own (of one repository).
     """
     found = candidates(docs, [key], text, repository, owner)
-    known = ownership(found).select("value", "owners").transform(saved)  # a plain table: hot secrets can be split in the join
+    known = ownership(found).transform(saved)  # a plain table: hot secrets can be split in the join
     each = found.select("row", F.explode("spans").alias("s")).withColumn("value", F.col("s.value"))
-    each = each.join(known, "value").select("row", "s", (F.col("owners") <= most_owners).alias("live"))
-    judged = each.groupBy("row").agg(F.collect_list(F.struct("s.start", "s.kind", "s.end", "live")).alias("judged"))
+    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    each = each.join(known, "value").withColumn("live", live)
+    counts = ["owners", "repositories", "uses"]
+    judged = each.groupBy("row").agg(F.collect_list(F.struct("s.start", "s.kind", "s.end", "live", *counts)).alias("judged"))
     rows = found.select("row", quoted(key).alias("key"), "spans").join(judged, "row", "left")
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    none = F.array().cast("array<struct<start: int, kind: int, end: int, live: boolean>>")
+    none = F.array().cast("array<struct<start: int, kind: int, end: int, live: boolean, owners: bigint, repositories: bigint, uses: bigint>>")
     judged = F.sort_array(F.coalesce("judged", none))
 
     def count(kind: int) -> Column:
@@ -146,4 +166,7 @@ def scan_secrets(
         _joined(F.filter(judged, lambda s: (s["kind"] < 3) | s["live"])).alias("spans"),
         F.size(F.filter(judged, lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter(judged, lambda s: ~s["live"])).cast("long").alias("n_copied"),
+        F.size(F.filter(judged, lambda s: s["owners"] > most_owners)).cast("long").alias("n_many_owners"),
+        F.size(F.filter(judged, lambda s: s["repositories"] > most_repositories)).cast("long").alias("n_many_repositories"),
+        _joined(judged, counts).alias("spread"),
     )

@@ -196,6 +196,18 @@ def test_copied_secrets_are_told_from_owned_ones(spark):
     assert owners == {9: (9, 9), 1: (2, 2)}
 
 
+def test_an_example_of_one_source_is_not_live(spark):
+    example, live = "Zx81kQ9pLm37Tt0vBw55", "Qw72mX4rNj86Yy1cHd20"
+    rows = [(i, f"see {example} here", "hot") for i in range(40)] + [(50, f"{live} {example}", "hot"), (51, "none", "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(df).collect()}
+    assert all((got[i].spans, got[i].n_live, got[i].n_copied) == ("", 0, 1) for i in range(40))
+    assert all((got[i].n_many_owners, got[i].n_many_repositories, got[i].spread) == (0, 1, "opaque:4:24=1/41/41") for i in range(40))
+    assert (got[50].spans, got[50].n_live, got[50].n_copied) == ("opaque:0:20", 1, 1)
+    assert got[50].spread == "opaque:0:20=1/1/1,opaque:21:41=1/41/41" and (got[51].spread, got[51].n_many_repositories) == ("", 0)
+    assert {r.n_live for r in secret_scan.scan_secrets(df, most_repositories=41).where("doc_id < 40").collect()} == {1}
+
+
 ITEMS = [
     (1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "short item"), (3, None), (4, ""), (5, "short, ITEM!"),
     (None, "Één twee drie"), (7, "x y x y x y x y x y x y"),
