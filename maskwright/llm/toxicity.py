@@ -2,8 +2,8 @@
 
 Terms are words and the first bytes of longer words. Each has a weight, and a short vector whose
 products with others' vectors weigh pairs of terms, which a sum of weights can't: a word that is an
-insult only beside certain others. Terms are counted over the whole training sample, those that go
-with the label are kept, and the machine is fitted on which of them a text has. All texts are scored
+insult only beside certain others. Terms are counted over the whole training sample, in which copies of
+a text are one; all that go with the label are kept, and the machine is fitted on which of them a text has. All texts are scored
 where they lie, without a shuffle.
 """
 
@@ -22,11 +22,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from maskwright.llm.common import quoted, saved, without
 from maskwright.llm.wordhash import byte_table, utf8_of, word_pieces
 
-#: The training sample: at most so many labelled texts, those whose keys have the least hashes. The
-#: driver gets their kept terms, some 100 bytes a text.
+#: The training sample: at most so many different labelled texts, those whose keys have the least
+#: hashes. The driver gets their kept terms.
 SAMPLE_ROWS = 20_000
-#: Terms fall into 2 ** BITS places; at most KEPT of them have weights.
-BITS, KEPT = 22, 4096
+#: Terms fall into 2 ** BITS places.
+BITS = 22
 #: A kept term stands in at least so many texts, and its share of labelled ones is so many standard
 #: deviations off the mean.
 LEAST_TEXTS, LEAST_Z = 4, 5.0
@@ -90,21 +90,24 @@ def _kept(batches: Iterator[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Fit on rows whose ``label`` is 0 or 1; others are left out. NULL texts count as empty ones.
-    Beyond ``sample_rows`` those with the least key hashes are taken. Without rows, or with one kind of
+    A text that has a label more than once is one row. Beyond ``sample_rows`` those with the least key
+    hashes are taken, ties by the text's hash. Without rows, or with one kind of
     label only, the machine gives every text the share of 1 (a half where there are none)."""
     spark = labelled.sparkSession
     rows = labelled.where(quoted(label).isin(0, 1))
     rows = rows.select(F.xxhash64(quoted(key)).alias("at"), quoted(text).alias("text"), quoted(label).cast("int").alias("label"))
     # The bound is found on hashes alone; texts are never sorted.
-    last = rows.select("at").orderBy("at").limit(sample_rows).agg(F.max("at")).first()[0]
-    sample = rows.where(F.col("at") <= F.lit(last).cast("long")).select("text", "label").repartition(16).transform(saved)
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    chosen = rows.groupBy("hash", "label").agg(F.min("at").alias("at")).orderBy("at", "hash", "label").limit(sample_rows).transform(saved)
+    sample = rows.join(F.broadcast(chosen), ["hash", "label", "at"]).dropDuplicates(["hash", "label"])
+    sample = sample.select("text", "label").repartition(16).transform(saved)
     n, ones = sample.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
     share = (ones + 0.5) / (n + 1)
     counts = sample.mapInArrow(_count, "term long, texts long, labelled long").groupBy("term").agg(F.sum("texts").alias("c"), F.sum("labelled").alias("c1"))
     z = (F.col("c1") - F.col("c") * share) / F.sqrt(F.col("c") * (share * (1 - share)))
     best = counts.where(F.col("c") >= LEAST_TEXTS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z)
-    best = best.orderBy(F.desc("z"), "term").limit(KEPT).collect()
-    places = np.zeros(1 << BITS, np.int16)
+    best = best.orderBy(F.desc("z"), "term").collect()  # bounded by 2 ** BITS
+    places = np.zeros(1 << BITS, np.int32)
     places[[r["term"] for r in best]] = np.arange(1, len(best) + 1)
     shared = spark.sparkContext.broadcast(places)
     kept = sample.mapInArrow(partial(_kept, places=shared), "label int, terms array<int>").toPandas()

@@ -187,6 +187,39 @@ def test_machine_learns_pairs(spark):
     assert (again.weights == machine.weights).all() and (again.vectors == machine.vectors).all()
 
 
+def test_copies_of_a_text_are_one_piece_of_evidence(spark):
+    rows = list(toxic_rows(1000, random.Random(2)))
+    long = " ".join(f"w{i}" for i in range(6000))  # more terms than any number of places kept for the best
+    copies = [(10_000 + i, long, 1) for i in range(600)]
+    df = spark.createDataFrame(rows + copies, "doc_id long, text string, label int").repartition(4)
+    machine = toxicity.train(df)
+    once = toxicity.train(spark.createDataFrame(rows + copies[:1], df.schema))
+    tests = list(toxic_rows(500, random.Random(9)))
+    other = spark.createDataFrame([(i, t) for i, t, _ in tests], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(other, machine).collect()}
+    assert got == {r.doc_id: r.score for r in toxicity.score(other, once).collect()}
+    assert sum((got[i] >= 0.3) == bool(label) for i, _, label in tests) / 500 > 0.98
+
+
+def test_all_terms_above_the_bound_are_kept(spark):
+    """Many texts of the same terms don't take the places of the others'."""
+    rng = random.Random(4)
+    rows = [(i, text, label) for i, text, label in toxic_rows(400, rng)]
+    block = [f"w{i}" for i in range(6000)]
+    rows += [(1000 + i, " ".join([*block, f"x{i}"]), 1) for i in range(120)]
+    rows += [(2000 + i, f"awful y{i}", 1) for i in range(40)]
+    machine = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(4))
+    assert len(machine.weights) > 6000 and machine.places.max() == len(machine.weights) - 1
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    rows = [(7, f"awful words of text {i}", i % 2) for i in range(300)] + [(7, "awful same", 1)] * 300
+    sizes = []
+    monkeypatch.setattr(toxicity, "_fit", lambda places, labels, lists, *rest: sizes.append(len(lists)))
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(4), sample_rows=50)
+    assert sizes == [50]
+
+
 def test_odd_rows_have_scores(spark, docs):
     machine = toxicity.train(spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, label int").limit(0))
     out = toxicity.score(docs, machine)
