@@ -9,6 +9,7 @@ Each stage takes ``(spark, docs, sf_dir)``; ``run`` writes what a stage returns
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,22 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _with_names_free(docs: DataFrame, names: set[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``stage`` returns without its columns ``names``; columns of ``docs`` with such names, as Spark
+    compares them, have others meanwhile."""
+    taken = {c.lower() for c in docs.columns}
+    aside = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            aside[c] = next(n for k in range(len(taken) + 1) if (n := f"__own{k}_{c}").lower() not in taken)
+    out = stage(docs.withColumnsRenamed(aside)).drop(*names)
+    return out.withColumnsRenamed({free: c for c, free in aside.items()})
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score is below the threshold of rejection."""
     machine = toxicity.train(toxicity.labelled_texts(docs, _table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, machine).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    return _with_names_free(docs, {"score"}, lambda d: toxicity.score(d, machine).where(F.col("score") < toxicity.THRESHOLD))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +54,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of documents that a mix with weights 5, 2, 1 takes, as often as it takes them."""
-    mix = mixing.plan_mix(docs)
-    return mixing.mixed_texts(docs, mix).drop("shard", "slot")
+    return _with_names_free(docs, {"shard", "slot"}, lambda d: mixing.mixed_texts(d, mixing.plan_mix(d)))
 
 
 def shard_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

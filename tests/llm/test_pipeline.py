@@ -30,6 +30,16 @@ def test_stages_keep_the_columns(steps):
     assert steps[-1].columns == [*steps[0].columns, "shard", "slot"]
 
 
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_columns_with_the_stages_own_names_stay(spark, stage):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id % 5 = 0")
+    named = docs.selectExpr("doc_id", "'a' AS Score", "text", "lang", "source", "n_chars", "doc_id AS shard", "'c' AS slot")
+    out = stage[1](spark, named, FOLDER)
+    assert out.columns == named.columns and out.schema["Score"].dataType == named.schema["Score"].dataType
+    rows = out.collect()
+    assert rows and all((r.Score, r.shard, r.slot) == ("a", r.doc_id, "c") for r in rows)
+
+
 def test_filters_take_the_right_rows(spark, steps):
     rows = [[(r.doc_id, r.text) for r in s.select("doc_id", "text").collect()] for s in steps[:4]]
     assert set(rows[1]) <= set(rows[0])
