@@ -5,7 +5,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ROOT, plan_of
+from plan_text import ROOT, plan_of
 from maskwright.operators.ledger import read_ledger
 from maskwright.operators.paging import stored_page
 from maskwright.plans import transform_job as J

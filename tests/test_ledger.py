@@ -2,7 +2,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plan_text import plan_of
 from maskwright.operators import ledger as L
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)

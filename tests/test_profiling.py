@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plan_text import plan_of
 from maskwright.functions.pii import LIBRARY, PII_TYPES, is_of_type
 from maskwright.functions.text import round_2
 from maskwright.operators import profiling as R

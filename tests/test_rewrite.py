@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from plan_text import plan_of
 from maskwright.functions.redaction import matches, redact, required_text
 from maskwright.functions.standardise import MONTHS, e164, iso8601
 from maskwright.operators.rewrite import known_mode, rewrite_column, rows_matching

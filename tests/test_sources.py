@@ -3,7 +3,7 @@ import io
 import re
 
 import pytest
-from conftest import plan_of
+from plan_text import plan_of
 from maskwright.sinks.files import write_csv, write_result
 from maskwright.sources import tables as S
 
