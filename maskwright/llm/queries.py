@@ -8,7 +8,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import chunk_fingerprint, decontamination, mixing, ngram_join, secret_scan, sharding, suffix_dedup, token_packing, toxicity, url_filter
+from maskwright.llm import (
+    chunk_fingerprint, class_lm, decontamination, fim, mixing, ngram_join, reversed_search, secret_scan, sharding, suffix_dedup, token_packing, toxicity,
+    url_filter,
+)
 
 
 class LlmQuery(NamedTuple):
@@ -251,6 +254,83 @@ FROM page LEFT JOIN judged USING (page_id)
 """
 
 
+def op11_fim_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document with its middle put last, and the text that can be made of that again."""
+    made = fim.fill_in_middle(_table(spark, folder, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    output, form = F.col("output"), F.col("form")
+    return made.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars",
+        digest(output).alias("output_sha256"), digest(fim.restored(output, form)).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t
+    FROM documents
+), draw AS (
+    SELECT *, len(t) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(t) + 1) AS one, CAST('0x' || h[9:16] AS BIGINT) % (len(t) + 1) AS two,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+            OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+            WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM doc
+), part AS (
+    SELECT doc_id, text, n, form, array_to_string(t[:least(one, two)], '') AS p,
+        array_to_string(t[least(one, two) + 1:greatest(one, two)], '') AS m, array_to_string(t[greatest(one, two) + 1:], '') AS s
+    FROM draw
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END)
+        AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM part
+"""
+
+
+def op12_class_bigrams(spark: SparkSession, folder: str) -> DataFrame:
+    """The probability of each document under class bigrams of the documents not held out."""
+    return class_lm.lm_scores(_table(spark, folder, "documents"))
+
+
+def op13_reversed_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 documents that best match each benchmark item."""
+    return reversed_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM documents
+), total AS (
+    SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM doc WHERE len(t) > 0
+), asked AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+    GROUP BY ALL
+), held AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM doc) SEMI JOIN asked USING (term) GROUP BY ALL
+), weight AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, total GROUP BY term
+), part AS (
+    SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(t) * n_docs) // n_terms))) AS value
+    FROM held JOIN doc USING (r) JOIN weight USING (term), total
+), scored AS (
+    SELECT item_id, r, CAST(sum(times * value) AS BIGINT) AS score FROM asked JOIN part USING (term) GROUP BY ALL
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank, doc_id, score
+    FROM scored JOIN doc USING (r) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 QUERIES = {
     "op1_mix_sources": LlmQuery(op1_mix_sources),
     "op2_secret_owners": LlmQuery(op2_secret_owners),
@@ -263,4 +343,7 @@ QUERIES = {
     "op8_toxicity_machine": LlmQuery(op8_toxicity_machine),
     "op9_listed_captures": LlmQuery(op9_listed_captures, OP9_SQL),
     "op10_chunk_fingerprints": LlmQuery(op10_chunk_fingerprints),
+    "op11_fim_documents": LlmQuery(op11_fim_documents, OP11_SQL),
+    "op12_class_bigrams": LlmQuery(op12_class_bigrams),
+    "op13_reversed_search": LlmQuery(op13_reversed_search, OP13_SQL),
 }
