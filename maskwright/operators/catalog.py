@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import patterns as P
 from maskwright.functions.text import quoted
+from maskwright.operators import versions
 
 CATALOG_SCHEMA = "key string, kind string, value string, created_at timestamp"
 
@@ -214,6 +215,32 @@ def as_entries(rows: DataFrame, kind: str, now: datetime | Column, value: str =
     return newest_per_key(entries).select("key", "kind", "value", "created_at")
 
 
+# --- the stored catalogue ---------------------------------------------------------
+
+
 def append_entries(entries: DataFrame, path: str) -> None:
     """The catalogue is read by its newest entry per key, so that adding to it is enough."""
-    entries.select("key", "kind", "value", "created_at").write.mode("append").parquet(path)
+    versions.append(entries.select("key", "kind", "value", "created_at"), path)
+
+
+def read_catalog(spark: SparkSession, path: str | None) -> DataFrame:
+    """The newest snapshot's entries and those appended since; none where there is no catalogue yet."""
+    return versions.read(spark, path, CATALOG_SCHEMA) if path else spark.createDataFrame([], CATALOG_SCHEMA)
+
+
+def merge_catalog(
+    spark: SparkSession, path: str, buckets: int = versions.BUCKETS, oldest: datetime | Column | None = None
+) -> versions.Version:
+    """Fold the appended entries into the next snapshot: the newest per key, as ``upsert`` keeps it.
+
+    Only the buckets that appended keys fall into are read and written. Entries created before
+    ``oldest`` are dropped from these: what is past its time to live is found by nobody, and a
+    catalogue that keeps it only ever grows. Entries appended meanwhile stay to be read.
+    """
+
+    def merged(rows: DataFrame) -> DataFrame:
+        if oldest is not None:
+            rows = rows.where(F.col("created_at") >= F.lit(oldest))
+        return newest_per_key(rows)
+
+    return versions.merge_table(spark, path, CATALOG_SCHEMA, "key", merged, buckets)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.functions.text import quoted
+from maskwright.operators import versions
+from maskwright.operators.folders import no_glob as _no_glob
 
 # Rows of a page.
 DEFAULT_PAGE_SIZE = 100
@@ -27,9 +29,9 @@ MAX_PAGE_SIZE = 1000
 FILES_AT_ONCE = 100_000
 
 # A range of rows that holds a page is sorted once it has no more rows than these.
-ROWS_TO_SORT = 100_000
+ROWS_TO_SORT = 250_000
 # Rows that cut a range into parts, whose rows are counted.
-CUTS = 32
+CUTS = 64
 
 
 # --- counts ----------------------------------------------------------------
@@ -53,11 +55,11 @@ def file_offsets(spark: SparkSession, path: str) -> DataFrame:
     a scan. Part and chunk numbers are compared as numbers: from 100,000 files on
     their names no longer sort that way.
     """
-    files = (
-        spark.read.parquet(_no_glob(path))
-        .groupBy(F.col("_metadata.file_path").alias("file_path"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    return _offsets(spark.read.parquet(_no_glob(path)))
+
+
+def _offsets(df: DataFrame) -> DataFrame:
+    files = df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("rows"))
     name = F.element_at(F.split("file_path", "/"), -1)
     order = Window.orderBy(
         F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint").asc_nulls_last(),
@@ -81,14 +83,58 @@ def _require_free(df: DataFrame, row_id: str) -> None:
         raise ValueError(f"The table has a column '{row_id}' already; name the numbers otherwise.")
 
 
-def with_row_ids(spark: SparkSession, path: str, row_id: str = ROW_ID) -> DataFrame:
+# One row per file of a stored dataset: a table kept beside it, and extended as files are added.
+INDEX_SCHEMA = "file_path string, rows bigint, first_row bigint"
+
+
+def _new_offsets(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """The offsets of the files that an index doesn't know, after those it does."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_no_glob(path))
+    there = there.select(F.col("_metadata.file_path").alias("file_path"))
+    gone = known.join(there, "file_path", "left_anti").limit(1).collect()
+    if gone:
+        raise ValueError(f"The index has a file that is no longer in {path}: {gone[0].file_path}")
+    names = [r.file_path for r in there.join(known, "file_path", "left_anti").collect()]
+    if not names:
+        return known.limit(0)
+    before = known.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+    # Of a new index all files are asked, of an older one those it lacks.
+    source = [_no_glob(path)] if not before[1] else [_no_glob(unquote(n)) for n in names]
+    fresh = _offsets(spark.read.parquet(*source))
+    return fresh.withColumn("first_row", F.col("first_row") + F.lit(before[0]))
+
+
+def extend_offsets(spark: SparkSession, path: str, index_path: str) -> DataFrame:
+    """The stored index of a dataset's files, ``file_path, rows, first_row``, brought up to date.
+
+    Footers are read of those files only that the index doesn't know; their rows are numbered after all
+    that it does, in the files' own order, so that a row keeps its number for good. Files are compared by
+    two lists of names. A file that is gone is an error: numbers after it would be wrong. One writer at a
+    time extends an index; ``merge_offsets`` folds its many small files into few.
+    """
+    known = versions.read(spark, index_path, INDEX_SCHEMA)
+    fresh = _new_offsets(spark, path, known)
+    if not fresh.isEmpty():
+        versions.append(fresh, index_path)
+    return versions.read(spark, index_path, INDEX_SCHEMA)
+
+
+def merge_offsets(spark: SparkSession, index_path: str) -> None:
+    versions.merge_table(spark, index_path, INDEX_SCHEMA, "file_path", DataFrame.distinct)
+
+
+def with_row_ids(spark: SparkSession, path: str, row_id: str = ROW_ID, offsets: DataFrame | None = None) -> DataFrame:
     """A stored dataset with a row number, from 0 without gaps, in its own order.
 
     The number is the file's first row plus the reader's row index: a map-side join
     to one row per file. Of very many files, so many at once that their offsets stay
     small: each such run of files is scanned by itself, and no row is ever shuffled.
+    Without a stored index of the ``offsets``, the footers are read once, here. Of a
+    dataset that grows, rows of files that the index doesn't know are left out.
     """
-    offsets = file_offsets(spark, path).select(F.col("file_path").alias("__file"), "first_row")
+    if offsets is None:
+        offsets = file_offsets(spark, path).persist()
+    offsets = offsets.select(F.col("file_path").alias("__file"), "first_row")
     rows = dataset(spark, path)
     _require_free(rows, row_id)
     columns = [quoted(name) for name in rows.columns]
@@ -238,8 +284,8 @@ def sorted_page(
     The table is neither sorted nor written. A few of its rows, taken at random, cut
     its order into ranges; the rows of each are counted in one scan of the keys; and
     the range that holds the page is cut again until it is small enough to be sorted.
-    That costs a scan for each factor of ``CUTS`` above ``ROWS_TO_SORT`` rows, for
-    any page. Which rows make the cuts doesn't change the outcome. For many pages of a
+    A row finds its range by a binary search among them. That costs a scan for each
+    factor of ``CUTS`` above ``ROWS_TO_SORT`` rows, for any page. Which rows make the cuts doesn't change the outcome. For many pages of a
     table, store its numbers once instead.
 
     Ties are broken by a hash of the row's content, unless the keys are ``unique``;
@@ -268,17 +314,19 @@ def _rows_between(df: DataFrame, keys: list[SortKey], total: int, first: int, en
     if total <= ROWS_TO_SORT:
         return df.orderBy(*order).offset(first).limit(end - first)
     names = [quoted(key.name) for key in keys]
-    drawn = df.select(*names).sample(min(1.0, 8.0 * CUTS / total)).limit(16 * CUTS)
-    cuts = [tuple(r) for r in drawn.distinct().orderBy(*order).collect()]
-    cuts = cuts[:: -(-len(cuts) // CUTS)] if cuts else []
-    if not cuts:
-        return _rows_between(df, keys, total, first, end)  # an unlucky draw
-    counts = df.agg(
-        *(F.count_if(_before(keys, df, cut)).alias(f"before{i}") for i, cut in enumerate(cuts)),
-        *(F.count_if(_equal(keys, df, cut)).alias(f"equal{i}") for i, cut in enumerate(cuts)),
-    ).first()
-    before = [counts[f"before{i}"] for i in range(len(cuts))]
-    after = [b + counts[f"equal{i}"] for i, b in enumerate(before)]
+    rows = df.select(*names)
+    drawn = rows.sample(min(1.0, 8.0 * CUTS / total)).limit(16 * CUTS).distinct().orderBy(*order).collect()
+    if not drawn:  # an unlucky draw, or no rows any more
+        drawn = rows.limit(CUTS).distinct().orderBy(*order).collect()
+    if not drawn:
+        raise ValueError(f"The table is empty, but was said to have {total} rows here.")
+    cuts = [tuple(r) for r in drawn][:: -(-len(drawn) // CUTS)]
+    place = _place_among(keys, df, cuts).alias("place")
+    counts = {r["place"]: r["count"] for r in rows.groupBy(place).count().collect()}
+    after, before = [], []
+    for i in range(len(cuts)):
+        before.append((after[-1] if after else 0) + counts.get(2 * i, 0))
+        after.append(before[-1] + counts.get(2 * i + 1, 0))
     parts = []
     # Ranges between the cuts, and the rows equal to a cut, which need no order.
     for i in range(len(cuts) + 1):
@@ -298,6 +346,40 @@ def _rows_between(df: DataFrame, keys: list[SortKey], total: int, first: int, en
     return reduce(DataFrame.unionByName, parts)
 
 
+def _place_among(keys: list[SortKey], df: DataFrame, cuts: list[tuple]) -> Column:
+    """Where a row stands among sorted cuts: 2 i + 1 if it equals cut i, else 2 i if so many come before.
+
+    A binary search in an array that all tasks know: a few comparisons a row, however many cuts.
+    """
+    kinds = [df.schema[k.name].dataType for k in keys]
+    given = F.array(*(F.struct(*(F.lit(v).cast(kind).alias(f"k{i}") for i, (v, kind) in enumerate(zip(cut, kinds, strict=True)))) for cut in cuts))
+    own = [quoted(k.name) for k in keys]
+
+    def not_after(cut: Column) -> Column:
+        """Whether a cut comes before the row, or equals it."""
+        found = F.lit(True)
+        for i, key in reversed(list(enumerate(keys))):
+            theirs, mine = cut[f"k{i}"], own[i]
+            low, high = (mine, theirs) if key.descending else (theirs, mine)
+            # NULL is the least value there is.
+            less = (low.isNull() & high.isNotNull()) | F.coalesce(low < high, F.lit(False))
+            found = less | (theirs.eqNullSafe(mine) & found)
+        return found
+
+    def further(at: Column, step: Column) -> Column:
+        cut = F.get(given, at + step - 1)
+        return F.when((at + step <= len(cuts)) & not_after(cut), at + step).otherwise(at)
+
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    at = F.aggregate(steps, F.lit(0), further)
+    # The cut found may be the row's equal; a search that found none is not.
+    return F.aggregate(F.array(at), F.lit(0), lambda _, n: F.when((n > 0) & _same(own, F.get(given, n - 1)), 2 * n - 1).otherwise(2 * n))
+
+
+def _same(own: list[Column], cut: Column) -> Column:
+    return reduce(Column.__and__, (mine.eqNullSafe(cut[f"k{i}"]) for i, mine in enumerate(own)))
+
+
 def _equal(keys: list[SortKey], df: DataFrame, row: tuple) -> Column:
     same = (quoted(k.name).eqNullSafe(F.lit(v).cast(df.schema[k.name].dataType)) for k, v in zip(keys, row, strict=True))
     return reduce(Column.__and__, same)
@@ -331,11 +413,6 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
 
 
-def _no_glob(path: str) -> str:
-    """A path spelled so that the reader takes it as it stands."""
-    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
-
-
 def stored_page(
     spark: SparkSession,
     path: str,

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,19 +14,20 @@ from pyspark.sql.types import StructType
 from maskwright.functions.patterns import recursing_group
 from maskwright.functions.redaction import literal_replacement
 from maskwright.operators.catalog import (
-    CATALOG_SCHEMA,
     TTL_SECONDS,
     append_entries,
     as_entries,
     changed_entries,
+    read_catalog,
     refresh_patterns,
     refresh_specs,
 )
+from maskwright.operators import run_events
 from maskwright.operators.ledger import record_runs
 from maskwright.operators.paging import in_order, sort_keys
 from maskwright.operators.rewrite import known_mode, require_column, require_mode, rewrite_column
-from maskwright.sinks.files import write_result
-from maskwright.sources.tables import read_table, spread
+from maskwright.sinks.files import write_result, write_rows
+from maskwright.sources.tables import quarantine_csv, read_table, spread, suffix_of
 
 
 class UnsafePattern(ValueError):
@@ -90,24 +91,41 @@ def run_transform(
     multi_line: bool = True,
     order_by: list[str] | None = None,
     spread_bytes: int | None = None,
+    quarantine_path: str | None = None,
+    progress: Callable[[float], None] | None = None,
 ) -> dict:
     """The same from a file, folder or glob of CSV or Parquet.
 
     ``spread_bytes``: deal the rows into partitions of about so many bytes first, where
     a few large files that cannot be split would leave most of a cluster idle.
+    ``quarantine_path``: rows of CSV files that don't fit the ``schema`` go there as they stand, and
+    the result counts them as ``quarantined_rows``; see ``quarantine_csv``. ``progress`` is called with
+    the share of the way behind.
     """
     require_mode(mode)
-    df = read_table(
-        spark, path, suffix=suffix, schema=schema, keep_strings=keep_strings, multi_line=multi_line
-    )
+    told = progress or (lambda share: None)
+    set_aside = {}
+    if quarantine_path is not None:
+        if schema is None or (suffix_of(path) if suffix is None else suffix.lower()) != ".csv":
+            raise ValueError("Rows are set aside of CSV files with a schema.")
+        df, bad = quarantine_csv(spark, path, schema, multi_line=multi_line)
+        set_aside["quarantined_rows"] = write_rows(bad, quarantine_path)
+    else:
+        df = read_table(
+            spark, path, suffix=suffix, schema=schema, keep_strings=keep_strings, multi_line=multi_line
+        )
     require_column(df, column)
+    told(0.1)
     rule = replacement if mode == "none" else ""
     check_rule(spark, regex, literal_replacement(rule) if literal else rule)
     if spread_bytes is not None:
         df = spread(df, path, spread_bytes)
-    return transform(
+    told(0.3)
+    result = transform(
         df, column, regex, replacement, out_dir, mode, literal=literal, order_by=order_by
     )
+    told(1.0)
+    return {**result, **set_aside}
 
 
 def pattern_for(
@@ -121,13 +139,7 @@ def pattern_for(
     """
     now = datetime.now(timezone.utc)
     row = spark.createDataFrame([(prompt, response)], "prompt string, response string")
-    catalog = spark.createDataFrame([], CATALOG_SCHEMA)
-    if catalog_path:
-        try:
-            catalog = spark.read.schema(CATALOG_SCHEMA).parquet(catalog_path)
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
+    catalog = read_catalog(spark, catalog_path)
     if mode == "none":
         kind, value, plan = "regex", "pattern", refresh_patterns(row, catalog, now, ttl)
     else:
@@ -142,14 +154,28 @@ def pattern_for(
     return result.pattern
 
 
+class Cancelled(Exception):
+    """Somebody cancelled the run."""
+
+
 def run_recorded(
-    spark: SparkSession, run: Mapping, response: str, ledger_path: str, catalog_path: str | None = None
+    spark: SparkSession,
+    run: Mapping,
+    response: str,
+    ledger_path: str,
+    catalog_path: str | None = None,
+    events_path: str | None = None,
 ) -> dict:
     """One run from its record and the raw response, with one row in the ledger.
 
     The pattern comes from the catalogue where it has one for the prompt. Whatever goes
     wrong ends in a FAILED record, not in an exception. Options for reading may be given
     under ``read_options``.
+
+    With ``events_path`` every step is an event as well, for all to see while the run goes on: it
+    begins, has its pattern, has read, planned and written. Whether the run was cancelled is read
+    before it begins, after its pattern is known, and before its success is put on record; a cancelled
+    run does no more work, and its record says so. A run that was queued there goes on under its id.
     """
 
     started = datetime.now(timezone.utc)
@@ -166,10 +192,28 @@ def run_recorded(
         "started_at": started,
         "progress": 10,
     }
+
+    def tell(status: str, **fields) -> None:
+        if events_path:
+            run_events.record_events(spark, [{"id": record["id"], "status": status, **fields}], events_path)
+
+    def stop_if_cancelled() -> None:
+        if events_path and run_events.state_of(spark, events_path, record["id"]) == run_events.CANCELLED:
+            raise Cancelled
+
+    def progress(share: float) -> None:
+        record["progress"] = max(record["progress"], min(20 + int(78 * share), 98))
+        tell(run_events.RUNNING, progress=record["progress"])
+
     try:
+        stop_if_cancelled()
+        given = ("file_path", "original_filename", "target_column", "prompt", "replacement_value", "normalize_mode")
+        tell(run_events.RUNNING, **{k: record.get(k) for k in given}, progress=10)
         mode = record["normalize_mode"]
         record["generated_regex"] = pattern_for(spark, run["prompt"], response, mode, catalog_path)
+        stop_if_cancelled()
         record["progress"] = 20
+        tell(run_events.RUNNING, generated_regex=record["generated_regex"], progress=20)
         result = run_transform(
             spark,
             run["file_path"],
@@ -178,11 +222,18 @@ def run_recorded(
             record["replacement_value"],
             f"{run['result_dir'].rstrip('/')}/{record['id']}",
             mode,
+            progress=progress if events_path else None,
             **run.get("read_options", {}),
         )
-        record.update(result, status="SUCCESS", progress=100)
+        stop_if_cancelled()
+        record.update(result, status=run_events.SUCCESS, progress=100)
+    except Cancelled:
+        record.update(status=run_events.CANCELLED)
     except Exception as problem:  # every failure is on record
-        record.update(status="FAILED", error_message=f"{type(problem).__name__}: {problem}")
+        record.update(status=run_events.FAILED, error_message=f"{type(problem).__name__}: {problem}")
     record["updated_at"] = record["completed_at"] = datetime.now(timezone.utc)
+    if record["status"] != run_events.CANCELLED:
+        ended = {k: record.get(k) for k in ("result_path", "row_count", "error_message", "progress", "quarantined_rows")}
+        tell(record["status"], **ended)
     record_runs(spark, [record], ledger_path)
     return record

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from maskwright.functions.text import quoted
 
@@ -48,6 +48,43 @@ def read_csv(
     return reader.schema(stored).option("enforceSchema", False).csv(path).select(*(quoted(n) for n in wanted.names))
 
 
+#: The text of a row that does not fit, and the file it came from.
+BAD_ROW, BAD_FILE = "row_text", "file_path"
+
+
+def quarantine_csv(
+    spark: SparkSession, path: str | list[str], schema: StructType | str, *, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """CSV rows that fit the schema, and those that don't, as they stand, with the file they are in.
+
+    A row fits if it has as many cells as the header and every cell that isn't empty is a value of its
+    column's type. ``read_csv`` would cut long rows, fill short ones and turn such cells into NULL.
+    Columns are matched by the header's names. Each of the two tables is one reading of the files:
+    which rows it has doesn't depend on the columns that are used of it.
+    """
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    header = reader.csv(path).columns
+    if sorted(header) != sorted(wanted.names):
+        raise ValueError(f"The schema names the columns {wanted.names}, the files {header}.")
+    corrupt = next(n for k in range(len(header) + 1) if (n := f"__corrupt{k}") not in header)
+    stored = StructType([*(wanted[name] for name in header), StructField(corrupt, StringType())])
+    rows = (
+        reader.schema(stored)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", corrupt)
+        .option("columnPruning", False)
+        .option("enforceSchema", False)
+        .csv(path)
+    )
+    rows = rows.select("*", F.col("_metadata.file_path").alias(f"{corrupt}_file"))
+    good = rows.where(quoted(corrupt).isNull()).select(*(quoted(n) for n in wanted.names))
+    # Spark won't read the odd rows' text alone; this holds for any row, and has the other columns read.
+    read = F.xxhash64(*(quoted(n) for n in header)) >= F.lit(-(2**63))
+    bad = rows.where(quoted(corrupt).isNotNull() & read)
+    return good, bad.select(quoted(corrupt).alias(BAD_ROW), quoted(f"{corrupt}_file").alias(BAD_FILE))
+
+
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.parquet(*([path] if isinstance(path, str) else path))
 

@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from plan_text import ROOT, plan_of
+from maskwright.operators import run_events as E
 from maskwright.operators.ledger import read_ledger
 from maskwright.operators.paging import stored_page
 from maskwright.plans import transform_job as J
 from maskwright.sinks.files import write_csv
-from maskwright.streaming.rewrite_stream import start_rewrite
+from maskwright.sinks.files import find_result
+from maskwright.streaming.rewrite_stream import read_batches, recorded_batches, start_rewrite
 
 PEOPLE = """id,name,email,notes
 1,Ada Byron,ada.byron@gmail.com,Write to ada.byron@gmail.com
@@ -137,6 +139,94 @@ def test_runs_share_a_catalogue(spark, people, tmp_path):
     assert entries == {("regex", "[a-z]+@"), ("spec", '{"pattern":"[0-9]{3}","normalize":"e164"}')}
 
 
+def steps_of(spark, events, run):
+    rows = E.read_events(spark, events).where(F.col("id") == run).orderBy("event_at").collect()
+    return [(r.status, r.progress) for r in rows]
+
+
+def test_runs_are_seen_as_they_go(spark, people, tmp_path):
+    ledger, events = str(tmp_path / "ledger"), str(tmp_path / "events")
+    base = {"file_path": people, "target_column": "notes", "result_dir": str(tmp_path / "results"), "prompt": "x"}
+    (queued,) = E.queue_runs(spark, [base], events)
+    done = J.run_recorded(spark, {**base, "id": queued}, "[0-9]+", ledger, events_path=events)
+    assert done["status"] == "SUCCESS"
+    assert steps_of(spark, events, queued) == [("QUEUED", 0), *(("RUNNING", p) for p in (10, 20, 27, 43, 98)), ("SUCCESS", 100)]
+    state = E.run_states(E.read_events(spark, events)).first()
+    assert (state.status, state.row_count, state.generated_regex, state.target_column) == ("SUCCESS", 3, "[0-9]+", "notes")
+    failed = J.run_recorded(spark, {**base, "target_column": "z"}, "a", ledger, events_path=events)
+    assert E.state_of(spark, events, failed["id"]) == "FAILED"
+
+
+def test_cancelled_runs_do_no_work(spark, people, tmp_path, monkeypatch):
+    ledger, events = str(tmp_path / "ledger"), str(tmp_path / "events")
+    base = {"file_path": people, "target_column": "notes", "result_dir": str(tmp_path / "results"), "prompt": "x"}
+    (early,) = E.queue_runs(spark, [base], events)
+    E.cancel_run(spark, events, early)
+    monkeypatch.setattr(J, "run_transform", lambda *a, **k: pytest.fail("cancelled runs do not begin"))
+    assert J.run_recorded(spark, {**base, "id": early}, "a", ledger, events_path=events)["status"] == "CANCELLED"
+    pattern_for = J.pattern_for
+
+    def meanwhile(*args):
+        E.cancel_run(spark, events, "later")
+        return pattern_for(*args)
+
+    monkeypatch.setattr(J, "pattern_for", meanwhile)
+    assert J.run_recorded(spark, {**base, "id": "later"}, "a", ledger, events_path=events)["status"] == "CANCELLED"
+    assert steps_of(spark, events, "later") == [("RUNNING", 10), ("CANCELLED", None)]
+    assert {r.status for r in read_ledger(spark, ledger).collect()} == {"CANCELLED"}
+
+
+def test_a_failing_job_leaves_the_old_result(spark, tmp_path):
+    out = str(tmp_path / "out")
+    first = J.write_result(spark.range(5), out)
+    broken = spark.range(9).withColumn("id", F.when(F.col("id") == 8, F.raise_error(F.lit("no such luck")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="no such luck"):
+        J.write_result(broken, out)
+    assert find_result(spark, out) == first["result_path"] and spark.read.parquet(first["result_path"]).count() == 5
+    assert sorted(os.listdir(out)) == ["output.parquet"]
+    # A job may read what it replaces.
+    again = J.write_result(spark.read.parquet(first["result_path"]).where("id < 2"), out)
+    assert again == {"result_path": first["result_path"], "row_count": 2} and spark.read.parquet(again["result_path"]).count() == 2
+
+
+def test_a_switch_that_broke_off_is_finished(spark, tmp_path):
+    out = str(tmp_path / "out")
+    assert find_result(spark, out) is None
+    path = J.write_result(spark.range(5), out)["result_path"]
+    os.rename(path, f"{out}/_ready.parquet")  # as a crash between the renames leaves it
+    assert spark.read.parquet(find_result(spark, out)).count() == 5
+    assert J.write_result(spark.range(3), out)["row_count"] == 3
+    assert spark.read.parquet(path).count() == 3 and sorted(os.listdir(out)) == ["output.parquet"]
+
+
+def test_rows_that_do_not_fit_are_set_aside(spark, tmp_path):
+    src, aside = tmp_path / "in.csv", str(tmp_path / "aside")
+    src.write_text('id,notes,born\n1,"a, ""b""\nc",2024-01-01\n2,x\n3,y,2024-01-01,more\nfour,z,2024-01-01\n5,,\n6,w,2024-02-30\n')
+    result = J.run_transform(spark, str(src), "notes", "b", "#", str(tmp_path / "out"), schema="id int, born date, notes string", quarantine_path=aside)
+    assert (result["row_count"], result["quarantined_rows"]) == (2, 4)
+    rows = spark.read.parquet(result["result_path"]).orderBy("id").collect()
+    assert [(r.id, r.notes) for r in rows] == [(1, 'a, "#"\nc'), (5, None)] and rows[0].asDict().keys() == {"id", "born", "notes"}
+    assert sorted(r.row_text for r in spark.read.parquet(aside).collect()) == ["2,x", "3,y,2024-01-01,more", "6,w,2024-02-30", "four,z,2024-01-01"]
+    for bad in ({"schema": None}, {"schema": "id int", "suffix": ".parquet"}):
+        with pytest.raises(ValueError):
+            J.run_transform(spark, str(src), "notes", "b", "#", str(tmp_path / "o"), quarantine_path=aside, **bad)
+    with pytest.raises(ValueError, match="names the columns"):
+        J.run_transform(spark, str(src), "notes", "b", "#", str(tmp_path / "o"), schema="id int", quarantine_path=aside)
+
+
+def test_recorded_batches_count_once(spark, tmp_path):
+    out, events = str(tmp_path / "out"), str(tmp_path / "events")
+    rows = spark.createDataFrame([(1, "a1"), (2, "b2")], "id int, cell string")
+    write = recorded_batches("s", "cell", "[0-9]", "#", out, events)
+    for _ in range(2):
+        write(rows, 0)
+    write(rows.limit(0), 1)
+    assert sorted(tuple(r) for r in read_batches(spark, out, rows.schema).collect()) == [(1, "a#"), (2, "b#")]
+    states = E.run_states(E.read_events(spark, events)).orderBy("id").collect()
+    assert [(r.status, r.row_count, r.progress) for r in states] == [("SUCCESS", 2, 100), ("SUCCESS", 0, 100)]
+    assert read_batches(spark, str(tmp_path / "none"), rows.schema).count() == 0
+
+
 def test_every_failure_is_on_record(spark, people, tmp_path, monkeypatch):
     def broken(*args, **kwargs):
         raise ZeroDivisionError("no such luck")

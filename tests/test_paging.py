@@ -1,3 +1,4 @@
+import os
 import re
 
 import pytest
@@ -227,3 +228,51 @@ def test_columnar_page_keeps_order_and_nulls(spark):
     row = out.first()
     assert row[0] == ["v0", None, "v2", None, "v4", None]
     assert row[1] == [{"m": i} for i in range(6)]
+
+
+def test_an_index_is_extended_by_new_files_only(spark, tmp_path, monkeypatch):
+    path, index = str(tmp_path / "t"), str(tmp_path / "index")
+    spark.range(0, 70).repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(path)
+    first = {r.file_path: (r.rows, r.first_row) for r in G.extend_offsets(spark, path, index).collect()}
+    assert sum(n for n, _ in first.values()) == 70
+    spark.range(70, 100).repartitionByRange(2, "id").sortWithinPartitions("id").write.mode("append").parquet(path)
+    asked = []
+    offsets = G._offsets
+    monkeypatch.setattr(G, "_offsets", lambda df: asked.append(len(df.inputFiles())) or offsets(df))
+    second = G.extend_offsets(spark, path, index)
+    assert asked == [2] and {r.file_path: (r.rows, r.first_row) for r in second.collect()}.items() >= first.items()
+    G.merge_offsets(spark, index)
+    third = G.extend_offsets(spark, path, index)
+    assert asked == [2] and third.count() == second.count()
+    numbered = G.with_row_ids(spark, path, "at", offsets=third).collect()
+    assert all(r["at"] == r.id for r in numbered) and len(numbered) == 100
+    page = G.stored_page(spark, path, 4, 20, offsets=third)
+    assert [r.id for r in page.collect()] == list(range(60, 80))
+    for name in os.listdir(path):
+        if name.startswith("part-00000"):
+            os.remove(os.path.join(path, name))
+    with pytest.raises(ValueError, match="no longer"):
+        G.extend_offsets(spark, path, index)
+
+
+def test_places_among_cuts(spark):
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b", "c"]), rng.choice([None, 0.5, float("nan")])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "x int, y string, z double")
+    for flags in itertools.product([False, True], repeat=3):
+        keys = [G.SortKey(n, d) for n, d in zip("xyz", flags, strict=True)]
+        cuts = [tuple(r) for r in df.distinct().orderBy(*(k.order for k in keys)).collect()][::3]
+        got = df.select(G._place_among(keys, df, cuts).alias("p"), *(F.struct(G._before(keys, df, c), G._equal(keys, df, c)).alias(f"c{i}") for i, c in enumerate(cuts))).collect()
+        for r in got:
+            before = sum(not r[f"c{i}"][0] and not r[f"c{i}"][1] for i in range(len(cuts)))
+            equal = [i for i in range(len(cuts)) if r[f"c{i}"][1]]
+            assert r.p == (2 * equal[0] + 1 if equal else 2 * before)
+
+
+def test_a_count_that_no_longer_holds(spark, monkeypatch):
+    monkeypatch.setattr(G, "ROWS_TO_SORT", 10)
+    with pytest.raises(ValueError, match="empty"):
+        G.sorted_page(spark.range(0), ["id"], 2, 10, total_rows=1000).collect()
