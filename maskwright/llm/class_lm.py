@@ -161,7 +161,8 @@ def best_class(pairs: np.ndarray, right: np.ndarray, left: np.ndarray, itself: f
         right, left = right.copy(), left.copy()
         right[own] -= itself
         left[own] -= itself
-    after, before = m.sum(axis=1), m.sum(axis=0)
+    # How often each class stands before and after anything, steps to and from the word among it.
+    after, before = m.sum(axis=1) + left, m.sum(axis=0) + right
     gain = (_f(m + right) - _f(m)).sum(axis=1) + (_f(m + left[:, None]) - _f(m)).sum(axis=0)
     diagonal = m.diagonal()
     gain += _f(diagonal + right + left + itself) + _f(diagonal) - _f(diagonal + right) - _f(diagonal + left)
@@ -434,7 +435,7 @@ def _encode(batches: Iterator[pa.RecordBatch], at_hand, marks: Marks, names: tup
         at = at[known]
         n, kind = hand.counts[at], hand.classes[at]
         codes[known] = kind + ONCE * (n == 1).astype(np.uint8)
-        sums = [np.bincount(text[known], x, len(counts)) for x in (marks.base(n), marks.within(n, kind))]
+        sums = [np.bincount(text[known], x, len(counts)).astype(np.float64) for x in (marks.base(n), marks.within(n, kind))]
         left, owner = tokens[~known].view(np.int64), text[~known]
         ends = np.cumsum(counts)
         raw = codes.tobytes()
