@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
+from maskwright.functions.ambiguity import ambiguous
 from maskwright.functions.standardise import MODES
 from maskwright.functions.text import LINE_END, strip, strip_fence
 
@@ -147,7 +148,7 @@ def _checker():
     Made inside a function, like the UDFs below, so that Spark ships them by value
     and workers need not have this package installed.
     """
-    recurses = recursing_group
+    recurses, shares = recursing_group, ambiguous
 
     def new_checker():
         known = {None: (None, None)}
@@ -158,7 +159,8 @@ def _checker():
                     warnings.simplefilter("ignore")
                     try:
                         compiled = re.compile(pattern)
-                        known[pattern] = (compiled, "recursing group" if recurses(pattern) else None)
+                        problem = "recursing group" if recurses(pattern) else "ambiguous" if shares(pattern) else None
+                        known[pattern] = (compiled, problem)
                     except (re.error, OverflowError, RecursionError):
                         known[pattern] = (None, "does not compile")
             return known[pattern]
@@ -191,7 +193,8 @@ def unsafe_reason(pattern: Column) -> Column:
     """Why a pattern must not run, or NULL.
 
     It has to compile in Python, where it may come from, and in the JVM, where it
-    runs; and no cell may be long enough to end an executor.
+    runs; no cell may be long enough to end an executor, and none to hold a task by the
+    many ways in which a row of repeats can share it out.
     """
     unseen = refused_unseen(pattern)
     in_jvm = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)

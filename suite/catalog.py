@@ -76,6 +76,11 @@ AUDITED = (
     ("({}|b)+", "recursing group"),
     ("({}|b)++", None),
     ("((?:{}|b)c){2}", "recursing group"),
+    ("{}a*a*a*b", "ambiguous"),
+    (r"{}\d+,?\d+[0-5]?\d+$", "ambiguous"),
+    (r"\d++\d++\d++{}", None),
+    (r"\S+@\S+{}", None),
+    (r"[a-z0-9.-]+@[a-z0-9.-]+\.[a-z]{2,}{}", None),
 )
 
 

@@ -272,3 +272,52 @@ def test_write_back(spark):
     }
     # Rows of one key are combined before the shuffle.
     assert "partial_max" in plan_of(merged)
+
+
+@pytest.mark.parametrize(
+    ("pattern", "sharing"),
+    [
+        ("abc", 0), ("a+", 1), ("a*a*a*b", 3), (r"\d+\d+\d+$", 3), (r"\d+-\d+-\d+", 1), (r"\d{3}-?\d{2}-?\d{4}", 0), (r"\S+@\S+", 2),
+        (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 1), (r"\d++\d++\d++", 0), (r"(?>\d+)x", 1), (r"\w+\s+\w+\s+\w+", 1), (".*x.*y.*z", 3),
+        (r"(?i)a+A+a+", 3), (r"a+[^b]+c+", 3), ("(abc)+(abc)+", 2), ("(abc)+(bca)+", 1), (r"a{1,500}a{2,}a{0,99}b", 3), (r"a{1,9}a{1,9}a{1,9}", 0),
+        ("é+é+é+", 3), ("漢+語+漢+", 1), (r"^\s*\w*\s*$", 2), ("", 0), (r"(a+)\1", 1), ("(?:x|a+)(?:y|a+)(?:z|a+)", 3),
+    ],
+)
+def test_repeats_that_share_text(pattern, sharing):
+    from maskwright.functions.ambiguity import ambiguous, sharing_repeats
+
+    assert sharing_repeats(pattern) == sharing
+    assert ambiguous(pattern) == (sharing > 2)
+
+
+def test_ambiguity_of_random_patterns():
+    """Against counting: the ways to share out a text grow with its length no faster than the repeats say."""
+    import math
+    import random
+
+    from maskwright.functions.ambiguity import sharing_repeats
+
+    rng = random.Random(3)
+    for _ in range(60):
+        parts = [(rng.choice(["a", "b", "ab"]), rng.choice("+*1?")) for _ in range(rng.randint(1, 4))]
+        pattern = "".join(f"[{c}]" + ("" if q == "1" else q) for c, q in parts)
+
+        def ways(text, parts=parts):
+            """How many ways the parts take the whole text."""
+            counts = {0: 1}
+            for chars, q in parts:
+                found = {}
+                for at, n in counts.items():
+                    stop = at
+                    while stop < len(text) and text[stop] in chars:
+                        stop += 1
+                    low, high = {"+": (1, 10**9), "*": (0, 10**9), "1": (1, 1), "?": (0, 1)}[q]
+                    for end in range(at + low, min(at + high, stop) + 1):
+                        found[end] = found.get(end, 0) + n
+                counts = found
+            return counts.get(len(text), 0)
+
+        most = [max(ways(unit * (n // len(unit)) + tail) for unit in ("a", "b", "ab", "ba") for tail in ("", "a", "b", "aa", "bb")) for n in (12, 24, 48)]
+        if most[2]:
+            degree = 0 if most[1] == most[2] else round(math.log2(most[2] / most[1]))
+            assert max(sharing_repeats(pattern) - 1, 0) >= degree
