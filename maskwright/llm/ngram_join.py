@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import BLANKS, quoted, row_hash, saved
+from maskwright.llm.common import BLANKS, quoted, row_hash
 from maskwright.llm.hashfilter import filter_of, may_hold
+from maskwright.llm.store import release, stored
 from maskwright.llm.wordhash import NOT_BLANK, drawn, hashed_words, mixed, shingles, utf8_of
 
 #: The suffix filter compares counts in cells of the hash space, one byte each: for each set the least
@@ -370,13 +371,13 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
     component``. Labels go along links and through other labels until none changes. They are written
     each time to the folder of ``spark.checkpoint.dir``."""
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = both.union(both.select("y", "x")).transform(saved)
-    labels = both.groupBy(F.col("x").alias("cid")).agg(F.least(F.min("y"), F.first("x")).alias("component")).transform(saved)
+    both = both.union(both.select("y", "x")).transform(stored, "jaccard")
+    labels = both.groupBy(F.col("x").alias("cid")).agg(F.least(F.min("y"), F.first("x")).alias("component")).transform(stored, "jaccard")
     while True:
         near = both.join(labels, F.col("y") == F.col("cid")).groupBy("x").agg(F.min("component").alias("near"))
         new = labels.join(near, F.col("cid") == F.col("x")).select("cid", F.least("component", "near").alias("next"), "component")
         far = new.select(F.col("cid").alias("x"), F.col("next").alias("beyond"))
-        new = new.join(far, F.col("next") == F.col("x")).select("cid", "component", F.col("beyond").alias("next")).transform(saved)
+        new = new.join(far, F.col("next") == F.col("x")).select("cid", "component", F.col("beyond").alias("next")).transform(stored, "jaccard")
         changed = new.where("next <> component").limit(1).count()
         labels = new.select("cid", F.col("next").alias("component"))
         if not changed:
@@ -401,7 +402,7 @@ def link_classes(docs: DataFrame, text: str = "text", like: Likeness = Likeness(
     """
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64(quoted(text)).alias("row"), quoted(text).alias("text"))
-    seen = texts.mapInArrow(partial(_describe, size=like.words), _ddl(_SEEN)).transform(saved)
+    seen = texts.mapInArrow(partial(_describe, size=like.words), _ddl(_SEEN)).transform(stored, "jaccard")
     often = seen.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("n").alias("count"))
     often = often.orderBy(F.desc("count"), "hash").limit(NAMED).collect()  # bounded by NAMED
     hashes = np.array([r["hash"] for r in often], np.int64).view(np.uint64)
@@ -411,41 +412,46 @@ def link_classes(docs: DataFrame, text: str = "text", like: Likeness = Likeness(
 
     rows = seen.where("hash IS NULL").select("row", F.col("set_a").alias("cid"), "n", "cells")
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("cells").alias("cells"))
-    classes = classes.transform(saved)
+    classes = classes.transform(stored, "jaccard")
     sent = texts.mapInArrow(partial(_postings, like=like, named=named), _ddl(_POSTING))
     sent = sent.repartition("key").sortWithinPartitions("key", "n", "cid").mapInArrow(_lists, _ddl(_MEMBER))
     lists = sent.groupBy("list", "cid").agg(F.max("n").alias("n"), F.min("pos").alias("pos"), F.sum("keys").alias("keys"))
-    lists = lists.transform(saved)
+    lists = lists.transform(stored, "jaccard")
+    release(spark)
 
     # A list's hub is the class that shares the most shingles: of near copies the one they come from.
     weights = lists.groupBy("cid").agg(F.sum("keys").alias("weight"))
     hubs = lists.join(weights, "cid").groupBy("list").agg(F.max(F.struct("weight", "cid", "n", "pos")).alias("hub"))
-    stars = lists.join(hubs.select("list", "hub.*").toDF("list", "weight", "hub", "hub_n", "hub_pos").transform(saved), "list")
+    stars = lists.join(hubs.select("list", "hub.*").toDF("list", "weight", "hub", "hub_n", "hub_pos").transform(stored, "jaccard"), "list")
     stars = stars.where(F.col("cid") != F.col("hub"))
     in_size = (F.least("n", "hub_n") * like.den) >= (F.greatest("n", "hub_n") * like.num)
     rest = F.least(F.col("hub_n") - F.col("hub_pos"), F.col("n") - F.col("pos"))
     in_place = rest * (like.num + like.den) >= (F.col("hub_n") + F.col("n")) * like.num
     stars = stars.where(in_size & in_place)
-    stars = stars.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct().transform(saved)
-    links = _verified(stars, classes, texts, like).transform(saved)
+    stars = stars.select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct().transform(stored, "jaccard")
+    links = _verified(stars, classes, texts, like).transform(stored, "jaccard")
+    release(spark)
     known = components(spark, links)
+    release(spark)
 
     parted = lists.join(known, "cid", "left").select("list", "cid", "n", "pos", F.coalesce("component", "cid").alias("component"))
-    parted = parted.transform(saved)
+    parted = parted.transform(stored, "jaccard")
     open_lists = parted.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     pairs = parted.join(open_lists.where("lo <> hi").select("list"), "list")
     pairs = pairs.repartition("list").sortWithinPartitions("list", "n", "cid")
     pairs = pairs.mapInArrow(partial(_across, like=like), _ddl(_PAIR)).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(pairs.transform(saved), classes, texts, like)
+    pairs = pairs.transform(stored, "jaccard")
+    release(spark)
+    more = _verified(pairs, classes, texts, like)
     return Classes(rows.select("row", "cid", "n"), links.union(more))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     sides = [classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}")) for s in "ab"]
     sized = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b")
-    sized = sized.mapInArrow(partial(_near_in_cells, like=like), _ddl(_PAIR)).transform(saved)
+    sized = sized.mapInArrow(partial(_near_in_cells, like=like), _ddl(_PAIR)).transform(stored, "jaccard")
     rows = [classes.select(F.col("cid").alias(s), F.col("row").alias(f"row_{s}")) for s in "ab"]
-    wanted = sized.join(rows[0], "a").join(rows[1], "b").transform(saved)
+    wanted = sized.join(rows[0], "a").join(rows[1], "b").transform(stored, "jaccard")
     bits = filter_of(wanted.select(F.explode(F.array("row_a", "row_b")).alias("row")))
     bits = texts.sparkSession.sparkContext.broadcast(bits)
     # Dealt by the text's hash once, for the removal of copies; both joins find them there.
@@ -465,7 +471,7 @@ def _met(docs: DataFrame, text: str, like: Likeness, found: Classes, known: Data
     classes = found.rows.where("n > 0").groupBy("cid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     members = classes.join(known, "cid").select("cid", "row", "n", "copies", "component")
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", band int"
-    members = members.mapInArrow(partial(_banded, like=like), kind).transform(saved)
+    members = members.mapInArrow(partial(_banded, like=like), kind).transform(stored, "jaccard")
     bands = members.groupBy("component", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
 
     def blocks(c: str, s: str) -> Column:
@@ -474,7 +480,7 @@ def _met(docs: DataFrame, text: str, like: Likeness, found: Classes, known: Data
     # A component has few bands: they grow with the logarithm of the sizes.
     bands = bands.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", blocks("c", "s")))).alias("blocks"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     # A plain table, so that the join can split a large component.
-    bands = bands.select("component", "blocks", (blocks("c", "s") <= 1).alias("whole")).transform(saved)
+    bands = bands.select("component", "blocks", (blocks("c", "s") <= 1).alias("whole")).transform(stored, "jaccard")
     dealt = members.join(bands, "component")
 
     def count(step: int) -> Column:
@@ -495,7 +501,7 @@ def _met(docs: DataFrame, text: str, like: Likeness, found: Classes, known: Data
         units(-1, lambda j: unit(band - 1, j, band, own, F.lit(True))),
     )
     every = F.when(F.col("whole"), F.array(unit(zero, zero, zero, zero, F.lit(False)))).otherwise(every)
-    dealt = dealt.select("row", "cid", "copies", "component", every.alias("units")).transform(saved)
+    dealt = dealt.select("row", "cid", "copies", "component", every.alias("units")).transform(stored, "jaccard")
     bits = docs.sparkSession.sparkContext.broadcast(filter_of(dealt.select("row")))
     sets = texts.mapInArrow(partial(_wanted_sets, size=like.words, bits=bits), _ddl(_SET)).dropDuplicates(["row"])
     dealt = dealt.join(sets, "row").select("cid", "copies", "component", "grams", F.explode("units").alias("unit"))
@@ -508,7 +514,7 @@ def all_links(docs: DataFrame, text: str = "text", like: Likeness = Likeness())
     """As ``link_classes``, but with every pair of classes at or above the bound, each once. A group of
     near copies has as many rows as pairs; for the numbers alone, see ``jaccard_components``."""
     found = link_classes(docs, text, like)
-    found = found._replace(links=found.links.transform(saved))
+    found = found._replace(links=found.links.transform(stored, "jaccard"))
     known = components(docs.sparkSession, found.links)
     return Classes(found.rows, _met(docs, text, like, found, known, False))
 
@@ -523,9 +529,9 @@ def jaccard_components(
     among them; each pair of a component that can be alike is compared for it.
     """
     rows = docs.select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("row"))
-    named = _named(rows, docs, text, like, count_links).select("key", "n", "component", *["n_links"] * count_links).transform(saved)
+    named = _named(rows, docs, text, like, count_links).select("key", "n", "component", *["n_links"] * count_links).transform(stored, "jaccard")
     # A plain table, so that the join can split a component that a large part of the rows is in.
-    least = named.groupBy("component").agg(F.min("key").alias("least")).transform(saved)
+    least = named.groupBy("component").agg(F.min("key").alias("least")).transform(stored, "jaccard")
     named = named.join(least, "component")
     return named.select(
         F.col("key").alias(key),
@@ -540,7 +546,7 @@ def _named(rows: DataFrame, docs: DataFrame, text: str, like: Likeness, count_li
     n_links if asked for."""
     found = link_classes(docs, text, like)
     if count_links:
-        found = found._replace(links=found.links.transform(saved))
+        found = found._replace(links=found.links.transform(stored, "jaccard"))
     known = components(docs.sparkSession, found.links)
     # A text that stands in many documents is one row here.
     by_text = found.rows.dropDuplicates(["row"]).join(known, "cid", "left")
@@ -550,7 +556,7 @@ def _named(rows: DataFrame, docs: DataFrame, text: str, like: Likeness, count_li
         copies = found.rows.where("n > 0").groupBy("cid").agg(F.count(F.lit(1)).alias("copies"))
         numbers = copies.join(linked, "cid", "left").select("cid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         by_text = by_text.join(numbers, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
-    return rows.join(by_text.drop("cid").transform(saved), "row")
+    return rows.join(by_text.drop("cid").transform(stored, "jaccard"), "row")
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
@@ -558,11 +564,12 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
     and of rows with that key the one with the least hash; once, if the very row is repeated. All
     rows without words stay. NULL keys come after all others.
     """
-    marked = docs.withColumn("__row", row_hash(docs))
+    own = next(n for k in range(len(docs.columns) + 1) if (n := f"__row{k}") not in docs.columns)
+    marked = docs.withColumn(own, row_hash(docs))
     worded = F.coalesce(quoted(text).rlike(f"[^{BLANKS}]"), F.lit(False))
-    rows = marked.where(worded).select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("row"), "__row")
+    rows = marked.where(worded).select(quoted(key).alias("key"), F.xxhash64(quoted(text)).alias("row"), F.col(own).alias("__row"))
     named = _named(rows, docs, text, like)
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "__row"))
-    kept = named.groupBy("component").agg(first.alias("first")).select("first.__row")
-    whole = marked.where(worded).dropDuplicates(["__row"]).join(kept, "__row", "left_semi")
-    return docs.where(~worded).unionByName(whole.drop("__row"))
+    kept = named.groupBy("component").agg(first.alias("first")).select(F.col("first.__row").alias(own))
+    whole = marked.where(worded).dropDuplicates([own]).join(kept, own, "left_semi")
+    return docs.where(~worded).unionByName(whole.drop(own))
