@@ -73,11 +73,12 @@ def with_starts(df: DataFrame, group: Sequence[str], weight: Column, start: str,
     names = df.columns
     rows = df.groupBy(*(quoted(c) for c in names)).agg(F.count(F.lit(1)).alias("__copies"))
     rows = rows.withColumns({"__hash": row_hash(df), "__weight": weight.cast("long")})
-    rows = rows.withColumn("__bucket", F.pmod("__hash", F.lit(buckets)).cast("int"))
-    total = F.sum(F.col("__copies") * F.col("__weight"))
+    bucket = lambda hashed: F.pmod(hashed, F.lit(buckets)).cast("int")
+    rows = rows.withColumn("__bucket", bucket(F.col("__hash")))
     keys = [quoted(g) for g in group]
-    sums = rows.groupBy(*(k.alias(f"__g{i}") for i, k in enumerate(keys)), F.col("__bucket").alias("__b"))
-    sums = sums.agg(total.alias("__sum"))
+    # Of each row only group, bucket and weight are added up; the rows themselves are shuffled once.
+    sums = df.groupBy(*(k.alias(f"__g{i}") for i, k in enumerate(keys)), bucket(row_hash(df)).alias("__b"))
+    sums = sums.agg(F.sum(weight.cast("long")).alias("__sum"))
     groups = [F.col(f"__g{i}") for i in range(len(keys))]
     before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__base", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
