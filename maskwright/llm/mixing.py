@@ -177,10 +177,12 @@ def mixed_texts(docs: DataFrame, mix: Mix, text: str = "text") -> DataFrame:
     replaced, and ``n_chars``, where there is one, is that of the piece."""
     docs = docs.withColumn("__row_hash", row_hash(docs))
     docs = without(docs, ["shard", "slot"])
-    cuts = taken_pieces(mix).groupBy(F.col("row_hash").alias("__row"))
-    cuts = cuts.agg(F.collect_list(F.struct("shard", "slot", "start", "from", "until")).alias("__cuts"))
-    # A document's pieces are as many as its own blocks: the list grows with its length only.
-    whole = docs.dropDuplicates(["__row_hash"]).join(cuts, F.col("__row_hash") == F.col("__row"))
+    cuts = taken_pieces(mix).groupBy(F.col("row_hash").alias("__row"), F.col("start").alias("__start"))
+    cuts = cuts.agg(F.collect_list(F.struct("shard", "slot", "from", "until")).alias("__cuts"))
+    # A list holds the pieces of one copy of a row, as many as its own blocks. The second condition,
+    # implied by the first, has the rows shuffled for the join, which then can split a row of many copies.
+    same = (F.col("__row_hash") == F.col("__row")) & (F.xxhash64("__row_hash") == F.xxhash64("__row"))
+    whole = docs.dropDuplicates(["__row_hash"]).join(cuts, same)
     parts = F.split(F.regexp_replace(quoted(text), f"^[{BLANKS}]+", ""), f"(?<=[{BLANKS}])(?=[^{BLANKS}])")
     whole = whole.withColumn("__parts", parts)
     whole = whole.withColumn(
