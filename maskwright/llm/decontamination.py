@@ -95,12 +95,12 @@ def window_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     if not single.isEmpty():
         alone = said.join(hint(single), "word").select("key", "text_hash", F.col("at").alias("begin"), "length", "window_id")
         met = met.unionByName(alone)
-    return Hits(_verified(met.transform(saved), docs, windows, key, text), owned.select("window_id", "item"))
+    return Hits(_verified(met.transform(saved), docs, key, text), owned.select("window_id", "item"))
 
 
-def _verified(met: DataFrame, docs: DataFrame, windows: DataFrame, key: str, text: str) -> DataFrame:
-    """Of the meetings those whose words are the window's, to the letter. Only texts with meetings are
-    read for it, and each is cut into words once."""
+def _verified(met: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Of the meetings those whose words, all of them and in order, have the hash that the window is
+    known by, of 64 bits. Only texts with meetings are read for it, and each is cut into words once."""
     doc = met.groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("begin", "length", "window_id")).alias("met"))
     doc = doc.transform(saved)  # a list grows with its document only
     few = met.count() <= BROADCAST_MEETINGS
