@@ -61,8 +61,11 @@ def shard_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces with their shard of 8 and their slot in it. A piece's key is its content, so that
     the pieces of one document spread."""
     even = {s: 1.0 for s in range(8)}
-    keyed = docs.withColumn("piece_key", row_hash(docs))
-    return sharding.shard_rows(keyed, ["piece_key"], even).drop("piece_key", "grown_shard")
+
+    def sharded(pieces: DataFrame) -> DataFrame:
+        return sharding.shard_rows(pieces.withColumn("piece_key", row_hash(pieces)), ["piece_key"], even)
+
+    return _with_names_free(docs, {"piece_key", "grown_shard"}, sharded)
 
 
 STAGES = [
