@@ -32,6 +32,8 @@ from maskwright.llm.wordhash import drawn, utf8_of
 LEAD = 64
 #: Windows handled at once.
 AT_ONCE = 1 << 18
+#: Suffixes of a range that one task sorts, about 800 bytes each.
+RANGE = 50_000
 #: Neighbours on each side that a suffix is compared with; what they leave open is counted.
 NEAR = 12
 
@@ -279,7 +281,9 @@ def _borders(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def _sorted_pass(contexts: DataFrame, length: int, ahead_first: bool, near: int) -> DataFrame:
     one, two = ("ahead", "back") if ahead_first else ("back", "ahead")
-    ranges = contexts.repartitionByRange("key", one, two, "ctx")
+    least = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, -(-contexts.count() // RANGE))  # contexts are a written table
+    ranges = contexts.repartitionByRange(n, "key", one, two, "ctx")
     met = _table(ranges.mapInArrow(partial(_neighbours, length=length, ahead_first=ahead_first, near=near), _MET_KIND))
     edges = met.where("edge IS NOT NULL").select("edge", *_CONTEXT.names)
     following = Window.orderBy("edge")  # two rows per partition
@@ -389,8 +393,37 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, near:
     covered = places.select("ctx", "text_hash", "at").join(spans, "ctx")
     covered = covered.select("text_hash", "at", F.explode("spans").alias("s"))
     begin, end = F.col("at") - F.col("s.hi"), F.col("at") - F.col("s.lo") + length
-    covered = covered.select("text_hash", F.struct(begin.alias("from"), end.alias("until")).alias("span"))
-    return covered.groupBy("text_hash").agg(F.collect_set("span").alias("spans"))
+    covered = covered.select("text_hash", begin.alias("from"), end.cast("long").alias("until"))
+    # Merged once per text, in order and as they come: a text of one repeated character has a span for
+    # each byte, and each copy of a text would else merge its list again.
+    ordered = covered.repartition("text_hash").sortWithinPartitions("text_hash", "from", "until")
+    whole = ordered.mapInArrow(_merged_spans, "text_hash long, from long, until long")
+    return whole.groupBy("text_hash").agg(F.collect_list(F.struct("from", "until")).alias("spans"))
+
+
+def _merged_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted spans of texts, ends exclusive, of which none touch. The last one of a batch waits for the
+    next batch's first."""
+    rest = [np.zeros(0, np.int64)] * 3
+
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["text_hash", "from", "until"])
+
+    for batch in batches:
+        own = [batch.column(c).to_numpy() for c in ("text_hash", "from", "until")]
+        text, begin, end = (np.concatenate(x) for x in zip(rest, own, strict=True))
+        if not len(text):
+            continue
+        group = np.cumsum(np.append(False, text[1:] != text[:-1]))
+        far = np.int64(1) << 40  # beyond any text's bytes: texts' spans lie apart
+        reach = np.maximum.accumulate(end + group * far)
+        first = np.flatnonzero(np.append(True, begin[1:] + group[1:] * far > reach[:-1]))
+        last = np.append(first[1:], len(text)) - 1
+        merged_end = reach[last] - group[first] * far
+        columns = [text[first], begin[first], merged_end]
+        yield out([c[:-1] for c in columns])
+        rest = [c[-1:] for c in columns]
+    yield out(rest)
 
 
 def _carry(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
