@@ -3,7 +3,9 @@
 Terms are words and the first bytes of longer words. Each has a weight, and a short vector whose
 products with others' vectors weigh pairs of terms, which a sum of weights can't: a word that is an
 insult only beside certain others. Terms are counted over the whole training sample, in which copies of
-a text are one; all that go with the label are kept, and the machine is fitted on which of them a text has. All texts are scored
+a text are one, and all that go with the label are kept. So are terms that go with it only in pairs,
+each neutral by itself: they are looked for among what marks the texts of label 1 that the machine
+doesn't find by the others. The machine is fitted on which kept terms a text has. All texts are scored
 where they lie, without a shuffle.
 """
 
@@ -27,9 +29,11 @@ from maskwright.llm.wordhash import byte_table, utf8_of, word_pieces
 SAMPLE_ROWS = 20_000
 #: Terms fall into 2 ** BITS places.
 BITS = 22
-#: A kept term stands in at least so many texts, and its share of labelled ones is so many standard
-#: deviations off the mean.
-LEAST_TEXTS, LEAST_Z = 4, 5.0
+#: A kept term, or pair of terms, stands in at least so many texts, and so few are kept whose share of
+#: labelled ones is off the mean by chance only: the more are tested, the surer each has to be.
+LEAST_TEXTS, BY_CHANCE = 4, 4.0
+#: Terms that are looked at for pairs: those that mark the texts not found the most.
+PAIRED = 256
 FACTORS, ROUNDS, RATE, DECAY = 4, 120, 0.05, 2e-3
 THRESHOLD = 0.3
 _STEMS = (4, 5, 6, 7)
@@ -85,7 +89,74 @@ def _kept(batches: Iterator[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]
         texts, terms, n = _terms(batch.column("text"), places.value)
         own = np.split(terms.astype(np.int32), np.searchsorted(texts, np.arange(1, n)))
         lists = pa.array([x.tolist() for x in own[:n]], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), lists], names=["label", "terms"])
+        yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("label"), lists], names=["hash", "label", "terms"])
+
+
+def _surprise(c1, c, share):
+    """How far a share ``c1 / c`` is off ``share``: its chance is at most the exponential of minus this
+    (Chernoff). Of columns, so that Spark works it out."""
+    own = c1 / c
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    return c * (part(own, F.lit(share) if isinstance(share, float) else share) + part(1 - own, 1 - (F.lit(share) if isinstance(share, float) else share)))
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]:
+    """Texts, and labelled ones, that have both of two terms; a batch's terms are few, so its table is
+    bounded by their number squared."""
+    size = int(places.value.max()) + 1
+    for batch in batches:
+        texts, terms, n = _terms(batch.column("text"), places.value)
+        has = np.zeros((n, size), np.float32)
+        has[texts, terms] = 1
+        label = batch.column("label").to_numpy().astype(np.float32)
+        both, labelled = np.triu(has.T @ has, 1), np.triu(has.T @ (has * label[:, None]), 1)
+        pairs = np.flatnonzero(both)
+        columns = [pa.array(pairs), pa.array(both.ravel()[pairs].astype(np.int64)), pa.array(labelled.ravel()[pairs].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "texts", "labelled"])
+
+
+_COUNTS = "term long, texts long, labelled long"
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.sum("texts").alias("c"), F.sum("labelled").alias("c1"))
+
+
+def _off_the_mean(counts: DataFrame, share: float) -> list[int]:
+    """The terms, or pairs, whose share of labelled texts is not the mean's."""
+    tested = counts.where(F.col("c") >= LEAST_TEXTS).transform(saved)
+    bound = float(np.log(max(tested.count(), 1) / BY_CHANCE))
+    best = tested.withColumn("by", _surprise(F.col("c1"), F.col("c"), share)).where(F.col("by") >= max(bound, 1.0))
+    return [r["term"] for r in best.orderBy(F.desc("by"), "term").collect()]  # bounded by 2 ** BITS
+
+
+def _in_pairs(sample: DataFrame, counts: DataFrame, missed: list[int], n: int, share: float, kept: set[int]) -> list[int]:
+    """Terms that go with the label beside another. ``missed``: hashes of the labelled texts not found."""
+    spark = sample.sparkSession
+    names = spark.createDataFrame([(h,) for h in missed], "hash long")  # bounded by the sample
+    own = _summed(sample.join(F.broadcast(names), "hash").select("text", "label").mapInArrow(_count, _COUNTS))
+    own = own.where(F.col("c") >= LEAST_TEXTS).select("term", F.col("c").alias("u")).join(counts, "term")
+    marks = _surprise(F.col("u"), F.lit(float(len(missed))), (F.col("c") + 0.5) / (n + 1.0))
+    own = own.where(F.col("u") * n > F.col("c") * len(missed)).withColumn("by", marks)
+    chosen = [r["term"] for r in own.orderBy(F.desc("by"), "term").limit(PAIRED).collect()]
+    if len(chosen) < 2:
+        return []
+    places = np.zeros(1 << BITS, np.int32)
+    places[chosen] = np.arange(1, len(chosen) + 1)
+    shared = spark.sparkContext.broadcast(places)
+    pairs = _off_the_mean(_summed(sample.select("text", "label").mapInArrow(partial(_count_pairs, places=shared), _COUNTS)), share)
+    found = {place for pair in pairs for place in divmod(pair, len(chosen) + 1)}
+    return [t for i, t in enumerate(chosen, 1) if i in found and t not in kept]
+
+
+def _gathered(sample: DataFrame, terms: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Places, and of all texts in a fixed order their hashes, labels and kept terms."""
+    places = np.zeros(1 << BITS, np.int32)
+    places[terms] = np.arange(1, len(terms) + 1)
+    shared = sample.sparkSession.sparkContext.broadcast(places)
+    rows = sample.mapInArrow(partial(_kept, places=shared), "hash long, label int, terms array<int>").toPandas()
+    rows = rows.sort_values(["label", "hash"], kind="stable")
+    return places, rows["hash"].to_numpy(), rows["label"].to_numpy(np.float64), [np.asarray(t, np.int64) for t in rows["terms"]]
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> Machine:
@@ -93,26 +164,26 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     A text that has a label more than once is one row. Beyond ``sample_rows`` those with the least key
     hashes are taken, ties by the text's hash. Without rows, or with one kind of
     label only, the machine gives every text the share of 1 (a half where there are none)."""
-    spark = labelled.sparkSession
     rows = labelled.where(quoted(label).isin(0, 1))
     rows = rows.select(F.xxhash64(quoted(key)).alias("at"), quoted(text).alias("text"), quoted(label).cast("int").alias("label"))
     # The bound is found on hashes alone; texts are never sorted.
     rows = rows.withColumn("hash", F.xxhash64("text"))
     chosen = rows.groupBy("hash", "label").agg(F.min("at").alias("at")).orderBy("at", "hash", "label").limit(sample_rows).transform(saved)
     sample = rows.join(F.broadcast(chosen), ["hash", "label", "at"]).dropDuplicates(["hash", "label"])
-    sample = sample.select("text", "label").repartition(16).transform(saved)
+    sample = sample.select("hash", "text", "label").repartition(16).transform(saved)
     n, ones = sample.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
     share = (ones + 0.5) / (n + 1)
-    counts = sample.mapInArrow(_count, "term long, texts long, labelled long").groupBy("term").agg(F.sum("texts").alias("c"), F.sum("labelled").alias("c1"))
-    z = (F.col("c1") - F.col("c") * share) / F.sqrt(F.col("c") * (share * (1 - share)))
-    best = counts.where(F.col("c") >= LEAST_TEXTS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z)
-    best = best.orderBy(F.desc("z"), "term").collect()  # bounded by 2 ** BITS
-    places = np.zeros(1 << BITS, np.int32)
-    places[[r["term"] for r in best]] = np.arange(1, len(best) + 1)
-    shared = spark.sparkContext.broadcast(places)
-    kept = sample.mapInArrow(partial(_kept, places=shared), "label int, terms array<int>").toPandas()
-    kept = kept.assign(words=[" ".join(map(str, t)) for t in kept["terms"]]).sort_values(["label", "words"], kind="stable")
-    return _fit(places, kept["label"].to_numpy(np.float64), [np.asarray(t, np.int64) for t in kept["terms"]], len(best), share)
+    counts = _summed(sample.select("text", "label").mapInArrow(_count, _COUNTS)).transform(saved)
+    best = _off_the_mean(counts, share)
+    places, hashes, labels, lists = _gathered(sample, best)
+    machine = _fit(places, labels, lists, len(best), share)
+    found = machine.score(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int64)]), len(lists))
+    missed = hashes[(labels == 1) & (found < 0.5)].tolist()
+    more = _in_pairs(sample, counts, missed, n, share, set(best)) if len(missed) >= LEAST_TEXTS and ones < n else []
+    if not more:
+        return machine
+    places, _, labels, lists = _gathered(sample, best + more)
+    return _fit(places, labels, lists, len(best) + len(more), share)
 
 
 def _fit(places: np.ndarray, labels: np.ndarray, lists: list[np.ndarray], n_terms: int, share: float) -> Machine:
