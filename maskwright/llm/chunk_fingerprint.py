@@ -15,10 +15,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import quoted
+from maskwright.llm.store import stored
 from maskwright.llm.wordhash import drawn
 
 
@@ -33,6 +34,11 @@ class Cutting(NamedTuple):
     easy: int = 5
 
 
+#: Bytes of texts in a range of documents that follow each other, and rows drawn for each to find them.
+RANGE_BYTES, DRAWN = 64 << 20, 32
+#: A row with more copies than this may be often enough to be taken out of the order.
+OFTEN = 64
+
 _GEAR = drawn(256, 5)
 #: Bytes hashed at once; the hash looks back 64 bytes.
 _AT_ONCE = 1 << 21
@@ -151,34 +157,85 @@ def _walk(batches: Iterator[pa.RecordBatch], cutting: Cutting) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
 
 
+def _alone(batches: Iterator[pa.RecordBatch], cutting: Cutting) -> Iterator[pa.RecordBatch]:
+    """Rows that are their own next, as many times as ``times`` says."""
+    for batch in batches:
+        out = []
+        for key, text, times in zip(*(batch.column(c) for c in ("key", "text", "times")), strict=True):
+            text = text.as_py() or ""
+            marks = fingerprint(text.encode(), cutting)
+            out.append((*_row(key.as_py(), text, text, marks, marks, cutting), times.as_py()))
+        if out:
+            kinds = [*_OUT, pa.field("times", pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=pa.schema(kinds))
+
+
+def _cuts(groups: DataFrame, n: int, total: int) -> list[tuple[int, int]]:
+    """At most ``n`` - 1 places in the order that part the rows into ranges of about the same bytes, by
+    a sample of some tens of rows a range. They only say where ranges end."""
+    if n < 2:
+        return []
+    drawn = groups.sample(min(1.0, DRAWN * n / max(total, 1)), seed=1).select("order.at", "order.tie", "bytes", "copies").toArrow()
+    at, tie, size, copies = (drawn.column(c).to_numpy() for c in ("at", "tie", "bytes", "copies"))
+    order = np.lexsort((tie, at))
+    weight = np.cumsum(((size + 64) * copies)[order])
+    if not len(order):
+        return []
+    places = np.unique(np.searchsorted(weight, weight[-1] * np.arange(1, n) / n))
+    return [(int(at[order[i]]), int(tie[order[i]])) for i in places]
+
+
 def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", cutting: Cutting = Cutting()) -> DataFrame:
     """One row per document: how like its fingerprint is to that of its edited text, whose last third
     is the first as many code points of the next document, and to the next document's.
 
-    Documents stand by descending key, NULL keys last; the last one's next is the first. Repeated
-    keys stand by a hash of the text. The keys are cut into ranges at quantiles, so that one shuffle
-    brings neighbours together and no task has them all; each range also gets the first row of the
-    next. The quantiles only say where ranges end. A single document is its own next.
+    Documents stand by descending key, NULL keys last; the last one's next is the first. The key is a
+    whole number, and comes back as long. Repeated keys stand by a hash of the text. The order is cut
+    into ranges of about ``RANGE_BYTES``, so that one shuffle brings neighbours together and no task has
+    them all; each range also gets the first row of the next. Cuts fall between texts of one key too. Of a
+    row that is repeated so often that it would fill a range, one copy stands in the order, and the others,
+    whose next is the very same, are worked out once. A single document is its own next. NULL and empty
+    texts are alike; a very long text is one row of its range.
     """
-    rows = docs.select(quoted(key).alias("key"), quoted(text).alias("text"))
-    order = F.struct(F.coalesce(F.bitwise_not(F.col("key").cast("long")), F.lit(2**63 - 1)).alias("at"), F.xxhash64("text").alias("tie"))
-    placed = rows.select("key", order.alias("order"))
+    rows = docs.select(quoted(key).cast("long").alias("key"), quoted(text).alias("text"))
+    order = F.struct(F.coalesce(F.bitwise_not(F.col("key")), F.lit(2**63 - 1)).alias("at"), F.xxhash64("text").alias("tie"))
+    whole = rows.withColumn("order", order)
     spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    cuts = placed.agg(F.percentile_approx("order.at", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    splits = F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<long>")  # a few per task, whatever the size
-    bucket = F.size(F.filter(splits, lambda c: c < F.col("order.at")))
-    placed = placed.withColumn("bucket", bucket)
-    heads = placed.groupBy("bucket").agg(F.min("order").alias("head"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    groups = whole.select("order", size.alias("bytes")).groupBy("order").agg(F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("bytes")).transform(stored, "order")
+    count, total_rows, total = groups.agg(F.count(F.lit(1)), F.sum("copies"), F.sum(F.col("copies") * F.col("bytes"))).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(tasks, (total or 0) // RANGE_BYTES)
+    hot = groups.where(F.col("copies") > F.lit(max((total_rows or 0) // (4 * n), OFTEN))).select("order", F.col("copies").alias("times"))  # fewer than 4 n
+
+    kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    again = None
+    if not hot.isEmpty():
+        marked = whole.join(F.broadcast(hot), "order", "left")
+        firsts = marked.where("times IS NOT NULL").dropDuplicates(["order"])
+        again = firsts.select("key", "text", (F.col("times") - 1).alias("times")).mapInArrow(partial(_alone, cutting=cutting), kinds + ", times long")
+        again = again.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times", "__copy")
+        whole = marked.where("times IS NULL").unionByName(firsts).drop("times")
+
+    cuts = _cuts(groups.withColumn("copies", F.least("copies", F.lit(OFTEN))), n, count)
+    splits = F.array(*(F.struct(F.lit(a).cast("long").alias("at"), F.lit(b).cast("long").alias("tie")) for a, b in cuts))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when((at + step <= len(cuts)) & (F.get(splits, at + step - 1) < F.col("order")), at + step).otherwise(at)
+
+    bucket = F.aggregate(steps, F.lit(0), further) if cuts else F.lit(0)
+    heads = groups.select("order", bucket.alias("bucket")).groupBy("bucket").agg(F.min("order").alias("head"))
     ring = Window.orderBy("bucket")
     before = F.coalesce(F.lag("bucket").over(ring), F.last("bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = heads.withColumn("before", before)  # one row per bucket
-    whole = rows.withColumn("order", order).withColumn("bucket", bucket)
+    whole = whole.withColumn("bucket", bucket)
     extra = whole.join(F.broadcast(heads.select("head", "before")), F.col("order") == F.col("head")).dropDuplicates(["order"])
     own = F.lit(True).alias("own")
     sent = whole.select("key", "text", "order", "bucket", own)
     sent = sent.unionByName(extra.select("key", "text", "order", F.col("before").alias("bucket"), F.lit(False).alias("own")))
     sent = sent.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("own"), "order")
-    kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     found = sent.mapInArrow(partial(_walk, cutting=cutting), kinds)
+    if again is not None:
+        found = found.unionByName(again)
     return found.withColumnRenamed("doc_id", key)

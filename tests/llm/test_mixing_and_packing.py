@@ -85,6 +85,17 @@ def test_slots_of_a_mix(docs):
     assert all(r.n_chars == len(r.text) for r in texts.collect())
 
 
+def test_a_row_repeated_over_a_third_of_the_table(spark):
+    rng = random.Random(4)
+    rows = [(1, odd.prose(rng, 50), "s")] * 100 + [(i, odd.prose(rng, 20), "s") for i in range(2, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mix = mixing.plan_mix(docs, block_words=16)
+    texts = mixing.mixed_texts(docs, mix).collect()
+    taken = sum(r.taken for r in mixing.taken_words(mix).where("doc_id = 1").collect())
+    assert sum(len(brute.words(r.text)) for r in texts if r.doc_id == 1) == taken > 0
+    assert sum(len(brute.words(r.text)) for r in texts) == sum(r.words for r in mix.slots.collect())
+
+
 def test_permutations(spark):
     for n in (1, 2, 7, 100, 1000):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9).cast("long")).alias("p")).collect()
@@ -187,6 +198,47 @@ def test_machine_learns_pairs(spark):
     assert (again.weights == machine.weights).all() and (again.vectors == machine.vectors).all()
 
 
+def neutral_rows(n, rng):
+    """Half of the rows are toxic, and so are half of those with either word of a pair."""
+    for i in range(n):
+        own = [rng.choice(["tree", "river", "stone", "cloud", "lamp", "paper", "road"]) for _ in range(rng.randint(5, 20))]
+        own += [f"w{rng.randrange(300)}" for _ in range(10)]
+        kind = i % 4
+        own += (["gralp"], ["martians"], ["gralp", "martians"], ["awful"])[kind]
+        rng.shuffle(own)
+        yield i, " ".join(own), int(kind in (2, 3))
+
+
+def test_machine_learns_pairs_of_neutral_words(spark):
+    rows = list(neutral_rows(1500, random.Random(2)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(4)
+    machine = toxicity.train(df.where("doc_id < 1000"))
+    got = {r.doc_id: r.score for r in toxicity.score(df, machine).where("doc_id >= 1000").collect()}
+    assert sum((got[i] >= 0.3) == bool(label) for i, _, label in rows[1000:]) / 500 > 0.97
+
+
+def test_few_labels_find_something(spark):
+    """A few texts are enough for a word that all toxic ones have."""
+    rows = [(i, f"some words of text {i} and {'moron' if i % 8 == 0 else 'others'} here", int(i % 8 == 0)) for i in range(64)]
+    machine = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    tests = spark.createDataFrame([(0, "you moron"), (1, "you there")], "doc_id long, text string")
+    bad, good = (r.score for r in toxicity.score(tests, machine).orderBy("doc_id").collect())
+    assert bad > 0.3 > good
+
+
+def test_scores_are_those_of_the_formula():
+    """A machine by hand: base, weights, and products of vectors over all pairs."""
+    rng = np.random.default_rng(3)
+    weights, vectors = rng.normal(size=9), rng.normal(size=(9, 4))
+    weights[0] = vectors[0] = 0
+    machine = toxicity.Machine(np.zeros(4, np.int32), -0.5, weights, vectors)
+    lists = [rng.choice(np.arange(1, 9), k, replace=False) for k in (0, 1, 2, 5, 8)]
+    got = machine.score(np.repeat(np.arange(5), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64), 5)
+    for own, score in zip(lists, got, strict=True):
+        total = -0.5 + sum(weights[t] for t in own) + sum(vectors[a] @ vectors[b] for i, a in enumerate(own) for b in own[:i])
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_copies_of_a_text_are_one_piece_of_evidence(spark):
     rows = list(toxic_rows(1000, random.Random(2)))
     long = " ".join(f"w{i}" for i in range(6000))  # more terms than any number of places kept for the best

@@ -293,3 +293,82 @@ def test_no_rows(spark, docs):
     assert chunk_fingerprint.edited_likeness(none).count() == 0
     assert decontamination.contamination(none, items).count() == 0
     assert decontamination.contamination(docs, items.limit(0)).where("contaminated").count() == 0
+
+
+def plain_chunks(raw, cutting):
+    """The gear hash byte by byte, and the next cut by the sizes."""
+    gear = [int(g) for g in chunk_fingerprint._GEAR]
+    h, hashes = 0, []
+    for b in raw:
+        h = ((h << 1) + gear[b]) & (2**64 - 1)
+        hashes.append(h)
+    out, start = [], 0
+    while start < len(raw):
+        end = min(start + cutting.most, len(raw))
+        for stop in range(start + cutting.least, end):
+            bits = cutting.hard if stop <= start + cutting.usual else cutting.easy
+            if hashes[stop - 1] >> (64 - bits) == 0:
+                end = stop
+                break
+        out.append(raw[start:end])
+        start = end
+    return out
+
+
+def plain_likeness(rows, cutting):
+    """[(key, n_chars, edited text, fingerprint, near_edited, near_next)] of rows (key, text)."""
+    marks = lambda t: {hashlib.blake2b(c, digest_size=6).hexdigest(): len(c) for c in plain_chunks(t.encode(), cutting)}
+    share = lambda a, b: (0.0 if b else 1.0) if not a else sum(n for d, n in a.items() if d in b) / sum(a.values())
+    out = []
+    for i, (key, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        part = len(text) // 3
+        edited = text[: len(text) - part] + after[:part]
+        own = marks(text)
+        written = ",".join(f"{d}.{n}" for d, n in sorted(own.items()))
+        out.append((key, len(text), hashlib.sha256(edited.encode()).hexdigest(), written, share(own, marks(edited)), share(own, marks(after))))
+    return out
+
+
+def test_likeness_is_that_of_the_plain_way(spark):
+    rng = random.Random(8)
+    texts = [odd.prose(rng, rng.randint(0, 300)) for _ in range(60)] + ["", "x", "é" * 700, "a" * 4000]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = chunk_fingerprint.edited_likeness(df)
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) for r in got.collect())
+    assert got == Counter(plain_likeness(rows[::-1], chunk_fingerprint.Cutting()))
+
+
+@pytest.mark.parametrize("key", [7, None])
+def test_likeness_with_a_third_of_rows_under_one_key(spark, monkeypatch, key):
+    """Different texts of one key are cut into ranges; a row repeated that often is worked out once."""
+    monkeypatch.setattr(chunk_fingerprint, "RANGE_BYTES", 2_000)
+    monkeypatch.setattr(chunk_fingerprint, "OFTEN", 5)
+    rng = random.Random(9)
+    rows = [(key, odd.prose(rng, 20)) for _ in range(100)] + [(i + 10, odd.prose(rng, 20)) for i in range(100)] + [(key, "the very same row of words, again and again")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    got = chunk_fingerprint.edited_likeness(df)
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) for r in got.collect())
+    assert got == Counter(plain_likeness(ordered, chunk_fingerprint.Cutting()))
+
+
+def test_spans_merge_over_batches():
+    rng = random.Random(10)
+    rows = sorted((t, b, b + rng.randint(1, 30)) for t in (-5, 3, 9) for b in (rng.randint(0, 400) for _ in range(80)))
+    columns = [[r[i] for r in rows] for i in range(3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7], pa.int64()) for c in columns], names=["text_hash", "from", "until"]) for i in range(0, len(rows), 7)]
+    got = [tuple(r.values()) for b in suffix_dedup._merged_spans(iter(batches)) for r in b.to_pylist()]
+    want = [(t, lo, hi + 1) for t in (-5, 3, 9) for lo, hi in suffix_dedup.merged([(b, e - 1) for x, b, e in rows if x == t])]
+    assert got == want
+
+
+def test_a_text_of_one_character(spark):
+    """A repeat at every byte, and long repeats of one text in many."""
+    texts = ["a" * 60_000, "b" * 399, "b" * 401, "c" * 1_000 + odd.prose(random.Random(1), 90), *["a" * 60_000] * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.without_repeats(df).collect()}
+    assert got[0] == (60_000, 60_000, 1) and got[1] == (399, 0, 0) and got[2] == (401, 401, 1) and got[3][1:] == (1_000, 1)
+    assert all(got[i] == got[0] for i in range(4, 34))
