@@ -146,16 +146,17 @@ def catalog_merge(spark, folder):
     C.merge_catalog(spark, path, buckets=8)
     C.append_entries(entries.where(day <= 10), path)
     C.merge_catalog(spark, path)
-    few = entries.where((day > 10) & (day <= 20)).where(V.bucket_of(F.col("key"), 8) == 3)
-    C.append_entries(few, path)
-    before = set(V.current(spark, path).files)
+    middle = entries.where((day > 10) & (day <= 20)).withColumn("bucket", V.bucket_of(F.col("key"), 8))
+    one = middle.agg(F.min("bucket")).first()[0]
+    C.append_entries(middle.where(F.col("bucket") == one), path)
+    others = {f for f in V.current(spark, path).files if f"/__bucket={one}/" not in f}
     C.merge_catalog(spark, path)
-    kept = before & set(V.current(spark, path).files)
+    kept = others == {f for f in V.current(spark, path).files if f"/__bucket={one}/" not in f}
     C.append_entries(entries.where((day > 10) & (day <= 20)), path)
     catalog = C.read_catalog(spark, path)
     newest = C.newest_per_key(catalog).select("key", "kind", "value", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
     hits = C.look_up(event_prompts(spark, folder), catalog, NOW, TTL).groupBy("key").agg(F.max("cached").alias("cached"), F.count(F.lit(1)).alias("prompts"))
-    return newest.join(hits, "key", "left").withColumn("others_kept", F.lit(len(kept) == len(before) - 1))
+    return newest.join(hits, "key", "left").withColumn("others_kept", F.lit(kept))
 
 
 _MERGE_SQL = f"""
