@@ -36,8 +36,8 @@ from maskwright.llm.wordhash import NOT_BLANK, drawn, hashed_words
 
 class Shape(NamedTuple):
     """``classes``: one of them is for the ends of texts; at most 100. ``exchanged``: words that move
-    between classes. ``sweeps``: rounds of moves, each of half of these words, fewer if they gain
-    nothing. ``at_hand``: words that all tasks know; 17 bytes each in the broadcast."""
+    between classes. ``sweeps``: rounds of moves, each of half of these words, or
+    of fewer once a round has gained nothing. ``at_hand``: words that all tasks know; 17 bytes each in the broadcast."""
 
     classes: int = 64
     exchanged: int = 8_192
@@ -193,14 +193,15 @@ def _count_class_pairs(batches: Iterator[pa.RecordBatch], classes, width: int) -
     yield _rows(["cell", "n"], cells, total[cells])
 
 
-def _move(batches: Iterator[pa.RecordBatch], classes, pairs: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
-    """The best classes of the words whose turn it is; turn -1 is that of words without a class."""
+def _move(batches: Iterator[pa.RecordBatch], classes, pairs: np.ndarray, turn: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The best classes of the words whose turn it is, one in ``parts``; turn -1 is that of words without
+    a class."""
     classes, width = classes.value, len(pairs)
     for batch in batches:
         words, found = [], []
         for word, other, n, after in _contexts(batch):
             own = int(classes[word])
-            if word == 0 or (own >= 0 if turn < 0 else word % 2 != turn % 2):
+            if word == 0 or (own >= 0 if turn < 0 else word % parts != turn % parts):
                 continue
             good = classes[other] >= 0
             right, left = (np.bincount(classes[other[side]], n[side], width) for side in (good & after, good & ~after))
@@ -221,32 +222,37 @@ def _table_of(cells: DataFrame, width: int) -> np.ndarray:
 def exchange(pairs: DataFrame, n_words: int, shape: Shape = Shape()) -> np.ndarray:
     """The classes of words 0 to ``n_words`` - 1, by frequency, from the counts ``v, w, n`` of their
     pairs. Word 0 is the end of a text, alone in class 0. The most frequent others begin in classes of
-    their own, the rest join them; then words move, half of them at a time, while that gains
-    anything. Ties go to the first class. Moves of one round don't see each other: a round that loses
-    is undone, and ends the rounds."""
+    their own, the rest join them; then words move, half of them at a time. Ties go to the first
+    class. Moves of one round don't see each other: a round that gains nothing is undone, and from then on
+    half as many words move at a time."""
     spark = pairs.sparkSession
     sides = pairs.select(F.col("v").alias("word"), F.struct(F.col("w").alias("other"), "n", F.lit(True).alias("after")).alias("beside"))
     sides = sides.unionAll(pairs.select(F.col("w").alias("word"), F.struct(F.col("v").alias("other"), "n", F.lit(False).alias("after")).alias("beside")))
     beside = stored(sides.groupBy("word").agg(F.collect_list("beside").alias("beside")), "beside")
-    classes = np.where(np.arange(n_words) < shape.classes, np.arange(n_words), -1)
-    best, least = classes, None
-    for turn in range(-1, shape.sweeps):
-        sent = spark.sparkContext.broadcast(classes)
-        table = _table_of(beside.mapInArrow(partial(_count_class_pairs, classes=sent, width=shape.classes), "cell long, n long"), shape.classes)
-        value = objective(table)
-        if turn > 0 and value < least:
-            return best
-        if turn >= 0:
-            best, least = classes, value
-        moved = beside.mapInArrow(partial(_move, classes=sent, pairs=table, turn=turn), "word long, class long").collect()
-        classes = classes.copy()
-        for r in moved:
-            classes[r["word"]] = r["class"]
-        if turn < 0:
-            classes[classes < 0] = min(1, shape.classes - 1)  # words with no neighbour to go by
-    sent = spark.sparkContext.broadcast(classes)
-    table = _table_of(beside.mapInArrow(partial(_count_class_pairs, classes=sent, width=shape.classes), "cell long, n long"), shape.classes)
-    return classes if least is None or objective(table) > least else best
+    def counted(own: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(own)
+        return _table_of(beside.mapInArrow(partial(_count_class_pairs, classes=sent, width=shape.classes), "cell long, n long"), shape.classes)
+
+    def moved(own: np.ndarray, table: np.ndarray, turn: int, parts: int) -> np.ndarray:
+        sent, out = spark.sparkContext.broadcast(own), own.copy()
+        for r in beside.mapInArrow(partial(_move, classes=sent, pairs=table, turn=turn, parts=parts), "word long, class long").collect():
+            out[r["word"]] = r["class"]
+        return out
+
+    first = np.where(np.arange(n_words) < shape.classes, np.arange(n_words), -1)
+    best = moved(first, counted(first), -1, 1)
+    best[best < 0] = min(1, shape.classes - 1)  # words with no neighbour to go by
+    table, parts = counted(best), 2
+    for turn in range(shape.sweeps):
+        classes = moved(best, table, turn, parts)
+        if (classes == best).all():
+            continue
+        after = counted(classes)
+        if objective(after) > objective(table):
+            best, table = classes, after
+        else:
+            parts *= 2
+    return best
 
 
 # --- the vocabulary ------------------------------------------------------------------
