@@ -64,8 +64,10 @@ class Model(NamedTuple):
 END = drawn(1, 41)[0]
 #: Codes in strings of classes: those of words seen once are so much higher; unknown; still to look up.
 ONCE, UNKNOWN, OPEN = 128, 254, 255
-#: Occurrences whose neighbours are held before they are sent.
-HELD = 1 << 21
+#: Occurrences whose neighbours, and words or pairs whose counts, are held before they are sent.
+HELD = 1 << 20
+#: Bytes of text, or of classes, handled at once: each takes some dozens of bytes meanwhile.
+PIECE = 1 << 20
 
 
 def held_out(key: Column) -> Column:
@@ -77,7 +79,7 @@ def _token_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iter
     """Batch, first row, tokens of a slice of texts one after another, each text's end among them, and
     the number of each text's tokens."""
     for batch in batches:
-        for first, data, offsets in text_slices(batch.column(text)):
+        for first, data, offsets in text_slices(batch.column(text), PIECE):
             words, texts = hashed_words(data, offsets, NOT_BLANK)
             counts = np.bincount(texts, minlength=len(offsets) - 1)
             yield batch, first, np.insert(words, np.cumsum(counts), END), counts + 1
@@ -96,7 +98,7 @@ def _rows(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally = Tally()
+    tally = Tally(HELD)
     for _, _, tokens, _ in _token_slices(batches):
         words, counts = np.unique(tokens[tokens != END], return_counts=True)
         for w, n in tally.add(words, counts):
@@ -123,7 +125,7 @@ def _lexicon(words: np.ndarray, ids: np.ndarray) -> Lexicon:
 
 def _count_pairs(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
     """Pairs of adjoining words that are both known, by number."""
-    lexicon, tally = known.value, Tally()
+    lexicon, tally = known.value, Tally(HELD)
     width = len(lexicon.words)
     for _, _, tokens, _ in _token_slices(batches):
         ids = lexicon.look_up(tokens, -1)
@@ -513,7 +515,7 @@ def _both(codes: np.ndarray, unknown: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _code_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for first, data, offsets in text_slices(batch.column("codes")):
+    for first, data, offsets in text_slices(batch.column("codes"), PIECE):
         yield first, data, offsets
 
 
