@@ -11,6 +11,7 @@ from maskwright.functions import patterns as P
 from maskwright.functions.text import WHITESPACE
 from maskwright.operators import catalog as C
 from maskwright.operators import profiling as R
+from maskwright.sources.tables import spread
 from suite.base import Query, lit, table
 
 _BLANKS = lit(WHITESPACE)
@@ -95,8 +96,13 @@ def patterns_to_audit(spark, folder):
     )
 
 
+# Patterns are looked at one by one, in Python: rows of a table that is small to read are work for many
+# tasks. Bytes of the table, as it is stored, for each.
+PATTERN_BYTES = 64 * 1024
+
+
 def audit_patterns(spark, folder):
-    return C.audit_patterns(patterns_to_audit(spark, folder))
+    return C.audit_patterns(spread(patterns_to_audit(spark, folder), f"{folder}/part.parquet", PATTERN_BYTES))
 
 
 def _audited_sql() -> str:
@@ -188,7 +194,7 @@ def repair_patterns(spark, folder):
         F.concat(F.lit("Domain is "), domain).alias("prompt"),
         F.replace(F.replace(layout, F.lit("{e}"), escaped), F.lit("{}"), domain).alias("pattern"),
     )
-    return C.repair_patterns(given)
+    return C.repair_patterns(spread(given, f"{folder}/customer.parquet", PATTERN_BYTES))
 
 
 def _repaired_sql() -> str:

@@ -321,3 +321,34 @@ def test_ambiguity_of_random_patterns():
         if most[2]:
             degree = 0 if most[1] == most[2] else round(math.log2(most[2] / most[1]))
             assert max(sharing_repeats(pattern) - 1, 0) >= degree
+
+
+def test_characters_of_patterns_are_worked_out_once():
+    from maskwright.functions import ambiguity
+
+    patterns = [rf"[a-z]+@[a-z.-]+(\.shop{i})+\.example\.com" for i in range(200)]
+    assert [ambiguity.sharing_repeats(p) for p in patterns] == [1] * 200
+    before = ambiguity._bits.cache_info().misses
+    assert not any(map(ambiguity.ambiguous, patterns)) and ambiguity.ambiguous("[a-z]*" * 3)
+    assert ambiguity._bits.cache_info().misses == before
+
+
+def test_loops_of_groups_and_their_reach():
+    from maskwright.functions.ambiguity import sharing_repeats
+
+    # Nested rounds and rounds that are written out are found from their ways back.
+    cases = {"(a+b+)+": 1, "(a+){3}": 3, "(?:a*b){2,}a*": 1, "(a|b+c)*d*": 1, "x" * 300 + "a+": 1}
+    assert {p: sharing_repeats(p) for p in cases} == cases
+
+
+@pytest.mark.parametrize(("name", "table"), [("audit_patterns", "part"), ("repair_patterns", "customer")])
+def test_patterns_of_one_file_are_work_for_many_tasks(spark, tmp_path, name, table):
+    from suite import catalog as queries
+
+    text = F.sha2(F.col("id").cast("string"), 256)
+    rows = spark.range(0, 4000, 1, 1).select(
+        F.col("id").alias("p_partkey"), text.alias("p_name"), text.alias("p_type"), F.lit(1).alias("p_size"), F.col("id").alias("c_custkey")
+    )
+    rows.write.parquet(f"{tmp_path}/{table}.parquet")
+    found = getattr(queries, name)(spark, str(tmp_path))
+    assert "RoundRobinPartitioning(" in plan_of(found) and found.count() == 4000
