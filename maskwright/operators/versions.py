@@ -7,7 +7,8 @@ take the newest manifest's files and all appended files that it doesn't name, so
 while a merge runs are neither lost nor read twice, and a merge that fails leaves nothing to read.
 
 A snapshot is dealt into buckets by a hash of the key. A merge rewrites those that appended rows fall
-into and takes the others' files as they are.
+into and takes the others' files as they are. A bucket has as many files as its size asks for, each
+sorted by the key.
 """
 
 from __future__ import annotations
@@ -129,7 +130,8 @@ def draft_merge(
     rows = merge(_rows(spark, path, old, kind).unionByName(added)).select(*(quoted(c) for c in kind.names))
     folder = f"{_SNAPSHOTS}/{uuid.uuid4().hex}"
     target = f"{path.rstrip('/')}/{folder}"
-    out = rows.withColumn("__bucket", bucket).repartition("__bucket").sortWithinPartitions("__bucket", quoted(key))
+    # A large bucket is cut into files of a size that one task can sort, small ones share a task.
+    out = rows.withColumn("__bucket", bucket).hint("rebalance", F.col("__bucket")).sortWithinPartitions("__bucket", quoted(key))
     out.write.partitionBy("__bucket").parquet(target)
     written = [n for n in _names(spark, path, files_in(spark, target, nested=True)) if "/__bucket=" in n]
     kept = [n for n in version.files if inside(n) not in touched]

@@ -97,3 +97,21 @@ def test_clearing_away(spark, tmp_path):
     V.append(rows(spark, ("a", 9)), path)
     done = V.merge_table(spark, path, KIND, "k", largest)
     assert set(done.covered) == {f.rsplit("/", 1)[-1] for f in files_in(spark, path)} and dict(held(spark, path))["a"] == 9
+
+
+def test_a_large_bucket_has_several_files(spark, tmp_path):
+    """Whatever its size, no task sorts more of it than the session deals to one."""
+    path = str(tmp_path / "t")
+    rows = spark.range(0, 40_000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.col("id").alias("n"))
+    V.append(rows, path)
+    name, before = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set(name, "200KB")
+    try:
+        version = V.merge_table(spark, path, "key string, n bigint", "key", lambda r: r.dropDuplicates(["key"]), 1)
+    finally:
+        spark.conf.set(name, before)
+    assert len(version.files) > 1 and all("/__bucket=0/" in f for f in version.files)
+    assert V.read(spark, path, "key string, n bigint").agg(F.count("n"), F.count_distinct("key")).first()[:] == (40_000, 40_000)
+    for file in version.files[:2]:
+        keys = [r.key for r in spark.read.parquet(f"{path}/{file}").collect()]
+        assert keys == sorted(keys)
