@@ -13,6 +13,9 @@ from maskwright.functions.text import quoted
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 # Fixed value: partitions where the size of the input is not known.
 UNKNOWN_SIZE_PARTITIONS = 4
+# Bytes of a file whose rows one task may sort to deal them out, and partitions that
+# Spark's shuffle fills without holding rows back.
+DEALT_AT_ONCE, FIRST_DEAL = 4 * 1024 * 1024, 200
 
 
 def read_csv(
@@ -151,6 +154,16 @@ def spread(df: DataFrame, path: str, target: int = TARGET_PARTITION_BYTES, most:
     Such a file is parsed by one task, and what follows here is cheap beside that: the
     shuffle pays only where most of the cluster would have no file at all. That is for
     the caller to say. Partitions follow the size of the files.
+
+    Spark sorts the rows it deals out in turn, and those it deals into very many partitions: all that a
+    task reads. Rows of a file above ``DEALT_AT_ONCE`` are first dealt by their number in the task that
+    reads them, into so few partitions that they are written as they come.
     """
-    total = input_files(df.sparkSession, path).agg(F.sum("length")).first()[0]
-    return df.repartition(partitions_for(total, target, most))
+    total, largest = input_files(df.sparkSession, path).agg(F.sum("length"), F.max("length")).first()
+    wanted = partitions_for(total, target, most)
+    if (largest or 0) > DEALT_AT_ONCE:
+        number = next(n for k in range(len(df.columns) + 1) if (n := f"__number{k}") not in df.columns)
+        df = df.withColumn(number, F.monotonically_increasing_id()).repartition(min(wanted, FIRST_DEAL), number).drop(number)
+        if wanted <= FIRST_DEAL:
+            return df
+    return df.repartition(wanted)

@@ -92,3 +92,17 @@ def test_partition_numbers(spark, tmp_path):
     assert "RoundRobinPartitioning(10)" in plan_of(spread) and spread.count() == 5000
     assert re.search(r"ReadSchema: struct<.*length:bigint>", plan_of(S.input_files(spark, path)))
     assert "content" not in plan_of(S.input_files(spark, path))
+
+
+def test_rows_of_a_large_file_are_dealt_without_a_sort(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "DEALT_AT_ONCE", 1000)
+    path = write(tmp_path, "in.csv", "a\n" + "1\n" * 5000)  # copies of one row are spread too
+    df = S.read_table(spark, path)
+    few = S.spread(df, path, target=1000)
+    assert "RoundRobin" not in plan_of(few) and few.columns == ["a"]
+    sizes = [len(part) for part in few.rdd.glom().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 5000 and max(sizes) < 700
+    monkeypatch.setattr(S, "FIRST_DEAL", 4)
+    many = S.spread(df, path, target=1000)
+    assert "RoundRobinPartitioning(10)" in plan_of(many) and "hashpartitioning(__number0" in plan_of(many)
+    assert many.count() == 5000
