@@ -59,10 +59,10 @@ def stored_page_of_parts(spark, folder):
     """Orders in folders by status, of which one got a column later; a page across the border."""
     path = work_path(spark, "parts")
     orders = table(spark, folder, "orders").withColumn("o_orderdate", _day("o_orderdate"))
-    in_order = orders.repartition(1).sortWithinPartitions("o_orderkey")
+    keys = ["o_orderstatus", "o_orderkey"]
     early, late = F.col("o_orderstatus") == "F", F.col("o_orderstatus") != "F"
-    in_order.where(early).write.partitionBy("o_orderstatus").parquet(path)
-    added = in_order.where(late).withColumn("added", F.col("o_custkey") * 2)
+    G.in_order(orders.where(early), keys).write.partitionBy("o_orderstatus").parquet(path)
+    added = G.in_order(orders.where(late), keys).withColumn("added", F.col("o_custkey") * 2)
     added.write.mode("append").partitionBy("o_orderstatus").parquet(path)
     rows = G.file_offsets(spark, path)
     border = rows.where("first_row > 0").agg(F.min("first_row")).first()[0] or 0

@@ -276,3 +276,23 @@ def test_a_count_that_no_longer_holds(spark, monkeypatch):
     monkeypatch.setattr(G, "ROWS_TO_SORT", 10)
     with pytest.raises(ValueError, match="empty"):
         G.sorted_page(spark.range(0), ["id"], 2, 10, total_rows=1000).collect()
+
+
+def test_parts_have_several_files(spark, tmp_path, monkeypatch):
+    """No task sorts a whole part."""
+    from maskwright.operators.folders import files_in
+    from suite import paging as queries
+
+    rows = spark.range(0, 3000, 1, 2).select(
+        F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.element_at(F.array(*map(F.lit, "FOP")), (F.col("id") % 3 + 1).cast("int")).alias("o_orderstatus"),
+        F.lit(1.5).alias("o_totalprice"), F.current_timestamp().alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"),
+    )
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(queries, "work_path", lambda s, stem: f"{tmp_path}/{stem}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = queries.stored_page_of_parts(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.o_orderkey, r.added) for r in got) == [(i, 2 * i if i % 3 else None) for i in range(3000)]
+    assert len(files_in(spark, f"{tmp_path}/parts", nested=True)) > 3
