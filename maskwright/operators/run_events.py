@@ -90,13 +90,13 @@ def run_states(events: DataFrame) -> DataFrame:
     """
     order = F.struct("event_at", "event_id")
     events = events.where(F.col("id").isNotNull() & F.col("status").isin(*STATES) & F.col("event_at").isNotNull())
-    end = F.min(F.when(is_terminal(F.col("status")), order)).alias("__end")
-    # The end is known per run before other events are folded: few columns, combined before the shuffle.
-    ends = events.groupBy(F.col("id").alias("__id")).agg(end)
+    # The end is known per run before other events are folded: few columns of the endings alone, combined
+    # before the shuffle. A run that goes on has none.
+    ends = events.where(is_terminal(F.col("status"))).groupBy(F.col("id").alias("__id")).agg(F.min(order).alias("__end"))
     # The second condition, implied by the first, has the ends shuffled once more, so that the adaptive
     # skew join can split a run of very many events.
     same = (F.col("id") == F.col("__id")) & (F.xxhash64("id") == F.xxhash64("__id"))
-    counted = events.join(ends, same).where(F.col("__end").isNull() | (order <= F.col("__end")))
+    counted = events.join(ends, same, "left").where(F.col("__end").isNull() | (order <= F.col("__end")))
 
     def newest(value: Column) -> Column:
         return F.max_by(value, F.when(value.isNotNull(), order))

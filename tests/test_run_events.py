@@ -74,3 +74,12 @@ def test_a_run_of_very_many_events(spark):
     got = E.run_states(E.as_events(events))
     assert got.count() == 20_000 - 6667 + 1
     assert got.where("id = 'hot'").first().progress == 19_998 % 90
+
+
+def test_only_endings_are_looked_at_for_the_end(spark):
+    rows = [event("a", 0, "RUNNING"), event("a", 2, "SUCCESS"), event("a", 3, "RUNNING", progress=7), event("b", 1, "RUNNING", progress=5)]
+    got = fold(spark, rows)
+    assert {i: (r.status, r.progress) for i, r in got.items()} == {"a": ("SUCCESS", 100), "b": ("RUNNING", 5)}
+    states = E.run_states(spark.createDataFrame([], E.EVENT_SCHEMA))
+    plan = states._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan
