@@ -10,10 +10,11 @@ from maskwright.operators import catalog as C
 from maskwright.operators import paging as G
 from maskwright.operators import run_events as E
 from maskwright.operators import versions as V
+from maskwright.operators.folders import files_in
 from maskwright.operators.ledger import STATUS_COLUMNS
 from maskwright.plans.transform_job import run_transform
 from maskwright.sinks.files import write_csv
-from maskwright.sources.tables import quarantine_csv
+from maskwright.sources.tables import input_files, partitions_for, quarantine_csv
 from maskwright.streaming.rewrite_stream import read_batches, recorded_batches, start_recorded_rewrite
 from suite.base import Query, lit, table, work_path
 from suite.catalog import _CATALOG_SQL, NOW, TTL, event_catalog, event_prompts
@@ -262,13 +263,19 @@ FROM cut
 # --- recorded streams ----------------------------------------------------------------
 
 
+# Bytes of the documents, as they are stored, for each file of a batch.
+BATCH_FILE_BYTES = 32 * 1024 * 1024
+
+
 def stream_recorded(spark, folder):
-    """Documents in three files, a batch each; then all batches are given once more, as after a crash, and
-    one fails halfway. Each row and each record is there once."""
+    """Documents in three batches, of a file each or as many more as there is to read; then all batches are
+    given once more, as after a crash, and one fails halfway. Each row and each record is there once."""
     source, out, events = work_path(spark, "source"), work_path(spark, "stream"), work_path(spark, "events")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    docs.repartition(3, "doc_id").write.parquet(source)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    size = input_files(spark, f"{folder}/documents.parquet").agg(F.sum("length")).first()[0]
+    docs.repartition(3 * partitions_for(size, BATCH_FILE_BYTES), "doc_id").write.parquet(source)
+    files = -(-len(files_in(spark, source)) // 3)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(source)
     for checkpoint in (work_path(spark, "progress"), work_path(spark, "progress")):
         start_recorded_rewrite(stream, "mails", "text", EMAIL, "[REDACTED]", out, checkpoint, events).awaitTermination()
     try:

@@ -83,3 +83,18 @@ def test_only_endings_are_looked_at_for_the_end(spark):
     states = E.run_states(spark.createDataFrame([], E.EVENT_SCHEMA))
     plan = states._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" in plan
+
+
+def test_batches_grow_with_the_documents(spark, tmp_path, monkeypatch):
+    from maskwright.operators.folders import files_in
+    from maskwright.operators.shared import shared_folder
+    from suite import runs
+
+    docs = spark.range(0, 600, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("to a@b.org "), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(runs, "BATCH_FILE_BYTES", 8_000)
+    made = []
+    monkeypatch.setattr(runs, "work_path", lambda s, stem: made.append(f"{shared_folder(s)}/grown-{stem}-{len(made)}") or made[-1])
+    rows = runs.stream_recorded(spark, str(tmp_path)).collect()
+    assert len(rows) == 600 and {(r.records, r.rows_told) for r in rows} == {(3, 600)}
+    assert len(files_in(spark, made[0])) >= 6
