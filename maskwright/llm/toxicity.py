@@ -100,22 +100,36 @@ def _surprise(c1, c, share):
     return c * (part(own, F.lit(share) if isinstance(share, float) else share) + part(1 - own, 1 - (F.lit(share) if isinstance(share, float) else share)))
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]:
-    """Texts, and labelled ones, that have both of two terms; a batch's terms are few, so its table is
-    bounded by their number squared."""
+def _count_beside(batches: Iterator[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a batch: how many texts, and labelled ones, have it beside each of the terms.
+    These are at most PAIRED, so that rows and their lists are bounded by that, whatever texts share."""
     size = int(places.value.max()) + 1
     for batch in batches:
         texts, terms, n = _terms(batch.column("text"), places.value)
         has = np.zeros((n, size), np.float32)
         has[texts, terms] = 1
         label = batch.column("label").to_numpy().astype(np.float32)
-        both, labelled = np.triu(has.T @ has, 1), np.triu(has.T @ (has * label[:, None]), 1)
-        pairs = np.flatnonzero(both)
-        columns = [pa.array(pairs), pa.array(both.ravel()[pairs].astype(np.int64)), pa.array(labelled.ravel()[pairs].astype(np.int64))]
+        both, labelled = (pairs.astype(np.int64) for pairs in (has.T @ has, has.T @ (has * label[:, None])))
+        there = np.flatnonzero(both.diagonal())
+        columns = [pa.array(there), *(pa.array(list(pairs[there]), pa.list_(pa.int64())) for pairs in (both, labelled))]
         yield pa.RecordBatch.from_arrays(columns, names=["term", "texts", "labelled"])
 
 
+def _best_beside(table: pa.Table, share: float) -> pa.Table:
+    """Of a term's rows, one per batch: how many terms after it are tested beside it, and by how much the
+    pair most off the mean is off it."""
+    term = table.column("term")[0].as_py()
+    c, c1 = (np.sum(table.column(n).to_pylist(), axis=0, dtype=np.int64) for n in ("texts", "labelled"))
+    others = np.flatnonzero(c >= LEAST_TEXTS)
+    others = others[others != term]
+    own, c = c1[others] / c[others], c[others]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        by = c * sum(np.where(x > 0, x * np.log(x / y), 0.0) for x, y in ((own, share), (1 - own, 1 - share)))
+    return pa.table({"term": [term], "tested": [int((others > term).sum())], "by": [float(by.max(initial=0.0))]})
+
+
 _COUNTS = "term long, texts long, labelled long"
+_BESIDE = "term long, texts array<long>, labelled array<long>"
 
 
 def _summed(counts: DataFrame) -> DataFrame:
@@ -123,7 +137,7 @@ def _summed(counts: DataFrame) -> DataFrame:
 
 
 def _off_the_mean(counts: DataFrame, share: float) -> list[int]:
-    """The terms, or pairs, whose share of labelled texts is not the mean's."""
+    """The terms whose share of labelled texts is not the mean's."""
     tested = counts.where(F.col("c") >= LEAST_TEXTS).transform(saved)
     bound = float(np.log(max(tested.count(), 1) / BY_CHANCE))
     best = tested.withColumn("by", _surprise(F.col("c1"), F.col("c"), share)).where(F.col("by") >= max(bound, 1.0))
@@ -144,8 +158,10 @@ def _in_pairs(sample: DataFrame, counts: DataFrame, missed: list[int], n: int, s
     places = np.zeros(1 << BITS, np.int32)
     places[chosen] = np.arange(1, len(chosen) + 1)
     shared = spark.sparkContext.broadcast(places)
-    pairs = _off_the_mean(_summed(sample.select("text", "label").mapInArrow(partial(_count_pairs, places=shared), _COUNTS)), share)
-    found = {place for pair in pairs for place in divmod(pair, len(chosen) + 1)}
+    beside = sample.select("text", "label").mapInArrow(partial(_count_beside, places=shared), _BESIDE)
+    marked = beside.groupBy("term").applyInArrow(partial(_best_beside, share=share), "term long, tested long, by double").collect()  # at most PAIRED
+    bound = float(np.log(max(sum(r["tested"] for r in marked), 1) / BY_CHANCE))
+    found = {r["term"] for r in marked if r["by"] >= max(bound, 1.0)}
     return [t for i, t in enumerate(chosen, 1) if i in found and t not in kept]
 
 
@@ -177,7 +193,9 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     best = _off_the_mean(counts, share)
     places, hashes, labels, lists = _gathered(sample, best)
     machine = _fit(places, labels, lists, len(best), share)
-    found = machine.score(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int64)]), len(lists))
+    found = np.full(len(lists), share)  # what all texts get if no term is kept
+    if best:
+        found = machine.score(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists), len(lists))
     missed = hashes[(labels == 1) & (found < 0.5)].tolist()
     more = _in_pairs(sample, counts, missed, n, share, set(best)) if len(missed) >= LEAST_TEXTS and ones < n else []
     if not more:

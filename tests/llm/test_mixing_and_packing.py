@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import rows as odd
 from pyspark.sql import functions as F
@@ -272,6 +274,35 @@ def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
     assert sizes == [50]
 
 
+def test_pairs_of_terms_are_a_row_per_term():
+    """However many terms a text has, and as counting them says."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(1)
+    names = [f"k{i:03d}" for i in range(60)]
+    _, places, _ = toxicity._terms(pa.array(names))
+    places = np.unique(places)
+    table = np.zeros(1 << toxicity.BITS, np.int32)
+    table[places] = np.arange(1, len(places) + 1)
+    texts = [" ".join(n for n in names if rng.random() < 0.8) for _ in range(300)]
+    batches = [pa.RecordBatch.from_pydict({"text": texts[a : a + 100], "label": rng.integers(0, 2, 100).astype("int32")}) for a in (0, 100, 200)]
+    rows = list(toxicity._count_beside(iter(batches), SimpleNamespace(value=table)))
+    assert all(r.num_rows <= len(places) for r in rows)
+    whole = pa.Table.from_batches(rows)
+    sets = [set(toxicity._terms(pa.array([x]), table)[1].tolist()) for x in texts]
+    labels = [y for b in batches for y in b.column("label").to_pylist()]
+    share = (sum(labels) + 0.5) / (len(labels) + 1)
+    for term in (1, 7, len(places)):
+        (got,) = toxicity._best_beside(whole.filter(pa.compute.equal(whole["term"], term)), share).to_pylist()
+        marks = {}
+        for other in range(1, len(places) + 1):
+            own = [y for s, y in zip(sets, labels, strict=True) if term in s and other in s]
+            if other != term and len(own) >= toxicity.LEAST_TEXTS:
+                q = sum(own) / len(own)
+                marks[other] = len(own) * sum(x * np.log(x / y) if x else 0.0 for x, y in ((q, share), (1 - q, 1 - share)))
+        assert got["tested"] == sum(o > term for o in marks) and np.isclose(got["by"], max(marks.values()))
+
+
 def test_odd_rows_have_scores(spark, docs):
     machine = toxicity.train(spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, label int").limit(0))
     out = toxicity.score(docs, machine)
