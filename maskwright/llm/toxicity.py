@@ -159,7 +159,11 @@ def _in_pairs(sample: DataFrame, counts: DataFrame, missed: list[int], n: int, s
     places[chosen] = np.arange(1, len(chosen) + 1)
     shared = spark.sparkContext.broadcast(places)
     beside = sample.select("text", "label").mapInArrow(partial(_count_beside, places=shared), _BESIDE)
-    marked = beside.groupBy("term").applyInArrow(partial(_best_beside, share=share), "term long, tested long, by double").collect()  # at most PAIRED
+
+    def best(table: pa.Table) -> pa.Table:
+        return _best_beside(table, share)
+
+    marked = beside.groupBy("term").applyInArrow(best, "term long, tested long, by double").collect()  # at most PAIRED
     bound = float(np.log(max(sum(r["tested"] for r in marked), 1) / BY_CHANCE))
     found = {r["term"] for r in marked if r["by"] >= max(bound, 1.0)}
     return [t for i, t in enumerate(chosen, 1) if i in found and t not in kept]
