@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def _path(spark: SparkSession, path: str):
@@ -38,6 +41,13 @@ def files_in(spark: SparkSession, path: str, nested: bool = False) -> list[str]:
     return sorted(p for p in found if nested or "/" not in p[len(root) + 1 :])
 
 
+def bytes_of(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Bytes of files given by their paths; no content is read."""
+    if not paths:
+        return 0
+    return spark.read.format("binaryFile").load([no_glob(p) for p in paths]).agg(F.sum("length")).first()[0]
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, which must be new."""
     out = _system(spark, path).create(_path(spark, path), False)

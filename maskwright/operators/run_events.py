@@ -71,10 +71,27 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return versions.read(spark, path, EVENT_SCHEMA)
 
 
+def _digest(name: Column) -> Column:
+    """A name by content, 64 lower-case hex digits, as the 32 bytes they spell; NULL for other names."""
+    digest = F.unhex(name)
+    return F.when((F.length(name) == 64) & (F.lower(F.hex(digest)) == name), digest)
+
+
+def each_once(events: DataFrame) -> DataFrame:
+    """An event appended twice becomes one. Names by content are most of an event's bytes, and no shuffle
+    file compresses hex digits, so these go as the bytes they spell."""
+    name, digest = F.col("event_id"), F.col("__digest")
+    others = [c for c in events.columns if c not in ("id", "event_id")]
+    packed = events.withColumn("__digest", _digest(name)).withColumn("event_id", F.when(digest.isNull(), name))
+    once = packed.groupBy("id", "__digest", "event_id").agg(F.first(F.struct(*others)).alias("__rest"))
+    whole = once.withColumn("event_id", F.coalesce(F.lower(F.hex(digest)), name))
+    return whole.select(*(F.col(f"__rest.{c}").alias(c) if c in others else c for c in events.columns))
+
+
 def merge_events(spark: SparkSession, path: str, buckets: int = versions.BUCKETS) -> versions.Version:
     """Fold the files of single events into few, sorted by run; an event appended twice becomes one. What
     is appended meanwhile stays to be read."""
-    return versions.merge_table(spark, path, EVENT_SCHEMA, "id", lambda rows: rows.dropDuplicates(["id", "event_id"]), buckets)
+    return versions.merge_table(spark, path, EVENT_SCHEMA, "id", each_once, buckets)
 
 
 def run_states(events: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ while a merge runs are neither lost nor read twice, and a merge that fails leave
 
 A snapshot is dealt into buckets by a hash of the key. A merge rewrites those that appended rows fall
 into and takes the others' files as they are. A bucket has as many files as its size asks for, each
-sorted by the key.
+sorted by the key. A large merge goes bucket by bucket, so that what is shuffled at a time is a bucket's
+rows, not the table's. Files are compressed by zstd, as names by content halve under it and not under
+Spark's default.
 """
 
 from __future__ import annotations
@@ -23,11 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from maskwright.functions.text import quoted
-from maskwright.operators.folders import delete, exists, files_in, full_path, no_glob, read_text, rename_new, write_text
+from maskwright.operators.folders import bytes_of, delete, exists, files_in, full_path, no_glob, read_text, rename_new, write_text
+from maskwright.operators.shared import release
 
 _VERSIONS, _SNAPSHOTS = "_versions", "_snapshots"
 #: Buckets of a snapshot unless the caller says otherwise; a table keeps those it began with.
 BUCKETS = 16
+#: Stored bytes that are merged at once.
+SLICE_BYTES = 512 * 1024 * 1024
+#: Steps of a large merge at most. Each reads the appended files, so that there are not more the larger they are.
+MOST_STEPS = 16
+COMPRESSION = "zstd"
 
 
 class Version(NamedTuple):
@@ -52,7 +60,7 @@ class Draft(NamedTuple):
 
 
 def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    df.write.mode("append").option("compression", COMPRESSION).parquet(path)
 
 
 def _numbers(spark: SparkSession, path: str) -> list[int]:
@@ -92,15 +100,24 @@ def _rows(spark: SparkSession, path: str, names: Sequence[str], schema: StructTy
     return spark.read.schema(schema).parquet(*(no_glob(f"{path.rstrip('/')}/{n}") for n in names))
 
 
-def read(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """All rows: the snapshot's, and those appended since. A folder that doesn't exist has none."""
-    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files that a reader takes now."""
     while True:
         version = current(spark, path)
         names = [*version.files, *appended_since(spark, path, version)]
         # Appended files may have been cleared away after a merge in between.
         if current(spark, path).number == version.number:
-            return _rows(spark, path, names, kind)
+            return names
+
+
+def _bytes(spark: SparkSession, path: str, names: Sequence[str]) -> int:
+    return bytes_of(spark, [f"{path.rstrip('/')}/{n}" for n in names])
+
+
+def read(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """All rows: the snapshot's, and those appended since. A folder that doesn't exist has none."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return _rows(spark, path, _files(spark, path), kind)
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -124,15 +141,25 @@ def draft_merge(
     number = version.buckets or buckets
     bucket = bucket_of(quoted(key), number)
     added = _rows(spark, path, fresh, kind)
-    touched = {r[0] for r in added.select(bucket).distinct().collect()}  # at most one row per bucket
+    touched = sorted(r[0] for r in added.select(bucket).distinct().collect())  # at most one row per bucket
     inside = lambda name: int(name.split("/__bucket=")[1].split("/")[0])
-    old = [n for n in version.files if inside(n) in touched]
-    rows = merge(_rows(spark, path, old, kind).unionByName(added)).select(*(quoted(c) for c in kind.names))
     folder = f"{_SNAPSHOTS}/{uuid.uuid4().hex}"
     target = f"{path.rstrip('/')}/{folder}"
-    # A large bucket is cut into files of a size that one task can sort, small ones share a task.
-    out = rows.withColumn("__bucket", bucket).hint("rebalance", F.col("__bucket")).sortWithinPartitions("__bucket", quoted(key))
-    out.write.partitionBy("__bucket").parquet(target)
+    large = _bytes(spark, path, [*fresh, *(n for n in version.files if inside(n) in touched)]) > SLICE_BYTES
+    steps = min(len(touched), MOST_STEPS) if large else 1
+    for some in (touched[i::steps] for i in range(steps)):
+        old = [n for n in version.files if inside(n) in some]
+        new = added.where(bucket.isin(some)) if steps > 1 else added
+        rows = merge(_rows(spark, path, old, kind).unionByName(new)).select(*(quoted(c) for c in kind.names))
+        out = rows.withColumn("__bucket", bucket)
+        if not large or len(some) > 1:
+            # A large bucket is cut into files of a size that one task can sort, small ones share a task. The
+            # rows of one large bucket alone stay in the parts that the merge left them in.
+            out = out.hint("rebalance", F.col("__bucket"))
+        out = out.sortWithinPartitions("__bucket", quoted(key))
+        out.write.mode("append").option("compression", COMPRESSION).partitionBy("__bucket").parquet(target)
+        if large:
+            release(spark)
     written = [n for n in _names(spark, path, files_in(spark, target, nested=True)) if "/__bucket=" in n]
     kept = [n for n in version.files if inside(n) not in touched]
     there = set(_names(spark, path, files_in(spark, path)))

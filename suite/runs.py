@@ -117,7 +117,7 @@ def merge_beside_writers(spark, folder):
     queued, begun, further, cancelled, ended, _ = _events(spark, folder)
     E.append_events(queued.repartition(7), path)
     E.append_events(begun, path)
-    draft = V.draft_merge(spark, path, E.EVENT_SCHEMA, "id", lambda rows: rows.dropDuplicates(["id", "event_id"]), 4)
+    draft = V.draft_merge(spark, path, E.EVENT_SCHEMA, "id", E.each_once, 4)
     E.append_events(further, path)
     before = E.read_events(spark, path).count()
     V.publish(spark, draft)

@@ -98,3 +98,16 @@ def test_batches_grow_with_the_documents(spark, tmp_path, monkeypatch):
     rows = runs.stream_recorded(spark, str(tmp_path)).collect()
     assert len(rows) == 600 and {(r.records, r.rows_told) for r in rows} == {(3, 600)}
     assert len(files_in(spark, made[0])) >= 6
+
+
+def test_an_event_named_in_any_way_is_kept_once(spark, monkeypatch):
+    """Names by content are shuffled as the bytes they spell; others, and those like them, as they are."""
+    digest = "0a" * 32
+    names = [digest, digest.upper(), digest[:-1], digest + "0", "g" * 64, "", "e1", None, "0b" * 32]
+    rows = [tuple({**event("a", 1, "RUNNING"), "event_id": n}.get(c) for c in E.EVENT_SCHEMA.names) for n in names * 2]
+    once = E.each_once(spark.createDataFrame(rows, E.EVENT_SCHEMA).repartition(3))
+    assert once.schema == E.EVENT_SCHEMA
+    assert sorted(r.event_id or "" for r in once.collect()) == sorted(n or "" for n in names)
+    assert {r.status for r in once.collect()} == {"RUNNING"}
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and "__digest" in plan.split("hashpartitioning(id")[1].split("\n")[0]

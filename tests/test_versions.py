@@ -1,3 +1,6 @@
+import os
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +118,37 @@ def test_a_large_bucket_has_several_files(spark, tmp_path):
     for file in version.files[:2]:
         keys = [r.key for r in spark.read.parquet(f"{path}/{file}").collect()]
         assert keys == sorted(keys)
+
+
+def test_a_large_merge_goes_bucket_by_bucket(spark, tmp_path, monkeypatch):
+    """Each step sees the rows of its own buckets alone; the table is the same as by one step."""
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    first = rows(spark, *((f"k{i}", i) for i in range(100)), (None, 4), ("k5", 999))
+    later = rows(spark, ("k5", 1000), ("k6", 1), ("new", 1), (None, 9))
+    for path, size, steps in ((one, V.SLICE_BYTES, [1, 1]), (many, 1, [3, 2])):
+        monkeypatch.setattr(V, "SLICE_BYTES", size)
+        monkeypatch.setattr(V, "MOST_STEPS", 3)
+        for added, wanted in zip((first, later), steps, strict=True):
+            V.append(added, path)
+            seen = []
+
+            def merge(some, seen=seen):
+                seen.append({r[0] for r in some.select(V.bucket_of(F.col("k"), 5)).distinct().collect()})
+                return largest(some)
+
+            V.merge_table(spark, path, KIND, "k", merge, 5)
+            assert len(seen) == wanted and sum(map(len, seen)) == len(set().union(*seen))
+    assert held(spark, one) == held(spark, many) and dict(held(spark, many))["k5"] == 1000
+    for file in V.current(spark, many).files:
+        keys = [r.k or "" for r in spark.read.parquet(f"{many}/{file}").collect()]
+        assert keys == sorted(keys)
+
+
+def test_files_are_compressed_by_zstd(spark, tmp_path):
+    """Spark's default leaves hex digits, most of an event, as long as they are."""
+    path = str(tmp_path / "t")
+    V.append(spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.lit(1).alias("n")), path)
+    version = V.merge_table(spark, path, KIND, "k", largest)
+    for file in (*version.files, *version.covered):
+        assert pq.ParquetFile(f"{path}/{file}").metadata.row_group(0).column(0).compression == "ZSTD"
+    assert sum(os.path.getsize(f"{path}/{f}") for f in version.files) < 5000 * 48
