@@ -18,12 +18,14 @@ from pyspark.sql import types as T
 
 from maskwright.operators import versions
 from maskwright.operators.ledger import MAX_ERROR, RUN_SCHEMA, is_terminal
-from maskwright.operators.shared import new_table_path
+from maskwright.operators.shared import new_table_path, release
 
 # The states of a run, and the progress of one that has not ended.
 QUEUED, RUNNING, SUCCESS, FAILED, CANCELLED = "QUEUED", "RUNNING", "SUCCESS", "FAILED", "CANCELLED"
 STATES = (QUEUED, RUNNING, SUCCESS, FAILED, CANCELLED)
 MOST_PROGRESS = 99
+#: Slices of a large table at most: each reads the whole table.
+MOST_SLICES = 8
 
 #: The fields an event may set; those that the fold works out itself are left out.
 _TIMES = ("created_at", "updated_at", "started_at", "completed_at")
@@ -77,6 +79,21 @@ def _digest(name: Column) -> Column:
     return F.when((F.length(name) == 64) & (F.lower(F.hex(digest)) == name), digest)
 
 
+def _place(name: Column) -> tuple[Column, Column]:
+    """Two columns that order as names do, and are short for names by content: those are their bytes, and
+    NULL. Another name is the bytes of the last name by content before it, none if there is no such, and
+    itself."""
+    digits = F.regexp_extract(name, "^[0-9a-f]{0,64}", 0)
+    after = F.substring(name, F.length(digits) + 1, F.lit(1))
+    # Before digits that end, or go on with less than a digit, come those that are less by one.
+    nonzero, head = F.regexp_extract(digits, "([1-9a-f])0*$", 1), F.regexp_extract(digits, "^(.*)[1-9a-f]0*$", 1)
+    less = F.concat(head, F.translate(nonzero, "123456789abcdef", "0123456789abcde"))
+    below = F.when(F.length(digits) == 64, digits).when(after > "f", F.concat(digits, F.lit("f"))).when(after > "9", F.concat(digits, F.lit("9")))
+    below = F.coalesce(below, F.when(nonzero != "", less))
+    digest, known = _digest(name), name.isNotNull()
+    return F.coalesce(digest, F.when(known, F.unhex(F.coalesce(F.rpad(below, 64, "f"), F.lit(""))))), F.when(digest.isNull(), name)
+
+
 def each_once(events: DataFrame) -> DataFrame:
     """An event appended twice becomes one. Names by content are most of an event's bytes, and no shuffle
     file compresses hex digits, so these go as the bytes they spell."""
@@ -105,8 +122,10 @@ def run_states(events: DataFrame) -> DataFrame:
     event, ``started_at`` that of the first RUNNING one, ``completed_at`` that of the end, ``updated_at``
     that of the last event that counts. Events without a run or a known state are left out.
     """
-    order = F.struct("event_at", "event_id")
+    order = F.struct("event_at", "__place", "__name")
     events = events.where(F.col("id").isNotNull() & F.col("status").isin(*STATES) & F.col("event_at").isNotNull())
+    place, name = _place(F.col("event_id"))
+    events = events.withColumns({"__place": place, "__name": name})
     # The end is known per run before other events are folded: few columns of the endings alone, combined
     # before the shuffle. A run that goes on has none.
     ends = events.where(is_terminal(F.col("status"))).groupBy(F.col("id").alias("__id")).agg(F.min(order).alias("__end"))
@@ -133,6 +152,23 @@ def run_states(events: DataFrame) -> DataFrame:
     return folded.select(*RUN_SCHEMA.names, "quarantined_rows")
 
 
+def all_states(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """``run_states`` of a whole table, or some ``columns`` of them. A large table is folded in slices by
+    run, one after the other into a new table in the shared folder, so that the shuffle files of one slice
+    are there at a time. All are of the same events, whatever is appended meanwhile."""
+    events = read_events(spark, path)
+    columns = columns or [*RUN_SCHEMA.names, "quarantined_rows"]
+    slices = versions.slices_for(spark, path, MOST_SLICES)
+    if slices == 1:
+        return run_states(events).select(*columns)
+    kept, slice_of = new_table_path(spark, "states"), versions.bucket_of(F.col("id"), slices)
+    for number in range(slices):
+        states = run_states(events.where(slice_of == number)).select(*columns)
+        states.write.mode("append").option("compression", versions.COMPRESSION).parquet(kept)
+        release(spark)
+    return spark.read.schema(states.schema).parquet(kept)
+
+
 def state_of(spark: SparkSession, path: str, run_id: str) -> str | None:
     """How one run stands; None if nothing is known of it. The id reaches the Parquet scan."""
     row = run_states(read_events(spark, path).where(F.col("id") == run_id)).select("status").first()
@@ -154,7 +190,7 @@ def request_cancel(requests: DataFrame, path: str) -> DataFrame:
     asked = requests.groupBy("id").agg(F.min("event_at").alias("event_at"))
     # Judged and written from one reading of the states, though the table grows by the writing.
     kept = new_table_path(spark, "cancellations")
-    cancellations(asked, run_states(read_events(spark, path))).write.parquet(kept)
+    cancellations(asked, all_states(spark, path, ["id", "status"])).write.parquet(kept)
     judged = spark.read.parquet(kept)
     append_events(judged.where("accepted").select("id", "event_at", F.lit(CANCELLED).alias("status")), path)
     return judged

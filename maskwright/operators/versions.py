@@ -31,7 +31,7 @@ from maskwright.operators.shared import release
 _VERSIONS, _SNAPSHOTS = "_versions", "_snapshots"
 #: Buckets of a snapshot unless the caller says otherwise; a table keeps those it began with.
 BUCKETS = 16
-#: Stored bytes that are merged at once.
+#: Stored bytes that are merged, or folded, at once.
 SLICE_BYTES = 512 * 1024 * 1024
 #: Steps of a large merge at most. Each reads the appended files, so that there are not more the larger they are.
 MOST_STEPS = 16
@@ -120,6 +120,11 @@ def read(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return _rows(spark, path, _files(spark, path), kind)
 
 
+def slices_for(spark: SparkSession, path: str, most: int) -> int:
+    """In how many slices to go through a table for ``SLICE_BYTES`` at a time, ``most`` of them."""
+    return max(1, min(most, -(-_bytes(spark, path, _files(spark, path)) // SLICE_BYTES)))
+
+
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 

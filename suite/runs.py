@@ -63,7 +63,7 @@ def run_states(spark, folder):
     E.merge_events(spark, path, buckets=4)
     E.append_events(queued.unionByName(further), path)
     E.append_events(cancelled.unionByName(begun).unionByName(ended), path)
-    return _clock(E.run_states(E.read_events(spark, path)).select(*STATUS_COLUMNS))
+    return _clock(E.all_states(spark, path, STATUS_COLUMNS))
 
 
 _CANCELLED = "o_custkey % 7 = 0"
@@ -99,7 +99,7 @@ def run_cancelled(spark, folder):
     became = E.request_cancel(asked, path)
     unaware = became.where("accepted").select("id", F.lit(datetime(2030, 1, 2, tzinfo=timezone.utc)).alias("event_at"), F.lit(E.SUCCESS).alias("status"))
     E.append_events(unaware, path)
-    states = E.run_states(E.read_events(spark, path)).select(F.col("id").alias("__id"), "status", "progress")
+    states = E.all_states(spark, path, ["id", "status", "progress"]).withColumnRenamed("id", "__id")
     return became.select("id", "found", "accepted").join(states, F.col("id") == F.col("__id"), "left").drop("__id")
 
 

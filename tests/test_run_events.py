@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -111,3 +113,36 @@ def test_an_event_named_in_any_way_is_kept_once(spark, monkeypatch):
     assert {r.status for r in once.collect()} == {"RUNNING"}
     plan = once._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id" in plan and "__digest" in plan.split("hashpartitioning(id")[1].split("\n")[0]
+
+
+def test_names_order_as_text_does_when_they_are_packed(spark):
+    """A tie in time goes by the whole name, whichever of the names are by content."""
+    rnd = random.Random(3)
+    digests = ["".join(rnd.choices("0123456789abcdef", k=64)) for _ in range(40)] + ["0" * 64, "f" * 64, "0" * 63 + "1", "9" + "f" * 63]
+    ends = ["", "-", "/", ":", "G", "`", "g", "\u00e9", "\n", "0", "9", "a", "f", "A", "00-", "0" * 64]
+    names = {"", *digests, *(d[:n] + rnd.choice(ends) for d in digests for n in (0, 1, 2, 31, 62, 63, 64))}
+    place, name = E._place(F.col("n"))
+    rows = spark.createDataFrame([(n,) for n in names] + [(None,)], "n string").select("n", place.alias("place"), name.alias("name"))
+    got = [r.n for r in rows.orderBy(F.struct("place", "name")).collect()]
+    assert got == [None, *sorted(names, key=str.encode)]
+    assert rows.where("name IS NULL AND n IS NOT NULL").count() == len({n for n in names if re.fullmatch("[0-9a-f]{64}", n)})
+
+
+def test_large_tables_are_folded_in_slices(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "events")
+    runs = [f"r{i}" for i in range(40)]
+    E.record_events(spark, [event(r, 0, "QUEUED", prompt=r) for r in runs] + [event(None, 0, "QUEUED")], path)
+    ends = [event(r, 5, "SUCCESS", row_count=i, event_id="ab" * 32) for i, r in enumerate(runs) if i % 3]
+    E.record_events(spark, ends + [{**e, "status": "FAILED", "event_id": "b"} for e in ends], path)
+    E.merge_events(spark, path, 2)
+    E.record_events(spark, [event(r, 9, "RUNNING", progress=7) for r in runs], path)
+    want = sorted(E.run_states(E.read_events(spark, path)).collect(), key=lambda r: r.id)
+    assert len(want) == 40 and want[1].status == "SUCCESS"
+    assert sorted(E.all_states(spark, path).collect(), key=lambda r: r.id) == want
+    calls, fold = [], E.run_states
+    monkeypatch.setattr(E, "run_states", lambda events: calls.append(1) or fold(events))
+    monkeypatch.setattr(E.versions, "SLICE_BYTES", 1)
+    assert sorted(E.all_states(spark, path).collect(), key=lambda r: r.id) == want and len(calls) == E.MOST_SLICES
+    some = E.all_states(spark, path, ["id", "status"])
+    assert some.columns == ["id", "status"] and sorted(map(tuple, some.collect())) == [(r.id, r.status) for r in want]
+    assert E.all_states(spark, str(tmp_path / "none")).count() == 0
